@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .minhash_dedup import near_duplicates
 from .secret_scan import secret_report
 from .substring_dedup import window_report
 from .suffix_dedup import byte_report
@@ -27,5 +28,10 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op8_substring_dedup, op9_suffix_dedup)}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
