@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .embedding_dedup import near_embeddings
+from .fingerprint import fingerprint_report
 from .minhash_dedup import near_duplicates
 from .secret_scan import secret_report
 from .substring_dedup import window_report
@@ -18,6 +20,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors of one label."""
+    return near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside repeated 35-word windows, of every document."""
     return window_report(table(spark, sf_dir, "documents"))
@@ -33,5 +45,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_embedding_dedup, op5_fingerprint, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
