@@ -10,9 +10,11 @@ from .common import table
 from .embedding_dedup import near_embeddings
 from .fingerprint import fingerprint_report
 from .minhash_dedup import near_duplicates
+from .mixing import mixture
 from .secret_scan import secret_report
 from .substring_dedup import window_report
 from .suffix_dedup import byte_report
+from .toxicity import toxicity_report
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +32,16 @@ def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document."""
+    return toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates that mix all documents to the target weights of the domains."""
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words outside repeated 35-word windows, of every document."""
     return window_report(table(spark, sf_dir, "documents"))
@@ -45,5 +57,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_embedding_dedup, op5_fingerprint, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_embedding_dedup, op5_fingerprint, op6_toxicity, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
