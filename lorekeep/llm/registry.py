@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .embedding_dedup import near_embeddings
 from .fingerprint import fingerprint_report
+from .license_scan import licence_report
 from .minhash_dedup import near_duplicates
 from .mixing import mixture
 from .secret_scan import secret_report
+from .sentencepiece_nbest import encoding_report
 from .substring_dedup import window_report
 from .suffix_dedup import byte_report
 from .toxicity import toxicity_report
@@ -22,6 +24,16 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that the sentences of every document state."""
+    return licence_report(table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best segmentations of every document, and the decoded text."""
+    return encoding_report(table(spark, sf_dir, "documents"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate vectors of one label."""
     return near_embeddings(table(spark, sf_dir, "embeddings"))
@@ -57,5 +69,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op4_embedding_dedup, op5_fingerprint, op6_toxicity, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_sentencepiece, op4_embedding_dedup, op5_fingerprint, op6_toxicity, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
 ORACLES: dict[str, str] = {}
