@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import anchor_runs, grouped, maybe_repeated, repeated_cells, sketch_bits
+from .anchors import anchor_runs, grouped, maybe_repeated, repeated_cells, rolling, sketch_bits
 from .common import batches, body, stash
 
 #: Candidate windows, and characters of text, that a chunk holds at most before it is settled.
@@ -83,6 +83,11 @@ class Kind:
     items: dict[str, str]
 
 
+def window_digest(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """96 bits of hash of each window, as a long and an int: among 10**13 windows, none of which is repeated, two are taken for equal with probability below 0.001."""
+    return rolling(tokens, window, 1).view(np.int64), (rolling(tokens, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _end(kind: Kind, text: str, n: int, ranges: np.ndarray, digest: bool) -> tuple[int, int, bytes]:
     gone = covered(n, ranges)
     kept = kind.rest(text, gone)
@@ -142,27 +147,26 @@ def scan(docs: DataFrame, kind: Kind, path: str, text: str, digest: bool) -> Dat
     return stash(rows.withColumn("key", F.monotonically_increasing_id()))
 
 
-def counted_windows(items: DataFrame, window: int) -> DataFrame:
-    """Ranges (key, from, to) of the items (key, at, h1, h2) whose hash pair counts twice or more; at -1 counts as two."""
+def counted_windows(items: DataFrame) -> DataFrame:
+    """Starts (key, from) of the items (key, at, h1, h2) whose hash pair counts twice or more; at -1 counts as two."""
     total = F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).over(Window.partitionBy("h1", "h2"))
-    found = items.withColumn("total", total).where("total > 1 and at >= 0")
-    return found.select("key", F.col("at").alias("from"), (F.col("at") + window).alias("to"))
+    return items.withColumn("total", total).where("total > 1 and at >= 0").select("key", F.col("at").alias("from"))
 
 
-def finish(rows: DataFrame, ranges: DataFrame, kind: Kind, digest: bool) -> DataFrame:
-    """One row per document: path, n, removed, spans, kept."""
-    found = ranges.groupBy("key").agg(F.flatten(F.collect_list(F.array("from", "to"))).alias("more"))
+def finish(rows: DataFrame, found: DataFrame, kind: Kind, digest: bool) -> DataFrame:
+    """One row per document: path, n, removed, spans, kept; found: (key, starts of repeated windows, flat ranges)."""
     waiting = rows.where(F.col("text").isNotNull()).select("key", "path", "n", "text", "ranges").join(found, "key", "left")
     names = ["path", "n", "removed", "spans", "kept"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             ended = []
-            for text, n, ranges, more in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "ranges", "more")), strict=True):
-                ended.append(_end(kind, text, n, np.array([*ranges, *(more or [])], np.int64), digest))
+            for text, n, own, starts, more in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "ranges", "starts", "more")), strict=True):
+                at = np.array(starts or [], np.int64)
+                ended.append(_end(kind, text, n, np.concatenate([np.array([*own, *(more or [])], np.int64), np.stack([at, at + kind.window], 1).ravel()]), digest))
             removed, spans, kept = zip(*ended, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
 
     settled = rows.where(F.col("text").isNull()).select(*names)
-    ended = waiting.select("path", "n", "text", "ranges", "more").mapInArrow(run, settled.schema)
+    ended = waiting.select("path", "n", "text", "ranges", "starts", "more").mapInArrow(run, settled.schema)
     return settled.unionByName(ended)

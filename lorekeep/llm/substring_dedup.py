@@ -4,7 +4,7 @@ Words are runs of anything but space and 0x09-0x0D, compared unchanged. A window
 is ``window`` consecutive words of one document; a window that starts anywhere
 else too, in the same document or another, loses its words in every place. The
 first pass merges partition sketches that overestimate how often each window
-occurs; the second groups exactly, by a 128-bit hash of the whole window, those
+occurs; the second groups exactly, by a 96-bit hash of the whole window, those
 alone that the sketch counts twice or more.
 
 Cases: null texts have no words; texts shorter than a window stay whole; repeated
@@ -21,9 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import rolling
 from .common import words
-from .repeats import Chunk, Kind, counted_windows, finish, scan
+from .repeats import Chunk, Kind, counted_windows, finish, scan, window_digest
 
 #: Words a window, words an anchor's gram.
 WINDOW, GRAM = 35, 12
@@ -48,8 +47,9 @@ def settle_windows(chunk: Chunk, window: int) -> list[tuple]:
         if tokens is None:
             continue
         at = np.concatenate([np.arange(a, z + 1) for a, z in zip(lo, hi, strict=True)])
-        ones.append(rolling(tokens, window, 1)[at])
-        twos.append(rolling(tokens, window, 2)[at])
+        one, two = window_digest(tokens, window)
+        ones.append(one[at])
+        twos.append(two[at])
         docs.append(np.full(len(at), i))
         starts.append(at)
     out = [(np.empty(0, np.int64), [], [], []) for _ in chunk.runs]
@@ -71,12 +71,12 @@ def settle_windows(chunk: Chunk, window: int) -> list[tuple]:
         own = by_doc[cuts[i] : cuts[i + 1]]
         gone = start[own[several[own]]]
         go = own[sent[own]]
-        out[i] = (np.stack([gone, gone + window], 1).ravel(), at[go].tolist(), h1[go].view(np.int64).tolist(), h2[go].view(np.int64).tolist())
+        out[i] = (np.stack([gone, gone + window], 1).ravel(), at[go].tolist(), h1[go].tolist(), h2[go].tolist())
     return out
 
 
 def word_kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, 0.025, word_hashes, _rest, partial(settle_windows, window=window), {"h1": "array<long>", "h2": "array<long>"})
+    return Kind(window, gram, 0.025, word_hashes, _rest, partial(settle_windows, window=window), {"h1": "array<long>", "h2": "array<int>"})
 
 
 def remove_repeated_windows(docs: DataFrame, path: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False) -> DataFrame:
@@ -84,7 +84,8 @@ def remove_repeated_windows(docs: DataFrame, path: str = "doc_id", text: str = "
     kind = word_kind(window, gram)
     rows = scan(docs, kind, path, text, digest)
     items = rows.select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("i")).select("key", "i.*")
-    return finish(rows, counted_windows(items, window), kind, digest)
+    found = counted_windows(items).groupBy("key").agg(F.collect_list("from").alias("starts")).withColumn("more", F.lit(None).cast("array<int>"))
+    return finish(rows, found, kind, digest)
 
 
 def window_report(docs: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ leading bytes change.
 
 A leading string with more suffixes than a block holds (say, one line in a third
 of all documents, each time amid other text) isn't sorted in one task: its windows
-go to a second shuffle, keyed by a 128-bit hash of the whole window.
+go to a second shuffle, keyed by a 96-bit hash of the whole window.
 
 Cases: null texts have no bytes; texts shorter than a window stay whole; repeated
 rows repeat each other; an empty table gives an empty result; other columns are
@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import mix, rolling
+from .anchors import mix
 from .common import batches, stash
-from .repeats import Chunk, Kind, counted_windows, finish, joined_ranges, scan
+from .repeats import Chunk, Kind, counted_windows, finish, joined_ranges, scan, window_digest
 
 #: Bytes a window, bytes by which suffixes are dealt out.
 WINDOW, GRAM = 200, 100
@@ -159,7 +159,7 @@ def repeated_starts(segs: list[bytes], offs: np.ndarray, twice: np.ndarray, wind
 def _buckets(rows: Iterator[pa.RecordBatch], window: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by their leading bytes, in blocks that end where those change: ranges, or windows of too frequent ones."""
     names = ["key", "ranges", "at", "h1", "h2"]
-    types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
     held: list[tuple] = []  # whole leading strings, then the last one, which may go on
     last_from, lead, frequent = 0, None, False
 
@@ -186,8 +186,7 @@ def _buckets(rows: Iterator[pa.RecordBatch], window: int, gram: int, block: int)
     def spread(some: list[tuple]) -> Iterator[pa.RecordBatch]:
         out = []
         for key, at, _, seg, _ in some:
-            tokens = BYTE_HASH[np.frombuffer(seg, np.uint8)]
-            ones, twos = (rolling(tokens, window, k).view(np.int64) for k in (1, 2))
+            ones, twos = window_digest(BYTE_HASH[np.frombuffer(seg, np.uint8)], window)
             places = np.full(len(ones), -1) if at < 0 else at + np.arange(len(ones))
             out.append((key, [], places.tolist(), ones.tolist(), twos.tolist()))
         if out:
@@ -225,13 +224,14 @@ def remove_repeated_bytes(docs: DataFrame, path: str = "doc_id", text: str = "te
     size = segs.agg(F.sum(F.length("seg"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES), df_partitions(rows) if size else 1)
     dealt = segs.withColumn("lead", F.substring("seg", F.col("off") + 1, F.lit(gram))).repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
-    shape = "key long, ranges array<int>, at array<int>, h1 array<long>, h2 array<long>"
+    shape = "key long, ranges array<int>, at array<int>, h1 array<long>, h2 array<int>"
     sorted_out = stash(dealt.mapInArrow(lambda r: _buckets(r, window, gram, block), shape))
 
-    pairs = F.transform(F.sequence(F.lit(0), (F.size("ranges") / 2).cast("int") - 1), lambda i: F.struct(F.get("ranges", i * 2).alias("from"), F.get("ranges", i * 2 + 1).alias("to")))
-    ranges = sorted_out.where(F.size("ranges") > 0).select("key", F.explode(pairs).alias("r")).select("key", "r.from", "r.to")
     frequent = sorted_out.where(F.size("at") > 0).select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("i")).select("key", "i.*")
-    return finish(rows, ranges.unionByName(counted_windows(frequent, window)), kind, digest)
+    none = F.lit(None).cast("array<int>")
+    parts = sorted_out.where(F.size("ranges") > 0).select("key", none.alias("starts"), "ranges").unionByName(counted_windows(frequent).select("key", F.array("from").alias("starts"), none.alias("ranges")))
+    found = parts.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ranges")).alias("more"))
+    return finish(rows, found, kind, digest)
 
 
 def df_partitions(df: DataFrame) -> int:
