@@ -99,7 +99,7 @@ RULES = [
 #: Every known sentence holds one of these, so that a text without any needs no splitting.
 HINTS = ("licen", "permission", "redistribut", "copyright", "software", "warrant", "rights reserved", "public domain", "under cc")
 
-ENDS = re.compile(r"[.!?;:](?=\s)|\n[^\S\n]*\n")
+ENDS = re.compile(r"[.!?;:](?=\s|\Z)|\n[^\S\n]*\n")
 NOISE = re.compile(r"[\W_]+")
 
 

@@ -49,7 +49,11 @@ KEPT_TOKENS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
 THRICE = re.compile(r"(.)\1\1")
+#: Signs that begin or end a disguised word rather than a sentence, unless three or more stand together.
+MONEY = "$@"
+RUNS = re.compile(r"^([$@])\1{2,}|([$@])\2{2,}$")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…¿¡"
+OUTER = EDGES.replace("$", "").replace("@", "")
 
 
 def letter_table() -> np.ndarray:
@@ -152,22 +156,18 @@ class Reader:
         found = self.kept.get(token)
         if found is None:
             plain = token.strip(EDGES)
-            if plain.isalpha() and not THRICE.search(plain):
-                found = (plain,)
+            core = RUNS.sub("", token).strip(OUTER) if token[0] in MONEY or token[-1] in MONEY else plain
+            if core.isalpha() and not THRICE.search(core):
+                found = (core,)
             else:
                 found = tuple(WORD.findall(token))
                 if any(c.isalpha() for c in token):
-                    inner = self.model.restore(plain)
-                    found = tuple(dict.fromkeys((*found, inner, *self.stripped(token))))
+                    found = tuple(dict.fromkeys((*found, self.model.restore(core))))
             if len(self.kept) >= KEPT_TOKENS:
                 self.kept.clear()
             self.kept[token] = found
         return found
 
-    def stripped(self, token: str) -> tuple[str, ...]:
-        """Signs at a token's edges may be letters as well, unless they are a run of one."""
-        return () if token.strip(EDGES) == token or re.search(r"(\W)\1", token) else (self.model.restore(token),)
-
     def counts(self, text: str) -> tuple[Counter[str], int]:
         """Words of a text with their counts, and the number of its tokens."""
         tokens = text.lower().split()
@@ -262,7 +262,7 @@ class Scorer:
             at = self.kept.get(token)
             if at is None:
                 plain = token.strip(EDGES)
-                if len(token) > 1 and plain[:3] not in self.heads and plain.isalpha() and not THRICE.search(plain):
+                if len(token) > 1 and plain[:3] not in self.heads and plain.isalpha() and token[0] not in MONEY and token[-1] not in MONEY and not THRICE.search(plain):
                     at = ()
                 else:
                     at = tuple(i for word in reader.words(token) for i in self.places(word)) + (-1,) * (len(token) == 1)
