@@ -53,7 +53,7 @@ def same_subject(saved: DataFrame, memories: DataFrame, config: Config | None =
     rows = memories.where(visible() & (F.col("chunk_type") == "manual") & ~F.col("sensitive") & F.col("embedding").isNotNull())
     rows = rows.withColumn("age", F.row_number().over(recent)).where(F.col("age") <= newest).select("project", "id", "embedding", topic_keywords("document").alias("topics"))
     mine = saved.select("project", F.col("id").alias("saved_id"), F.col("embedding").alias("own"), topic_keywords("document").alias("own_topics")).where("own is not null")
-    pairs = mine.join(rows, "project").where("id != saved_id").withColumn("distance", F.round(1 - cosine("own", "embedding"), 6)).where(F.col("distance") <= c.same_subject_shared)
+    pairs = mine.join(rows, "project").where("id != saved_id").withColumn("distance", F.abs(F.round(1 - cosine("own", "embedding"), 6))).where(F.col("distance") <= c.same_subject_shared)
     shared = F.size(F.array_intersect("own_topics", "topics")) / F.least(F.size("own_topics"), F.size("topics"))
     pairs = pairs.where((F.col("distance") <= c.same_subject) | (F.coalesce(shared, F.lit(0.0)) >= c.shared_keywords))
     order = Window.partitionBy("saved_id").orderBy("distance", "id")

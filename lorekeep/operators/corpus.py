@@ -65,7 +65,7 @@ def shown(memories: DataFrame) -> DataFrame:
 def workspace_scope(asked: DataFrame, workspaces: DataFrame) -> DataFrame:
     """(workspace_id, project) for each workspace asked for: itself, its old name if no other claims it, the playbook."""
     owners = workspaces.where("legacy_project is not null").groupBy("legacy_project").agg(F.count("*").alias("owners"))
-    known = asked.join(workspaces.select("workspace_id", "legacy_project"), "workspace_id", "left").join(owners, "legacy_project", "left")
+    known = asked.select("workspace_id").join(workspaces.select("workspace_id", "legacy_project"), "workspace_id", "left").join(owners, "legacy_project", "left")
     names = F.array(F.col("workspace_id"), F.when(F.col("owners") == 1, F.col("legacy_project")), F.lit(PLAYBOOK))
     return known.select("workspace_id", F.explode(F.array_distinct(F.array_compact(names))).alias("project"))
 

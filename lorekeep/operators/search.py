@@ -57,7 +57,7 @@ def scored(queries: DataFrame, memories: DataFrame, options: Options | None = No
 
 
     both = F.col("embedding").isNotNull() & F.col("query_embedding").isNotNull()
-    rows = rows.withColumn("distance", F.when(both, F.round(1 - cosine("embedding", "query_embedding"), 6)))
+    rows = rows.withColumn("distance", F.when(both, F.abs(F.round(1 - cosine("embedding", "query_embedding"), 6))))
     rows = rows.withColumn("on_topic", on_topic(topic_hits(F.col("document"), F.col("topics")), F.col("distance"), F.col("korean") != is_korean("document"), F.size("topics"), c))
     if o.on_topic_only:
         rows = rows.where("on_topic")

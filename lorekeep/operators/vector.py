@@ -89,7 +89,7 @@ def _scan(rows: list, memories: DataFrame, most: int | None, digits: int | None)
                 own, rows = np.array(at)[ok], rows[ok] / norms[ok, None]
                 away = 1.0 - units @ rows.T
                 if digits is not None:
-                    away = np.round(away, digits)
+                    away = np.abs(np.round(away, digits))  # no negative zeros
                 for q, (scope, k) in enumerate(zip(scopes, ks, strict=True)):
                     mine = np.flatnonzero([projects[i] in scope for i in own]) if scope else np.arange(len(own))
                     far, names = away[q, mine], ids[own[mine]]

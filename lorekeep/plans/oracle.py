@@ -74,7 +74,7 @@ hits_t AS (SELECT query_id, id, project, round(sum(w), 6) AS score FROM terms_t
 VECTORS = """
 v_list AS (SELECT * FROM (
   SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank, candidates FROM (
-    SELECT q.query_id, q.candidates, m.id, round(1 - list_cosine_similarity(q.embedding, m.embedding), 6) AS distance
+    SELECT q.query_id, q.candidates, m.id, abs(round(1 - list_cosine_similarity(q.embedding, m.embedding), 6)) AS distance
     FROM queries q JOIN visible m ON len(q.scope) = 0 OR list_contains(q.scope, m.project)
     WHERE q.embedding IS NOT NULL AND m.embedding IS NOT NULL)) WHERE rank < candidates)"""
 FUSED = """
@@ -128,7 +128,7 @@ words AS MATERIALIZED (SELECT query_id, list_filter(words, lambda w: true) AS wo
 rows_s AS (
   SELECT f.query_id, f.id, f.fused, f.distance AS listed, f.text_score, m.project, m.document, m.chunk_type, m.importance, m.updated_at, q.as_of, q.n, w.words, w.topics,
     len([k FOR k IN w.words IF contains(lower(m.document), lower(k))])::DOUBLE / nullif(len(w.words), 0) AS ratio,
-    round(1 - list_cosine_similarity(q.embedding, m.embedding), 6) AS distance
+    abs(round(1 - list_cosine_similarity(q.embedding, m.embedding), 6)) AS distance
   FROM fused f JOIN memories m USING (id) JOIN queries q USING (query_id) JOIN words w USING (query_id)
   WHERE NOT m.sensitive AND m.project NOT IN {HIDDEN}{drop} AND (len(q.scope) = 0 OR list_contains(q.scope, m.project)){extra}),
 topic_s AS (
@@ -240,7 +240,7 @@ ORACLES: dict[str, str] = {
         u AS (SELECT *, 19 + sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank) > 2000 AS over FROM l)
         SELECT query_id, count_if(NOT over)::BIGINT AS lines, sha256('Relevant memories:' || coalesce(string_agg(CASE WHEN NOT over THEN chr(10) || line END, '' ORDER BY rank), '') || CASE WHEN bool_or(over) THEN chr(10) || '…' ELSE '' END) AS text_sha FROM u GROUP BY query_id""",
     "same_subject": M + f""" , r AS (SELECT project, id, embedding, list_distinct({_topics('document')}) AS topics FROM visible WHERE {PLAIN} AND embedding IS NOT NULL AND NOT sensitive), s AS (SELECT project, id, embedding, list_distinct({_topics('document')}) AS topics FROM visible WHERE {PLAIN} AND embedding IS NOT NULL),
-        p AS (SELECT s.id AS saved_id, r.id, round(1 - list_cosine_similarity(s.embedding, r.embedding), 6) AS distance, len(list_intersect(s.topics, r.topics))::DOUBLE / nullif(least(len(s.topics), len(r.topics)), 0) AS shared FROM s JOIN r ON s.project = r.project AND s.id <> r.id)
+        p AS (SELECT s.id AS saved_id, r.id, abs(round(1 - list_cosine_similarity(s.embedding, r.embedding), 6)) AS distance, len(list_intersect(s.topics, r.topics))::DOUBLE / nullif(least(len(s.topics), len(r.topics)), 0) AS shared FROM s JOIN r ON s.project = r.project AND s.id <> r.id)
         SELECT saved_id, id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY saved_id ORDER BY distance, id) AS place FROM p WHERE distance <= 0.55 OR distance <= 0.7 AND coalesce(shared, 0) >= 0.2) WHERE place <= 3""",
     "verified_quotes": _with(MEMORIES, RELEVANT) + " , q AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS place FROM relevance) SELECT query_id, place, q.id FROM q JOIN memories m USING (id) JOIN benchmark b ON b.item_id = q.query_id WHERE place <= 5 AND contains(left(m.document, 1000), b.text)",
     "token_overlap_baseline": _with(MEMORIES, ASKED) + f""" , a AS (SELECT DISTINCT query_id, unnest({_tokens('text')}) AS token FROM queries), b AS (SELECT DISTINCT id, unnest({_tokens('document')}) AS token FROM memories), c AS (SELECT query_id, id, count(*) AS shared FROM a JOIN b USING (token) GROUP BY ALL)
