@@ -37,7 +37,7 @@ def candidates(queries: DataFrame, memories: DataFrame, options: Options | None
     return both if o.durable_only else neighbour_bonus(both, seen, c)
 
 
-def scored(queries: DataFrame, memories: DataFrame, options: Options | None = None, config: Config | None = None, digits: int = 6) -> DataFrame:
+def scored(queries: DataFrame, memories: DataFrame, options: Options | None = None, config: Config | None = None, digits: int = 9) -> DataFrame:
     """Admitted candidates with score, on_topic and what the last step needs."""
     o, c = options or Options(), config or Config()
     found = candidates(queries, memories, o, c).withColumnRenamed("distance", "listed_distance")

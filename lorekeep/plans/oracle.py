@@ -146,7 +146,7 @@ near_s AS (
   SELECT *, round(CASE WHEN coalesce(ratio, 0) = 0 THEN least(0.1 * fused, 0.049) ELSE 0.1 * fused END + 0.08 * coalesce(ratio, 0)
     + CASE importance WHEN 'knowledge' THEN 0.10 WHEN 'preference' THEN 0.08 WHEN 'decision' THEN 0.05 ELSE 0 END
     + CASE chunk_type WHEN 'manual' THEN 0.10 WHEN 'consolidated' THEN 0.03 WHEN 'auto_log' THEN -0.05 ELSE 0 END
-    - least(greatest(datesub('second', updated_at, as_of), 0) / 86400.0 * 0.008, 0.30), 6)::DOUBLE AS score
+    - least(greatest(datesub('second', updated_at, as_of), 0) / 86400.0 * 0.008, 0.30), 9)::DOUBLE AS score
   FROM near_s WHERE lexical OR near AND place <= CASE WHEN len(words) >= 2 THEN 3 ELSE 0 END)"""
 
 
