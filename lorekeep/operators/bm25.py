@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
@@ -45,11 +45,38 @@ def bm25(queries: DataFrame, memories: DataFrame, config: Config | None = None,
     return hits if digits is None else hits.withColumn("score", F.round("score", digits))
 
 
-def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates", config: Config | None = None, digits: int | None = 6) -> DataFrame:
-    """(query_id, id, score, rank from 0), the best of each query."""
-    scored = bm25(queries, memories, config, digits)
+def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates", config: Config | None = None, digits: int | None = 6, syntax: bool = False) -> DataFrame:
+    """(query_id, id, score, rank from 0), the best of each query; with ``syntax``, phrases and demanded words count."""
+    scored = demanded(bm25(queries, memories, config, digits), queries, memories) if syntax else bm25(queries, memories, config, digits)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     ranked = scored.withColumn("rank", F.row_number().over(order) - 1)
     if isinstance(k, int):
         return ranked.where(F.col("rank") < k)
     return ranked.join(queries.select("query_id", F.col(k).alias("k")), "query_id").where("rank < k").drop("k")
+
+
+def clauses(text: str | Column) -> dict[str, Column]:
+    """What a query demands: ``all`` and ``none``, arrays of words and phrases as `` a b ``; both empty if its quotes don't match.
+
+    "a phrase" and a word after + or on either side of AND are demanded, a word or phrase after - is ruled out.
+    """
+    raw = F.col(text) if isinstance(text, str) else text
+    fits = (F.char_length(raw) - F.char_length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 0
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(tokens(t), " "), F.lit(" "))
+    found = lambda p: F.filter(F.transform(F.regexp_extract_all(raw, F.lit(p), 1), spaced), lambda t: F.trim(t) != "")
+    none = F.array_union(found(r'(?:^|\s)-"([^"]+)"'), found(r'(?:^|\s)-([^\s"-][^\s"]*)'))
+    phrases = found(r'(?:^|[\s(+])"([^"]+)"')
+    both = F.array_union(found(r'([^\s"]+)\s+AND\s'), found(r'\sAND\s+([^\s"]+)'))
+    words = F.array_union(found(r'(?:^|\s)\+([^\s"+][^\s"]*)'), both)
+    empty = F.array().cast("array<string>")
+    return {"all": F.when(fits, F.array_union(phrases, words)).otherwise(empty), "none": F.when(fits, none).otherwise(empty)}
+
+
+def demanded(hits: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
+    """``hits`` whose documents hold all that their query demands and nothing that it rules out; documents of other queries aren't read."""
+    asked = queries.select("query_id", *(c.alias(n) for n, c in clauses("text").items()))
+    strict = asked.where((F.size("all") > 0) | (F.size("none") > 0))
+    texts = memories.select("id", F.concat(F.lit(" "), F.array_join(tokens("document"), " "), F.lit(" ")).alias("spaced"))
+    held = hits.join(strict, "query_id").join(texts, "id")
+    kept = held.where(F.forall("all", lambda c: F.contains("spaced", c)) & ~F.exists("none", lambda c: F.contains("spaced", c))).select(*hits.columns)
+    return hits.join(strict.select("query_id"), "query_id", "left_anti").select(*hits.columns).unionByName(kept)

@@ -271,3 +271,27 @@ def test_home_project_needs_three(spark):
 def test_every_oracle_has_a_query():
     assert set(oracle.ORACLES) <= set(catalogue.QUERIES)
     assert views.AS_OF.startswith("2024") and Config().mmr_lambda == 0.5
+
+
+@pytest.mark.parametrize(
+    ("query", "found"),
+    [
+        ('"red fox"', {"a"}),
+        ('"fox red"', set()),
+        ("+fox dog", {"a", "c"}),
+        ("fox -lazy", {"a"}),
+        ('fox -"lazy fox"', {"a"}),
+        ("fox AND dog", {"c"}),
+        ('"red fox', {"a", "b", "c"}),
+        ("fox:", {"a", "c"}),
+        ("(fox", {"a", "c"}),
+        ('"..."', set()),
+        ("", set()),
+    ],
+)
+def test_query_syntax(spark, query, found):
+    from lorekeep.operators.bm25 import text_top
+
+    rows = memories(spark, {"id": "a", "document": "A red fox."}, {"id": "b", "document": "red dog"}, {"id": "c", "document": "lazy fox, dog"})
+    asked = spark.createDataFrame([(1, query, [])], "query_id int, text string, scope array<string>")
+    assert {r.id for r in text_top(asked, rows, 10, syntax=True).collect()} == found
