@@ -7,13 +7,15 @@ candidates together, and the samples fold into a parity bitmap, the odd sketch,
 whose XOR population count tells how many samples differ: precisely so for high
 similarities. Candidates that pass it are confirmed on their whole sets.
 
-Candidates are never all pairs of a bucket. In the first round each member meets
-its bucket's least member; the confirmed links give components. A bucket that
-then holds one component needs no more. In the others, members of different
-components are compared by their sketches, in blocks of bounded size within a
-task, and only pairs that pass are confirmed. Links
-within a component can't change the result, so none that matters is lost; a pair at
-0.85 or more shares no band with probability below 1e-6.
+Candidates are never all pairs of a bucket. Each member first meets its bucket's least
+and greatest member; the confirmed links give components. A bucket that then holds one
+component needs no more. In the others, sketches of different components are compared
+within a task, which returns no more than a spanning forest of those near enough; its
+trees are clusters. Members of a cluster then meet with their whole sets in a task,
+which finds every link between components and again returns a spanning forest. Both
+steps cut large groups into blocks of bounded size. Links within a component can't
+change the result, so none that matters is lost; a pair at 0.85 or more shares no band
+with probability below 1e-6.
 
 Cases: null and empty texts, and texts of white space alone, have no shingles and
 link with nothing; repeated rows are copies; a null id links with nothing, has a
@@ -97,23 +99,74 @@ def _sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(content, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odd, pa.binary())], names)
 
 
-def _estimated_pairs(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components in a block whose sketches are near enough."""
+class Forest:
+    """Disjoint sets over the places of a block, joined beforehand where their components are equal."""
+
+    def __init__(self, component: np.ndarray) -> None:
+        _, first, of = np.unique(component, return_index=True, return_inverse=True)
+        self.root = first[of]
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether the two were apart until now."""
+        x, y = self.root[a], self.root[b]
+        if x != y:
+            self.root[self.root == max(x, y)] = min(x, y)
+        return bool(x != y)
+
+
+def _sides(members: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """A block's members once each, and which of them ask and which are asked."""
     first, second = members.part_a.iloc[0], members.part_b.iloc[0]
-    members = members.drop_duplicates("id").sort_values("id")
+    members = members.drop_duplicates("id").sort_values("id").reset_index(drop=True)
+    chunk = members.chunk.to_numpy()
+    return members, np.flatnonzero(chunk == first), chunk == second
+
+
+def _near_components(members: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest (of components) of the pairs in a block of a bucket whose sketches are near enough."""
+    members, asks, asked = _sides(members)
     odd = np.frombuffer(b"".join(members.odd), np.uint64).reshape(len(members), -1)
-    ids, comp, n, chunk = (members[c].to_numpy() for c in ("id", "component", "n", "chunk"))
-    out = []
-    for i in np.flatnonzero(chunk == first):
-        others = np.flatnonzero((chunk == second) & (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
-        if first == second:
-            others = others[others > i]
-        if len(others):
-            apart = np.bitwise_count(odd[others] ^ odd[i]).sum(1)
-            near = others[apart <= MOST_BITS_APART]
-            out.append(np.stack([np.full(len(near), ids[i]), ids[near]], 1))
-    pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs.max(1) if len(pairs) else [], "b": pairs.min(1) if len(pairs) else []}, dtype="int64")
+    comp, n = members.component.to_numpy(), members.n.to_numpy()
+    forest, out = Forest(comp), []
+    for i in asks:
+        others = np.flatnonzero(asked & (forest.root != forest.root[i]) & (100 * np.minimum(n, n[i]) >= PERCENT * np.maximum(n, n[i])))
+        near = others[np.bitwise_count(odd[others] ^ odd[i]).sum(1) <= MOST_BITS_APART]
+        out += [(max(comp[i], comp[j]), min(comp[i], comp[j])) for j in near if forest.join(i, j)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _links_across(members: pd.DataFrame) -> pd.DataFrame:
+    """A spanning forest of the links between components in a block of a cluster, found on whole sets.
+
+    One pass over all sets of the block counts what they share with one of them.
+    """
+    members, asks, asked = _sides(members)
+    ids, comp = members.id.to_numpy(), members.component.to_numpy()
+    sizes = members["items"].map(len).to_numpy()
+    flat = np.concatenate(members["items"].to_list())
+    words, at = np.unique(flat, return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(len(words), np.int64)
+    forest, out = Forest(comp), []
+    for i in asks:
+        apart = asked & (forest.root != forest.root[i]) & (100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i]))
+        if not apart.any():
+            continue
+        own = at[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[at], starts)
+        mark[own] = 0
+        linked = np.flatnonzero(apart & (100 * both >= PERCENT * (sizes + sizes[i] - both)))
+        out += [(max(ids[i], ids[j]), min(ids[i], ids[j])) for j in linked if forest.join(i, j)]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _blocks(rows: DataFrame, key: list[str], most: int) -> DataFrame:
+    """``rows`` in blocks of two chunks of a group, every pair of its chunks once; a small group is one chunk."""
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / most).cast("int").alias("chunks"))
+    cut = rows.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return cut.withColumn("part_a", F.least("chunk", "other")).withColumn("part_b", F.greatest("chunk", "other")).drop("other", "chunks")
 
 
 def _id_filter(ids: DataFrame) -> bytearray:
@@ -137,9 +190,8 @@ def _id_filter(ids: DataFrame) -> bytearray:
     return bits
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) whose whole sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, items) for the documents with an id among ``ids``, and perhaps a few others; no text is shuffled."""
     bits = docs.sparkSession.sparkContext.broadcast(bytes(_id_filter(ids)))
     needed = docs.withColumn("cell", F.expr(f"shiftrightunsigned(xxhash64(id), {64 - FILTER_BITS})"))
 
@@ -152,7 +204,13 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             items = [shingles(t).view(np.int64) for t in own.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(items, pa.list_(pa.int64()))], ["id", "items"])
 
-    found = stash(needed.where("id is not null").mapInArrow(sets, "id long, items array<long>").dropDuplicates(["id"]))
+    return needed.where("id is not null").mapInArrow(sets, "id long, items array<long>").dropDuplicates(["id"])
+
+
+def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose whole sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    found = stash(shingle_sets(docs, ids))
     a = found.select(F.col("id").alias("a"), F.col("items").alias("items_a"))
     b = found.select(F.col("id").alias("b"), F.col("items").alias("items_b"))
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -169,8 +227,8 @@ def near_duplicates(documents: DataFrame, path: str = "doc_id", text: str = "tex
     # an id given to several texts stands for each of them: its classes join
     heads = stash(linked.join(leaders, ["id", "content"], "left_semi").dropDuplicates(["id", "content"]).select("id", "n", "odd", "bands"))
     banded = heads.select("id", F.posexplode("bands").alias("band", "hash"))
-    hubs = banded.groupBy("band", "hash").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub != other").drop("other")
-    met = banded.join(hubs, ["band", "hash"]).where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    hubs = banded.groupBy("band", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
+    met = banded.join(hubs, ["band", "hash"]).select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct()
     own = heads.select(F.col("id").alias("a"), "n", "odd")
     of_hub = heads.select(F.col("id").alias("b"), F.col("n").alias("n_hub"), F.col("odd").alias("odd_hub"))
     stars = met.join(own, "a").join(of_hub, "b").where(f"100 * least(n, n_hub) >= {PERCENT} * greatest(n, n_hub)")
@@ -178,14 +236,14 @@ def near_duplicates(documents: DataFrame, path: str = "doc_id", text: str = "tex
     inside = components(first)
     placed = heads.join(inside.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = placed.select("id", "n", "odd", "component", F.posexplode("bands").alias("band", "hash"))
-    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low != high")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    open_ = placed.join(mixed.select("band", "hash", chunks.alias("chunks")), ["band", "hash"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    blocks = open_.withColumn("other", other).withColumn("part_a", F.least("chunk", "other")).withColumn("part_b", F.greatest("chunk", "other"))
-    blocks = blocks.select("band", "hash", "part_a", "part_b", "chunk", "id", "component", "n", "odd")
-    rest = stash(blocks.groupBy("band", "hash", "part_a", "part_b").applyInPandas(_estimated_pairs, "a long, b long").distinct())
-    links = first.unionByName(confirmed(docs, rest))
+    mixed = placed.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_ = placed.join(mixed.select("band", "hash"), ["band", "hash"])
+    near = stash(_blocks(open_, ["band", "hash"], BLOCK).groupBy("band", "hash", "part_a", "part_b").applyInPandas(_near_components, "a long, b long").distinct())
+    clusters = components(near).select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+    within = heads.select("id").join(inside.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")).join(clusters, "component")
+    within = stash(within.join(shingle_sets(docs, within.select("id")), "id"))
+    across = _blocks(within, ["cluster"], BLOCK).groupBy("cluster", "part_a", "part_b").applyInPandas(_links_across, "a long, b long")
+    links = first.unionByName(across)
     roots = components(links).select(F.col("node").alias("leader"), "component")
     members = sketched.join(classes, "content", "left").join(roots, "leader", "left")
     members = members.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id")))
