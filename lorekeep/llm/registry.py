@@ -12,6 +12,7 @@ from .fingerprint import fingerprint_report
 from .license_scan import licence_report
 from .minhash_dedup import near_duplicates
 from .mixing import mixture
+from .oracles import ORACLES as ORACLES
 from .secret_scan import secret_report
 from .sentencepiece_nbest import encoding_report
 from .substring_dedup import window_report
@@ -70,4 +71,3 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_sentencepiece, op4_embedding_dedup, op5_fingerprint, op6_toxicity, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
-ORACLES: dict[str, str] = {}
