@@ -193,7 +193,8 @@ def _buckets(rows: Iterator[pa.RecordBatch], window: int, gram: int, block: int)
             yield pack(out)
 
     for batch in batches(rows):
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "off", "seg", "lead")), strict=True):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "off", "seg")), strict=True):
+            row = (*row, row[3][row[2] : row[2] + gram])
             if row[4] != lead:
                 if frequent:
                     yield from spread(held)
@@ -223,7 +224,8 @@ def remove_repeated_bytes(docs: DataFrame, path: str = "doc_id", text: str = "te
     segs = rows.select("key", F.explode(F.arrays_zip("at", "off", "seg")).alias("i")).select("key", "i.*")
     size = segs.agg(F.sum(F.length("seg"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES), df_partitions(rows) if size else 1)
-    dealt = segs.withColumn("lead", F.substring("seg", F.col("off") + 1, F.lit(gram))).repartitionByRange(buckets, "lead").sortWithinPartitions("lead")
+    lead = F.substring("seg", F.col("off") + 1, F.lit(gram))  # ordered by, but not sent along
+    dealt = segs.repartitionByRange(buckets, lead).sortWithinPartitions(lead)
     shape = "key long, ranges array<int>, at array<int>, h1 array<long>, h2 array<int>"
     sorted_out = stash(dealt.mapInArrow(lambda r: _buckets(r, window, gram, block), shape))
 
