@@ -9,7 +9,9 @@ each other with at most ``GAP`` unknown sentences between them; matches don't ov
 A sentence ends with a full stop, exclamation or question mark, semicolon or colon
 before white space, or with a blank line. Texts that aren't wrapped put each sentence
 on a line, so parts of a sentence from the start of any of its lines to the end of that
-or a later one are looked up too, the longest first.
+or a later one are looked up too, the longest first. Known sentences that hold such an
+end themselves ("v. 2.0") are cut by it too and found where all their parts follow each
+other; a part alone is an unknown sentence.
 
 Cases: null and empty texts, and texts with no known sentence, have no matches and
 empty lists; repeated rows are texts of their own; an empty table gives an empty
@@ -41,6 +43,7 @@ SENTENCES = {
     "mit-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT",
     "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE",
     "apache-name": "Licensed under the Apache License, Version 2.0",
+    "apache-name-the": "Licensed under the Apache License, Version 2.0 (the \"License\")",
     "apache-use": "you may not use this file except in compliance with the License",
     "apache-copy": "You may obtain a copy of the License at",
     "apache-basis": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
@@ -55,6 +58,10 @@ SENTENCES = {
     "gpl-free": "This program is free software",
     "gpl3-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "gpl2-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl3-only-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3",
+    "gpl3-only-grant-of": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License",
+    "gpl2-only-grant": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2",
+    "gpl2-only-grant-of": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-implied": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-see": "See the GNU General Public License for more details",
@@ -64,6 +71,8 @@ SENTENCES = {
     "cc-by-sa-4-name": "Licensed under CC BY-SA 4.0",
     "cc-by-nc-4-name": "Licensed under CC BY-NC 4.0",
     "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
     "cc0-name": "Licensed under CC0 1.0",
     "unlicense-free": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
@@ -78,6 +87,9 @@ RULES = [
     ("Apache-2.0", ("apache-name", "apache-use", "apache-copy", "apache-basis", "apache-see")),
     ("Apache-2.0", ("apache-name", "apache-use")),
     ("Apache-2.0", ("apache-name",)),
+    ("Apache-2.0", ("apache-name-the", "apache-use", "apache-copy", "apache-basis", "apache-see")),
+    ("Apache-2.0", ("apache-name-the", "apache-use")),
+    ("Apache-2.0", ("apache-name-the",)),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-3-Clause", ("bsd-name",)),
@@ -85,6 +97,7 @@ RULES = [
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-grant")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-grant", "gpl-hope", "gpl-implied", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-grant")),
+    *((f"GPL-{v}.0-only", ("gpl-free", f"gpl{v}-only-grant{of}", *rest)) for v in "32" for of in ("", "-of") for rest in (("gpl-hope", "gpl-implied", "gpl-see"), ())),
     ("GPL-3.0-only", ("gpl3-name",)),
     ("GPL-2.0-only", ("gpl2-name",)),
     ("MPL-2.0", ("mpl2-form",)),
@@ -92,7 +105,9 @@ RULES = [
     ("CC-BY-4.0", ("cc-by-4-name",)),
     ("CC-BY-4.0", ("cc-by-4-work",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-4-name",)),
+    ("CC-BY-SA-4.0", ("cc-by-sa-4-work",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-4-name",)),
+    ("CC-BY-NC-4.0", ("cc-by-nc-4-work",)),
     ("CC0-1.0", ("cc0-name",)),
     ("Unlicense", ("unlicense-free",)),
 ]
@@ -107,39 +122,56 @@ def normalised(sentence: str) -> str:
     return NOISE.sub(" ", sentence.lower()).strip()
 
 
-KNOWN = {part: name for name, text in SENTENCES.items() for part in [normalised(text)]}
-LONGEST = max(map(len, KNOWN))
-assert all(any(h in k for h in map(normalised, HINTS)) for k in KNOWN), "a sentence without a hint"
+#: Known sentences by their parts, each normalised.
+KNOWN = {tuple(filter(None, map(normalised, ENDS.split(text)))): name for name, text in SENTENCES.items()}
+PARTS = {part for parts in KNOWN for part in parts}
+LONGEST, MOST_PARTS = max(map(len, PARTS)), max(map(len, KNOWN))
+assert all(any(h in " ".join(k) for h in map(normalised, HINTS)) for k in KNOWN), "a sentence without a hint"
 
 
 def sentences(text: str) -> Iterator[tuple[str | None, int, int]]:
     """Sentences, and identified parts of them, in order: (identifier or None, start, end) in code points."""
+    found: list[tuple[str | None, int, int, int]] = []
     at = 0
-    for end in [*(m.start() for m in ENDS.finditer(text)), len(text)]:
-        yield from _identified(text, at, end)
+    for k, end in enumerate([*(m.start() for m in ENDS.finditer(text)), len(text)]):
+        found += [(*x, k) for x in _identified(text, at, end)]
         at = end + 1
+    i, unknown = 0, -1  # the cut whose unknown sentence has been told
+    while i < len(found):
+        part, start, end, k = found[i]
+        n = 0
+        if part is not None:
+            n = next((n for n in range(min(MOST_PARTS, len(found) - i), 0, -1) if tuple(f[0] for f in found[i : i + n]) in KNOWN), 0)
+        if n:
+            yield KNOWN[tuple(f[0] for f in found[i : i + n])], start, found[i + n - 1][2]
+            unknown = -1
+        elif k != unknown:
+            yield None, start, end
+            unknown = k
+        i += n or 1
 
 
 def _identified(text: str, start: int, end: int) -> Iterator[tuple[str | None, int, int]]:
+    """What a cut holds: (normalised part of a known sentence or None, start, end)."""
     whole = text[start:end]
     clean = normalised(whole)
     if not clean:
         return
-    if clean in KNOWN or "\n" not in whole:
-        yield KNOWN.get(clean), start, end
+    if clean in PARTS or "\n" not in whole:
+        yield clean if clean in PARTS else None, start, end
         return
     cuts = [start, *(start + m.end() for m in re.finditer("\n", whole)), end + 1]
     lines = [normalised(text[a : z - 1]) for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
     i, unknown = 0, False
     while i < len(lines):
-        # the longest run of lines from here that is a known sentence
+        # the longest run of lines from here that is a part of a known sentence
         joined, found, upto = "", None, i
         for j in range(i, len(lines)):
             joined = f"{joined} {lines[j]}".strip()
             if len(joined) > LONGEST:
                 break
-            if joined in KNOWN:
-                found, upto = KNOWN[joined], j
+            if joined in PARTS:
+                found, upto = joined, j
         if found is None:
             unknown |= bool(lines[i])
             i += 1

@@ -174,6 +174,103 @@ def test_licences():
     assert scan_text(ordered)[1] == []
 
 
+GPL = """    This program is free software{0} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{1}
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+BSD = """Copyright (c) 2020, Someone
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+#: Headers as published, not put together from the scan's own sentences.
+PUBLISHED = {
+    "mit title": ("MIT", "The MIT License (MIT)\n\n" + MIT, 5),
+    "mit short title": ("MIT", "MIT License\n\n" + MIT, 5),
+    "mit": ("MIT", MIT, 4),
+    "apache": (
+        "Apache-2.0",
+        """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+""",
+        5,
+    ),
+    "bsd 2": ("BSD-2-Clause", BSD, 3),
+    "bsd 3": ("BSD-3-Clause", BSD + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n", 4),
+    "gpl 3 later": ("GPL-3.0-or-later", GPL.format(":", ", either version 3 of the License, or\n    (at your option) any later version."), 5),
+    "gpl 2 later": ("GPL-2.0-or-later", GPL.format(";", "; either version 2 of the License, or\n    (at your option) any later version."), 5),
+    "gpl 3 only": ("GPL-3.0-only", GPL.format(":", ", version 3."), 5),
+    "gpl 3 only of": ("GPL-3.0-only", GPL.format(":", ", version 3 of the License."), 5),
+    "gpl 2 only": ("GPL-2.0-only", GPL.format(";", "; version 2."), 5),
+    "gpl 2 only of": ("GPL-2.0-only", GPL.format(";", "; version 2\n    of the License."), 5),
+    "mpl": ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.\n", 1),
+    "isc": ("ISC", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n", 1),
+    "cc by": ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License.", 1),
+    "cc by sa": ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", 1),
+    "cc by nc": ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", 1),
+    "unlicense": ("Unlicense", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\ndistribute this software.", 1),
+}
+
+
+@pytest.mark.parametrize("name", PUBLISHED)
+def test_published_headers(name):
+    licence, header, n = PUBLISHED[name]
+    for text in (header, "junk\n\n" + header + "\n\nmore junk", "/*\n" + "".join(f" * {x}\n" for x in header.splitlines()) + " */"):
+        known, matches = scan_text(text)
+        assert [m[0] for m in matches] == [licence] and len(known) >= n
+        assert matches[0][1:] == (known[-n][1], known[-1][2])
+
+
+def test_every_rule_can_match():
+    for licence, rule in RULES:
+        text = ".\n".join(SENTENCES[k] for k in rule) + "."
+        assert [(m[0], m[1]) for m in scan_text(text)[1]] == [(licence, 0)], rule
+    assert scan_text("Software v. 2.0. You can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; 2.0.") == ([], [])
+
+
 def test_licence_rows(spark):
     texts = [None, "", "Released under the MIT License.", "x", "Released under the MIT License."]
     got = {r.doc_id: r for r in licence_report(docs(spark, texts)).collect()}
