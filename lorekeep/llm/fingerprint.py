@@ -1,15 +1,18 @@
 """Threshold-scaled fingerprints, in DataFrame functions alone.
 
 A text's fingerprint has every distinct hash of its five-word shingles that lies
-below a fixed fraction of the hash range. It grows with the text, so that one of
+below a fixed fraction of the hash range, or its least hash where none does (likely
+for texts of a few words, certain for none), so that no text with words is without. It grows with the text, so that one of
 a page and one of a book can be compared: the share of common hashes estimates
 containment as well as likeness, and the union of two fingerprints is that of both
-texts together. Words are runs of anything but space and 0x09-0x0D, lower-cased;
+texts together: where that has a hash below the bound, the likeness is the share
+among those of both; where it has none, it is whether their least hashes are equal.
+Both estimates are unbiased, the second coarse. Words are runs of anything but space and 0x09-0x0D, lower-cased;
 a text with fewer than five has its whole sequence as its one shingle.
 
 Cases: null and empty texts, and texts of white space alone, have empty
-fingerprints; two empty fingerprints have the likeness 1, an empty one and another
-0; equal texts have equal fingerprints; an empty table gives an empty result; other
+fingerprints, and no others; two empty fingerprints have the likeness 1, an empty one and
+another 0; equal texts have equal fingerprints; an empty table gives an empty result; other
 columns are ignored. Documents with equal ids follow each other by text, those with
 a null id come last.
 """
@@ -31,14 +34,24 @@ RANGE_BYTES, FEWEST, MOST = 8 << 20, 64, 4096
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add the sorted array of retained hashes of a text column."""
+    """Add the sorted array of retained hashes of a text column: those below the bound, else the least."""
     spaced = F.translate(F.lower(text), "\t\n\x0b\x0c\r", "     ")
     hashed = df.withColumn("__w", F.transform(F.array_remove(F.split(spaced, " "), ""), lambda w: F.xxhash64(w)))
     count = F.size("__w")
     places = F.when(count > 0, F.sequence(F.lit(0), F.greatest(count - SHINGLE, F.lit(0)))).otherwise(F.array().cast("array<int>"))
     shingle = lambda i: F.xxhash64(*(F.get("__w", i + k) for k in range(SHINGLE)))
-    retained = F.filter(F.transform(places, shingle), lambda h: h < F.lit(BOUND))
-    return hashed.withColumn(out, F.sort_array(F.array_distinct(retained))).drop("__w")
+    every = hashed.withColumn("__h", F.sort_array(F.array_distinct(F.transform(places, shingle))))
+    return every.withColumn(out, retained("__h")).drop("__w", "__h")
+
+
+def below(a: str | Column) -> Column:
+    """Hashes below the bound."""
+    return F.filter(a, lambda h: h < F.lit(BOUND))
+
+
+def retained(a: str | Column) -> Column:
+    """Of sorted hashes those that a fingerprint has."""
+    return F.slice(a, 1, F.greatest(F.size(below(a)), F.lit(1)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -49,18 +62,18 @@ def likeness(a: str, b: str) -> Column:
 
 
 def containment(a: str, b: str) -> Column:
-    """Estimated share of the first text's shingles that the second has; null if the first's fingerprint is empty."""
-    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, b)) / F.size(a))
+    """Estimated share of the first text's shingles that the second has; null if the first's fingerprint has no hash below the bound."""
+    return F.when(F.size(below(a)) > 0, F.size(F.array_intersect(below(a), b)) / F.size(below(a)))
 
 
 def merged(a: str, b: str) -> Column:
     """The fingerprint of both texts together."""
-    return F.sort_array(F.array_union(a, b))
+    return retained(F.sort_array(F.array_union(a, b)))
 
 
 def as_text(a: str) -> Column:
-    """Retained hashes as 16 hex digits each (they are negative, so none is shorter)."""
-    return F.array_join(F.transform(a, lambda h: F.hex(h)), "")
+    """Retained hashes as 16 hex digits each."""
+    return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
 def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

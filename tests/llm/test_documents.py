@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 from lorekeep.llm import minhash_dedup, repeats, suffix_dedup, substring_dedup
-from lorekeep.llm.fingerprint import BOUND, containment, fingerprint_report, merged, with_fingerprint
+from lorekeep.llm.fingerprint import BOUND, as_text, containment, fingerprint_report, likeness, merged, with_fingerprint
 from lorekeep.llm.license_scan import RULES, SENTENCES, licence_report, scan_text
 from lorekeep.llm.minhash_dedup import near_duplicates
 from lorekeep.llm.secret_scan import mask_secrets, scan_secrets, secret_report
@@ -154,6 +154,21 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
 
 
+def test_fingerprints_of_short_texts(spark):
+    texts = [" ".join(f"w{i}x{k}" for k in range(1 + i % 12)) for i in range(120)] + ["", " \t\n"]
+    df = with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "text", "f").localCheckpoint()
+    own = {r.i: r.f for r in df.collect()}
+    assert all(own[i] == sorted(own[i]) and len(own[i]) for i in range(120)) and own[120] == own[121] == []
+    assert any(own[i][0] >= BOUND for i in range(120)) and all(len(f) == 1 or f[-1] < BOUND for f in own.values() if f)
+    pairs = df.alias("x").join(df.select(F.col("i").alias("j"), F.col("f").alias("g")))
+    pairs = pairs.select("i", "j", likeness("f", "g").alias("near"), containment("f", "g").alias("inside"), merged("f", "g").alias("both"), (F.length(as_text("f")) == 16 * F.size("f")).alias("wide"))
+    for r in pairs.collect():
+        same = r.i == r.j or min(r.i, r.j) >= 120
+        assert r.near == (1.0 if same else 0.0) and r.wide
+        assert r.both == (sorted({*own[r.i], *own[r.j]})[:1] if all(h >= BOUND for h in own[r.i] + own[r.j]) else sorted({h for h in own[r.i] + own[r.j] if h < BOUND}))
+        assert (r.inside is None) == all(h >= BOUND for h in own[r.i])
+
+
 def test_fingerprints_merge_and_contain(spark):
     r = random.Random(4)
     page = " ".join(f"p{r.randint(0, 10**6)}" for _ in range(400))
