@@ -341,8 +341,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     part = lambda c, n: F.when(c > 0, c * F.log(c / (rate * float(n)))).otherwise(0.0)
     counts = seen.mapInArrow(tally, "f string, c1 long, c0 long, d1 long").groupBy("f").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"), F.sum("d1").alias("d1"))
     ratio = counts.where((F.col("d1") >= 3) & (c1 / float(n1) > c0 / float(n0))).withColumn("ratio", part(c1, n1) + part(c0, n0))
-    # of features with the very same counts (a word and its beginnings), the longest
-    one = ratio.groupBy("c1", "c0", "d1", F.substring("f", 1, 3)).agg(F.max("f").alias("f"), F.max("ratio").alias("ratio"))
+    # of features with the very same counts (a word and its beginnings), the longest, and of equally long ones the whole word
+    longest = F.max_by("f", F.struct(F.length(F.rtrim("f", F.lit("~"))), ~F.col("f").endswith("~"), "f"))
+    one = ratio.groupBy("c1", "c0", "d1", F.substring("f", 1, 3)).agg(longest.alias("f"), F.max("ratio").alias("ratio"))
     chosen = [r["f"] for r in one.orderBy(F.desc("ratio"), "f").limit(most).collect()]
     names = spark.sparkContext.broadcast(chosen)
 

@@ -12,7 +12,7 @@ from lorekeep.llm.components import components
 from lorekeep.llm.embedding_dedup import near_embeddings
 from lorekeep.llm.mixing import DOMAINS, mix, mixture
 from lorekeep.llm.sentencepiece_nbest import Encoder, Pieces, encode_documents, encoding_report
-from lorekeep.llm.toxicity import CharacterModel, Reader, numbers, toxicity_report
+from lorekeep.llm.toxicity import CharacterModel, Reader, numbers, toxicity_report, train
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
@@ -154,6 +154,16 @@ def test_toxicity_on_held_out_labels(spark):
     assert n.get((0, 1), 0) / (n[0, 0] + n.get((0, 1), 0)) < 0.01
 
 
+def test_whole_words_stand_for_their_beginnings(spark):
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1][:80]
+    texts = [("the dog ran home with an idiot" if k % 2 else "the dog ran home with an apple") + f" again {k}" for k in range(80)]
+    docs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    _, scorer = train(docs, labels)
+    assert "idiot" in scorer.chosen and not any(f.startswith("idi") and f != "idiot" for f in scorer.chosen)
+    assert scorer.places("idioma") == []
+
+
 def test_toxicity_of_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x y", "c"), (4, "word " * 30000, "d")], "doc_id long, text string, score string")
     none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
