@@ -21,6 +21,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -39,6 +40,8 @@ SAMPLE = 20_000
 PLACES, BEFOREHAND = 1 << 16, 10.0
 #: Passes at most; totals count as met within this share of all tokens.
 PASSES, CLOSE = 25, 1e-9
+#: With rates of one at least: budgets tried at most, each by so much greater; shares count as met within this.
+GROWTHS, GROWTH, MET = 6, 1.25, 1e-3
 
 
 def grams(raw: np.ndarray) -> np.ndarray:
@@ -174,13 +177,18 @@ def rate_column(steps: Sequence[Sequence[float]], least: float, start: float) ->
 
 def fit_rates(parts: DataFrame, targets: Sequence[float] = TARGETS, budget: float = 1.0, least: float = 0.0) -> Column:
     """The rate that fits (tokens, p_*) to the targets' shares of ``budget`` times all tokens."""
+    return fit(parts, targets, budget, least)[0]
+
+
+def fit(parts: DataFrame, targets: Sequence[float], budget: float, least: float) -> tuple[Column, list[float]]:
+    """The rate of ``fit_rates``, and the domains' shares of the tokens that it gives."""
     k = len(DOMAINS)
     want = np.array(targets, float) / sum(targets) * budget * float(parts.agg(F.sum("tokens")).first()[0] or 0)
     start = max(budget, least)
     steps: list[list[float]] = []
     if not want.any():
-        return F.lit(float(start))
-    best: tuple[float, int] | None = None
+        return F.lit(float(start)), []
+    best: tuple[float, int, list[float]] | None = None
     for _ in range(PASSES):
         rate = parts.withColumn("rate", rate_column(steps, least, start))
         p = [F.col(f"p_{d}") for d in DOMAINS]
@@ -189,7 +197,7 @@ def fit_rates(parts: DataFrame, targets: Sequence[float] = TARGETS, budget: floa
         row = [float(x) for x in rate.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
         off = np.array(row[:k]) - want
         if best is None or off @ off < best[0]:
-            best = (float(off @ off), len(steps))
+            best = (float(off @ off), len(steps), (np.array(row[:k]) / sum(row[:k])).tolist())
         if np.abs(off).max() <= CLOSE * want.sum() or len(steps) - best[1] >= 5:
             break
         moment = np.zeros((k, k))
@@ -197,7 +205,30 @@ def fit_rates(parts: DataFrame, targets: Sequence[float] = TARGETS, budget: floa
         moment += np.triu(moment, 1).T
         moment += np.eye(k) * (1e-9 * max(np.trace(moment), 1.0))
         steps.append(np.linalg.solve(moment, off).tolist())
-    return rate_column(steps[: best[1]], least, start)
+    return rate_column(steps[: best[1]], least, start), best[2]
+
+
+def fit_budget(parts: DataFrame, targets: Sequence[float], budget: float) -> Column:
+    """A rate of one at least that meets the targets' shares, with ``budget`` times all tokens or as many more as that takes.
+
+    No domain shrinks, so the budget is the greatest ratio of a domain's own tokens to its target at least; documents
+    belong to several domains, so it takes more, found by growing it. Targets that it doesn't reach are told by a warning.
+    """
+    wanted = np.array(targets, float) / sum(targets)
+    own = [float(x or 0) for x in parts.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
+    budget = max([budget, *(n / sum(own) / w for n, w in zip(own, wanted, strict=True) if n and w)])
+    best: tuple[float, Column, list[float]] | None = None
+    for _ in range(GROWTHS):
+        rate, shares = fit(parts, targets, budget, 1.0)
+        miss = float(np.abs(np.array(shares) - wanted).max()) if shares else 0.0
+        if best is None or miss < best[0]:
+            best = (miss, rate, shares)
+        if miss <= MET:
+            break
+        budget *= GROWTH
+    if best[0] > MET:
+        warnings.warn(f"mixing reaches the shares {best[2]} of the targets {wanted.tolist()}", stacklevel=2)
+    return best[1]
 
 
 def copies_column(rate: str, *keys: str) -> Column:
@@ -215,8 +246,8 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGE
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = 1.25) -> DataFrame:
-    """The documents, each as often as its rate says and at least once: mixing adds copies and drops nothing."""
+    """The documents, each as often as its rate says and at least once: mixing adds copies and drops nothing. The budget grows where the targets take more."""
     ids = docs.select(F.col("doc_id").alias("id"), body().alias("text"))
     parts = stash(with_posteriors(docs, train(ids, labels)))
-    copied = parts.withColumn("__rate", fit_rates(parts, targets, budget, 1.0)).withColumn("__copies", copies_column("__rate", "doc_id", "text"))
+    copied = parts.withColumn("__rate", fit_budget(parts, targets, budget)).withColumn("__copies", copies_column("__rate", "doc_id", "text"))
     return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("__copies", F.lit(1).cast("long"))))).select(*docs.columns)

@@ -188,6 +188,20 @@ def test_mixing_meets_its_targets(spark):
     assert abs((found.copies - found.rate)).max() < 1
 
 
+def test_stage_meets_its_targets_from_a_skewed_table(spark):
+    r = random.Random(5)
+    words = {d: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(80)] for d in DOMAINS}
+    kinds = [*["low"] * 300, *["high"] * 180, *["toxic"] * 20]
+    rows = [(i, " ".join([f"{d}", *r.choices(words[d], k=40)])) for i, d in enumerate(kinds)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(d != "low"), int(d == "toxic")) for i, d in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    out = mix(docs, labels).toPandas()
+    assert set(out.doc_id) == set(range(len(kinds)))
+    n = out.text.str.split(" ").str[0].value_counts(normalize=True)
+    for d, share in zip(DOMAINS, (0.10, 0.88, 0.02), strict=True):
+        assert abs(n[d] - share) < 0.02
+
+
 def test_mixing_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x", "c"), (4, "a b c", "d"), (4, "a b c", "d")], "doc_id long, text string, rate string")
