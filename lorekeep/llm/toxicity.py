@@ -3,7 +3,9 @@
 Disguised words (digits and signs for letters, letters spelled apart, letters
 repeated) are lattices: each sign may stand for letters, or for nothing. A Viterbi
 search under a character trigram model picks the likeliest spelling; the model's
-counts come from every document. A logistic model over words and their beginnings,
+counts come from every document. Signs at a word's edges and doubled letters are read
+both ways. Runs of short tokens are lattices too, in which a word may end or go on at
+each gap: their words of more than one token count beside the tokens' own. A logistic model over words and their beginnings,
 in the original and the restored spelling, then scores the text.
 
 The classifier is fitted on labelled rows outside the held-out third, at most
@@ -21,8 +23,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
-from itertools import groupby
+from functools import cache, lru_cache
+from itertools import groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -41,19 +43,28 @@ SIGNS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t",
 AS_LETTER, AS_NOTHING, MARK, TWICE, OFTEN = 1.0, 8.0, 0.3, 7.0, 0.3
 #: Beginnings of words, in letters, that count as features beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Single characters on end that may be a word spelled apart.
-APART = 4
+#: Letters of a token that may be a piece of a word; the costs of going on over a gap beside a single character, over another, of each character of a token left as a number, of dropping a sign that may be a mark; what a reading as a feature may cost more than words apart.
+PIECE, JOIN_ONE, JOIN, NUMBER, EDGE, FEATURE = 5, 0.5, 4.0, 3.0, 1.5, 7.0
+#: Letters of a word in pieces at most: repeated short tokens on end are no word.
+WORD_LETTERS = 32
 LETTERS = 64
 #: Tokens whose features a worker keeps.
 KEPT_TOKENS = 500_000
 
 WORD = re.compile(r"[^\W\d_]+")
-THRICE = re.compile(r"(.)\1\1")
+TWICE_ON_END = re.compile(r"(.)\1")
+AGAIN = re.compile(r"(.)\1+")
 #: Signs that begin or end a disguised word rather than a sentence, unless three or more stand together.
 MONEY = "$@"
 RUNS = re.compile(r"^([$@])\1{2,}|([$@])\2{2,}$")
 EDGES = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„’‘…¿¡"
 OUTER = EDGES.replace("$", "").replace("@", "")
+#: Marks at an edge that stand for no letter, and signs there that do.
+MARKS = "".join(c for c in EDGES if c not in SIGNS)
+EDGE_SIGNS = frozenset(c for c in EDGES if c in SIGNS)
+OPENING, CLOSING = "(¡", "!"
+#: Each letter, and each sign as a letter, in one spelling: l and i are one.
+FOLDED = str.maketrans({**{sign: letters[0] for sign, letters in SIGNS.items()}, "l": "i"})
 
 
 def letter_table() -> np.ndarray:
@@ -95,6 +106,10 @@ class CharacterModel:
 
     def restore(self, token: str) -> str:
         """The likeliest spelling of a disguised lower-case token; marks at its edges are dropped."""
+        return self.likeliest(token)[1]
+
+    def likeliest(self, token: str) -> tuple[float, str]:
+        """The cost and letters of a token's likeliest spelling."""
         best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
         before = ""
         repeated = [n for _, run in groupby(token) for n in [len(list(run))] for _ in range(n)]
@@ -122,7 +137,78 @@ class CharacterModel:
                     if held is None or (total, text) < held:
                         following[state] = (total, text)
             best = following
-        return min((cost - self.logs[i][j][0], spelled) for (i, j), (cost, spelled) in best.items())[1]
+        return min((cost - self.logs[i][j][0], spelled) for (i, j), (cost, spelled) in best.items())
+
+
+    def spanned(self, parts: list[str]) -> list[str]:
+        """Spellings of pieces of one word that aren't ``FEATURE`` less likely than their words apart."""
+        gaps = sum(JOIN_ONE if 1 in (len(a), len(b)) else JOIN for a, b in pairwise(parts))
+        apart = sum(self.likeliest(x)[0] if any(c.isalpha() for c in x) else sum(NUMBER if c.isalnum() or c in SIGNS else MARK for c in x) for x in parts)
+        glued = "".join(parts)
+        found = [self.likeliest(x) for x in dict.fromkeys((glued, glued.lstrip(EDGES), glued.rstrip(EDGES), glued.strip(EDGES))) if x]
+        return [spelled for cost, spelled in found if cost + gaps < apart + FEATURE]
+
+    def joined(self, tokens: list[str]) -> list[str]:
+        """Words of more than one token in the likeliest reading of a run of short tokens."""
+        # by the last two letters (none after a word's end): cost, the open word as (its beginning, last letter), its tokens, (earlier words, last)
+        best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None, 0, None)}
+        glued = "".join(tokens)
+        repeated = [n for _, run in groupby(glued) for n in [len(list(run))] for _ in range(n)]
+        at, before, last, logs = 0, "", 0, self.logs
+        for token in tokens:
+            start = best
+            best = {}
+            letters = any(c.isalpha() for c in token)
+            gap = JOIN_ONE if len(token) == 1 or last == 1 else JOIN
+            last = len(token)
+            for state, (cost, word, n, done) in start.items():
+                # as a token of the open word
+                best[state] = (cost + gap * (n > 0), word, n + 1, done)
+            for k, c in enumerate(token):
+                if c.isalpha():
+                    arcs = [(c, 0.0)]
+                    again = TWICE if repeated[at] == 2 else OFTEN
+                elif c in SIGNS:
+                    arcs = [(x, AS_LETTER) for x in SIGNS[c]]
+                    again = 0.1
+                    if letters:
+                        mark = (k == 0 and c in OPENING) or (k == len(token) - 1 and c in CLOSING)
+                        arcs.append(("", EDGE if mark else AS_NOTHING))
+                else:
+                    arcs, again = [("", MARK)], None
+                following: dict[tuple[int, int], tuple] = {}
+                for (i, j), (cost, word, n, done) in best.items():
+                    for letter, price in (*arcs, ("", again)) if again is not None and c == before and word else arcs:
+                        if letter:
+                            x = place(letter)
+                            state, found = (j, x), (cost + price - logs[i][j][x], (word, letter), n, done)
+                        else:
+                            state, found = (i, j), (cost + price, word, n, done)
+                        held = following.get(state)
+                        if held is None or found[0] < held[0]:
+                            following[state] = found
+                best, before, at = following, c, at + 1
+            # the word ends here, or the token is left as a number or a mark of its own
+            ends = [(cost - (logs[i][j][0] if word else 0.0), word, n, done) for (i, j), (cost, word, n, done) in best.items()]
+            best.pop((0, 0), None)
+            cost, word, n, done = min(ends, key=lambda x: x[0])
+            ended = (cost, None, 0, (done, word) if n > 1 and word else done)
+            if not letters and (0, 0) in start:
+                aside = start[0, 0]
+                price = aside[0] + sum(NUMBER if c.isalnum() or c in SIGNS else MARK for c in token)
+                if price < ended[0]:
+                    ended = (price, None, 0, aside[3])
+            best[0, 0] = ended
+        out, done = [], best[0, 0][3]
+        while done is not None:
+            done, word = done
+            letters = []
+            while word is not None:
+                word, letter = word
+                letters.append(letter)
+            if len(letters) <= WORD_LETTERS:
+                out.append("".join(reversed(letters)))
+        return out[::-1]
 
 
 def count_trigrams(docs: DataFrame) -> np.ndarray:
@@ -151,18 +237,27 @@ class Reader:
     def __init__(self, model: CharacterModel) -> None:
         self.model = model
         self.kept: dict[str, tuple[str, ...]] = {}
+        self.read: dict[tuple[str, ...], list[str]] = {}
+
+    def spanned(self, parts: tuple[str, ...]) -> list[str]:
+        """``CharacterModel.spanned``, kept."""
+        found = self.read.get(parts)
+        if found is None:
+            if len(self.read) >= KEPT_TOKENS // 10:
+                self.read.clear()
+            found = self.read[parts] = self.model.spanned(list(parts))
+        return found
 
     def words(self, token: str) -> tuple[str, ...]:
         found = self.kept.get(token)
         if found is None:
             plain = token.strip(EDGES)
             core = RUNS.sub("", token).strip(OUTER) if token[0] in MONEY or token[-1] in MONEY else plain
-            if core.isalpha() and not THRICE.search(core):
-                found = (core,)
-            else:
-                found = tuple(WORD.findall(token))
-                if any(c.isalpha() for c in token):
-                    found = tuple(dict.fromkeys((*found, self.model.restore(core))))
+            found = (core,) if core.isalpha() else tuple(WORD.findall(token))
+            if any(c.isalpha() for c in token):
+                if not core.isalpha() or TWICE_ON_END.search(core):
+                    found = (*found, self.model.restore(core))
+                found = tuple(dict.fromkeys((*found, *(self.model.restore(x) for x in with_edges(token, plain)))))
             if len(self.kept) >= KEPT_TOKENS:
                 self.kept.clear()
             self.kept[token] = found
@@ -172,28 +267,46 @@ class Reader:
         """Words of a text with their counts, and the number of its tokens."""
         tokens = text.lower().split()
         out: Counter[str] = Counter()
-        singles = 0
         for token, n in Counter(tokens).items():
-            singles += n * (len(token) == 1)
             for word in self.words(token):
                 out[word] += n
-        if singles >= APART:
-            out.update(self.spelled_apart(tokens))
+        out.update(self.spelled_apart(tokens))
         return out, len(tokens)
 
     def spelled_apart(self, tokens: list[str]) -> list[str]:
-        """Restored words from runs of single characters."""
-        out, run = [], ""
-        for token in (*tokens, "  "):
-            if len(token) == 1:
-                run += token
+        """Restored words from runs of short tokens."""
+        out, run = [], []
+        for token in (*tokens, None):
+            part = None if token is None else piece(token)
+            if part is not None:
+                run.append(part)
                 continue
-            if len(run) >= APART:
-                out.append(self.model.restore(run))
-            run = ""
+            if len(run) > 1:
+                out += self.model.joined(run)
+            run = []
         return out
 
 
+def with_edges(token: str, plain: str) -> list[str]:
+    """A token with signs that it has at its edges: with all on a side, with those next to the word, with none."""
+    whole = RUNS.sub("", token).strip(MARKS)
+    if not plain or len(whole) <= len(plain) or not (whole[0] in EDGE_SIGNS or whole[-1] in EDGE_SIGNS):
+        return []
+    a = whole.find(plain)
+    left, right = whole[:a], whole[a + len(plain) :]
+    near_left = next((left[-len(list(run)) :] for _, run in groupby(left[::-1])), "")
+    near_right = next((right[: len(list(run))] for _, run in groupby(right)), "")
+    sides = [(x, y) for x in dict.fromkeys(("", near_left, left)) for y in dict.fromkeys(("", near_right, right))]
+    return [x + plain + y for x, y in sides if x or y]
+
+
+@lru_cache(KEPT_TOKENS)
+def piece(token: str) -> str | None:
+    """What a token may add to a word spelled apart: without marks at its edges; null if it is too long."""
+    inner = RUNS.sub("", token).strip(MARKS) or token[:1]
+    return inner if len(inner.strip(EDGES)) <= PIECE and len(AGAIN.sub(r"\1", inner)) <= PIECE + 4 else None
+
+
 def features(words: Counter[str]) -> Counter[str]:
     """Whole words, and their beginnings marked by a tilde."""
     out = Counter(words)
@@ -204,12 +317,24 @@ def features(words: Counter[str]) -> Counter[str]:
     return out
 
 
+def folded(letters: str) -> str:
+    """Letters and signs in one spelling, without repetitions and marks."""
+    return AGAIN.sub(r"\1", "".join(WORD.findall(letters.translate(FOLDED))))
+
+
 class Scorer:
     """A logistic model over damped counts and rates of chosen features."""
 
     def __init__(self, chosen: list[str], rows: list[tuple], prior: float) -> None:
         self.chosen = {f: i for i, f in enumerate(chosen)}
         self.heads = {f.rstrip("~")[:3] for f in chosen}
+        #: Without repetitions, and for words in pieces folded, whole and up to each letter.
+        self.single = {AGAIN.sub(r"\1", f.rstrip("~"))[:3] for f in chosen}
+        short = [f for f in chosen if len(f.rstrip("~")) <= WORD_LETTERS]
+        self.words = {folded(f) for f in short if not f.endswith("~")}
+        self.wholes = {folded(f.rstrip("~")) for f in short}
+        self.upto = {w[:k] for w in self.wholes for k in range(1, len(w))}
+        self.pieces: dict[str, tuple[str, ...]] = {}
         self.kept: dict[str, tuple[int, ...]] = {}
         self.weights: np.ndarray | None = None
         self.prior = prior
@@ -257,30 +382,99 @@ class Scorer:
         """``found`` of ``reader.counts``, with the places of each token kept instead of its words."""
         tokens = text.lower().split()
         held: dict[int, int] = {}
-        singles = 0
         for token, n in Counter(tokens).items():
             at = self.kept.get(token)
             if at is None:
                 plain = token.strip(EDGES)
-                if len(token) > 1 and plain[:3] not in self.heads and plain.isalpha() and token[0] not in MONEY and token[-1] not in MONEY and not THRICE.search(plain):
+                if plain.isalpha() and plain[:3] not in self.heads and token[0] not in EDGE_SIGNS and token[-1] not in EDGE_SIGNS and not EDGE_SIGNS.intersection(token) and not (TWICE_ON_END.search(plain) and self.single_head(plain)):
                     at = ()
                 else:
-                    at = tuple(i for word in reader.words(token) for i in self.places(word)) + (-1,) * (len(token) == 1)
+                    at = tuple(i for word in reader.words(token) for i in self.places(word))
                 if len(self.kept) >= KEPT_TOKENS:
                     self.kept.clear()
                 self.kept[token] = at
-            if at:
-                for i in at:
-                    if i < 0:
-                        singles += n
-                    else:
-                        held[i] = held.get(i, 0) + n
-        if singles >= APART:
-            for word in reader.spelled_apart(tokens):
-                for i in self.places(word):
-                    held[i] = held.get(i, 0) + 1
+            for i in at:
+                held[i] = held.get(i, 0) + n
+        for word, n in self.in_pieces(reader, tokens).items():
+            for i in self.places(word):
+                held[i] = held.get(i, 0) + n
         return list(held.items()), len(tokens)
 
+    def single_head(self, plain: str) -> bool:
+        """Whether a word may begin like a feature when its repetitions go."""
+        head = AGAIN.sub(r"\1", plain)[:3]
+        return any(head[:k] in self.single for k in (1, 2, 3))
+
+    def foldings(self, token: str) -> tuple[str, ...]:
+        """What a token may be in a feature, folded; empty if it is too long for a piece."""
+        found = self.pieces.get(token)
+        if found is None:
+            part = piece(token)
+            found = () if part is None else tuple(dict.fromkeys(folded(x) for x in (part, part.lstrip(EDGES), part.rstrip(EDGES), part.strip(EDGES), *((WORD.sub("", part) and "".join(WORD.findall(part)),) if WORD.search(part) else ()))))
+            if len(self.pieces) >= KEPT_TOKENS:
+                self.pieces.clear()
+            self.pieces[token] = found
+        return found
+
+    def reaches(self, tokens: list[str], at: int, vain: set[tuple]) -> bool:
+        """Whether tokens from a place on may be pieces of a word with a feature; vain: gets what led to none, so that no run is walked again and again."""
+        walked = []
+        now = set(self.foldings(tokens[at]))
+        for k in range(at + 1, min(len(tokens), at + 2 * WORD_LETTERS)):
+            now = {AGAIN.sub(r"\1", a + b) for a in now for b in self.foldings(tokens[k])}
+            if any(a[:n] in self.wholes for a in now for n in range(1, len(a) + 1)):
+                return True
+            now = {a for a in now if not a or a in self.upto}
+            step = (k, frozenset(now))
+            if not now or now == {""} or step in vain:
+                break
+            walked.append(step)
+        vain.update(walked)
+        return False
+
+    def spans(self, reader: Reader, tokens: list[str], opens: set[str]) -> Iterator[str]:
+        """Feature words that tokens on end spell, the longest from each, where words apart aren't far likelier."""
+        end, vain = 0, set()
+        for at, token in enumerate(tokens):
+            if at < end or token not in opens:
+                continue
+            now, parts, best, walked, near = set(self.foldings(token)), [piece(token)], None, [], False
+            for k in range(at + 1, min(len(tokens), at + 2 * WORD_LETTERS)):  # a mark after each letter at most
+                following = self.foldings(tokens[k])
+                before = now
+                now = {x for a in now for b in following for x in (AGAIN.sub(r"\1", a + b),) if not x or x in self.upto or x in self.words}
+                step = (k, frozenset(now))
+                if not now or now == {""} or step in vain:
+                    break
+                walked.append(step)
+                parts.append(piece(tokens[k]))
+                if now != before and not now.isdisjoint(self.words):  # marks and repetitions add nothing
+                    near = True
+                    best = next(((x, k) for x in reader.spanned(tuple(parts)) if x in self.chosen), best)
+            if not near:
+                vain.update(walked)
+            if best:
+                end = best[1] + 1
+                yield best[0]
+
+    def in_pieces(self, reader: Reader, tokens: list[str]) -> Counter[str]:
+        """``spans``, and ``reader.spelled_apart`` of the runs that may hold a word with a feature."""
+        opens = {t for t in set(tokens) if any(f in self.upto or any(f[:n] in self.wholes for n in range(1, len(f) + 1)) for f in self.foldings(t))}
+        out: Counter[str] = Counter()
+        if not opens:
+            return out
+        end, vain = 0, set()
+        for at, token in enumerate(tokens):
+            if at >= end and token in opens and self.reaches(tokens, at, vain):
+                start = at
+                while start > end and self.foldings(tokens[start - 1]):
+                    start -= 1
+                end = at + 1
+                while end < len(tokens) and self.foldings(tokens[end]):
+                    end += 1
+                out.update(reader.spelled_apart(tokens[start:end]))
+        return out | Counter(self.spans(reader, tokens, opens))
+
     def score(self, found: list[tuple[int, int]], n: int) -> float:
         if self.weights is None:
             return self.prior

@@ -12,7 +12,7 @@ from lorekeep.llm.components import components
 from lorekeep.llm.embedding_dedup import near_embeddings
 from lorekeep.llm.mixing import DOMAINS, mix, mixture
 from lorekeep.llm.sentencepiece_nbest import Encoder, Pieces, encode_documents, encoding_report
-from lorekeep.llm.toxicity import CharacterModel, Reader, numbers, toxicity_report, train
+from lorekeep.llm.toxicity import CharacterModel, Reader, Scorer, numbers, toxicity_report, train
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
@@ -146,6 +146,39 @@ def test_disguised_words_are_restored():
     assert reader.counts("an i d i o t")[0]["idiot"] == 1
 
 
+def test_spaced_edged_and_doubled_words_are_restored(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").limit(1500).collect()
+    texts = [r.text or "" for r in rows]
+    counts = np.zeros(64**3, np.int64)
+    for t in [*texts, "idiot moron stupid loser clown scum " * 300]:
+        n = np.concatenate([[0, 0], numbers(t), [0]]).astype(int)
+        first = np.where(n[1:-1] == 0, 0, n[:-2])
+        np.add.at(counts, (first * 64 + n[1:-1]) * 64 + n[2:], 1)
+    reader, scorer = Reader(CharacterModel(counts)), Scorer(["idiot", "moron", "stupid", "loser", "clown", "scum"], [], 0.0)
+    for token, word in (("!diot", "idiot"), ("(lown", "clown"), ("s(um", "scum"), ("|oser", "loser"), ("s+upid", "stupid"), ("idiiot", "idiot"), ("(!diot)", "idiot")):
+        assert word in reader.words(token)
+    forms = {
+        "you are a i d i o t": {"idiot"},
+        "i d i o t m o r o n": {"idiot", "moron"},
+        "such an id iot": {"idiot"},
+        "the mor on and the stu pid": {"moron", "stupid"},
+        "1 d 1 0 t": {"idiot"},
+        "(id iot!)": {"idiot"},
+        "s - c - u - m": {"scum"},
+        "!diot": {"idiot"},
+        "an idiiot": {"idiot"},
+        "books are good (really!)": set(),
+    }
+    names = list(scorer.chosen)
+    for text, words in forms.items():
+        assert {names[i] for i, _ in scorer.find(reader, text)[0]} == words, text
+    three = Scorer(["bad"], [], 0.0)
+    assert [i for i, _ in three.find(reader, "so b a d")[0]] == [0]
+    for long in ("word " * 20000, "i " * 20000, "i - " * 10000):
+        assert scorer.find(reader, long)[0] == [] and reader.counts(long)[1] == 20000
+    assert not any(scorer.in_pieces(reader, t.lower().split())[w] for t in texts[:300] for w in scorer.chosen)
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity_report(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
