@@ -151,19 +151,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
 
 
 def with_posteriors(docs: DataFrame, fitted: Classifier, text: str = "text") -> DataFrame:
-    """The documents' columns with tokens and a posterior p_<domain> for each domain."""
+    """``row`` (a document's columns as one value, so that they can have any names), tokens, and a posterior p_<domain> for each domain."""
     shared = docs.sparkSession.sparkContext.broadcast(fitted)
-    schema = StructType([*docs.schema.fields]).add("tokens", "long")
+    whole = docs.select(F.struct(*docs.columns).alias("row"), body(text).alias("body"))
+    schema = StructType().add("row", whole.schema["row"].dataType).add("tokens", "long")
     for d in DOMAINS:
         schema = schema.add(f"p_{d}", "double")
 
     def predict(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column("body").to_pylist()
             tokens = pa.array([len(t.split()) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], tokens, *map(pa.array, shared.value.posteriors(texts).T)], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), tokens, *map(pa.array, shared.value.posteriors(texts).T)], schema.names)
 
-    return docs.withColumn("__body", body(text)).mapInArrow(predict, schema)
+    return whole.mapInArrow(predict, schema)
 
 
 def rate_column(steps: Sequence[Sequence[float]], least: float, start: float) -> Column:
@@ -238,16 +239,19 @@ def copies_column(rate: str, *keys: str) -> Column:
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = 1.0, least: float = 0.0) -> DataFrame:
-    """Per document: doc_id, tokens, its posteriors, its rate and whole copies."""
+    """Per document: doc_id, tokens, its posteriors, its rate and whole copies; on every row the share of tokens that the rates give each domain."""
     ids = docs.select(F.col("doc_id").alias("id"), body().alias("text"))
-    parts = stash(with_posteriors(ids, train(ids, labels)).drop("text"))
-    found = parts.withColumn("rate", fit_rates(parts, targets, budget, least))
-    return found.select(F.col("id").alias("doc_id"), "tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies_column("rate", "id"))
+    parts = stash(with_posteriors(ids, train(ids, labels)).select(F.col("row.id").alias("id"), "tokens", *(f"p_{d}" for d in DOMAINS)))
+    rate, shares = fit(parts, targets, budget, least)
+    found = parts.withColumn("rate", rate)
+    reached = [F.lit(x).cast("double").alias(f"reached_{d}") for d, x in zip(DOMAINS, shares or [None] * len(DOMAINS), strict=True)]
+    return found.select(F.col("id").alias("doc_id"), "tokens", *(f"p_{d}" for d in DOMAINS), "rate", copies_column("rate", "id"), *reached)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Sequence[float] = TARGETS, budget: float = 1.25) -> DataFrame:
     """The documents, each as often as its rate says and at least once: mixing adds copies and drops nothing. The budget grows where the targets take more."""
     ids = docs.select(F.col("doc_id").alias("id"), body().alias("text"))
     parts = stash(with_posteriors(docs, train(ids, labels)))
-    copied = parts.withColumn("__rate", fit_budget(parts, targets, budget)).withColumn("__copies", copies_column("__rate", "doc_id", "text"))
-    return copied.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("__copies", F.lit(1).cast("long"))))).select(*docs.columns)
+    copied = parts.withColumn("rate", fit_budget(parts, targets, budget)).withColumn("copies", copies_column("rate", "row.doc_id", "row.text"))
+    repeated = copied.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("copies", F.lit(1).cast("long")))))
+    return repeated.select(*(F.col("row")[c].alias(c) for c in docs.columns))

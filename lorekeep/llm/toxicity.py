@@ -553,22 +553,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     return model, Scorer(chosen, [(y, list(zip(at, c, strict=True)), n) for y, n, at, c in fitted], prior)
 
 
-def toxicity(documents: DataFrame, labels: DataFrame, path: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents' columns with score and predicted."""
+def toxicity(documents: DataFrame, labels: DataFrame, path: str = "doc_id", text: str = "text", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """The documents' columns with score and predicted, which replace columns of the same names."""
     docs = documents.select(F.col(path).alias("id"), body(text).alias("text"))
     model, scorer = train(docs, labels)
     shared = documents.sparkSession.sparkContext.broadcast((model, scorer))
-    schema = StructType([*documents.schema.fields]).add("score", "double")
 
-    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
         reader = Reader(model)
         for batch in batches(rows):
-            scores = [scorer.score(*scorer.find(reader, t or "")) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], schema.names)
-
-    scored = documents.withColumn("__body", body(text)).mapInArrow(score, schema)
-    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+            scores = [scorer.score(*scorer.find(reader, t)) for t in batch.column("body").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
+
+    # the row goes as one value, so that its columns can have any names
+    whole = documents.select(F.struct(*documents.columns).alias("row"), body(text).alias("body"))
+    scored = whole.mapInArrow(run, StructType().add("row", whole.schema["row"].dataType).add("score", "double"))
+    own = [F.col("row")[c].alias(c) for c in documents.columns if c not in (score, predicted)]
+    return scored.select(*own, F.col("score").alias(score), (F.col("score") >= THRESHOLD).cast("int").alias(predicted))
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
