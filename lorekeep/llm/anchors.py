@@ -6,11 +6,14 @@ on the window's content alone, so two equal windows have equal anchors at equal
 offsets: a window whose anchor gram occurs once can't be repeated. Neighbouring
 windows mostly share an anchor, so there are about 2/(W-g+2) anchors a token.
 
-The sketch counts anchors, and so overestimates the count of every window: each
-partition sends the cells it touched, counted up to two; cells are merged block
-by block in a stream, and only the map of cells counted twice or more, of fixed
-size, is broadcast. A fuller sketch lets more unrepeated windows through to the
-exact step that follows; it never loses a repeated one.
+The sketch counts anchors, and so overestimates the count of every window. It is
+dealt out by the anchors' hashes: each partition sends the cells that it touched to
+the bucket which they belong to, where they are merged into a count-min sketch of
+that bucket; the bucket then answers which of the anchors that were sent to it are
+counted twice or more. Buckets grow in number with the input, not in size, and no
+part of the sketch is broadcast, so that it stays as sparse at any size. It never
+loses a repeated window. An anchor that a chunk of a partition holds twice is known
+to be repeated there, and sent on once.
 """
 
 from __future__ import annotations
@@ -21,18 +24,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import batches
 
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
-DEPTH = 2
-#: Cells a block; rows of a sketch have 2**bits cells.
-BLOCK_BITS = 18
-#: The map takes 2 * 2**bits / 8 bytes: 64 MB at most.
-LEAST_BITS, MOST_BITS = 20, 28
+#: Cells an anchor in each row of the sketch; anchors that a bucket is meant to hold.
+CELLS, BUCKET = 8, 1 << 19
 #: Anchors (or tokens of a batch) held before they are worked off.
 CHUNK = 1 << 20
+#: Leading strings drawn at most, for the splitters of a sort.
+LEADS = 100_000
+#: The number of an anchor that stands for all in its chunk, which were answered there.
+KNOWN = np.uint32(0xFFFFFFFF)
 ENDLESS = U(0xFFFFFFFFFFFFFFFF)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -117,76 +122,146 @@ def grouped(texts: list[str], tokens_of: Callable[[str], np.ndarray], most: int
         yield places, np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
-def cells_of(hashes: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(hashes, row + 7) >> U(64 - bits)).astype(np.int64)
+def expected(df: DataFrame, a_byte: float) -> int:
+    """Items, from the size of the files that are read and items a byte of them."""
+    return max(1, int(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) * a_byte))
 
 
-def sketch_bits(df: DataFrame, a_byte: float) -> int:
-    """Bits for about eight cells an item, from the size of the files that are read and items a byte of them."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, size * a_byte * 8)))))
+def estimates(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The count-min estimate of each item, from its cell in each row (32 bits, cut to the sketch's width) and its weight."""
+    mask = (1 << max(10, math.ceil(math.log2(CELLS * max(1, cells.shape[1]))))) - 1
+    least = None
+    for row in cells:
+        at = (row & np.uint32(mask)).astype(np.int64)
+        counts = np.bincount(at) + np.bincount(at[weights > 1], minlength=int(at.max()) + 1)
+        least = counts[at] if least is None else np.minimum(least, counts[at])
+    return least
 
 
-def repeated_cells(bodies: DataFrame, tokens_of: Callable[[str], np.ndarray], window: int, gram: int, bits: int) -> list[bytes]:
-    """For each row of the sketch, a bit for each cell: counted twice or more."""
+def repeated_anchors(rows: DataFrame, tokens_of: Callable[[str], np.ndarray], window: int, gram: int, a_byte: float, lead_of: Callable[[bytes, int], bytes] | None = None) -> DataFrame:
+    """(file, row, ords, leads) of the texts (file, row, text) with anchors that may be repeated.
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    ords: their numbers among the text's runs of ``anchor_runs``; leads: with ``lead_of``, leading strings of a
+    bounded sample of them, as that function gives them for a text's bytes and an anchor's place.
+    """
+    total = expected(rows, a_byte)
+    buckets = max(1, -(-total // BUCKET))
+    rate = np.uint64(min(1.0, LEADS / total) * 0.999 * 2**64) if lead_of else U(0)
+    record = np.dtype([("at", "<u4"), ("lead", f"V{gram}")])
+
+    def count(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []  # per text: its row, and per anchor hash, number, lead or nothing
+        file, base, size = None, 0, 0
 
         def flush() -> pa.RecordBatch:
-            hashes = np.concatenate(held)
+            hashes = np.concatenate([h for _, h, _ in held])
+            lengths = [len(h) for _, h, _ in held]
+            delta = np.repeat(np.array([r - base for r, _, _ in held], np.uint32), lengths)
+            number = np.concatenate([np.arange(n, dtype=np.uint32) for n in lengths])
+            leads = {}
+            at = 0
+            for (_, _, drawn), n in zip(held, lengths, strict=True):
+                leads.update({at + i: lead for i, lead in drawn.items()})
+                at += n
             held.clear()
-            blocks, payloads = [], []
-            for row in range(DEPTH):
-                cells, counts = np.unique(cells_of(hashes, row, bits), return_counts=True)
-                marks = ((cells & ((1 << BLOCK_BITS) - 1)) * 2 + (counts > 1)).astype(np.uint32)
-                block = cells >> BLOCK_BITS
-                cuts = np.flatnonzero(np.diff(block)) + 1
-                blocks += [row << 32 | int(block[c]) for c in (0, *cuts)]
-                payloads += [p.tobytes() for p in np.split(marks, cuts)]
-            return pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(payloads, pa.binary())], ["block", "payload"])
-
-        for batch in batches(rows):
-            for _, tokens, ends in grouped(batch.column(0).to_pylist(), tokens_of):
-                held.append(anchor_runs(tokens, ends, window, gram)[3])
-                if sum(map(len, held)) >= CHUNK:
-                    yield flush()
-        if sum(map(len, held)):
+            order = np.argsort(hashes, kind="stable")
+            sorted_ = hashes[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            counts = np.diff(np.append(first, len(order)))
+            several = np.zeros(len(hashes), bool)
+            several[order] = np.repeat(counts > 1, counts)
+            # what the chunk holds twice is known; one of each goes on, for all of them
+            known = np.flatnonzero(several)
+            sent = np.concatenate([np.flatnonzero(~several), order[first[counts > 1]]])
+            cells = mix(hashes[sent], 7)
+            named = np.where(several[sent], KNOWN, number[sent])
+            payload = np.stack([(cells & U(0xFFFFFFFF)).astype(np.uint32), (cells >> U(32)).astype(np.uint32), delta[sent], named])
+            bucket = ((hashes[sent] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            payload, bucket, source = payload[:, by], bucket[by], sent[by]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            starts = np.concatenate([[0], cuts]).astype(int)
+            out = [(int(bucket[a]), payload[:, a:z].tobytes(), packed(leads, source[a:z], several)) for a, z in zip(starts, [*cuts, len(bucket)], strict=True)] if len(bucket) else []
+            if len(known):
+                # any bucket below zero: these need no answer
+                spread = -1 - int(hashes[known[0]] % U(1 << 31))
+                answered = np.stack([delta[known], number[known]]).astype(np.uint32)
+                out.append((spread, answered.tobytes(), packed(leads, known, ~several)))
+            places, payloads, drawn = zip(*out, strict=True) if out else ((), (), ())
+            n = len(places)
+            return pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array([file] * n, pa.int64()), pa.array([base] * n, pa.int64()), pa.array(payloads, pa.binary()), pa.array(drawn, pa.binary())], ["bucket", "file", "base", "payload", "leads"])
+
+        def packed(leads: dict[int, bytes], source: np.ndarray, but: np.ndarray) -> bytes:
+            if not leads:
+                return b""
+            return np.array([(k, leads[i]) for k, i in enumerate(source.tolist()) if i in leads and not but[i]], record).tobytes()
+
+        for batch in batches(batches_):
+            files, places = batch.column("file").to_pylist(), batch.column("row").to_pylist()
+            texts = batch.column("text").to_pylist()
+            for group, tokens, ends in grouped(texts, tokens_of):
+                anchor, lo, _, hashes = anchor_runs(tokens, ends, window, gram)
+                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+                cuts = np.searchsorted(lo, np.concatenate([starts, ends[-1:]]))
+                for k, i in enumerate(group):
+                    own = hashes[cuts[k] : cuts[k + 1]]
+                    if not len(own):
+                        continue
+                    if held and (files[i] != file or size >= CHUNK or not 0 <= places[i] - base < 1 << 32):
+                        yield flush()
+                        size = 0
+                    if not held:
+                        file, base = files[i], places[i]
+                    drawn = {}
+                    if rate:
+                        draw = np.flatnonzero(mix(own + np.array([places[i] & 0xFFFFFFFF], U) * BASES[0] + np.arange(len(own), dtype=U), 5) < rate)
+                        if len(draw):
+                            raw = texts[i].encode()
+                            drawn = {int(d): lead_of(raw, int(anchor[cuts[k] + d] - starts[k])) for d in draw}
+                    held.append((places[i], own, drawn))
+                    size += len(own)
+        if held:
             yield flush()
 
-    def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = 1 << min(bits, BLOCK_BITS)
-        at, counts = None, np.zeros(size, np.uint8)
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([np.packbits(counts > 1).tobytes()], pa.binary())], ["block", "payload"])
-
-        for batch in batches(rows):
-            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if block != at:
-                    if at is not None:
-                        yield out()
-                    at, counts = block, np.zeros(size, np.uint8)
-                marks = np.frombuffer(payload.as_buffer(), np.uint32)
-                cells = marks >> 1
-                counts[cells] = np.minimum(counts[cells] + 1 + (marks & 1), 2)
-        if at is not None:
-            yield out()
-
-    shape = "block long, payload binary"
-    merged = bodies.mapInArrow(count, shape).repartition("block").sortWithinPartitions("block").mapInArrow(merge, shape)
-    maps = [bytearray(1 << (bits - 3)) for _ in range(DEPTH)]
-    step = 1 << (min(bits, BLOCK_BITS) - 3)
-    for r in merged.collect():  # of fixed size
-        at = (r.block & 0xFFFFFFFF) * step
-        maps[r.block >> 32][at : at + step] = r.payload
-    return [bytes(m) for m in maps]
-
-
-def maybe_repeated(maps: list[bytes], hashes: np.ndarray, bits: int) -> np.ndarray:
-    """Whether the sketch counts each anchor twice or more."""
-    found = np.ones(len(hashes), bool)
-    for row, held in enumerate(maps):
-        cells = cells_of(hashes, row, bits)
-        found &= (np.frombuffer(held, np.uint8)[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-    return found
+    def answer(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out(file: np.ndarray, row: np.ndarray, number: np.ndarray, leads: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(file, pa.int64()), pa.array(row, pa.int64()), pa.array(number.astype(np.int32), pa.int32()), pa.array(leads, pa.binary())], ["file", "row", "ord", "lead"])
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            parts = [np.frombuffer(p, np.uint32).reshape(4, -1) for _, _, p, _ in held]
+            sizes = [p.shape[1] for p in parts]
+            whole = np.concatenate(parts, axis=1)
+            hit = (estimates(whole[:2], np.where(whole[3] == KNOWN, 2, 1)) > 1) & (whole[3] != KNOWN)
+            file = np.repeat(np.array([f for f, _, _, _ in held], np.int64), sizes)
+            row = np.repeat(np.array([b for _, b, _, _ in held], np.int64), sizes) + whole[2]
+            yield from some(file, row, whole[3], np.flatnonzero(hit), np.cumsum([0, *sizes]), [x for _, _, _, x in held])
+
+        def some(file: np.ndarray, row: np.ndarray, number: np.ndarray, hit: np.ndarray, offsets: np.ndarray, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+            leads = {}
+            for offset, pack in zip(offsets.tolist(), packs, strict=False):
+                if pack:
+                    leads.update({offset + int(x["at"]): x["lead"].tobytes() for x in np.frombuffer(pack, record)})
+            for at in range(0, len(hit), 1 << 16):
+                own = hit[at : at + (1 << 16)]
+                yield out(file[own], row[own], number[own], [leads.get(i) for i in own.tolist()] if leads else [None] * len(own))
+
+        at = None
+        for batch in batches(batches_):
+            for bucket, file, base, payload, pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "file", "base", "payload", "leads")), strict=True):
+                if bucket < 0:
+                    delta, number = np.frombuffer(payload, np.uint32).reshape(2, -1)
+                    yield from some(np.full(len(delta), file), base + delta.astype(np.int64), number, np.arange(len(delta)), np.zeros(1, np.int64), [pack])
+                    continue
+                if bucket != at and held:
+                    yield from merged()
+                    held.clear()
+                at = bucket
+                held.append((file, base, payload, pack))
+        if held:
+            yield from merged()
+
+    sent = rows.select("file", "row", "text").mapInArrow(count, "bucket long, file long, base long, payload binary, leads binary")
+    found = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(answer, "file long, row long, ord int, lead binary")
+    return found.groupBy("file", "row").agg(F.collect_list("ord").alias("ords"), F.collect_list("lead").alias("leads"))

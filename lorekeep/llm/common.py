@@ -48,6 +48,28 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, columns: dict[str, str | F.Column]) -> DataFrame:
+    """The columns, with (file, row): the file that a row comes from, hashed, and its place there.
+
+    They name a row however often and in whatever splits the files are read. What isn't a plain scan of
+    files is written to the shared folder first.
+    """
+    own = [F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()]
+    if not _scans_files(df):
+        df, own = stash(df.select(*own)), list(columns)
+    return df.select(F.xxhash64("_metadata.file_path").alias("file"), F.coalesce(F.col("_metadata.row_index"), F.lit(-1).cast("long")).alias("row"), *own)
+
+
+def _scans_files(df: DataFrame) -> bool:
+    """Whether a plan only picks rows and columns of Parquet files."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        if not plan.deterministic():
+            return False
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and "parquet" in plan.toString().lower() and plan.children().isEmpty()
+
+
 def body(column: str = "text") -> F.Column:
     """A document's whole text; null counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

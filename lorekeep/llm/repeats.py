@@ -1,11 +1,12 @@
 """What removal of repeated windows has in common, over words or over bytes.
 
-One scan finds, with the sketch of ``anchors``, the windows that may be repeated.
-Copies that meet in one chunk of a partition are settled there and sent on once,
-so that a passage which a third of all documents share reaches the next step
-once a chunk. The rest is decided exactly by the operator, as ranges of tokens to
-remove, and comes back to the documents that wait for it; those alone keep their
-text meanwhile.
+A first scan finds, with the sketch of ``anchors``, the windows that may be repeated.
+Texts then meet these findings by their place in the files, in one shuffle that is
+used twice: to send the open windows on, and to end the texts when it is known which
+of them are repeated. Copies that meet in one chunk of a partition are settled there
+and sent on once, so that a passage which a third of all documents share reaches the
+next step once a chunk. The rest is decided exactly by the operator, as ranges of
+tokens to remove.
 """
 
 from __future__ import annotations
@@ -19,22 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import anchor_runs, grouped, maybe_repeated, repeated_cells, rolling, sketch_bits
-from .common import batches, body, stash
+from .anchors import anchor_runs, grouped, repeated_anchors, rolling
+from .common import batches, body, numbered, stash
 
 #: Candidate windows, and characters of text, that a chunk holds at most before it is settled.
 CHUNK_WINDOWS, CHUNK_CHARS = 1 << 20, 1 << 25
-#: What a scan leaves of a document: its ranges so far, and its open items, one entry each in the item lists.
-ROW = "path {path}, n long, removed long, spans long, kept binary, text string, ranges array<int>, at array<int>, {items}"
-
-
 @dataclass
 class Chunk:
-    """Documents of a chunk, with their candidate runs of windows."""
+    """Texts of a chunk by their places, with their open runs of windows."""
 
-    paths: list = field(default_factory=list)
+    keys: list[tuple[int, int]] = field(default_factory=list)
     texts: list[str] = field(default_factory=list)
-    lengths: list[int] = field(default_factory=list)
     runs: list[tuple] = field(default_factory=list)
     windows: int = 0
     chars: int = 0
@@ -69,18 +65,21 @@ def joined_ranges(ranges: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Kind:
-    """tokens: 64-bit token hashes of a text; size and rest: its length in tokens, and what is left of it without the marked ones.
+    """tokens: 64-bit token hashes of a text; rest: a text's length in tokens, and what is left of it without the marked ranges.
 
-    settle: for a chunk's runs, per document (ranges, at, *items); at -1 marks an item that stands for two settled ones.
+    settle: for a chunk, flat ranges by text for what it settles, and columns of the items that are left: the number of
+    their text, ``at`` (where they start; -1 for an item that stands for two settled ones), and those named in ``items``.
+    lead_of: as for ``repeated_anchors``.
     """
 
     window: int
     gram: int
     anchors_a_byte: float
     tokens: Callable[[str], np.ndarray]
-    rest: Callable[[str, np.ndarray], bytes]
-    settle: Callable[[Chunk], list[tuple]]
+    rest: Callable[[str, np.ndarray], tuple[int, np.ndarray, bytes]]
+    settle: Callable[[Chunk], tuple[dict[int, np.ndarray], list[pa.Array | np.ndarray]]]
     items: dict[str, str]
+    lead_of: Callable[[bytes, int], bytes] | None = None
 
 
 def window_digest(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,85 +87,87 @@ def window_digest(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarr
     return rolling(tokens, window, 1).view(np.int64), (rolling(tokens, window, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _end(kind: Kind, text: str, n: int, ranges: np.ndarray, digest: bool) -> tuple[int, int, bytes]:
-    gone = covered(n, ranges)
-    kept = kind.rest(text, gone)
-    return int(gone.sum()), spans_of(gone), hashlib.sha256(kept).digest() if digest else kept
+ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def scan(docs: DataFrame, kind: Kind, path: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The texts (file, row, path, text), and the stashed findings of the first pass."""
+    texts = numbered(docs, {"path": path, "text": body(text)})
+    return texts, stash(repeated_anchors(texts.select("file", "row", "text"), kind.tokens, kind.window, kind.gram, kind.anchors_a_byte, kind.lead_of))
 
 
-def scan(docs: DataFrame, kind: Kind, path: str, text: str, digest: bool) -> DataFrame:
-    """The stashed first pass: a ROW with a key for each document, settled where ``text`` is null."""
-    bodies = docs.select(body(text))
-    bits = sketch_bits(docs.select(text), kind.anchors_a_byte)
-    maps = docs.sparkSession.sparkContext.broadcast(repeated_cells(bodies, kind.tokens, kind.window, kind.gram, bits))
-    names = ["path", "n", "removed", "spans", "kept", "text", "ranges", "at", *kind.items]
-    arrow = {"array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary())}
+def open_items(texts: DataFrame, hits: DataFrame, kind: Kind) -> DataFrame:
+    """(file, row, ranges, at, items): a row for each open item, and one with the ranges that its chunk settles, and no item, for each text."""
+    names = ["file", "row", "ranges", "at", *kind.items]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), *(ARROW[t] for t in kind.items.values())]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, kept_type = Chunk(), None
+        chunk = Chunk()
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             nonlocal chunk
-            out: list[list] = [[] for _ in names]
-            for path, text, n, (ranges, at, *items) in zip(chunk.paths, chunk.texts, chunk.lengths, kind.settle(chunk), strict=True):
-                ranges = joined_ranges(ranges)
-                waits = any(a >= 0 for a in at)
-                end = (None, None, None, text) if waits else (*_end(kind, text, n, ranges, digest), None)
-                for column, value in zip(out, (path, n, *end, ranges if waits else [], at, *items), strict=True):
-                    column.append(value)
+            ranges, (doc, *items) = kind.settle(chunk)
+            keys = np.array(chunk.keys, np.int64).reshape(-1, 2)
             chunk = Chunk()
-            types = [kept_type, pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *(arrow[t] for t in kind.items.values())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
+            own = [(*keys[i].tolist(), joined_ranges(r).tolist()) for i, r in ranges.items()]
+            for at in range(0, len(own), 1 << 14):
+                some = list(zip(*own[at : at + (1 << 14)], strict=True))
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(some, types, strict=False)), *(pa.nulls(len(some[0]), t) for t in types[3:])], names)
+            for at in range(0, len(doc), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                key = keys[doc[part]]
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.nulls(len(key), types[2]), *(pa.array(c[part], t) for c, t in zip(items, types[3:], strict=True))], names)
 
         for batch in batches(rows):
-            kept_type = batch.schema.field(0).type
-            paths, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for places, tokens, ends in grouped(texts, kind.tokens):
-                anchor, lo, hi, hashes = anchor_runs(tokens, ends, kind.window, kind.gram)
-                hit = maybe_repeated(maps.value, hashes, bits)
-                anchor, lo, hi, hashes = anchor[hit], lo[hit], hi[hit], hashes[hit]
+            files, places, texts, hits = (batch.column(c).to_pylist() for c in ("file", "row", "text", "ords"))
+            for group, tokens, ends in grouped(texts, kind.tokens):
+                anchor, lo, hi, _ = anchor_runs(tokens, ends, kind.window, kind.gram)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
                 cuts = np.searchsorted(lo, np.concatenate([starts, ends[-1:]]))
-                for k, i in enumerate(places):
-                    own = slice(cuts[k], cuts[k + 1])
-                    chunk.paths.append(paths[i])
+                for k, i in enumerate(group):
+                    own = np.sort(np.array(hits[i], np.int64)) + cuts[k]
+                    chunk.keys.append((files[i], places[i]))
                     chunk.texts.append(texts[i])
-                    chunk.lengths.append(int(ends[k] - starts[k]))
                     # a copy: a view would keep the whole group's tokens
-                    held = tokens[starts[k] : ends[k]].copy() if cuts[k + 1] > cuts[k] else None
-                    chunk.runs.append((anchor[own] - starts[k], lo[own] - starts[k], hi[own] - starts[k], held))
+                    chunk.runs.append((anchor[own] - starts[k], lo[own] - starts[k], hi[own] - starts[k], tokens[starts[k] : ends[k]].copy()))
                     chunk.windows += int((hi[own] - lo[own] + 1).sum())
                     chunk.chars += len(texts[i])
                     if chunk.windows >= CHUNK_WINDOWS or chunk.chars >= CHUNK_CHARS:
-                        yield flush()
-        if chunk.paths:
-            yield flush()
+                        yield from flush()
+        if chunk.keys:
+            yield from flush()
 
-    kinds = ROW.format(path=docs.schema[path].dataType.simpleString(), items=", ".join(f"{k} {v}" for k, v in kind.items.items()))
-    rows = docs.select(F.col(path).alias("path"), body(text).alias("text")).mapInArrow(run, kinds)
-    return stash(rows.withColumn("key", F.monotonically_increasing_id()))
+    # the same columns of the texts as in ``finish``, so that their shuffle serves both
+    both = texts.join(hits.select("file", "row", "ords").hint("shuffle_hash"), ["file", "row"]).select("file", "row", "path", "text", "ords")
+    return both.mapInArrow(run, "file long, row long, ranges array<int>, at int, " + ", ".join(f"{k} {t}" for k, t in kind.items.items()))
 
 
 def counted_windows(items: DataFrame) -> DataFrame:
-    """Starts (key, from) of the items (key, at, h1, h2) whose hash pair counts twice or more; at -1 counts as two."""
-    total = F.sum(F.when(F.col("at") < 0, 2).otherwise(1)).over(Window.partitionBy("h1", "h2"))
-    return items.withColumn("total", total).where("total > 1 and at >= 0").select("key", F.col("at").alias("from"))
+    """The rows (file, row, ranges, at, h1, h2) that have ranges, or whose hash pair counts twice or more; at -1 counts as two.
+
+    A chunk sends a window once, so a window in very many texts is a row for each of their chunks.
+    """
+    weight = F.when(F.col("at").isNull(), 0).when(F.col("at") < 0, 2).otherwise(1)
+    total = F.sum(weight).over(Window.partitionBy("h1", "h2"))
+    return items.withColumn("total", total).where("ranges is not null or total > 1 and at >= 0").select("file", "row", "ranges", "at")
 
 
-def finish(rows: DataFrame, found: DataFrame, kind: Kind, digest: bool) -> DataFrame:
-    """One row per document: path, n, removed, spans, kept; found: (key, starts of repeated windows, flat ranges)."""
-    waiting = rows.where(F.col("text").isNotNull()).select("key", "path", "n", "text", "ranges").join(found, "key", "left")
+def finish(texts: DataFrame, found: DataFrame, kind: Kind, digest: bool) -> DataFrame:
+    """One row per text: path, n, removed, spans, kept; found: (file, row, starts of repeated windows, flat ranges)."""
     names = ["path", "n", "removed", "spans", "kept"]
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(rows):
             ended = []
-            for text, n, own, starts, more in zip(*(batch.column(c).to_pylist() for c in ("text", "n", "ranges", "starts", "more")), strict=True):
+            for text, starts, more in zip(*(batch.column(c).to_pylist() for c in ("text", "starts", "more")), strict=True):
                 at = np.array(starts or [], np.int64)
-                ended.append(_end(kind, text, n, np.concatenate([np.array([*own, *(more or [])], np.int64), np.stack([at, at + kind.window], 1).ravel()]), digest))
-            removed, spans, kept = zip(*ended, strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("n"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
-
-    settled = rows.where(F.col("text").isNull()).select(*names)
-    ended = waiting.select("path", "n", "text", "ranges", "starts", "more").mapInArrow(run, settled.schema)
-    return settled.unionByName(ended)
+                ranges = np.concatenate([np.array(more or [], np.int64), np.stack([at, at + kind.window], 1).ravel()])
+                n, gone, kept = kind.rest(text, ranges)
+                ended.append((n, int(gone.sum()), spans_of(gone), hashlib.sha256(kept).digest() if digest else kept))
+            n, removed, spans, kept = zip(*ended, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary())], names)
+
+    by_text = found.groupBy("file", "row").agg(F.collect_list("at").alias("starts"), F.flatten(F.collect_list("ranges")).alias("more"))
+    both = texts.join(by_text.hint("shuffle_hash"), ["file", "row"], "left").select("file", "row", "path", "text", "starts", "more")
+    kind_of = texts.schema["path"].dataType.simpleString()
+    return both.mapInArrow(run, f"path {kind_of}, n long, removed long, spans long, kept binary")

@@ -3,19 +3,20 @@
 Texts are UTF-8 bytes. A string of ``window`` bytes that starts anywhere else too
 loses its bytes in every place. The suffixes that are sorted are those at the
 anchors of ``anchors``, of which every such string holds one; a sketch first drops
-the anchors whose leading bytes occur once. Sampled splitters then range-partition
-the anchored suffixes by their leading ``gram`` bytes, equal ones into one bucket,
-where each bucket sorts them by multikey quicksort, eight bytes a step. The same is
-done for the bytes before the anchors, backwards. Two windows that start ``o``
-bytes before their anchors are equal just if no neighbour in the one order has a
-common prefix shorter than ``window - o`` between them, nor in the other one
-shorter than ``o``: so each pair of orders is compared for all places at once,
-on bytes, across the block boundaries of a bucket too, which lie only where the
-leading bytes change.
-
-A leading string with more suffixes than a block holds (say, one line in a third
-of all documents, each time amid other text) isn't sorted in one task: its windows
-go to a second shuffle, keyed by a 96-bit hash of the whole window.
+the anchors whose leading bytes occur once. Splitters sampled from the others'
+leading ``gram`` bytes (with a hash that parts equal ones) range-partition the
+anchored suffixes into buckets, each of which sorts them by multikey quicksort, eight
+bytes a step. The same is done for the bytes before the anchors, backwards. Two
+windows that start ``o`` bytes before their anchors are equal just if no neighbour in
+the one order has a common prefix shorter than ``window - o`` between them, nor in the
+other one shorter than ``o``: so each pair of orders is compared for all places at
+once, on bytes.
+
+The first and the last leading string of a bucket may go on in its neighbours, and
+one that very many texts share (say, a line in a third of all documents, each time
+amid other text) fills whole buckets: no bucket grows with it. These are compared
+across the buckets' boundaries, in a second shuffle of their windows by 96 bits of
+hash of the whole window.
 
 Cases: null texts have no bytes; texts shorter than a window stay whole; repeated
 rows repeat each other; an empty table gives an empty result; other columns are
@@ -24,6 +25,7 @@ ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
@@ -33,16 +35,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import mix
-from .common import batches, stash
-from .repeats import Chunk, Kind, counted_windows, finish, joined_ranges, scan, window_digest
+from .anchors import LEADS, mix
+from .common import batches
+from .repeats import Chunk, Kind, counted_windows, covered, finish, joined_ranges, open_items, scan, window_digest
 
 #: Bytes a window, bytes by which suffixes are dealt out.
 WINDOW, GRAM = 200, 100
-#: Suffixes that are sorted at once; a leading string with more goes the other way.
+#: Suffixes that are sorted at once, more where one leading string has more.
 BLOCK = 1 << 15
-#: Bytes of suffixes a bucket.
-BUCKET_BYTES = 16 << 20
+#: Bytes of suffixes a bucket, and of one suffix with what is before it, about.
+BUCKET_BYTES, SUFFIX_BYTES = 16 << 20, 256
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64), 3)
 
 
@@ -50,37 +52,37 @@ def byte_hashes(text: str) -> np.ndarray:
     return BYTE_HASH[np.frombuffer(text.encode(), np.uint8)]
 
 
-def _rest(text: str, gone: np.ndarray) -> bytes:
+def _rest(text: str, ranges: np.ndarray) -> tuple[int, np.ndarray, bytes]:
     held = text.encode()
-    return np.frombuffer(held, np.uint8)[~gone].tobytes() if gone.any() else held
+    gone = covered(len(held), ranges)
+    return len(held), gone, np.frombuffer(held, np.uint8)[~gone].tobytes() if len(ranges) else held
 
 
-def settle_suffixes(chunk: Chunk, window: int) -> list[tuple]:
-    """Per document (ranges, at, off, seg): equal segments that the chunk holds twice are settled; one goes on for all of them.
+def lead_at(raw: bytes, at: int, gram: int) -> bytes:
+    """The bytes by which a suffix is dealt out."""
+    return raw[at : at + gram]
+
+
+def settle_suffixes(chunk: Chunk, window: int) -> tuple[dict[int, np.ndarray], list]:
+    """Equal segments that the chunk holds twice are settled; one goes on for all of them.
 
     seg: the bytes that a run of windows with one anchor covers; at: its place; off: the anchor's place in it.
     """
     held: dict[tuple[bytes, int], list[tuple[int, int]]] = {}
-    segs: dict[tuple[bytes, int], bytes] = {}
-    for i, (anchor, lo, hi, tokens) in enumerate(chunk.runs):
-        if tokens is None:
-            continue
+    for i, (anchor, lo, hi, _) in enumerate(chunk.runs):
         raw = chunk.texts[i].encode()
         for a, first, last in zip(anchor.tolist(), lo.tolist(), hi.tolist(), strict=True):
-            seg = raw[first : last + window]
-            key = (xxhash.xxh3_128_digest(seg), a - first)
-            held.setdefault(key, []).append((i, first))
-            segs[key] = seg
-    out = [([], [], [], []) for _ in chunk.runs]
-    for key, places in held.items():
-        seg, several = segs[key], len(places) > 1
+            held.setdefault((raw[first : last + window], a - first), []).append((i, first))
+    ranges: dict[int, list[int]] = {}
+    out: list[tuple] = []
+    for (seg, off), places in held.items():
         i, first = places[0]
-        for column, value in zip(out[i][1:], (-1 if several else first, key[1], seg), strict=True):
-            column.append(value)
-        if several:
+        out.append((i, -1 if len(places) > 1 else first, off, seg))
+        if len(places) > 1:
             for i, first in places:
-                out[i][0].extend((first, first + len(seg)))
-    return [(np.array(ranges, np.int64), *items) for ranges, *items in out]
+                ranges.setdefault(i, []).extend((first, first + len(seg)))
+    doc, at, off, seg = zip(*out, strict=True) if out else ((), (), (), ())
+    return {i: np.array(r, np.int64) for i, r in ranges.items()}, [np.array(doc, np.int64), np.array(at, np.int32), np.array(off, np.int32), seg]
 
 
 def multikey_order(rows: np.ndarray) -> np.ndarray:
@@ -157,86 +159,110 @@ def repeated_starts(segs: list[bytes], offs: np.ndarray, twice: np.ndarray, wind
 
 
 def _buckets(rows: Iterator[pa.RecordBatch], window: int, gram: int, block: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by their leading bytes, in blocks that end where those change: ranges, or windows of too frequent ones."""
-    names = ["key", "ranges", "at", "h1", "h2"]
-    types = [pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-    held: list[tuple] = []  # whole leading strings, then the last one, which may go on
-    last_from, lead, frequent = 0, None, False
+    """Of rows sorted by their leading bytes: ranges, or the windows of the first and the last leading string."""
+    names = ["file", "row", "ranges", "at", "h1", "h2"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int32()]
+    held: list[tuple] = []  # leading strings that are whole
+    last: list[tuple] = []  # the one that may go on
+    lead, leads = None, 0
 
-    def pack(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+    def ranges_of(some: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*some, strict=True))
+        return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), *(pa.nulls(len(some), t) for t in types[3:])], names)
 
     def sort(some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = []
         # a leading string with one segment that stands for itself has no second window
         alone: dict[bytes, int] = {}
-        for _, at, _, _, own in some:
-            alone[own] = alone.get(own, 0) + 1 + (at < 0)
-        some = [x for x in some if alone[x[4]] > 1]
+        for x in some:
+            alone[x[5]] = alone.get(x[5], 0) + 1 + (x[2] < 0)
+        some = [x for x in some if alone[x[5]] > 1]
         if not some:
             return
-        keys, ats, offs, segs, _ = zip(*some, strict=True)
-        at = np.array(ats, np.int64)
-        for key, place, starts in zip(keys, ats, repeated_starts(list(segs), np.array(offs, np.int64), at < 0, window, gram), strict=True):
+        files, places, ats, offs, segs, _ = zip(*some, strict=True)
+        at, out = np.array(ats, np.int64), []
+        for file, row, place, starts in zip(files, places, ats, repeated_starts(list(segs), np.array(offs, np.int64), at < 0, window, gram), strict=True):
             if place >= 0 and len(starts):
-                out.append((key, joined_ranges(np.stack([starts + place, starts + place + window], 1).ravel()).tolist(), [], [], []))
-        if out:
-            yield pack(out)
-
-    def spread(some: list[tuple]) -> Iterator[pa.RecordBatch]:
-        out = []
-        for key, at, _, seg, _ in some:
-            ones, twos = window_digest(BYTE_HASH[np.frombuffer(seg, np.uint8)], window)
-            places = np.full(len(ones), -1) if at < 0 else at + np.arange(len(ones))
-            out.append((key, [], places.tolist(), ones.tolist(), twos.tolist()))
+                out.append((file, row, joined_ranges(np.stack([starts + place, starts + place + window], 1).ravel()).tolist()))
         if out:
-            yield pack(out)
+            yield ranges_of(out)
+
+    def across(some: list[tuple]) -> Iterator[pa.RecordBatch]:
+        """Every window, to be compared with those of other buckets."""
+        for cut in range(0, len(some), 1 << 10):
+            parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for file, row, at, _, seg, _ in some[cut : cut + (1 << 10)]:
+                ones, twos = window_digest(BYTE_HASH[np.frombuffer(seg, np.uint8)], window)
+                n = len(ones)
+                places = np.full(n, -1) if at < 0 else at + np.arange(n)
+                for part, own in zip(parts, (np.full(n, file), np.full(n, row), places, ones, twos), strict=True):
+                    part.append(own)
+            file, row, *own = map(np.concatenate, parts)
+            yield pa.RecordBatch.from_arrays([pa.array(file, types[0]), pa.array(row, types[1]), pa.nulls(len(file), types[2]), *(pa.array(c, t) for c, t in zip(own, types[3:], strict=True))], names)
 
     for batch in batches(rows):
-        for row in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "off", "seg")), strict=True):
-            row = (*row, row[3][row[2] : row[2] + gram])
-            if row[4] != lead:
-                if frequent:
-                    yield from spread(held)
-                    held = []
-                elif len(held) >= block:
-                    yield from sort(held)
-                    held = []
-                lead, frequent, last_from = row[4], False, len(held)
-            held.append(row)
-            if not frequent and len(held) - last_from > block:
-                yield from sort(held[:last_from])
-                held, last_from, frequent = held[last_from:], 0, True
-            if frequent and len(held) >= block // 8:
-                yield from spread(held)
-                held = []
-    yield from (spread if frequent else sort)(held)
+        settled = []
+        for row in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "at", "off", "seg", "ranges")), strict=True):
+            *own, seg, ranges = row
+            if ranges is not None:
+                settled.append((own[0], own[1], ranges))
+                continue
+            key = lead_at(seg, own[3], gram)
+            if key != lead:
+                if leads == 1:
+                    yield from across(last)
+                else:
+                    held += last
+                    if len(held) >= block:
+                        yield from sort(held)
+                        held = []
+                lead, leads, last = key, leads + 1, []
+            last.append((*own, seg, key))
+            if leads == 1 and len(last) >= 1 << 12:
+                yield from across(last)
+                last = []
+        if settled:
+            yield ranges_of(settled)
+    yield from sort(held)
+    yield from across(last)
 
 
 def byte_kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, 0.04, byte_hashes, _rest, partial(settle_suffixes, window=window), {"off": "array<int>", "seg": "array<binary>"})
+    return Kind(window, gram, 0.04, byte_hashes, _rest, partial(settle_suffixes, window=window), {"off": "int", "seg": "binary"}, partial(lead_at, gram=gram))
+
+
+def splitters(hits: DataFrame, buckets: int) -> list[tuple[bytes, int]]:
+    """Bounds between buckets: leading strings, each with a hash that parts those equal to it, from the bounded sample of ``hits``."""
+    drawn = hits.select("file", "row", F.posexplode("leads").alias("k", "lead")).select("lead", F.xxhash64("file", "row", "k").alias("tie"))
+    sample = sorted((bytes(r["lead"]), r["tie"]) for r in drawn.orderBy(F.xxhash64("tie"), "tie").limit(LEADS).collect())
+    return sorted({sample[i * len(sample) // buckets] for i in range(1, buckets)}) if sample else []
 
 
 def remove_repeated_bytes(docs: DataFrame, path: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, digest: bool = False, block: int = BLOCK) -> DataFrame:
     """Per document: path, n (bytes), removed, spans (maximal removed runs), kept (the bytes left; their SHA-256 with ``digest``)."""
     kind = byte_kind(window, gram)
-    rows = scan(docs, kind, path, text, digest)
-    segs = rows.select("key", F.explode(F.arrays_zip("at", "off", "seg")).alias("i")).select("key", "i.*")
-    size = segs.agg(F.sum(F.length("seg"))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES), df_partitions(rows) if size else 1)
+    texts, hits = scan(docs, kind, path, text)
+    anchors = hits.agg(F.sum(F.size("ords"))).first()[0] or 0
+    bounds = docs.sparkSession.sparkContext.broadcast(splitters(hits, max(1, -(-anchors * SUFFIX_BYTES // BUCKET_BYTES), session_partitions(docs))))
+
+    def deal(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each suffix's bucket; rows without one go to any."""
+        for batch in batches(rows):
+            own = []
+            for file, row, at, off, seg in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "at", "off", "seg")), strict=True):
+                tie = xxhash.xxh3_64_intdigest(b"%d %d %d %d" % (file, row, -2 if at is None else at, off or 0)) - (1 << 63)
+                own.append(tie % (len(bounds.value) + 1) if seg is None else bisect_right(bounds.value, (lead_at(seg, off, gram), tie)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], [*batch.schema.names, "bucket"])
+
+    items = open_items(texts, hits, kind)
+    dealt = items.mapInArrow(deal, items.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", bucket int")
     lead = F.substring("seg", F.col("off") + 1, F.lit(gram))  # ordered by, but not sent along
-    dealt = segs.repartitionByRange(buckets, lead).sortWithinPartitions(lead)
-    shape = "key long, ranges array<int>, at array<int>, h1 array<long>, h2 array<int>"
-    sorted_out = stash(dealt.mapInArrow(lambda r: _buckets(r, window, gram, block), shape))
-
-    frequent = sorted_out.where(F.size("at") > 0).select("key", F.explode(F.arrays_zip("at", "h1", "h2")).alias("i")).select("key", "i.*")
-    none = F.lit(None).cast("array<int>")
-    parts = sorted_out.where(F.size("ranges") > 0).select("key", none.alias("starts"), "ranges").unionByName(counted_windows(frequent).select("key", F.array("from").alias("starts"), none.alias("ranges")))
-    found = parts.groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ranges")).alias("more"))
-    return finish(rows, found, kind, digest)
+    dealt = dealt.repartitionById(len(bounds.value) + 1, "bucket").sortWithinPartitions(lead)
+    ranges = dealt.mapInArrow(lambda r: _buckets(r, window, gram, block), "file long, row long, ranges array<int>, at int, h1 long, h2 int")
+    ranges = ranges.withColumn("h1", F.coalesce("h1", F.xxhash64("file", "row"))).withColumn("h2", F.coalesce("h2", F.lit(0)))
+    return finish(texts, counted_windows(ranges), kind, digest)
 
 
-def df_partitions(df: DataFrame) -> int:
+def session_partitions(df: DataFrame) -> int:
     """Partitions of a shuffle in this session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
