@@ -31,9 +31,9 @@ from .common import batches
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0xD6E8FEB86659FD93))
 #: Cells an anchor in each row of the sketch; anchors that a bucket is meant to hold.
-CELLS, BUCKET = 8, 1 << 19
+CELLS, BUCKET = 8, 1 << 17
 #: Anchors (or tokens of a batch) held before they are worked off.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Leading strings drawn at most, for the splitters of a sort.
 LEADS = 100_000
 #: The number of an anchor that stands for all in its chunk, which were answered there.
@@ -133,7 +133,7 @@ def estimates(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
     least = None
     for row in cells:
         at = (row & np.uint32(mask)).astype(np.int64)
-        counts = np.bincount(at) + np.bincount(at[weights > 1], minlength=int(at.max()) + 1)
+        counts = np.bincount(np.concatenate([at, at[weights > 1]]))
         least = counts[at] if least is None else np.minimum(least, counts[at])
     return least
 
@@ -176,7 +176,8 @@ def repeated_anchors(rows: DataFrame, tokens_of: Callable[[str], np.ndarray], wi
             cells = mix(hashes[sent], 7)
             named = np.where(several[sent], KNOWN, number[sent])
             payload = np.stack([(cells & U(0xFFFFFFFF)).astype(np.uint32), (cells >> U(32)).astype(np.uint32), delta[sent], named])
-            bucket = ((hashes[sent] >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
+            # anchors are the least of their hashes, so these are spread anew
+            bucket = ((mix(hashes[sent], 13) >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             payload, bucket, source = payload[:, by], bucket[by], sent[by]
             cuts = np.flatnonzero(np.diff(bucket)) + 1
@@ -238,10 +239,10 @@ def repeated_anchors(rows: DataFrame, tokens_of: Callable[[str], np.ndarray], wi
             row = np.repeat(np.array([b for _, b, _, _ in held], np.int64), sizes) + whole[2]
             yield from some(file, row, whole[3], np.flatnonzero(hit), np.cumsum([0, *sizes]), [x for _, _, _, x in held])
 
-        def some(file: np.ndarray, row: np.ndarray, number: np.ndarray, hit: np.ndarray, offsets: np.ndarray, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def some(file: np.ndarray, row: np.ndarray, number: np.ndarray, hit: np.ndarray, offsets: np.ndarray, packs: list[pa.Buffer]) -> Iterator[pa.RecordBatch]:
             leads = {}
             for offset, pack in zip(offsets.tolist(), packs, strict=False):
-                if pack:
+                if pack.size:
                     leads.update({offset + int(x["at"]): x["lead"].tobytes() for x in np.frombuffer(pack, record)})
             for at in range(0, len(hit), 1 << 16):
                 own = hit[at : at + (1 << 16)]
@@ -249,7 +250,9 @@ def repeated_anchors(rows: DataFrame, tokens_of: Callable[[str], np.ndarray], wi
 
         at = None
         for batch in batches(batches_):
-            for bucket, file, base, payload, pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "file", "base", "payload", "leads")), strict=True):
+            # payloads and leads stay in the batch's buffers
+            payloads, packs = ((x.as_buffer() for x in batch.column(c)) for c in ("payload", "leads"))
+            for bucket, file, base, payload, pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "file", "base")), payloads, packs, strict=True):
                 if bucket < 0:
                     delta, number = np.frombuffer(payload, np.uint32).reshape(2, -1)
                     yield from some(np.full(len(delta), file), base + delta.astype(np.int64), number, np.arange(len(delta)), np.zeros(1, np.int64), [pack])

@@ -10,13 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch: a batch of whole documents has to fit a worker's memory.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most: a batch of whole documents has to fit a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no worker get more at once; every operator that writes a table, or reads one by its name, asks for it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table, read by Spark alone, so that any store works."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -40,6 +46,7 @@ def stash(df: DataFrame) -> DataFrame:
     each expensive step run once. Spark removes the folder when the session ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_folder(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm

@@ -24,7 +24,7 @@ from .anchors import anchor_runs, grouped, repeated_anchors, rolling
 from .common import batches, body, numbered, stash
 
 #: Candidate windows, and characters of text, that a chunk holds at most before it is settled.
-CHUNK_WINDOWS, CHUNK_CHARS = 1 << 20, 1 << 25
+CHUNK_WINDOWS, CHUNK_CHARS = 1 << 18, 1 << 24
 @dataclass
 class Chunk:
     """Texts of a chunk by their places, with their open runs of windows."""
@@ -69,7 +69,7 @@ class Kind:
 
     settle: for a chunk, flat ranges by text for what it settles, and columns of the items that are left: the number of
     their text, ``at`` (where they start; -1 for an item that stands for two settled ones), and those named in ``items``.
-    lead_of: as for ``repeated_anchors``.
+    lead_of: as for ``repeated_anchors``; needs_tokens: whether ``settle`` looks at the tokens.
     """
 
     window: int
@@ -80,6 +80,7 @@ class Kind:
     settle: Callable[[Chunk], tuple[dict[int, np.ndarray], list[pa.Array | np.ndarray]]]
     items: dict[str, str]
     lead_of: Callable[[bytes, int], bytes] | None = None
+    needs_tokens: bool = True
 
 
 def window_digest(tokens: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +130,8 @@ def open_items(texts: DataFrame, hits: DataFrame, kind: Kind) -> DataFrame:
                     chunk.keys.append((files[i], places[i]))
                     chunk.texts.append(texts[i])
                     # a copy: a view would keep the whole group's tokens
-                    chunk.runs.append((anchor[own] - starts[k], lo[own] - starts[k], hi[own] - starts[k], tokens[starts[k] : ends[k]].copy()))
+                    held = tokens[starts[k] : ends[k]].copy() if kind.needs_tokens else None
+                    chunk.runs.append((anchor[own] - starts[k], lo[own] - starts[k], hi[own] - starts[k], held))
                     chunk.windows += int((hi[own] - lo[own] + 1).sum())
                     chunk.chars += len(texts[i])
                     if chunk.windows >= CHUNK_WINDOWS or chunk.chars >= CHUNK_CHARS:

@@ -42,9 +42,9 @@ from .repeats import Chunk, Kind, counted_windows, covered, finish, joined_range
 #: Bytes a window, bytes by which suffixes are dealt out.
 WINDOW, GRAM = 200, 100
 #: Suffixes that are sorted at once, more where one leading string has more.
-BLOCK = 1 << 15
+BLOCK = 1 << 13
 #: Bytes of suffixes a bucket, and of one suffix with what is before it, about.
-BUCKET_BYTES, SUFFIX_BYTES = 16 << 20, 256
+BUCKET_BYTES, SUFFIX_BYTES = 4 << 20, 256
 BYTE_HASH = mix(np.arange(256, dtype=np.uint64), 3)
 
 
@@ -128,9 +128,11 @@ def repeated_starts(segs: list[bytes], offs: np.ndarray, twice: np.ndarray, wind
     right, left = np.zeros((m, window), np.uint8), np.zeros((m, max(most, 1)), np.uint8)
     after = np.minimum(lengths - offs, window)
     for rows, counts, sign, shift in ((right, after, 1, 0), (left, np.minimum(offs, most), -1, 1)):
-        of = np.repeat(np.arange(m), counts)
-        col = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-        rows[of, col] = flat[base[of] + sign * (col + shift)]
+        for cut in range(0, m, 1 << 10):
+            own = counts[cut : cut + (1 << 10)]
+            of = np.repeat(np.arange(cut, cut + len(own)), own)
+            col = np.arange(len(of)) - np.repeat(np.cumsum(own) - own, own)
+            rows[of, col] = flat[base[of] + sign * (col + shift)]
     ranks = []
     for rows in (right, left):
         order = multikey_order(rows)
@@ -150,7 +152,7 @@ def repeated_starts(segs: list[bytes], offs: np.ndarray, twice: np.ndarray, wind
         both = classes[0] * (m + 1) + classes[1]
         _, of, counts = np.unique(both, return_inverse=True, return_counts=True)
         found = has[(counts[of] > 1) | twice[has]]
-        hits.append((found, np.full(len(found), o)))
+        hits.append((found.astype(np.int32), np.full(len(found), o, np.int32)))
     if not hits:
         return [np.empty(0, np.int64)] * m
     who, back = map(np.concatenate, zip(*hits, strict=True))
@@ -227,7 +229,7 @@ def _buckets(rows: Iterator[pa.RecordBatch], window: int, gram: int, block: int)
 
 
 def byte_kind(window: int = WINDOW, gram: int = GRAM) -> Kind:
-    return Kind(window, gram, 0.04, byte_hashes, _rest, partial(settle_suffixes, window=window), {"off": "int", "seg": "binary"}, partial(lead_at, gram=gram))
+    return Kind(window, gram, 0.04, byte_hashes, _rest, partial(settle_suffixes, window=window), {"off": "int", "seg": "binary"}, partial(lead_at, gram=gram), needs_tokens=False)
 
 
 def splitters(hits: DataFrame, buckets: int) -> list[tuple[bytes, int]]:
