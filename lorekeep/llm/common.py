@@ -27,15 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset (tests)."""
-    sc = spark.sparkContext
+    """The folder that ``spark.checkpoint.dir`` names, or else the one that the session's checkpoints go to."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    held = sc._jsc.sc().getCheckpointDir()
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isEmpty():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lorekeep-"))
-        held = sc._jsc.sc().getCheckpointDir()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        # a single machine: its own folder is shared by all there is
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lorekeep-"))
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get().rstrip("/")
 
 
@@ -55,6 +57,12 @@ def stash(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to a path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def numbered(df: DataFrame, columns: dict[str, str | F.Column]) -> DataFrame:
     """The columns, with (file, row): the file that a row comes from, hashed, and its place there.
 

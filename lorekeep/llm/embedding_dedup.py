@@ -7,7 +7,8 @@ is indexed. A query probes its nearest lists (of those that the plane between tw
 centres leaves within reach), looks up the asymmetric distances to the codes, and
 reranks by exact double-precision cosine whatever the lookup, with the code's own
 error allowed for, doesn't rule out. So the index can lose a link only by too few
-probes; recall is measured against brute force in the tests.
+probes (by none without a limit of them); recall is measured against brute force in the
+tests.
 
 No pair leaves a task: a block of a list adds up link counts and a spanning forest.
 Blocks have bounded sides; a longer list is cut into several.
@@ -103,14 +104,15 @@ class Index:
 
 
 def _vectors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Valid vectors as doubles, with their content's hash; nulls for the others."""
+    """Valid vectors as doubles, scaled alike, with their content's hash; nulls for the others."""
     for batch in batches(rows):
         held, content = [], []
         for v in batch.column("v").to_pylist():
             x = np.array(v, np.float64) + 0.0 if v and None not in v else np.zeros(1)
-            ok = np.isfinite(x).all() and x.any() and np.isfinite(np.linalg.norm(x))
-            held.append(x.tobytes() if ok else None)
-            content.append(xxhash.xxh3_128_digest(held[-1]) if ok else None)
+            ok = np.isfinite(x).all() and x.any()
+            content.append(xxhash.xxh3_128_digest(x.tobytes()) if ok else None)
+            # by a power of two, so that the greatest component is near one and no square over- or underflows
+            held.append(np.ldexp(x, -np.frexp(np.abs(x).max())[1]).tobytes() if ok else None)
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(content, pa.binary()), pa.array(held, pa.binary())], ["id", "label", "content", "v"])
 
 
@@ -122,8 +124,8 @@ def padded(held: list[bytes], dim: int) -> np.ndarray:
     return out
 
 
-def near_embeddings(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST_COSINE, probes: int = PROBES, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
+def near_embeddings(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label", least: float = LEAST_COSINE, probes: int | None = PROBES, sample: int = SAMPLE, list_size: int = LIST_SIZE) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept. Without ``probes``, each query meets every list within reach: exact, but quadratic where vectors fill their space."""
     spark = embeddings.sparkSession
     rows = embeddings.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(embedding).cast("array<double>").alias("v"))
     rows = stash(rows.mapInArrow(_vectors, "id long, label string, content binary, v binary"))
@@ -143,7 +145,7 @@ def near_embeddings(embeddings: DataFrame, vec_id: str = "vec_id", embedding: st
             full = padded(batch.column("v").to_pylist(), dim)
             units = full / np.linalg.norm(full, axis=1, keepdims=True)
             of, codes, off = index.value.encode(units)
-            to = [index.value.probes(u, int(c), reach, probes).tolist() for u, c in zip(units, of, strict=True)]
+            to = [index.value.probes(u, int(c), reach, probes or len(index.value.centres)).tolist() for u, c in zip(units, of, strict=True)]
             columns = [batch.column("label"), batch.column("leader"), batch.column("copies"), batch.column("v"), pa.array(of, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(off), pa.array(to, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["label", "id", "copies", "v", "own", "code", "off", "probes"])
 

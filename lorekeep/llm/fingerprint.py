@@ -13,16 +13,19 @@ a text with fewer than five has its whole sequence as its one shingle.
 Cases: null and empty texts, and texts of white space alone, have empty
 fingerprints, and no others; two empty fingerprints have the likeness 1, an empty one and
 another 0; equal texts have equal fingerprints; an empty table gives an empty result; other
-columns are ignored. Documents with equal ids follow each other by text, those with
-a null id come last.
+columns are ignored. Documents with equal ids follow each other in an order that a hash
+of them fixes, those with a null id come last.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import body
+from .common import body, numbered
 
 SHINGLE = 5
 #: One hash in so many is retained.
@@ -30,7 +33,7 @@ ONE_IN = 4
 #: Hashes are signed: those below this bound are the least quarter.
 BOUND = -(1 << 63) + (1 << 64) // ONE_IN
 #: Documents of an id range are put in order together: so many bytes of input files a range, within these numbers of ranges.
-RANGE_BYTES, FEWEST, MOST = 8 << 20, 64, 4096
+RANGE_BYTES, FEWEST, MOST = 2 << 20, 64, 1 << 16
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -76,33 +79,52 @@ def as_text(a: str) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Add ``next``: the columns of the row that follows by descending key, of the first row after the last.
+def at_or_below(cuts: list[int], key: Column) -> Column:
+    """How many of the sorted cuts are the key or less: found among every so many first, then among those that follow."""
+    step = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    first = F.array(*(F.lit(g[0]) for g in groups))
+    within = F.array(*(F.array(*map(F.lit, g)) for g in groups))
+    count = lambda a: F.size(F.filter(a, lambda c: c <= key))
+    group = count(first)
+    return F.when(group == 0, 0).otherwise((group - 1) * step + count(F.get(within, group - 1)))
+
+
+def with_next(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Add ``next``: the columns of the row that follows by descending key and then ``order``, of the first row after the last.
 
-    Rows are put in order by ranges of the key, not in one task; the first row of each range is sent to the
-    range before it as well. Only the bounds of the ranges, a bounded number, pass through the driver.
+    Rows are put in order by ranges of the key, not in one task; a key that fills several ranges (null too) is parted
+    further by the first of ``order``, a hash. The first row of each range is sent to the range before it as well.
+    Only the bounds of the ranges, a bounded number, pass through the driver.
     """
+    tie = order[0]
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     ranges = max(FEWEST, min(MOST, size // RANGE_BYTES))
     shares = [i / ranges for i in range(1, ranges)]
-    cuts = df.agg(F.percentile_approx(key, shares, 100 * ranges)).first()[0] or []
-    cuts = sorted(set(cuts))
-    place = F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<long>"), lambda c: c <= F.col(key))))
-    placed = df.withColumn("__range", place)
-    heads = [tuple(r) for r in placed.groupBy("__range").agg(F.max(key)).orderBy(F.desc("__range")).collect()]
+    cuts, nulls, total = df.agg(F.percentile_approx(key, shares, 100 * ranges), F.count_if(F.col(key).isNull()), F.count("*")).first()
+    parts = Counter(cuts or [])
+    # a key that is a bound more than once has ranges of its own
+    bounds = sorted({x for k, n in parts.items() for x in ((k, k + 1) if n > 1 and k < (1 << 63) - 1 else (k,))})
+    parts = {k: n for k, n in parts.items() if n > 1}
+    share = F.least(F.col(tie) / 2.0**64 + 0.5, F.lit(1 - 1e-9))
+    part = F.when(F.col(key).isNull(), F.floor(share * max(1, nulls * ranges // max(1, total))))
+    if parts:
+        many = F.create_map(*(F.lit(x) for k, n in parts.items() for x in (k, n)))
+        part = part.when(F.col(key).isin(list(parts)), F.floor(share * F.coalesce(F.get(F.array(F.element_at(many, F.col(key))), F.lit(0)), F.lit(1))))
+    place = F.when(F.col(key).isNull(), F.lit(-1)).otherwise(at_or_below(bounds, F.col(key)) if bounds else F.lit(0))
+    placed = df.withColumn("__range", place.cast("int")).withColumn("__part", F.coalesce(part, F.lit(0)).cast("int"))
+    head = F.max(F.struct(F.col(key), F.bitwise_not(tie).alias("least")))
+    heads = placed.groupBy("__range", "__part").agg(head.alias("head")).orderBy(F.desc("__range"), "__part").collect()
     if not heads:
-        return placed.withColumn("next", F.struct(*columns)).drop("__range")
-    to = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the first range's head follows the last range
-    known = [h for h in to if h is not None]
-    target = F.lit(to.get(None)).cast("int")
-    if known:
-        pairs = F.create_map(*(F.lit(x) for h in known for x in (h, to[h])))
-        target = F.when(F.col(key).isNull(), target).otherwise(F.get(F.array(F.element_at(pairs, F.col(key))), F.lit(0)))
-    is_head = (F.col(key).isin(known) if known else F.lit(False)) | (F.col(key).isNull() if None in to else F.lit(False))
-    guests = df.where(is_head).withColumn("__range", target).withColumn("__guest", F.lit(True))
-    order = Window.partitionBy("__range").orderBy("__guest", F.desc_nulls_last(key), *columns[:1])
+        return placed.withColumn("next", F.struct(*columns)).drop("__range", "__part")
+    # each range's head goes to the range before, the first one's to the last
+    to = [(h["head"][0], ~h["head"][1], heads[i - 1]["__range"], heads[i - 1]["__part"]) for i, h in enumerate(heads)]
+    table = df.sparkSession.createDataFrame(to, "__key long, __tie long, __range int, __part int")
+    same = F.col(key).eqNullSafe(F.col("__key")) & (F.col(tie) == F.col("__tie"))
+    guests = df.join(F.broadcast(table), same).drop("__key", "__tie").withColumn("__guest", F.lit(True))  # as many rows as there are ranges, at most
+    window = Window.partitionBy("__range", "__part").orderBy("__guest", F.desc_nulls_last(key), *order)
     both = placed.withColumn("__guest", F.lit(False)).unionByName(guests)
-    return both.withColumn("next", F.lead(F.struct(*columns)).over(order)).where(~F.col("__guest")).drop("__range", "__guest")
+    return both.withColumn("next", F.lead(F.struct(*columns)).over(window)).where(~F.col("__guest")).drop("__range", "__part", "__guest")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
@@ -110,8 +132,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
     The edited text has the last half of the code points replaced by the first as many of the next document by descending id.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body().alias("text"))
-    rows = with_next(with_fingerprint(rows, "text", "own"), "doc_id", ["text", "own"])
+    rows = numbered(docs, {"doc_id": F.col("doc_id").cast("long"), "text": body()})
+    rows = rows.withColumn("tie", F.xxhash64("text", "file", "row"))
+    rows = with_next(with_fingerprint(rows, "text", "own"), "doc_id", ["tie", "file", "row"], ["text", "own"])
     length = F.char_length("text")
     half = F.floor(length / 2).cast("int")
     edited = F.concat(F.left("text", length - half), F.left("next.text", half))

@@ -52,6 +52,8 @@ LEAST_ESTIMATE = PERCENT / 100 - 6 * math.sqrt(PERCENT / 100 * (1 - PERCENT / 10
 MOST_BITS_APART = int(SKETCH / 2 * (1 - math.exp(-2 * (2 * SAMPLES * (1 - LEAST_ESTIMATE)) / SKETCH)) + 4 * math.sqrt(SKETCH) / 2)
 #: Members of a bucket that are compared with each other in one task at most.
 BLOCK = 2048
+#: Classes of fewer copies are never frequent; of those with a greater share of the rows than one in so many, there are no more than that.
+FEW, FREQUENT = 64, 10_000
 #: Bits of the filter that finds the documents to confirm: 8 MB however many there are.
 FILTER_BITS = 26
 
@@ -222,10 +224,10 @@ def near_duplicates(documents: DataFrame, path: str = "doc_id", text: str = "tex
     docs = documents.select(F.col(path).cast("long").alias("id"), body(text).alias("text"))
     sketched = stash(docs.mapInArrow(_sketches, "id long, n long, content binary, bands array<long>, odd binary"))
     linked = sketched.where("content is not null and id is not null")
-    classes = linked.groupBy("content").agg(F.min("id").alias("leader"))
-    leaders = classes.select(F.col("leader").alias("id"), "content")
-    # an id given to several texts stands for each of them: its classes join
-    heads = stash(linked.join(leaders, ["id", "content"], "left_semi").dropDuplicates(["id", "content"]).select("id", "n", "odd", "bands"))
+    # one row of each class, aggregated before it is sent; an id given to several texts stands for each of them: its classes join
+    whole = F.struct("n", "odd", "bands")
+    classes = stash(linked.groupBy("content").agg(F.min("id").alias("leader"), F.count("*").alias("copies"), F.min_by(whole, "id").alias("own")))
+    heads = classes.select(F.col("leader").alias("id"), "own.*")
     banded = heads.select("id", F.posexplode("bands").alias("band", "hash"))
     hubs = banded.groupBy("band", "hash").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low != high")
     met = banded.join(hubs, ["band", "hash"]).select(F.col("id").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a != b").distinct()
@@ -245,11 +247,26 @@ def near_duplicates(documents: DataFrame, path: str = "doc_id", text: str = "tex
     across = _blocks(within, ["cluster"], BLOCK).groupBy("cluster", "part_a", "part_b").applyInPandas(_links_across, "a long, b long")
     links = first.unionByName(across)
     roots = components(links).select(F.col("node").alias("leader"), "component")
-    members = sketched.join(classes, "content", "left").join(roots, "leader", "left")
-    members = members.withColumn("component_id", F.when(F.col("id").isNotNull(), F.coalesce("component", "leader", "id")))
+    settled = stash(classes.select("content", "leader", "copies").join(roots, "leader", "left").select("content", "copies", F.coalesce("component", "leader").alias("component")))
+    members = _with_component(sketched.select("id", "n", F.when(F.col("id").isNotNull(), F.col("content")).alias("content")), settled)
+    members = members.withColumn("component_id", F.coalesce("component", "id"))
     return members.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _with_component(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with the component of their content's class.
+
+    Classes with one in ``FREQUENT`` of all rows or more, of which there can't be more than that, are broadcast; rows of
+    the others meet their class in a shuffle in which no content has more rows than that, and rows without content in none.
+    """
+    least = F.greatest(F.lit(FEW), F.lit((classes.agg(F.sum("copies")).first()[0] or 0) // FREQUENT))
+    often = classes.where(F.col("copies") >= least).select("content", F.col("component").alias("of_often"))
+    marked = rows.join(F.broadcast(often), "content", "left")
+    known = F.col("content").isNull() | F.col("of_often").isNotNull()
+    other = marked.where(~known).drop("of_often").join(classes.where(F.col("copies") < least).select("content", "component"), "content", "left")
+    return marked.where(known).withColumnRenamed("of_often", "component").unionByName(other)
+
+
 def _near(pairs: DataFrame) -> DataFrame:
     """Pairs whose odd sketches (odd, odd_hub) are near enough."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import shared_folder, table
 from .embedding_dedup import near_embeddings
 from .fingerprint import fingerprint_report
 from .license_scan import licence_report
@@ -21,8 +21,8 @@ from .toxicity import toxicity_report
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document, each distinct text scanned once."""
-    return secret_report(table(spark, sf_dir, "documents"))
+    """Secrets in every document; texts that an earlier run of this cluster scanned under the same rules are read from its ledger."""
+    return secret_report(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/secret-ledger")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,9 @@ become byte pieces, a literal word mark too; so decoding gives back every text.
 
 Cases: null and empty texts have no pieces, and one segmentation, the empty one;
 repeated rows are texts of their own; of equally good segmentations the best is the
-one whose last pieces are shorter, the others follow by their pieces' ids; an empty table gives an empty result; other columns are ignored.
+one whose last pieces are shorter, the others follow by their pieces' ids (in words of
+more than 64 letters as the search finds them); an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -46,6 +48,13 @@ REMEMBERED, GROUP = 300_000, 100_000
 CELLS, LONG = 1 << 21, 64
 
 
+def unwound(path: tuple | None) -> Iterator[int]:
+    """The ids of pieces held as (first one's ids, the others)."""
+    while path is not None:
+        piece, path = path
+        yield from piece
+
+
 @dataclass
 class Pieces:
     """A model's pieces, as the driver reads them and workers share them."""
@@ -115,17 +124,22 @@ class Pieces:
         ends = self.edges(word)
         ahead = self.forward(ends)
         order = count()
-        # best total first; of equals, the one whose pieces so far (from the end) have the smaller ids
-        queue = [(-ahead[-1], (), next(order), len(word), 0.0)]
+        # best total first; of equals, the one whose pieces so far (from the end) have the smaller ids; in long words, with
+        # totals equal but for rounding, the one that is nearest to the word's start, lest all equal paths grow at once
+        short = len(word) <= LONG
+        queue = [(-ahead[-1], (), next(order), len(word), 0.0, None)]
         out: list[tuple[float, tuple[int, ...]]] = []
         while queue and len(out) < most:
-            total, ids, _, at, behind = heapq.heappop(queue)
+            total, ids, _, at, behind, path = heapq.heappop(queue)
             if at == 0:
-                out.append((-total, ids))
+                out.append((-total, ids) if short else (behind, tuple(unwound(path))))
                 continue
             for start, piece, score in ends[at]:
-                heapq.heappush(queue, (-(ahead[start] + score + behind), (*piece, *ids), next(order), start, behind + score))
-        return out
+                total = -(ahead[start] + score + behind)
+                # long words hold their pieces as (first one's ids, the others), not copied at each step
+                item = (total, (*piece, *ids), next(order), start, behind + score, None) if short else (round(total, 6), (start,), next(order), start, behind + score, (piece, path))
+                heapq.heappush(queue, item)
+        return out if short else sorted(out, key=lambda x: -x[0])
 
     def __reduce__(self) -> tuple:
         return Pieces, (self.names, self.scores, self.byte_ids, self.special)
@@ -208,8 +222,9 @@ class Pieces:
         while at:
             taken = max(ends[at], key=lambda e: (ahead[e[0]] + e[2], e[0]))
             path.add((taken[0], at))
-            ids[:0] = taken[1]
+            ids += reversed(taken[1])
             at = taken[0]
+        ids.reverse()
         second = max((ahead[i] + s + behind[j] for j, own in enumerate(ends) for i, _, s in own if (i, j) not in path), default=-np.inf)
         return np.array(ids, "<i4").tobytes(), ahead[-1], ahead[-1] - second
 

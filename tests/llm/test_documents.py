@@ -1,9 +1,15 @@
 """Corpus operators over documents against plain versions, with nulls, long and empty texts, repeats and clashing names."""
 
+import hashlib
 import random
+import struct
+import time
+from collections import Counter
+from itertools import pairwise
 
 import brute
 import pytest
+import xxhash
 from lorekeep.llm import minhash_dedup, repeats, suffix_dedup, substring_dedup
 from lorekeep.llm.fingerprint import BOUND, as_text, containment, fingerprint_report, likeness, merged, with_fingerprint
 from lorekeep.llm.license_scan import RULES, SENTENCES, licence_report, scan_text
@@ -156,7 +162,7 @@ def test_fingerprints(spark):
 
 def test_fingerprints_of_short_texts(spark):
     texts = [" ".join(f"w{i}x{k}" for k in range(1 + i % 12)) for i in range(120)] + ["", " \t\n"]
-    df = with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "text", "f").localCheckpoint()
+    df = with_fingerprint(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "text", "f").checkpoint()
     own = {r.i: r.f for r in df.collect()}
     assert all(own[i] == sorted(own[i]) and len(own[i]) for i in range(120)) and own[120] == own[121] == []
     assert any(own[i][0] >= BOUND for i in range(120)) and all(len(f) == 1 or f[-1] < BOUND for f in own.values() if f)
@@ -296,3 +302,116 @@ def test_licence_rows(spark):
 def test_empty_tables(spark):
     for report in (secret_report, window_report, byte_report, licence_report):
         assert report(docs(spark, [])).count() == 0
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+   * Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+   * Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+   * Neither the name of {} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+
+
+def test_licences_with_names_and_tags():
+    for name in ("the copyright holder", "Example Inc.", "The University of Somewhere, its Regents"):
+        assert [m[0] for m in scan_text(BSD.format(name))[1]] == ["BSD-3-Clause"], name
+    assert [m[0] for m in scan_text(BSD.format("x" * 500))[1]] == ["BSD-2-Clause"]
+    for text, licence in (("// SPDX-License-Identifier: MIT\nint main", "MIT"), ("# SPDX-License-Identifier: GPL-2.0-or-later\n", "GPL-2.0-or-later"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"), ("Licensed under the GNU LGPL v3.", "LGPL-3.0-only"), ("a. This project is licensed under the MIT License.", "MIT")):
+        assert [m[0] for m in scan_text(text)[1]] == [licence], text
+
+
+def test_licence_sequences_against_all_rules():
+    """Rules against sequences of sentences, by trying every rule at every place."""
+    r = random.Random(11)
+    names = [n for n, s in SENTENCES.items() if "{" not in s]
+    unknown = "Nothing of that kind is said about any software here"
+    parts = {s: license_parts(s) for s in names}
+    by_parts = {}
+    for s in names:
+        by_parts.setdefault(parts[s], set()).add(s)
+    same = {s: by_parts[parts[s]] for s in names}
+    for _ in range(100):
+        picked = []
+        while len(picked) < 6:
+            licence, rule = r.choice(RULES)
+            picked += [x for s in (rule if r.random() < 0.6 else r.sample(names, 2)) if s in names for x in ([None] * r.choice((0, 0, 0, 1, 2)) + [s])]
+        text, at, i, want = ".\n\n".join(unknown if s is None else SENTENCES[s] for s in picked), 0, 0, []
+        known = [k for k, s in enumerate(picked) if s is not None]
+        while i < len(known):
+            best = ("", 0)
+            for licence, rule in RULES:
+                own = known[i : i + len(rule)]
+                if len(own) == len(rule) and all(x in same[picked[k]] for k, x in zip(own, rule, strict=True)) and all(b - a <= 2 for a, b in pairwise(own)):
+                    best = max(best, (licence, len(rule)), key=lambda x: x[1])
+            if best[1]:
+                want.append(best[0])
+            i += best[1] or 1
+        assert [m[0] for m in scan_text(text)[1]] == want, text
+
+
+def license_parts(name):
+    from lorekeep.llm.license_scan import ENDS, normalised
+
+    return tuple(filter(None, map(normalised, ENDS.split(SENTENCES[name]))))
+
+
+def test_licences_of_long_texts_take_linear_time():
+    for text in ("see the license below\n" + "---\n" * 250_000, "permission is\nhereby\ngranted\n" * 40_000, "licence " * 125_000):
+        start = time.time()
+        assert scan_text(text)[1] == []
+        assert time.time() - start < 20
+
+
+def test_secret_store_scans_nothing_twice(spark, tmp_path):
+    store = f"file://{tmp_path}/ledger"
+    texts = ["a token=abcdefgh12 b", None, "", "plain", "a token=abcdefgh12 b"]
+    first = secret_report(docs(spark, texts), store).collect()
+    assert spark.read.parquet(store).count() == 3
+    more = [*texts, "secret: 0123456789"]
+    again = secret_report(docs(spark, more), store).collect()
+    assert spark.read.parquet(store).count() == 4  # the new text alone
+    plain = secret_report(docs(spark, more)).collect()
+    assert sorted(again) == sorted(plain) and sorted(first) == sorted(secret_report(docs(spark, texts)).collect())
+    # another version of the rules sees all texts anew
+    scan_secrets(docs(spark, more), store=store, rule_version="other").paths.collect()
+    assert spark.read.parquet(store).count() == 8
+
+
+def test_fingerprints_of_null_and_repeated_ids(spark):
+    """Each text's next one against the plain order, and fingerprints against plain sets of hashes."""
+    r = random.Random(3)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, " ".join(r.choices("abcdefgh", k=r.randint(0, 30)))) for i in range(400)]
+    got = fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 400 and sum(x.doc_id is None for x in got) == 134
+    assert Counter((x.doc_id, x.n_chars) for x in got) == Counter((i, len(t)) for i, t in rows)
+    # every text is edited with the beginning of one that follows it in the order: of ids without equals it is known
+    order = sorted({i for i, _ in rows if i is not None and i != 7}, reverse=True)
+    texts = {i: t for i, t in rows}
+    own = {x.doc_id: x for x in got if x.doc_id not in (None, 7)}
+    for a, b in pairwise(order):
+        if not a > 7 > b:
+            half = len(texts[a]) // 2
+            assert own[a].edited_sha256 == hashlib.sha256((texts[a][: len(texts[a]) - half] + texts[b][:half]).encode()).hexdigest()
+
+
+def test_fingerprints_against_plain_sets(spark):
+    texts = ["a b c d e f g h i j k l m n o p", "A b\tc  d e f", "x y", "", "one one one one one one one"]
+
+    def hashed(words):
+        out = 42
+        for w in words:
+            out = xxhash.xxh64_intdigest(struct.pack("<Q", xxhash.xxh64_intdigest(w.encode(), 42)), out)
+        return out - (1 << 64) if out >> 63 else out
+
+    for x in fingerprint_report(docs(spark, texts)).collect():
+        words = texts[x.doc_id].lower().split()
+        every = sorted({hashed(words[i : i + 5]) for i in range(max(1, len(words) - 4))}) if words else []
+        kept = [h for h in every if h < BOUND] or every[:1]
+        assert x.fingerprint == "".join(f"{h & 0xFFFFFFFFFFFFFFFF:016X}" for h in kept)

@@ -1,6 +1,7 @@
 """Corpus operators with models, vectors or pieces."""
 
 import random
+import time
 import zlib
 
 import corpus_pipeline
@@ -254,3 +255,68 @@ def test_pipeline_keeps_clean_documents(spark):
     clean = {r.doc_id for r in labels.where("toxic = 0").collect()} & near
     assert len(clean - kept) <= 0.02 * len(clean)
     assert corpus_pipeline.ORACLE_SQL is None and [n for n, _ in corpus_pipeline.STAGES][0] == "toxicity"
+
+
+def test_near_embeddings_of_extreme_vectors_and_without_a_limit_of_probes(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=(300, 8))
+    vectors = [*(base * 10.0 ** r.integers(-3, 3, (300, 1))), *(base[:50] + r.normal(size=(50, 8)) * 0.05)]
+    rows = [(i, 0, v.tolist()) for i, v in enumerate(vectors)] + [(900, 0, [1e-170] * 8), (901, 0, [1e-200] * 8), (902, 0, [1e300] * 8), (903, 0, [0.0] * 8), (904, 0, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    valid = [(i, np.array(v) / np.abs(v).max()) for i, _, v in rows if np.isfinite(v).all() and any(v)]
+    units = np.array([v / np.linalg.norm(v) for _, v in valid])
+    want = dict(zip([i for i, _ in valid], ((units @ units.T >= 0.93).sum(1) - 1).tolist(), strict=True)) | {903: 0, 904: 0}
+    got = near_embeddings(df, probes=None, list_size=10).collect()
+    assert {x.vec_id: x.n_links for x in got} == want and want[900] >= 2
+    few = near_embeddings(df, probes=1, list_size=10).collect()
+    assert all(x.n_links <= want[x.vec_id] for x in few)
+
+
+def test_long_words_and_tokens_take_linear_time(spark):
+    pieces = Pieces.load()
+    encoder = Encoder(pieces)
+    start = time.time()
+    word = "abcdefghij" * 3_000
+    found = encoder.encode([word, "x" * 30_000])
+    assert encoder.decode(found[0][0][1]) == word and len(found[0]) == 4 and found[0][0][0] >= found[0][1][0]
+    assert time.time() - start < 60
+    counts = np.zeros(64**3)
+    start = time.time()
+    restored = CharacterModel(counts).restore("a1b@c" * 60_000)
+    assert len(restored) == 300_000 and time.time() - start < 60
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows = [(1, "one two three four five six seven", 0.5, 3, 0.1), (1, "one two three four five six seven", 0.5, 3, 0.1), (2, None, None, None, None), (None, "", 1.0, 1, 1.0), (5, "idiot idiot token=abcdefgh12", 0.0, 0, 0.0), (6, "other words", 0.0, 0, 0.0), (6, "and more of other words", 0.0, 0, 0.0)]
+    names = "doc_id long, text string, score double, tokens long, p_low double, toxic_score string, row string, n_chars long, blob string, part int"
+    docs = spark.createDataFrame([(*r, "a", "b", 9, "c", 1) for r in rows], names)
+    labels = spark.createDataFrame([(1, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    for table, df in (("documents", docs), ("labels", labels)):
+        df.write.parquet(f"{tmp_path}/{table}.parquet")
+    folder = f"file://{tmp_path}"
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and {r.score for r in out.collect()} <= {r[2] for r in rows}
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, folder).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 1, 2, 5, 6]
+    masked = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.hide_secrets(spark, docs, folder).collect()}
+    assert masked[5] == ("idiot idiot [secret]", 20) and masked[2][0] is None
+    coded = corpus_pipeline.encode(spark, docs, folder).collect()
+    assert all(r.round_trip and len(r.next_ids) == len(r.next_scores) <= 3 for r in coded) and any(r.next_ids for r in coded)
+
+
+def test_mixing_against_a_plain_fit(spark):
+    """The rates' distance from the targets, against that of a plain projected gradient descent over all documents."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    targets = np.array([0.02, 0.5, 0.48])
+    found = mixture(docs, labels, targets.tolist()).toPandas()
+    a = (found[[f"p_{d}" for d in DOMAINS]].to_numpy() * found.tokens.to_numpy()[:, None]).T
+    want = targets * found.tokens.sum()
+    rate, step = np.ones(a.shape[1]), 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(3_000):
+        rate = np.maximum(rate - step * (a.T @ (a @ rate - want)), 0)
+    plain, own = (np.linalg.norm(a @ x - want) / want.sum() for x in (rate, found.rate.to_numpy()))
+    assert own <= plain + 1e-3
+    reached = found[[f"reached_{d}" for d in DOMAINS]].iloc[0].to_numpy(dtype=float)
+    assert np.abs(reached - a @ found.rate.to_numpy() / (a @ found.rate.to_numpy()).sum()).max() < 1e-6
