@@ -5,8 +5,9 @@ repeated) are lattices: each sign may stand for letters, or for nothing. A Viter
 search under a character trigram model picks the likeliest spelling; the model's
 counts come from every document. Signs at a word's edges and doubled letters are read
 both ways. Runs of short tokens are lattices too, in which a word may end or go on at
-each gap: their words of more than one token count beside the tokens' own. A logistic model over words and their beginnings,
-in the original and the restored spelling, then scores the text.
+each gap: their words of more than one token count beside the tokens' own. A logistic
+model over words and their beginnings, in the original and the restored spelling, then
+scores the text.
 
 The classifier is fitted on labelled rows outside the held-out third, at most
 ``SAMPLE`` of them, drawn by a hash of the id; its words are those whose rates differ
@@ -15,7 +16,7 @@ most between the classes. Only the text enters a score.
 Cases: null texts are empty; empty texts get the model's prior; with no usable labels
 every score is 0, with labels of one class it is their share; a row labelled twice
 counts as toxic if any label says so; a null id is not held out; an empty table gives
-an empty result; other columns are ignored.
+an empty result; other columns, whatever their names, are ignored or passed on.
 """
 
 from __future__ import annotations
@@ -48,8 +49,9 @@ PIECE, JOIN_ONE, JOIN, NUMBER, EDGE, FEATURE = 5, 0.5, 4.0, 3.0, 1.5, 7.0
 #: Letters of a word in pieces at most: repeated short tokens on end are no word.
 WORD_LETTERS = 32
 LETTERS = 64
-#: Tokens whose features a worker keeps.
-KEPT_TOKENS = 500_000
+NOTHING = frozenset([""])
+#: Tokens, and steps between them, that a worker remembers.
+KEPT_TOKENS = 120_000
 
 WORD = re.compile(r"[^\W\d_]+")
 TWICE_ON_END = re.compile(r"(.)\1")
@@ -93,6 +95,15 @@ def place(letter: str) -> int:
     return int(numbers(letter)[0])
 
 
+def unwound(word: tuple | None) -> str:
+    """The letters of a word held as (its beginning, last letter)."""
+    letters = []
+    while word is not None:
+        word, letter = word
+        letters.append(letter)
+    return "".join(reversed(letters))
+
+
 class CharacterModel:
     """Trigram log probabilities of letters, with 0 for a word's bounds."""
 
@@ -110,8 +121,9 @@ class CharacterModel:
 
     def likeliest(self, token: str) -> tuple[float, str]:
         """The cost and letters of a token's likeliest spelling."""
-        best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        before = ""
+        # by the last two letters: cost, and the spelling as (its beginning, last letter), so that long tokens aren't copied
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        before, logs = "", self.logs
         repeated = [n for _, run in groupby(token) for n in [len(list(run))] for _ in range(n)]
         for c, run in zip(token, repeated, strict=True):
             arcs: list[tuple[str, float]]
@@ -125,20 +137,20 @@ class CharacterModel:
             else:
                 arcs = [("", MARK)]
             before = c
-            following: dict[tuple[int, int], tuple[float, str]] = {}
+            following: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (i, j), (cost, spelled) in best.items():
                 for letter, price in arcs:
                     if letter:
                         k = place(letter)
-                        state, total, text = (j, k), cost + price - self.logs[i][j][k], spelled + letter
+                        state, total, text = (j, k), cost + price - logs[i][j][k], (spelled, letter)
                     else:
                         state, total, text = (i, j), cost + price, spelled
                     held = following.get(state)
-                    if held is None or (total, text) < held:
+                    if held is None or total < held[0]:
                         following[state] = (total, text)
             best = following
-        return min((cost - self.logs[i][j][0], spelled) for (i, j), (cost, spelled) in best.items())
-
+        cost, spelled = min(((cost - logs[i][j][0], spelled) for (i, j), (cost, spelled) in best.items()), key=lambda x: x[0])
+        return cost, unwound(spelled)
 
     def spanned(self, parts: list[str]) -> list[str]:
         """Spellings of pieces of one word that aren't ``FEATURE`` less likely than their words apart."""
@@ -202,12 +214,9 @@ class CharacterModel:
         out, done = [], best[0, 0][3]
         while done is not None:
             done, word = done
-            letters = []
-            while word is not None:
-                word, letter = word
-                letters.append(letter)
-            if len(letters) <= WORD_LETTERS:
-                out.append("".join(reversed(letters)))
+            spelled = unwound(word)
+            if len(spelled) <= WORD_LETTERS:
+                out.append(spelled)
         return out[::-1]
 
 
@@ -243,7 +252,7 @@ class Reader:
         """``CharacterModel.spanned``, kept."""
         found = self.read.get(parts)
         if found is None:
-            if len(self.read) >= KEPT_TOKENS // 10:
+            if len(self.read) >= KEPT_TOKENS // 4:
                 self.read.clear()
             found = self.read[parts] = self.model.spanned(list(parts))
         return found
@@ -300,7 +309,7 @@ def with_edges(token: str, plain: str) -> list[str]:
     return [x + plain + y for x, y in sides if x or y]
 
 
-@lru_cache(KEPT_TOKENS)
+@lru_cache(KEPT_TOKENS // 4)
 def piece(token: str) -> str | None:
     """What a token may add to a word spelled apart: without marks at its edges; null if it is too long."""
     inner = RUNS.sub("", token).strip(MARKS) or token[:1]
@@ -334,8 +343,10 @@ class Scorer:
         self.words = {folded(f) for f in short if not f.endswith("~")}
         self.wholes = {folded(f.rstrip("~")) for f in short}
         self.upto = {w[:k] for w in self.wholes for k in range(1, len(w))}
-        self.pieces: dict[str, tuple[str, ...]] = {}
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.pieces: dict[str, frozenset[str]] = {}
+        self.kept: dict[str, tuple[tuple[int, ...], bool]] = {}
+        #: Steps of the searches for words in pieces: by what tokens may be so far (none: nothing), and the next token.
+        self.steps: dict[tuple[frozenset[str], str], tuple[bool, frozenset[str], frozenset[str], bool]] = {}
         self.weights: np.ndarray | None = None
         self.prior = prior
         if len(chosen) and 0 < prior < 1:
@@ -382,90 +393,121 @@ class Scorer:
         """``found`` of ``reader.counts``, with the places of each token kept instead of its words."""
         tokens = text.lower().split()
         held: dict[int, int] = {}
+        opens, kept = set(), self.kept
         for token, n in Counter(tokens).items():
-            at = self.kept.get(token)
-            if at is None:
-                plain = token.strip(EDGES)
-                if plain.isalpha() and plain[:3] not in self.heads and token[0] not in EDGE_SIGNS and token[-1] not in EDGE_SIGNS and not EDGE_SIGNS.intersection(token) and not (TWICE_ON_END.search(plain) and self.single_head(plain)):
-                    at = ()
-                else:
-                    at = tuple(i for word in reader.words(token) for i in self.places(word))
-                if len(self.kept) >= KEPT_TOKENS:
-                    self.kept.clear()
-                self.kept[token] = at
+            own = kept.get(token)
+            if own is None:
+                own = self.learn(reader, token)
+            at, opening = own
+            if opening:
+                opens.add(token)
             for i in at:
                 held[i] = held.get(i, 0) + n
-        for word, n in self.in_pieces(reader, tokens).items():
-            for i in self.places(word):
-                held[i] = held.get(i, 0) + n
+        if opens:
+            for word, n in self.in_pieces(reader, tokens, opens).items():
+                for i in self.places(word):
+                    held[i] = held.get(i, 0) + n
         return list(held.items()), len(tokens)
 
+    def learn(self, reader: Reader, token: str) -> tuple[tuple[int, ...], bool]:
+        """The places of a token's words, and whether a word with a feature may begin with it; kept."""
+        plain = token if token.isalpha() else token.strip(EDGES)
+        plainly = plain is token or (plain.isalpha() and EDGE_SIGNS.isdisjoint(token))
+        if plainly and plain[:3] not in self.heads and not (TWICE_ON_END.search(plain) and self.single_head(plain)):
+            at = ()
+        else:
+            at = tuple(i for word in reader.words(token) for i in self.places(word))
+        # more letters than a piece has are no piece
+        opening = len(plain) <= PIECE and any(f in self.upto or any(f[:n] in self.wholes for n in range(1, len(f) + 1)) for f in self.foldings(token))
+        if len(self.kept) >= KEPT_TOKENS:
+            self.kept.clear()
+        self.kept[token] = at, opening
+        return at, opening
+
     def single_head(self, plain: str) -> bool:
         """Whether a word may begin like a feature when its repetitions go."""
         head = AGAIN.sub(r"\1", plain)[:3]
         return any(head[:k] in self.single for k in (1, 2, 3))
 
-    def foldings(self, token: str) -> tuple[str, ...]:
+    def foldings(self, token: str) -> frozenset[str]:
         """What a token may be in a feature, folded; empty if it is too long for a piece."""
         found = self.pieces.get(token)
         if found is None:
-            part = piece(token)
-            found = () if part is None else tuple(dict.fromkeys(folded(x) for x in (part, part.lstrip(EDGES), part.rstrip(EDGES), part.strip(EDGES), *((WORD.sub("", part) and "".join(WORD.findall(part)),) if WORD.search(part) else ()))))
+            part = piece(token) if len(token) <= PIECE or len(token.strip(EDGES)) <= PIECE else None
+            if part is None:
+                found = frozenset()
+            else:
+                readings = {part, part.lstrip(EDGES), part.rstrip(EDGES), part.strip(EDGES)}
+                if WORD.search(part) and WORD.sub("", part):
+                    readings.add("".join(WORD.findall(part)))
+                found = frozenset(map(folded, readings))
             if len(self.pieces) >= KEPT_TOKENS:
                 self.pieces.clear()
             self.pieces[token] = found
         return found
 
+    def step(self, now: frozenset[str], token: str) -> tuple[bool, frozenset[str], frozenset[str], bool]:
+        """What tokens on end may be with one more: whether a feature is begun, the beginnings of features, those and whole words, whether any is a whole word."""
+        found = self.steps.get((now, token))
+        if found is None:
+            both = {AGAIN.sub(r"\1", a + b) for a in now for b in self.foldings(token)}
+            begun = any(x[:n] in self.wholes for x in both for n in range(1, len(x) + 1))
+            some = frozenset(x for x in both if not x or x in self.upto)
+            more = frozenset(x for x in both if not x or x in self.upto or x in self.words)
+            if len(self.steps) >= KEPT_TOKENS:
+                self.steps.clear()
+            found = self.steps[now, token] = begun, some, more, not more.isdisjoint(self.words)
+        return found
+
     def reaches(self, tokens: list[str], at: int, vain: set[tuple]) -> bool:
         """Whether tokens from a place on may be pieces of a word with a feature; vain: gets what led to none, so that no run is walked again and again."""
         walked = []
-        now = set(self.foldings(tokens[at]))
+        now = self.foldings(tokens[at])
         for k in range(at + 1, min(len(tokens), at + 2 * WORD_LETTERS)):
-            now = {AGAIN.sub(r"\1", a + b) for a in now for b in self.foldings(tokens[k])}
-            if any(a[:n] in self.wholes for a in now for n in range(1, len(a) + 1)):
+            begun, now, _, _ = self.step(now, tokens[k])
+            if begun:
                 return True
-            now = {a for a in now if not a or a in self.upto}
-            step = (k, frozenset(now))
-            if not now or now == {""} or step in vain:
+            if now <= NOTHING or (k, now) in vain:
                 break
-            walked.append(step)
+            walked.append((k, now))
         vain.update(walked)
         return False
 
-    def spans(self, reader: Reader, tokens: list[str], opens: set[str]) -> Iterator[str]:
-        """Feature words that tokens on end spell, the longest from each, where words apart aren't far likelier."""
+    def spans(self, reader: Reader, tokens: list[str], places: list[int]) -> Iterator[str]:
+        """Feature words that tokens on end spell, the longest from each place, where words apart aren't far likelier."""
         end, vain = 0, set()
-        for at, token in enumerate(tokens):
-            if at < end or token not in opens:
+        for at in places:
+            if at < end:
                 continue
-            now, parts, best, walked, near = set(self.foldings(token)), [piece(token)], None, [], False
+            now, best, walked, near = self.foldings(tokens[at]), None, [], False
             for k in range(at + 1, min(len(tokens), at + 2 * WORD_LETTERS)):  # a mark after each letter at most
-                following = self.foldings(tokens[k])
                 before = now
-                now = {x for a in now for b in following for x in (AGAIN.sub(r"\1", a + b),) if not x or x in self.upto or x in self.words}
-                step = (k, frozenset(now))
-                if not now or now == {""} or step in vain:
+                _, _, now, whole = self.step(now, tokens[k])
+                if now <= NOTHING or (k, now) in vain:
                     break
-                walked.append(step)
-                parts.append(piece(tokens[k]))
-                if now != before and not now.isdisjoint(self.words):  # marks and repetitions add nothing
+                walked.append((k, now))
+                if whole and now != before:  # marks and repetitions add nothing
                     near = True
-                    best = next(((x, k) for x in reader.spanned(tuple(parts)) if x in self.chosen), best)
+                    parts = tuple(piece(t) for t in tokens[at : k + 1])
+                    best = next(((x, k) for x in reader.spanned(parts) if x in self.chosen), best)
             if not near:
                 vain.update(walked)
             if best:
                 end = best[1] + 1
                 yield best[0]
 
-    def in_pieces(self, reader: Reader, tokens: list[str]) -> Counter[str]:
-        """``spans``, and ``reader.spelled_apart`` of the runs that may hold a word with a feature."""
-        opens = {t for t in set(tokens) if any(f in self.upto or any(f[:n] in self.wholes for n in range(1, len(f) + 1)) for f in self.foldings(t))}
+    def in_pieces(self, reader: Reader, tokens: list[str], opens: set[str] | None = None) -> Counter[str]:
+        """``spans``, and ``reader.spelled_apart`` of the runs that may hold a word with a feature; opens: tokens that may begin one, if known."""
+        if opens is None:
+            opens = {t for t in set(tokens) if self.learn(reader, t)[1]}
         out: Counter[str] = Counter()
-        if not opens:
-            return out
+        # where a word with a feature may begin, and not end at once
+        first = {t: self.foldings(t) for t in opens}
+        step = self.step
+        places = [at for at, (token, following) in enumerate(pairwise(tokens)) if token in first for begun, some, more, _ in (step(first[token], following),) if begun or not (some <= NOTHING and more <= NOTHING)]
         end, vain = 0, set()
-        for at, token in enumerate(tokens):
-            if at >= end and token in opens and self.reaches(tokens, at, vain):
+        for at in places:
+            if at >= end and self.reaches(tokens, at, vain):
                 start = at
                 while start > end and self.foldings(tokens[start - 1]):
                     start -= 1
@@ -473,7 +515,7 @@ class Scorer:
                 while end < len(tokens) and self.foldings(tokens[end]):
                     end += 1
                 out.update(reader.spelled_apart(tokens[start:end]))
-        return out | Counter(self.spans(reader, tokens, opens))
+        return out | Counter(self.spans(reader, tokens, places))
 
     def score(self, found: list[tuple[int, int]], n: int) -> float:
         if self.weights is None:
