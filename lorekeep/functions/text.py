@@ -37,6 +37,9 @@ SECRETS = [
     r"-----BEGIN (RSA |OPENSSH |EC |DSA |)PRIVATE KEY-----[\s\S]*?-----END (RSA |OPENSSH |EC |DSA |)PRIVATE KEY-----",
     r"@(AIza[0-9A-Za-z_-]{35})@",
 ]
+#: Literals of which every match of a shape holds one, and, lower-cased, every match of a key's value or a bearer token.
+SHAPE_HINTS = ("sk-", "xox", "xapp-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "AKIA", "ASIA", "eyJ", "_live_", "_test_", "glpat-", "npm_", "hf_", "PRIVATE KEY-----", "AIza")
+KEY_HINTS = ("api", "access", "token", "secret", "password", "passwd", "pwd", "authorization", "bearer")
 KEY_VALUE = r"""(?i)\b((?:[A-Za-z0-9]+[_-])*(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd|authorization|bearer)(?:[_-][A-Za-z0-9]+)*)\b['"]?\s*[:=]\s*['"]?([^'"\s,;]{8,})"""
 BEARER = r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}"
 URL_PASSWORD = r"(?i)(\b[a-z][a-z0-9+.-]*://[^/\s:@]+:)[^@\s/]{3,}@"
@@ -93,15 +96,26 @@ def _fold(text: Column) -> Column:
 
 
 def redact(text: str | Column) -> Column:
-    """Credentials masked: known shapes, then values of telling keys, bearer tokens, passwords in URLs."""
-    out = reduce(lambda c, p: F.regexp_replace(c, p.replace("@", EDGE), "[REDACTED_SECRET]"), SECRETS, _col(text))
-    out = F.regexp_replace(out, KEY_VALUE, "$1: [REDACTED]")
-    out = F.regexp_replace(out, BEARER, "Bearer [REDACTED]")
-    return F.regexp_replace(out, URL_PASSWORD, "$1[REDACTED]@")
+    """Credentials masked: known shapes, then values of telling keys, bearer tokens, passwords in URLs.
+
+    Texts without a literal that any match holds aren't searched for patterns.
+    """
+    text = _col(text)
+    shaped = reduce(lambda c, p: F.regexp_replace(c, p.replace("@", EDGE), "[REDACTED_SECRET]"), SECRETS, text)
+    out = F.when(_any_of(text, SHAPE_HINTS), shaped).otherwise(text)
+    keyed = F.regexp_replace(out, KEY_VALUE, "$1: [REDACTED]")
+    keyed = F.regexp_replace(keyed, BEARER, "Bearer [REDACTED]")
+    keyed = F.regexp_replace(keyed, URL_PASSWORD, "$1[REDACTED]@")
+    return F.when(_any_of(F.lower(text), KEY_HINTS) | (F.contains(text, F.lit("://")) & F.contains(text, F.lit("@"))), keyed).otherwise(out)
+
+
+def _any_of(text: Column, literals: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in literals))
 
 
 def looks_like_secret(text: str | Column) -> Column:
-    return reduce(lambda a, b: a | b, (_col(text).rlike(p.replace("@", EDGE)) for p in SECRETS))
+    found = reduce(lambda a, b: a | b, (_col(text).rlike(p.replace("@", EDGE)) for p in SECRETS))
+    return _any_of(_col(text), SHAPE_HINTS) & found
 
 
 def parts(text: str | Column, size: int = 8000) -> Column:

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import Config, visible
+from .vector import Best, passes
+
+#: Documents of a product of matrices.
+BLOCK = 1024
 
 
 def postings(memories: DataFrame, terms: DataFrame) -> DataFrame:
@@ -38,21 +47,114 @@ def bm25(queries: DataFrame, memories: DataFrame, config: Config | None = None,
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("average")))
     weighted = found.join(frequency, "term").join(F.broadcast(corpus_statistics(memories)), F.lit(True)).select("term", "id", "project", weight.alias("weight"))
-    scopes = queries.select("query_id", "scope")
     wide = F.coalesce(F.size("scope"), F.lit(0)) <= 0
-    hits = asked.join(weighted, "term").groupBy("query_id", "id", "project").agg(F.sum("weight").alias("score"))
-    hits = hits.join(scopes, "query_id").where(wide | F.array_contains("scope", F.col("project"))).select("query_id", "id", "score")
+    scoped = asked.join(queries.select("query_id", "scope"), "query_id")
+    hits = scoped.join(weighted, "term").where(wide | F.array_contains("scope", F.col("project"))).groupBy("query_id", "id").agg(F.sum("weight").alias("score"))
     return hits if digits is None else hits.withColumn("score", F.round("score", digits))
 
 
 def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates", config: Config | None = None, digits: int | None = 6, syntax: bool = False) -> DataFrame:
-    """(query_id, id, score, rank from 0), the best of each query; with ``syntax``, phrases and demanded words count."""
-    scored = demanded(bm25(queries, memories, config, digits), queries, memories) if syntax else bm25(queries, memories, config, digits)
+    """(query_id, id, score, rank from 0), the best of each query; with ``syntax``, phrases and demanded words count.
+
+    The table is read twice, once for the words' frequencies and once for the scores: each task compares its documents
+    with all queries as one product of matrices, within their scopes, keeps the best of each query it has, and only
+    those meet in the window that ranks them. Queries go in passes of bounded size; those that demand words are
+    few, and are joined word by word.
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = scored.withColumn("rank", F.row_number().over(order) - 1)
-    if isinstance(k, int):
-        return ranked.where(F.col("rank") < k)
-    return ranked.join(queries.select("query_id", F.col(k).alias("k")), "query_id").where("rank < k").drop("k")
+    most = k if isinstance(k, int) else None
+    plain = queries
+    if syntax:
+        asked = clauses("text")
+        strict = queries.where((F.size(asked["all"]) > 0) | (F.size(asked["none"]) > 0))
+        plain = queries.join(strict.select("query_id"), "query_id", "left_anti")
+    rows = plain.select("query_id", F.array_distinct(tokens("text")).alias("terms"), "scope", (F.lit(most) if most else F.col(k)).cast("int").alias("k"))
+    out = None
+    for part in passes(rows.where(F.size("terms") > 0), lambda r: sum(len(t) + 60 for t in r["terms"])):
+        found = _scores(part, memories, config or Config(), digits)
+        out = found if out is None else out.unionByName(found)
+    if syntax:
+        limit = strict.select("query_id", (F.lit(most) if most else F.col(k)).cast("int").alias("k"))
+        found = demanded(bm25(strict, memories, config, digits), strict, memories).join(limit, "query_id").select("query_id", "id", "score", "k")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, score double, rank int")
+    return out.withColumn("rank", F.row_number().over(order) - 1).where("rank < k").drop("k")
+
+
+def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None) -> DataFrame:
+    """(query_id, id, score, k): what each task's documents have that may be among the best of a query."""
+    spark = memories.sparkSession
+    terms = sorted({t for r in rows for t in r["terms"]})
+    docs = memories.where(visible()).select("id", "project", tokens("document").alias("tokens"))
+    listed = spark.sparkContext.broadcast(terms)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df, n, length = pa.array(listed.value, pa.string()), np.zeros(len(listed.value), np.int64), 0, 0
+        for batch in batches:
+            doc, term, lengths = _terms(batch.column("tokens"), known)
+            df += np.bincount(np.unique(doc * len(df) + term) % len(df), minlength=len(df))
+            n += batch.num_rows
+            length += int(lengths.sum())
+        at = np.flatnonzero(df)
+        # the numbers of documents and of their words under -1 and -2
+        yield pa.RecordBatch.from_arrays([pa.array([*at.tolist(), -1, -2], pa.int64()), pa.array([*df[at].tolist(), n, length], pa.int64())], ["at", "n"])
+
+    df, sums = np.zeros(len(terms)), {}
+    for r in docs.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        if r["at"] < 0:
+            sums[r["at"]] = r["n"]
+        else:
+            df[r["at"]] = r["n"]
+    n, average = sums.get(-1, 0), sums.get(-2, 0) / max(1, sums.get(-1, 0))
+    weights = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (config.bm25_k1 + 1)
+    place = {t: i for i, t in enumerate(terms)}
+    asked = [np.array([place[t] for t in r["terms"]]) for r in rows]
+    held = spark.sparkContext.broadcast((terms, weights, average, asked, [set(r["scope"] or ()) for r in rows], [r["query_id"] for r in rows], [r["k"] for r in rows]))
+    kind = "long" if type(rows[0]["query_id"]) is int else "string"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, weights, average, asked, scopes, names, ks = held.value
+        known, best = pa.array(terms, pa.string()), Best(ks, largest=True)
+        wanted = np.zeros((len(asked), len(terms)), np.float32 if len(terms) * len(asked) > 1 << 24 else np.float64)
+        for q, own in enumerate(asked):
+            wanted[q, own] = 1.0
+        for batch in batches:
+            doc, term, lengths = _terms(batch.column("tokens"), known)
+            cell, tf = np.unique(doc * len(terms) + term, return_counts=True)
+            doc, term = cell // len(terms), cell % len(terms)
+            weight = weights[term] * tf / (tf + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * lengths[doc] / average))
+            ids = np.array(batch.column("id").to_pylist(), object)
+            projects, of = np.unique(np.array([p or "" for p in batch.column("project").to_pylist()]), return_inverse=True)
+            inside = {p: of == i for i, p in enumerate(projects.tolist())}
+            for cut in range(0, len(ids), BLOCK):
+                own = (doc >= cut) & (doc < cut + BLOCK)
+                used, column = np.unique(term[own], return_inverse=True)
+                block = np.zeros((len(used), min(BLOCK, len(ids) - cut)))
+                block[column, doc[own] - cut] = weight[own]
+                scores = wanted[:, used] @ block
+                if digits is not None:
+                    scores = np.round(scores, digits)
+                touched = (wanted[:, used] > 0).astype(np.float32) @ (block > 0).astype(np.float32) > 0
+                for q, scope in enumerate(scopes):
+                    mine = touched[q]
+                    if scope:
+                        mine = mine & np.any([inside[p][cut : cut + BLOCK] for p in scope if p in inside] or [np.zeros(len(mine), bool)], axis=0)
+                    at = np.flatnonzero(mine)
+                    if len(at):
+                        best.add(q, scores[q, at], ids[cut + at])
+        yield from best.batches(names, ks, "score", pa.int64() if kind == "long" else pa.string())
+
+    return docs.mapInArrow(score, f"query_id {kind}, id string, score double, k int")
+
+
+def _terms(column: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each listed token of some documents its document and its place in the list; the documents' lengths."""
+    flat = column.flatten()
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
+    hit = np.flatnonzero(at >= 0)
+    return np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit].astype(np.int64), lengths
 
 
 def clauses(text: str | Column) -> dict[str, Column]:

@@ -13,7 +13,7 @@ from .stats import home_project
 
 LOG = "## User's own words"
 TRIMMED = "- (earlier lines dropped)"
-LOG_MAX, BODY_MAX, MESSAGE_MAX = 8000, 12000, 500
+LOG_MAX, BODY_MAX, MESSAGE_MAX = 8000, 12000, 1000
 #: A heading in a body that imitates the log's.
 FAKE_LOG = r"(?im)^[ \t]*#{0,6}[ \t]*user.{0,3}s[ \t]+own[ \t]+words"
 #: Unsaved prompts after which a reminder is due.

@@ -26,6 +26,8 @@ class Options:
     exclude_reserved: bool = False
     recent_first: bool = False
     mmr: bool = True
+    #: Phrases, demanded and ruled-out words of a query count as such.
+    syntax: bool = False
 
 
 def candidates(queries: DataFrame, memories: DataFrame, options: Options | None = None, config: Config | None = None) -> DataFrame:
@@ -33,7 +35,7 @@ def candidates(queries: DataFrame, memories: DataFrame, options: Options | None
     o, c = options or Options(), config or Config()
     asked = with_limits(queries).where(F.trim("text") != "")
     seen = memories.where(visible())
-    both = fuse(nearest(asked, seen), text_top(asked, seen, config=c), c)
+    both = fuse(nearest(asked, seen), text_top(asked, seen, config=c, syntax=o.syntax), c)
     return both if o.durable_only else neighbour_bonus(both, seen, c)
 
 
@@ -73,7 +75,9 @@ def search(queries: DataFrame, memories: DataFrame, options: Options | None = No
     if o.recent_first:
         out = recent_first(rows)
     elif o.mmr and 0 < c.mmr_lambda < 1:
-        out = mmr(rows, c.mmr_lambda)
+        # the choice takes the small columns; the few chosen meet their documents afterwards
+        chosen = mmr(rows.select("query_id", "id", "project", "score", "on_topic", "updated_at", "embedding", "n"), c.mmr_lambda)
+        out = chosen.join(memories.select("id", "document"), "id")
     else:
         out = diversify(rows, [F.desc("score"), "id"])
     return out.select("query_id", "rank", "id", "project", "score", "on_topic", "updated_at", "document")

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 
 def diversify(items: DataFrame, order: list, n: str = "n") -> DataFrame:
@@ -38,9 +39,10 @@ def _cosines(held: list) -> np.ndarray:
 def mmr(items: DataFrame, weight: float = 0.5, digits: int = 9) -> DataFrame:
     """``items`` (query_id, id, score, embedding, n) chosen one by one for relevance and for difference from those chosen; ``rank`` from 1.
 
+    All columns go through the choice, so that ``items`` is computed once: give it no more than are needed.
     A candidate without a vector counts as the same as one chosen. A query has 1000 candidates at most, so its choice fits a task.
     """
-    schema = f"query_id {items.schema['query_id'].dataType.simpleString()}, id string, rank int"
+    schema = StructType([*items.schema.fields, StructField("rank", IntegerType())])
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
@@ -58,10 +60,11 @@ def mmr(items: DataFrame, weight: float = 0.5, digits: int = 9) -> DataFrame:
             value = np.where(left, np.round(weight * relevance - (1 - weight) * nearest, digits), -np.inf)
             chosen.append(int(value.argmax()))  # of equals the better ranked
             left[chosen[-1]] = False
-        return pd.DataFrame({"query_id": group.query_id.iloc[0], "id": group.id[chosen].to_numpy(), "rank": np.arange(1, len(chosen) + 1)})
+        out = group.iloc[chosen].reset_index(drop=True)
+        out["rank"] = np.arange(1, len(chosen) + 1)
+        return out
 
-    picked = items.select("query_id", "id", "score", "embedding", "n").groupBy("query_id").applyInPandas(choose, schema)
-    return items.join(picked, ["query_id", "id"])
+    return items.groupBy("query_id").applyInPandas(choose, schema)
 
 
 def following_capture(results: DataFrame, memories: DataFrame, reach: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,51 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when((F.size(x) == F.size(y)) & (F.size(x) > 0) & finite, value).otherwise(0.0)
 
 
+class Best:
+    """The best ids of each query among those that a task has seen; of equals the lesser ids."""
+
+    def __init__(self, ks: list[int], largest: bool) -> None:
+        self.ks, self.sign = ks, -1.0 if largest else 1.0
+        self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.sizes: dict[int, int] = {}
+
+    def add(self, q: int, values: np.ndarray, ids: np.ndarray) -> None:
+        self.held.setdefault(q, []).append((values, ids))
+        self.sizes[q] = self.sizes.get(q, 0) + len(values)
+        if self.sizes[q] > 4 * self.ks[q] + 4096:
+            self.cut(q)
+
+    def cut(self, q: int) -> tuple[np.ndarray, np.ndarray]:
+        values, ids = (np.concatenate(c) for c in zip(*self.held[q], strict=True))
+        if len(values) > self.ks[q]:
+            key = values * self.sign
+            # all that may be among the best, then ordered by their ids too
+            near = np.flatnonzero(key <= np.partition(key, self.ks[q] - 1)[self.ks[q] - 1]) if self.ks[q] > 0 else np.empty(0, np.int64)
+            near = near[np.lexsort((ids[near].astype(str), key[near]))][: self.ks[q]]
+            values, ids = values[near], ids[near]
+        self.held[q], self.sizes[q] = [(values, ids)], len(values)
+        return values, ids
+
+    def batches(self, names: list, ks: list[int], value: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for q in list(self.held):
+            values, ids = self.cut(q)
+            yield pa.RecordBatch.from_arrays([pa.array([names[q]] * len(ids), kind), pa.array(ids, pa.string()), pa.array(values, pa.float64()), pa.array([ks[q]] * len(ids), pa.int32())], ["query_id", "id", value, "k"])
+            del self.held[q]
+
+
+def passes(rows: DataFrame, size: Callable) -> Iterator[list]:
+    """Rows in lists of ``QUERY_BYTES`` at most, by the size that each is said to have."""
+    held, total = [], 0
+    for r in rows.toLocalIterator():
+        held.append(r)
+        total += size(r)
+        if total >= QUERY_BYTES:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def nearest(queries: DataFrame, memories: DataFrame, k: str | int = "candidates", digits: int | None = 6) -> DataFrame:
     """(query_id, id, distance, rank from 0): the exact nearest memories of each query, within its scope.
 
@@ -34,9 +79,8 @@ def nearest(queries: DataFrame, memories: DataFrame, k: str | int = "candidates"
     """
     most = k if isinstance(k, int) else None
     asked = queries.select("query_id", "embedding", "scope", *([] if most else [F.col(k).alias("k")])).where("embedding is not null")
-    held = _bounded(asked)
     out = None
-    for part in held:
+    for part in passes(asked, lambda r: 8 * len(r["embedding"]) + 64):
         found = _scan(part, memories, most, digits)
         out = found if out is None else out.unionByName(found)
     if out is None:
@@ -46,19 +90,6 @@ def nearest(queries: DataFrame, memories: DataFrame, k: str | int = "candidates"
     return out.withColumn("rank", F.row_number().over(order) - 1).where("rank < k").drop("k")
 
 
-def _bounded(asked: DataFrame) -> Iterator[list]:
-    """The queries in passes whose vectors fit ``QUERY_BYTES``."""
-    rows, size = [], 0
-    for r in asked.toLocalIterator():
-        rows.append(r)
-        size += 8 * len(r["embedding"]) + 64
-        if size >= QUERY_BYTES:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
 def _scan(rows: list, memories: DataFrame, most: int | None, digits: int | None) -> DataFrame:
     spark = memories.sparkSession
     dims = sorted({len(r["embedding"]) for r in rows})
@@ -75,9 +106,11 @@ def _scan(rows: list, memories: DataFrame, most: int | None, digits: int | None)
     kind = "long" if id_type is int else "string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        best = {d: Best(ks, largest=False) for d, (_, _, _, ks) in shared.value.items()}
         for batch in batches:
-            ids, projects = np.array(batch.column("id").to_pylist(), object), np.array(batch.column("project").to_pylist(), object)
+            ids, names = np.array(batch.column("id").to_pylist(), object), [p or "" for p in batch.column("project").to_pylist()]
+            projects, of = np.unique(np.array(names), return_inverse=True)
+            inside = {p: of == i for i, p in enumerate(projects.tolist())}
             held = batch.column("embedding").to_pylist()
             for d, (units, _, scopes, ks) in shared.value.items():
                 at = [i for i, v in enumerate(held) if v is not None and len(v) == d and None not in v]
@@ -90,15 +123,11 @@ def _scan(rows: list, memories: DataFrame, most: int | None, digits: int | None)
                 away = 1.0 - units @ rows.T
                 if digits is not None:
                     away = np.abs(np.round(away, digits))  # no negative zeros
-                for q, (scope, k) in enumerate(zip(scopes, ks, strict=True)):
-                    mine = np.flatnonzero([projects[i] in scope for i in own]) if scope else np.arange(len(own))
-                    far, names = away[q, mine], ids[own[mine]]
-                    if (d, q) in best:
-                        far, names = np.concatenate([best[d, q][0], far]), np.concatenate([best[d, q][1], names])
-                    by = np.lexsort((names.astype(str), far))[:k]
-                    best[d, q] = (far[by], names[by])
-        out = [(shared.value[d][1][q], n, float(f), int(shared.value[d][3][q])) for (d, q), (far, names) in best.items() for f, n in zip(far, names, strict=True)]
-        if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "id", "distance", "k"), x, strict=True)) for x in out], pa.schema([("query_id", pa.int64() if kind == "long" else pa.string()), ("id", pa.string()), ("distance", pa.float64()), ("k", pa.int32())]))
+                for q, scope in enumerate(scopes):
+                    mine = np.flatnonzero(np.any([inside[p][own] for p in scope if p in inside], axis=0)) if scope and any(p in inside for p in scope) else np.arange(0 if scope else len(own))
+                    if len(mine):
+                        best[d].add(q, away[q, mine], ids[own[mine]])
+        for d, (_, names, _, ks) in shared.value.items():
+            yield from best[d].batches(names, ks, "distance", pa.int64() if kind == "long" else pa.string())
 
     return memories.select("id", "project", "embedding").where("embedding is not null").mapInArrow(run, f"query_id {kind}, id string, distance double, k int")

@@ -15,8 +15,15 @@ def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
 
+#: Bytes of files that are dealt out over the cores: a small table often is one row group, which a single task reads.
+SMALL = (1 << 20, 1 << 28)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """An input table. A small one is spread over the cores by one cheap shuffle; others have splits enough."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(spark.sparkContext.defaultParallelism) if SMALL[0] <= size <= SMALL[1] else df
 
 
 def _case(key: Column, values: dict[int, str], otherwise: str) -> Column:

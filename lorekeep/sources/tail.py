@@ -53,6 +53,8 @@ class TailReader(DataSourceStreamReader):
         self.backfill = options.get("backfill", "false").lower() == "true"
         self.most = int(options.get("maxBytesPerFile", BATCH_BYTES))
         self.seen: dict[str, int] | None = None
+        #: Files that appeared after the start, with where they began to count.
+        self.fresh: dict[str, int] = {}
 
     def files(self) -> list[str]:
         found = []
@@ -66,8 +68,12 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         now = dict(self.seen if self.seen is not None else self.initialOffset())
         for p in self.files():
-            start = now.get(p, 0)
-            if start > os.path.getsize(p):
+            start = now.get(p)
+            if start is None and not self.backfill:
+                # a file that appears later starts at its last whole line too
+                self.fresh[p] = now[p] = whole_lines(p, 0, 1 << 62)
+                continue
+            if start is None or start > os.path.getsize(p):
                 start = 0
             now[p] = whole_lines(p, start, self.most)
         self.seen = now
@@ -77,7 +83,7 @@ class TailReader(DataSourceStreamReader):
         self.seen = dict(end)
         out = []
         for path, to in end.items():
-            at = start.get(path, 0)
+            at = start.get(path, self.fresh.get(path, 0 if self.backfill else to))
             if to < at:
                 at = 0
             if to > at:
