@@ -27,6 +27,15 @@ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM again),
 kept AS (SELECT doc_id, string_agg(ws[j], ' ' ORDER BY j) AS text FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w) ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id),
 removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op9_suffix_dedup": """WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT doc_id, i, md5(array_slice(t, i, i + 199)) AS h FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 198)) AS i FROM b)),
+again AS (SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+marked AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS new FROM again),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (SELECT doc_id, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS f, a - 1 AS u FROM runs UNION ALL SELECT doc_id, max(z), NULL FROM runs GROUP BY doc_id UNION ALL SELECT doc_id, 1, NULL FROM b ANTI JOIN runs USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(t, f, coalesce(u, octet_length(t)))), '' ORDER BY f) AS k FROM pieces JOIN b USING (doc_id) WHERE coalesce(u, octet_length(t)) >= f GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS n FROM runs GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, ''))) AS kept_sha256 FROM b LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)""",
     "op10_minhash_dedup": f"""WITH RECURSIVE w AS (SELECT doc_id, {_words("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
 sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i : i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS s FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
