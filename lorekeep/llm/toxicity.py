@@ -50,6 +50,7 @@ PIECE, JOIN_ONE, JOIN, NUMBER, EDGE, FEATURE = 5, 0.5, 4.0, 3.0, 1.5, 7.0
 WORD_LETTERS = 32
 LETTERS = 64
 NOTHING = frozenset([""])
+NONE: frozenset[str] = frozenset()
 #: Tokens, and steps between them, that a worker remembers.
 KEPT_TOKENS = 120_000
 
@@ -260,6 +261,13 @@ class Reader:
     def words(self, token: str) -> tuple[str, ...]:
         found = self.kept.get(token)
         if found is None:
+            inner = token.strip(MARKS)
+            if inner.isalpha():
+                # marks around letters say nothing: such words are kept without them, and only if they have other readings
+                if not TWICE_ON_END.search(inner):
+                    return (inner,)
+                if inner != token:
+                    return self.words(inner)
             plain = token.strip(EDGES)
             core = RUNS.sub("", token).strip(OUTER) if token[0] in MONEY or token[-1] in MONEY else plain
             found = (core,) if core.isalpha() else tuple(WORD.findall(token))
@@ -331,6 +339,10 @@ def folded(letters: str) -> str:
     return AGAIN.sub(r"\1", "".join(WORD.findall(letters.translate(FOLDED))))
 
 
+#: The step to a token that is no piece.
+NOWHERE = (False, NONE, NONE, False)
+
+
 class Scorer:
     """A logistic model over damped counts and rates of chosen features."""
 
@@ -345,8 +357,8 @@ class Scorer:
         self.upto = {w[:k] for w in self.wholes for k in range(1, len(w))}
         self.pieces: dict[str, frozenset[str]] = {}
         self.kept: dict[str, tuple[tuple[int, ...], bool]] = {}
-        #: Steps of the searches for words in pieces: by what tokens may be so far (none: nothing), and the next token.
-        self.steps: dict[tuple[frozenset[str], str], tuple[bool, frozenset[str], frozenset[str], bool]] = {}
+        #: Steps of the searches for words in pieces: by what tokens may be so far (none: nothing), and what the next token may be.
+        self.steps: dict[tuple[frozenset[str], frozenset[str]], tuple[bool, frozenset[str], frozenset[str], bool]] = {}
         self.weights: np.ndarray | None = None
         self.prior = prior
         if len(chosen) and 0 < prior < 1:
@@ -397,6 +409,8 @@ class Scorer:
         for token, n in Counter(tokens).items():
             own = kept.get(token)
             if own is None:
+                if self.vain(token):
+                    continue
                 own = self.learn(reader, token)
             at, opening = own
             if opening:
@@ -409,6 +423,13 @@ class Scorer:
                     held[i] = held.get(i, 0) + n
         return list(held.items()), len(tokens)
 
+    def vain(self, token: str) -> bool:
+        """Whether a token is no piece, and all its readings have three first letters that no feature has; not kept, so that rare long words drive out no others."""
+        # signs after six letters or more, and repetitions after the first three, leave these as they are
+        plain = token if token.isalpha() else token.rstrip(EDGES).lstrip(MARKS)
+        head = plain[:3]
+        return len(plain) > PIECE and head not in self.heads and head[0] != head[1] != head[2] and plain.isalpha()
+
     def learn(self, reader: Reader, token: str) -> tuple[tuple[int, ...], bool]:
         """The places of a token's words, and whether a word with a feature may begin with it; kept."""
         plain = token if token.isalpha() else token.strip(EDGES)
@@ -431,11 +452,13 @@ class Scorer:
 
     def foldings(self, token: str) -> frozenset[str]:
         """What a token may be in a feature, folded; empty if it is too long for a piece."""
+        if len(token) > PIECE and len(token.strip(EDGES)) > PIECE:
+            return NONE
         found = self.pieces.get(token)
         if found is None:
-            part = piece(token) if len(token) <= PIECE or len(token.strip(EDGES)) <= PIECE else None
+            part = piece(token)
             if part is None:
-                found = frozenset()
+                found = NONE
             else:
                 readings = {part, part.lstrip(EDGES), part.rstrip(EDGES), part.strip(EDGES)}
                 if WORD.search(part) and WORD.sub("", part):
@@ -448,15 +471,18 @@ class Scorer:
 
     def step(self, now: frozenset[str], token: str) -> tuple[bool, frozenset[str], frozenset[str], bool]:
         """What tokens on end may be with one more: whether a feature is begun, the beginnings of features, those and whole words, whether any is a whole word."""
-        found = self.steps.get((now, token))
+        more_letters = self.foldings(token)
+        if not more_letters:
+            return NOWHERE
+        found = self.steps.get((now, more_letters))
         if found is None:
-            both = {AGAIN.sub(r"\1", a + b) for a in now for b in self.foldings(token)}
+            both = {AGAIN.sub(r"\1", a + b) for a in now for b in more_letters}
             begun = any(x[:n] in self.wholes for x in both for n in range(1, len(x) + 1))
             some = frozenset(x for x in both if not x or x in self.upto)
             more = frozenset(x for x in both if not x or x in self.upto or x in self.words)
             if len(self.steps) >= KEPT_TOKENS:
                 self.steps.clear()
-            found = self.steps[now, token] = begun, some, more, not more.isdisjoint(self.words)
+            found = self.steps[now, more_letters] = begun, some, more, not more.isdisjoint(self.words)
         return found
 
     def reaches(self, tokens: list[str], at: int, vain: set[tuple]) -> bool:

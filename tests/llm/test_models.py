@@ -178,6 +178,15 @@ def test_spaced_edged_and_doubled_words_are_restored(spark):
     for long in ("word " * 20000, "i " * 20000, "i - " * 10000):
         assert scorer.find(reader, long)[0] == [] and reader.counts(long)[1] == 20000
     assert not any(scorer.in_pieces(reader, t.lower().split())[w] for t in texts[:300] for w in scorer.chosen)
+    # words passed over unread have no reading with a feature; marks around letters change nothing
+    forms = ("{}", "{}!", "{}$$$", "***{}&&&", "({})!", "{}1", "«{}!!", "$${}", "{}{}", "{}|.")
+    tokens = {f.format(w, w) for t in texts[:60] for w in t.lower().split()[:40] for f in forms} | {f.format(w, w) for w in ("iidiot", "mmmoron", "stupidly", "losersss", "clowns") for f in forms}
+    for token in tokens:
+        if scorer.vain(token):
+            assert not any(scorer.places(w) for w in reader.words(token)) and not scorer.foldings(token), token
+    for token in ("idiot", "idiiot", "clownish"):
+        assert reader.words(f"***{token}&&&") == reader.words(token)
+        assert scorer.find(reader, f"an {token}%%%")[0] == scorer.find(reader, f"an {token}")[0]
 
 
 def test_toxicity_on_held_out_labels(spark):
