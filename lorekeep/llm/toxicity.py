@@ -51,8 +51,8 @@ WORD_LETTERS = 32
 LETTERS = 64
 NOTHING = frozenset([""])
 NONE: frozenset[str] = frozenset()
-#: Tokens, and steps between them, that a worker remembers.
-KEPT_TOKENS = 120_000
+#: Tokens that a worker remembers; of those that are read by letters, and of steps between them, each far larger.
+KEPT_TOKENS, KEPT_READINGS = 120_000, 30_000
 
 WORD = re.compile(r"[^\W\d_]+")
 TWICE_ON_END = re.compile(r"(.)\1")
@@ -253,7 +253,7 @@ class Reader:
         """``CharacterModel.spanned``, kept."""
         found = self.read.get(parts)
         if found is None:
-            if len(self.read) >= KEPT_TOKENS // 4:
+            if len(self.read) >= KEPT_READINGS:
                 self.read.clear()
             found = self.read[parts] = self.model.spanned(list(parts))
         return found
@@ -275,7 +275,7 @@ class Reader:
                 if not core.isalpha() or TWICE_ON_END.search(core):
                     found = (*found, self.model.restore(core))
                 found = tuple(dict.fromkeys((*found, *(self.model.restore(x) for x in with_edges(token, plain)))))
-            if len(self.kept) >= KEPT_TOKENS:
+            if len(self.kept) >= KEPT_READINGS:
                 self.kept.clear()
             self.kept[token] = found
         return found
@@ -317,7 +317,7 @@ def with_edges(token: str, plain: str) -> list[str]:
     return [x + plain + y for x, y in sides if x or y]
 
 
-@lru_cache(KEPT_TOKENS // 4)
+@lru_cache(KEPT_READINGS)
 def piece(token: str) -> str | None:
     """What a token may add to a word spelled apart: without marks at its edges; null if it is too long."""
     inner = RUNS.sub("", token).strip(MARKS) or token[:1]
@@ -464,7 +464,7 @@ class Scorer:
                 if WORD.search(part) and WORD.sub("", part):
                     readings.add("".join(WORD.findall(part)))
                 found = frozenset(map(folded, readings))
-            if len(self.pieces) >= KEPT_TOKENS:
+            if len(self.pieces) >= KEPT_READINGS:
                 self.pieces.clear()
             self.pieces[token] = found
         return found
@@ -480,7 +480,7 @@ class Scorer:
             begun = any(x[:n] in self.wholes for x in both for n in range(1, len(x) + 1))
             some = frozenset(x for x in both if not x or x in self.upto)
             more = frozenset(x for x in both if not x or x in self.upto or x in self.words)
-            if len(self.steps) >= KEPT_TOKENS:
+            if len(self.steps) >= KEPT_READINGS:
                 self.steps.clear()
             found = self.steps[now, more_letters] = begun, some, more, not more.isdisjoint(self.words)
         return found
