@@ -30,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ MARK = "▁"
 BEST = 4
 #: What a character without a piece scores below the least piece.
 UNKNOWN = 10.0
+#: Bytes of text that are encoded and sent on at once.
+PORTION = 2 << 20
 #: Words that a worker remembers; words searched at once.
 REMEMBERED, GROUP = 300_000, 100_000
 #: Cells of a table of words and piece lengths at once; letters of a word that is searched by itself.
@@ -385,6 +388,16 @@ class Encoder:
         return b"".join([known[i] for i in np.frombuffer(packed, "<i4").tolist()]).decode()[1:]
 
 
+def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``PORTION`` bytes of text and whole rows: N segmentations are several times as large as their text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def encode_documents(docs: DataFrame, path: str = "doc_id", text: str = "text", model: str = MODEL, best: int = BEST, digest: bool = False, alternatives: bool = True) -> DataFrame:
     """The documents' other columns with n_tokens, ids (little-endian 32-bit), scores and n_best (ids of each segmentation), decoded.
 
@@ -398,7 +411,7 @@ def encode_documents(docs: DataFrame, path: str = "doc_id", text: str = "text",
         encoder = Encoder(shared.value, most)
         sha = lambda x: hashlib.sha256(x).digest() if digest else x
         names = ["path", "n_tokens", "ids", "scores", "n_best", "decoded", "round_trip"]
-        for batch in batches(rows):
+        for batch in (part for whole in batches(rows) for part in portions(whole)):
             out: list[list] = [[] for _ in names[1:]]
             texts = batch.column("text").to_pylist()
             for text, found in zip(texts, encoder.encode(texts), strict=True):
