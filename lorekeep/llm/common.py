@@ -76,6 +76,11 @@ def numbered(df: DataFrame, columns: dict[str, str | F.Column]) -> DataFrame:
     return df.select(F.xxhash64("_metadata.file_path").alias("file"), F.coalesce(F.col("_metadata.row_index"), F.lit(-1).cast("long")).alias("row"), *own)
 
 
+def plain_scan(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns; what isn't a plain scan of files is written to the shared folder first, for operators that read it again and again."""
+    return df.select(*columns) if _scans_files(df) else stash(df.select(*columns))
+
+
 def _scans_files(df: DataFrame) -> bool:
     """Whether a plan only picks rows and columns of Parquet files."""
     plan = df._jdf.queryExecution().analyzed()

@@ -15,7 +15,37 @@ reach(id, root) AS (SELECT id, id FROM {ids} UNION SELECT ways.b, reach.root FRO
 roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id)"""
 
 
+def _clusters(k: int, rounds: int) -> str:
+    """Rounds of centroids (n, i, c: number, component from 1, value) written out, as recursion can't aggregate."""
+    near = "(SELECT id, arg_min(struct_pack(n := n, d := d), (d, n)) AS x FROM (SELECT v.id, c.n, list_sum([(a[1] - a[2]) * (a[1] - a[2]) FOR a IN list_zip(v.e, c.c)])::HUGEINT AS d FROM v, {c} c) GROUP BY id)"
+    parts = [
+        "WITH v AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, [floor(256 * x::DOUBLE)::HUGEINT FOR x IN embedding] AS e FROM embeddings WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF isfinite(x)]) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, e) - 1 AS n, e AS c FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k}))",
+    ]
+    for r in range(rounds):
+        parts.append(f"m{r} AS MATERIALIZED (SELECT n, i, floor_div(sum(x), count(*)) AS x FROM (SELECT a.x.n AS n, unnest(range(1, 65)) AS i, unnest(v.e) AS x FROM {near.format(c=f'c{r}')} a JOIN v USING (id)) GROUP BY n, i)")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.n, coalesce(s.c, c.c) AS c FROM c{r} c LEFT JOIN (SELECT n, list(x ORDER BY i) AS c FROM m{r} GROUP BY n) s USING (n))")
+    text = ", ".join(parts).replace("floor_div(sum(x), count(*))", "((sum(x) - (((sum(x) % count(*)) + count(*)) % count(*))) // count(*))")
+    return (
+        text
+        + f", last AS MATERIALIZED (SELECT id, x.n AS n, x.d AS d FROM {near.format(c=f'c{rounds}')}) SELECT vec_id, last.n::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY last.n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256 FROM last JOIN v USING (id) JOIN c{rounds} c ON c.n = last.n"
+    )
+
+
 ORACLES: dict[str, str] = {
+    "op11_centroid_clusters": _clusters(40, 5),
+    "op12_source_divergence": r"""WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+w AS (SELECT id, lang, source, unnest(ts) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(n) AS n FROM kept GROUP BY lang),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+grp AS (SELECT DISTINCT lang, source FROM d),
+total AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS n FROM grp g LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * s.v) AS p, 1 + (1000000000::HUGEINT * (k.n + 5)) // (s.n + 5 * s.v) AS q FROM total g JOIN size s USING (lang) JOIN kept k USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term) QUALIFY part = 'pair' OR rank <= 50""",
     "op4_embedding_dedup": "WITH RECURSIVE v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), "
     "links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.label = y.label AND x.id < y.id WHERE list_cosine_similarity(x.e, y.e) >= 0.93),"
     + _reach("v", "links")

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster_report
 from .common import shared_folder, table
 from .embedding_dedup import near_embeddings
 from .fingerprint import fingerprint_report
@@ -13,8 +14,10 @@ from .license_scan import licence_report
 from .minhash_dedup import near_duplicates
 from .mixing import mixture
 from .oracles import ORACLES as ORACLES
+from .quality import quality_report
 from .secret_scan import secret_report
 from .sentencepiece_nbest import encoding_report
+from .source_divergence import divergence
 from .substring_dedup import window_report
 from .suffix_dedup import byte_report
 from .toxicity import toxicity_report
@@ -70,4 +73,34 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_license_scan, op3_sentencepiece, op4_embedding_dedup, op5_fingerprint, op6_toxicity, op7_mixing, op8_substring_dedup, op9_suffix_dedup, op10_minhash_dedup)}
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all vectors after five rounds of moving 40 centroids."""
+    return cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that each uses more than its language."""
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_ALL = (
+    op1_secret_scan,
+    op2_license_scan,
+    op3_sentencepiece,
+    op4_embedding_dedup,
+    op5_fingerprint,
+    op6_toxicity,
+    op7_mixing,
+    op8_substring_dedup,
+    op9_suffix_dedup,
+    op10_minhash_dedup,
+    op11_centroid_clusters,
+    op12_source_divergence,
+    op13_quality,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
