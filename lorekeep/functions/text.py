@@ -68,9 +68,19 @@ def topic_keywords(text: str | Column) -> Column:
     return F.array_distinct(F.filter(bare, lambda t: (F.char_length(t) >= 2) & ~t.isin(*FILLERS)))
 
 
+def all_tokens(text: str | Column) -> Column:
+    """Lower-cased runs of letters and digits, each in its place."""
+    return F.regexp_extract_all(F.lower(_col(text)), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def fits(token: str | Column) -> Column:
+    """Whether the index holds a token: longer ones keep their place, but can't be found."""
+    return F.octet_length(_col(token)) <= 40
+
+
 def tokens(text: str | Column) -> Column:
     """The index's tokens: lower-cased runs of letters and digits of at most 40 bytes."""
-    return F.filter(F.regexp_extract_all(F.lower(_col(text)), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda t: F.octet_length(t) <= 40)
+    return F.filter(all_tokens(text), fits)
 
 
 def is_korean(text: str | Column) -> Column:

@@ -7,15 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import Config, visible
+from . import boolean
 from .vector import Best, passes
 
-#: Documents of a product of matrices.
-BLOCK = 1024
+#: Pairs of a posting and a query that are added up at once.
+CELLS = 1 << 21
 
 
 def postings(memories: DataFrame, terms: DataFrame) -> DataFrame:
@@ -54,28 +55,29 @@ def bm25(queries: DataFrame, memories: DataFrame, config: Config | None = None,
 
 
 def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates", config: Config | None = None, digits: int | None = 6, syntax: bool = False) -> DataFrame:
-    """(query_id, id, score, rank from 0), the best of each query; with ``syntax``, phrases and demanded words count.
+    """(query_id, id, score, rank from 0), the best of each query; with ``syntax``, texts of the query syntax count as such.
 
     The table is read twice, once for the words' frequencies and once for the scores: each task compares its documents
-    with all queries as one product of matrices, within their scopes, keeps the best of each query it has, and only
-    those meet in the window that ranks them. Queries go in passes of bounded size; those that demand words are
-    few, and are joined word by word.
+    with all queries as one sparse product, within their scopes, keeps the best of each query it has, and only
+    those meet in the window that ranks them. Queries go in passes of bounded size; those that say more than words
+    are few, and are joined to positional postings.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     most = k if isinstance(k, int) else None
-    plain = queries
+    limit = (F.lit(most) if most else F.col(k)).cast("int").alias("k")
+    config, plain, out = config or Config(), queries, None
     if syntax:
-        asked = clauses("text")
-        strict = queries.where((F.size(asked["all"]) > 0) | (F.size(asked["none"]) > 0))
-        plain = queries.join(strict.select("query_id"), "query_id", "left_anti")
-    rows = plain.select("query_id", F.array_distinct(tokens("text")).alias("terms"), "scope", (F.lit(most) if most else F.col(k)).cast("int").alias("k"))
-    out = None
+        nodes = boolean.trees(queries.select("query_id", "text"))
+        odd = boolean.strict(nodes)
+        deepest = odd.agg(F.max("depth")).first()[0]
+        if deepest is not None:
+            plain = queries.join(odd, "query_id", "left_anti")
+            hits = boolean.evaluate(queries, nodes.join(odd.select("query_id"), "query_id", "left_semi"), deepest, memories, corpus_statistics(memories), config)
+            score = F.col("score") if digits is None else F.round("score", digits)
+            out = hits.withColumn("score", score).join(queries.select("query_id", limit), "query_id").select("query_id", "id", "score", "k")
+    rows = plain.select("query_id", F.array_distinct(tokens("text")).alias("terms"), "scope", limit)
     for part in passes(rows.where(F.size("terms") > 0), lambda r: sum(len(t) + 60 for t in r["terms"])):
-        found = _scores(part, memories, config or Config(), digits)
-        out = found if out is None else out.unionByName(found)
-    if syntax:
-        limit = strict.select("query_id", (F.lit(most) if most else F.col(k)).cast("int").alias("k"))
-        found = demanded(bm25(strict, memories, config, digits), strict, memories).join(limit, "query_id").select("query_id", "id", "score", "k")
+        found = _scores(part, memories, config, digits)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return queries.sparkSession.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, id string, score double, rank int")
@@ -83,7 +85,7 @@ def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates
 
 
 def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None) -> DataFrame:
-    """(query_id, id, score, k): what each task's documents have that may be among the best of a query."""
+    """(query_id, id, score, k): what each task's documents have that may be among the best of a query. What a task holds grows with the queries' words, not with their product."""
     spark = memories.sparkSession
     terms = sorted({t for r in rows for t in r["terms"]})
     docs = memories.where(visible()).select("id", "project", tokens("document").alias("tokens"))
@@ -116,33 +118,43 @@ def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights, average, asked, scopes, names, ks = held.value
         known, best = pa.array(terms, pa.string()), Best(ks, largest=True)
-        wanted = np.zeros((len(asked), len(terms)), np.float32 if len(terms) * len(asked) > 1 << 24 else np.float64)
-        for q, own in enumerate(asked):
-            wanted[q, own] = 1.0
+        # the queries of each term, on end
+        of_term = np.concatenate(asked)
+        order = np.argsort(of_term, kind="stable")
+        askers = np.repeat(np.arange(len(asked)), [len(own) for own in asked])[order]
+        first = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+        wide = np.array([not scope for scope in scopes])
         for batch in batches:
             doc, term, lengths = _terms(batch.column("tokens"), known)
             cell, tf = np.unique(doc * len(terms) + term, return_counts=True)
             doc, term = cell // len(terms), cell % len(terms)
             weight = weights[term] * tf / (tf + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * lengths[doc] / average))
             ids = np.array(batch.column("id").to_pylist(), object)
-            projects, of = np.unique(np.array([p or "" for p in batch.column("project").to_pylist()]), return_inverse=True)
-            inside = {p: of == i for i, p in enumerate(projects.tolist())}
-            for cut in range(0, len(ids), BLOCK):
-                own = (doc >= cut) & (doc < cut + BLOCK)
-                used, column = np.unique(term[own], return_inverse=True)
-                block = np.zeros((len(used), min(BLOCK, len(ids) - cut)))
-                block[column, doc[own] - cut] = weight[own]
-                scores = wanted[:, used] @ block
+            projects = [p or "" for p in batch.column("project").to_pylist()]
+            # documents on end whose postings meet ``CELLS`` queries at most
+            met = np.diff(first)[term]
+            sums = np.concatenate([[0], np.cumsum(met)])
+            start = 0
+            while start < len(doc):
+                end = max(int(np.searchsorted(sums, sums[start] + CELLS, "right")) - 1, start + 1)
+                if end < len(doc):  # whole documents, one at least
+                    back = int(np.searchsorted(doc, doc[end]))
+                    end = back if back > start else int(np.searchsorted(doc, doc[start], "right"))
+                own = np.arange(start, end)
+                q = askers[np.repeat(first[term[own]] - (sums[own] - sums[start]), met[own]) + np.arange(sums[end] - sums[start])]
+                at = np.repeat(doc[own], met[own])
+                pair, place = np.unique(q * len(ids) + at, return_inverse=True)
+                scores = np.bincount(place, np.repeat(weight[own], met[own]), len(pair))
+                q, at = pair // len(ids), pair % len(ids)
+                inside = wide[q]
+                inside[~inside] = [projects[d] in scopes[x] for x, d in zip(q[~inside].tolist(), at[~inside].tolist(), strict=True)]
+                q, at, scores = q[inside], at[inside], scores[inside]
                 if digits is not None:
                     scores = np.round(scores, digits)
-                touched = (wanted[:, used] > 0).astype(np.float32) @ (block > 0).astype(np.float32) > 0
-                for q, scope in enumerate(scopes):
-                    mine = touched[q]
-                    if scope:
-                        mine = mine & np.any([inside[p][cut : cut + BLOCK] for p in scope if p in inside] or [np.zeros(len(mine), bool)], axis=0)
-                    at = np.flatnonzero(mine)
-                    if len(at):
-                        best.add(q, scores[q, at], ids[cut + at])
+                cuts = np.flatnonzero(np.diff(q, prepend=-1))
+                for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(q)], strict=True) if len(cuts) else ():
+                    best.add(int(q[a]), scores[a:z], ids[at[a:z]])
+                start = end
         yield from best.batches(names, ks, "score", pa.int64() if kind == "long" else pa.string())
 
     return docs.mapInArrow(score, f"query_id {kind}, id string, score double, k int")
@@ -155,30 +167,3 @@ def _terms(column: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarra
     at = pc.fill_null(pc.index_in(flat, value_set=known), -1).to_numpy(zero_copy_only=False)
     hit = np.flatnonzero(at >= 0)
     return np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit].astype(np.int64), lengths
-
-
-def clauses(text: str | Column) -> dict[str, Column]:
-    """What a query demands: ``all`` and ``none``, arrays of words and phrases as `` a b ``; both empty if its quotes don't match.
-
-    "a phrase" and a word after + or on either side of AND are demanded, a word or phrase after - is ruled out.
-    """
-    raw = F.col(text) if isinstance(text, str) else text
-    fits = (F.char_length(raw) - F.char_length(F.replace(raw, F.lit('"'), F.lit("")))) % 2 == 0
-    spaced = lambda t: F.concat(F.lit(" "), F.array_join(tokens(t), " "), F.lit(" "))
-    found = lambda p: F.filter(F.transform(F.regexp_extract_all(raw, F.lit(p), 1), spaced), lambda t: F.trim(t) != "")
-    none = F.array_union(found(r'(?:^|\s)-"([^"]+)"'), found(r'(?:^|\s)-([^\s"-][^\s"]*)'))
-    phrases = found(r'(?:^|[\s(+])"([^"]+)"')
-    both = F.array_union(found(r'([^\s"]+)\s+AND\s'), found(r'\sAND\s+([^\s"]+)'))
-    words = F.array_union(found(r'(?:^|\s)\+([^\s"+][^\s"]*)'), both)
-    empty = F.array().cast("array<string>")
-    return {"all": F.when(fits, F.array_union(phrases, words)).otherwise(empty), "none": F.when(fits, none).otherwise(empty)}
-
-
-def demanded(hits: DataFrame, queries: DataFrame, memories: DataFrame) -> DataFrame:
-    """``hits`` whose documents hold all that their query demands and nothing that it rules out; documents of other queries aren't read."""
-    asked = queries.select("query_id", *(c.alias(n) for n, c in clauses("text").items()))
-    strict = asked.where((F.size("all") > 0) | (F.size("none") > 0))
-    texts = memories.select("id", F.concat(F.lit(" "), F.array_join(tokens("document"), " "), F.lit(" ")).alias("spaced"))
-    held = hits.join(strict, "query_id").join(texts, "id")
-    kept = held.where(F.forall("all", lambda c: F.contains("spaced", c)) & ~F.exists("none", lambda c: F.contains("spaced", c))).select(*hits.columns)
-    return hits.join(strict.select("query_id"), "query_id", "left_anti").select(*hits.columns).unionByName(kept)

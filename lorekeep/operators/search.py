@@ -26,8 +26,8 @@ class Options:
     exclude_reserved: bool = False
     recent_first: bool = False
     mmr: bool = True
-    #: Phrases, demanded and ruled-out words of a query count as such.
-    syntax: bool = False
+    #: Texts of the query syntax (phrases, fields, groups, operators) count as such; others are words.
+    syntax: bool = True
 
 
 def candidates(queries: DataFrame, memories: DataFrame, options: Options | None = None, config: Config | None = None) -> DataFrame:

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import access, bm25, cards, context, corpus, evaluate, lifecycle, rank, select, stats, vector
+from ..operators import access, bm25, cards, context, corpus, evaluate, lifecycle, materialised, rank, select, stats, vector
 from ..operators import search as searching
 from ..schema import Config, visible
-from ..sources import jsonl, transcripts
+from ..sources import folders, jsonl, transcripts
 from ..streaming import ingest
 from . import views as v
 
@@ -215,6 +215,40 @@ def bm25_topk(s, d):
     return _ranked(bm25.text_top(rank.with_limits(v.queries(s, d)), v.memories(s, d)).select("query_id", "rank", "id", "score"))
 
 
+@query
+def query_syntax(s, d):
+    """Queries of each form of the query syntax, over all memories of their scopes."""
+    return _ranked(bm25.text_top(rank.with_limits(v.syntax_queries(s, d)), v.memories(s, d), syntax=True).select("query_id", "rank", "id", "score"))
+
+
+@query
+def refreshed_search(s, d):
+    """Text search over a store that was built from an earlier state of the memories and refreshed from a queue of their changes."""
+    now, cut, path = v.memories(s, d), F.lit("2024-07-01").cast("timestamp_ntz"), folders.fresh(s, "store")
+    late = F.col("updated_at") >= cut
+    # before: late rows weren't there, or had other words; rows that are hidden now weren't yet
+    other = now.where(late & (F.col("doc_id") % 3 == 0)).withColumn("document", F.concat(F.lit("an earlier text of "), F.reverse("document"))).withColumn("updated_at", cut - F.expr("interval 1 day"))
+    before = now.where(~late).unionByName(other).withColumn("project", F.coalesce("scope_project", "project"))
+    materialised.build(before, path, vectors=False)
+    changes = now.where(late).select("id", F.lit("upsert").alias("operation"), F.col("updated_at").alias("at"))
+    gone = now.where(~visible()).select("id", F.lit("delete").alias("operation"), F.lit("2025-01-01").cast("timestamp_ntz").alias("at"))
+    withdrawn = now.where(late & (F.col("doc_id") % 7 == 0)).select("id", F.lit("delete").alias("operation"), cut.alias("at"))
+    materialised.refresh(now, materialised.pending(changes.unionByName(gone).unionByName(withdrawn)), path)
+    return _ranked(materialised.text_top(v.queries(s, d), path, 40).select("query_id", "rank", "id", "score"))
+
+
+@query
+def ann_topk(s, d):
+    """Near memories from the lists of a store, whether the exact scan finds each too, and the share of the exact ones that is found."""
+    path, asked, seen = folders.fresh(s, "store"), v.queries(s, d), v.memories(s, d).where(visible())
+    materialised.build(seen, path, text=False)
+    exact = vector.nearest(asked, seen, 10).select("query_id", "id", F.lit(True).alias("exact"))
+    found = materialised.near_top(asked, path, 10).join(exact, ["query_id", "id"], "full")
+    share = F.sum((F.col("rank").isNotNull() & F.col("exact")).cast("int")).over(Window.partitionBy("query_id")) / F.count("exact").over(Window.partitionBy("query_id"))
+    rows = found.withColumn("recall", F.round(share, 6)).where("rank is not null")
+    return _ranked(rows.select("query_id", "rank", "id", "distance", F.coalesce("exact", F.lit(False)).alias("exact"), "recall"))
+
+
 @query
 def bm25_statistics(s, d):
     found = bm25.postings(v.memories(s, d), bm25.query_terms(v.queries(s, d)))

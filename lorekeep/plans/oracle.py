@@ -71,6 +71,31 @@ hits_t AS (SELECT query_id, id, project, round(sum(w), 6) AS score FROM terms_t
 {out} AS (SELECT * FROM (SELECT h.query_id, h.id, h.score, row_number() OVER (PARTITION BY h.query_id ORDER BY h.score DESC, h.id) - 1 AS rank, {k} AS k FROM hits_t h JOIN queries q USING (query_id) {scope}) WHERE rank < k)"""
 
 
+def _syntax() -> str:
+    """Text lists of ``views.syntax_queries``: what each form means, leaf by leaf. Leaves: (form, leaf, its words' numbers)."""
+    plain = {0: (0, 1), 9: (0, "s", 1), 10: (0,), 13: ("other", 0, 1)}
+    trees = {1: ((0,), (1,)), 2: ((0, 1),), 3: ((0,), (1,), (2,)), 4: ((0,), (1,), (2,)), 5: ((0,), (1,)), 6: ((0,),), 7: ((0,), (1,)), 8: ((0, 1, 2), (3,), (4,)), 11: ((0,), (1, 2)), 12: ((0, 1),)}
+    word = lambda i: f"coalesce(w[{i + 1}], 'none')" if isinstance(i, int) else _quoted(i)
+    parts = [f"SELECT DISTINCT query_id, form, 'x' || t AS leaf, [t] AS terms FROM (SELECT query_id, form, unnest([{', '.join(map(word, own))}]) AS t FROM form_s WHERE form = {f})" for f, own in plain.items()]
+    parts += [f"SELECT query_id, form, '{'abc'[i]}' AS leaf, [{', '.join(map(word, own))}] AS terms FROM form_s WHERE form = {f}" for f, tree in trees.items() for i, own in enumerate(tree)]
+    holds = "CASE form WHEN 1 THEN a > 0 AND b > 0 WHEN 3 THEN a > 0 AND b IS NULL WHEN 4 THEN (a > 0 OR b > 0) AND c > 0 WHEN 5 THEN a > 0 AND b IS NULL WHEN 6 THEN a > 0 AND p > 0 WHEN 8 THEN a > 0 OR b > 0 AND c IS NULL ELSE total > 0 END"
+    score = "CASE form WHEN 3 THEN a + coalesce(c, 0) WHEN 5 THEN a WHEN 6 THEN a + p WHEN 7 THEN 3 * coalesce(a, 0) + coalesce(b, 0) WHEN 8 THEN coalesce(a, 0) + CASE WHEN c IS NULL THEN coalesce(b, 0) ELSE 0 END ELSE total END"
+    return f"""
+form_s AS (SELECT query_id, query_id % 14 AS form, scope, candidates, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM queries),
+leaf_s AS (SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE list_max([strlen(t) FOR t IN terms]) <= 40),
+docs_s AS (SELECT id, project, {_tokens("document")} AS kept, regexp_extract_all(lower(document), '[\\p{{L}}\\p{{N}}]+') AS toks FROM visible),
+stats_s AS (SELECT count(*) AS documents, avg(len(kept)) AS average FROM docs_s),
+word_s AS (SELECT query_id, form, leaf, len(terms) AS n, unnest(terms) AS term, unnest(range(len(terms))) AS offs FROM leaf_s),
+tok_s AS (SELECT id, length, term, pos FROM (SELECT id, len(kept) AS length, unnest(toks) AS term, unnest(range(len(toks))) AS pos FROM docs_s) WHERE term IN (SELECT term FROM word_s)),
+df_s AS (SELECT term, count(DISTINCT id) AS df FROM tok_s GROUP BY term),
+idf_s AS (SELECT query_id, leaf, sum(ln(1 + (documents - df + 0.5) / (df + 0.5))) AS idf FROM word_s JOIN df_s USING (term), stats_s GROUP BY ALL),
+place_s AS (SELECT query_id, form, leaf, id, length, pos - offs AS place FROM word_s JOIN tok_s USING (term) GROUP BY ALL HAVING count(*) = any_value(n)),
+hit_s AS (SELECT query_id, form, leaf, id, idf * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * length / average)) AS s FROM (SELECT query_id, form, leaf, id, length, count(*) AS tf FROM place_s GROUP BY ALL) JOIN idf_s USING (query_id, leaf), stats_s
+  UNION ALL SELECT query_id, 6, 'p', id, ln(1 + (documents - n + 0.5) / (n + 0.5)) FROM form_s JOIN (SELECT id, project, count(*) OVER (PARTITION BY project) AS n FROM docs_s) d ON d.project = 'src' || (query_id % 20), stats_s WHERE form = 6),
+held_s AS (SELECT query_id, form, id, sum(s) AS total, {', '.join(f"sum(s) FILTER (leaf = '{x}') AS {x}" for x in 'abcp')} FROM hit_s GROUP BY ALL),
+list_s AS (SELECT * FROM (SELECT h.query_id, h.id, score, row_number() OVER (PARTITION BY h.query_id ORDER BY score DESC, h.id) - 1 AS rank, candidates FROM (SELECT query_id, id, round({score}, 6) AS score FROM held_s WHERE {holds}) h JOIN form_s q USING (query_id) JOIN docs_s d USING (id) WHERE len(q.scope) = 0 OR list_contains(q.scope, d.project)) WHERE rank < candidates)"""
+
+
 VECTORS = """
 v_list AS (SELECT * FROM (
   SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) - 1 AS rank, candidates FROM (
@@ -219,6 +244,8 @@ ORACLES: dict[str, str] = {
     "latin_terms": "SELECT doc_id, " + ", ".join(f"contains({_spaced('text')}, ' {t} ') AS {n}" for t, n in (("the", "has_the"), ("license", "has_license"), ("es", "has_es"))) + f", regexp_matches({_fold('text')}, '(^|[^0-9a-z])2\\.0($|[^0-9a-z])') AS has_version FROM documents",
     "vector_topk": _with(MEMORIES, ASKED, VECTORS) + " SELECT query_id, rank, id, distance FROM v_list",
     "bm25_topk": _with(MEMORIES, ASKED, _bm25("visible")) + " SELECT query_id, rank, id, score FROM t_list",
+    "query_syntax": _with(MEMORIES, ASKED, _syntax()) + " SELECT query_id, rank, id, score FROM list_s",
+    "refreshed_search": _with(MEMORIES, ASKED, _bm25("visible", "40")) + " SELECT query_id, rank, id, score FROM t_list",
     "bm25_statistics": _with(MEMORIES, ASKED, _bm25("visible")) + " SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM post_t GROUP BY term",
     "candidate_limits": "SELECT item_id AS query_id, least(greatest(greatest(least(item_id * 3 % 60, 50), 1) * CASE WHEN item_id % 3 = 0 THEN 4 ELSE 20 END, 20), 1000) AS candidates FROM benchmark",
     "rrf_fuse": _with(*LISTS) + " SELECT query_id, id, fused FROM fused",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,36 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(n.alias("query_id"), "text", "embedding", scope.alias("scope"), F.lit(10).alias("n"), as_of().alias("as_of"))
 
 
+#: Query texts of each form, of a passage's first words {0} to {4}; the number of a form is item_id modulo their number.
+SYNTAX = (
+    "{0} {1}.",
+    "{0} AND {1}",
+    '"{0} {1}"',
+    "+{0} -{1} {2}",
+    "({0} OR {1}) AND {2}",
+    "{0} NOT {1}",
+    "project:{5} AND {0}",
+    "{0}^3 {1}",
+    '"{0} {1} {2}" OR ({3} AND NOT {4})',
+    "{0}'s \"{1}",
+    "-{0}",
+    'document:({0} "{1} {2}")',
+    "{0}-{1}",
+    "other:{0} {1}",
+)
+
+
+def syntax_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries, their texts made of a passage's words in each form of the query syntax."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), 1)
+    parts = [F.coalesce(F.get(words, F.lit(i)), F.lit("none")) for i in range(5)] + [F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string"))]
+    text = F.lit(None).cast("string")
+    for i, form in enumerate(SYNTAX):
+        pieces = [parts[int(p)] if at % 2 else F.lit(p) for at, p in enumerate(re.split(r"\{(\d)\}", form))]
+        text = F.when(F.col("query_id") % len(SYNTAX) == i, F.concat(*pieces)).otherwise(text)
+    return queries(spark, sf_dir).withColumn("text", text)
+
+
 def turn_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same passages asked of the turns."""
     return queries(spark, sf_dir).withColumn("scope", F.array().cast("array<string>")).withColumn("embedding", F.lit(None).cast("array<float>"))

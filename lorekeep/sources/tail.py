@@ -3,11 +3,16 @@
 Register it with ``spark.dataSource.register(TailSource)`` and read
 ``spark.readStream.format("tail").option("root", folder).load()``. Only whole lines are delivered; a file that
 got shorter starts again; new files start at their end unless ``backfill`` is true. Paths have to be seen by the
-driver and by the executors alike.
+driver and by the executors alike. What a batch reads from within a file comes after the file's header, read again
+from its first lines and given the offset -1, so that a reader without any state knows the session.
+
+An offset holds a place for each file; of files that appeared later also where they began to count, so that a
+batch that is planned again after a restart reads the same lines.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,6 +22,11 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SCHEMA = "path string, offset long, value string"
 #: Bytes of a file a batch; lines longer than the second are passed over.
 BATCH_BYTES, LONGEST_LINE = 4 << 20, 16 << 20
+#: Lines at a file's beginning that are looked through for its header.
+HEADER_LINES = 200
+HEADERS = ("session", "session_meta")
+#: Before a path in an offset: where the file began to count.
+BEGAN = "began:"
 
 
 def whole_lines(path: str, start: int, most: int) -> int:
@@ -40,6 +50,22 @@ def whole_lines(path: str, start: int, most: int) -> int:
     return start
 
 
+def header_line(path: str) -> str | None:
+    """The line among a file's first ones that names its session, if any does."""
+    with open(path, "rb") as f:
+        for _ in range(HEADER_LINES):
+            raw = f.readline(LONGEST_LINE)
+            if not raw:
+                break
+            try:
+                line = json.loads(raw)
+            except ValueError:
+                continue
+            if isinstance(line, dict) and line.get("type") in HEADERS:
+                return raw.decode().rstrip("\r\n")
+    return None
+
+
 @dataclass
 class Stretch(InputPartition):
     path: str
@@ -53,8 +79,6 @@ class TailReader(DataSourceStreamReader):
         self.backfill = options.get("backfill", "false").lower() == "true"
         self.most = int(options.get("maxBytesPerFile", BATCH_BYTES))
         self.seen: dict[str, int] | None = None
-        #: Files that appeared after the start, with where they began to count.
-        self.fresh: dict[str, int] = {}
 
     def files(self) -> list[str]:
         found = []
@@ -66,12 +90,13 @@ class TailReader(DataSourceStreamReader):
         return {p: 0 if self.backfill else whole_lines(p, 0, 1 << 62) for p in self.files()}
 
     def latestOffset(self) -> dict:
-        now = dict(self.seen if self.seen is not None else self.initialOffset())
+        # where a file began matters only to the batch that it first belongs to
+        now = {p: at for p, at in (self.seen if self.seen is not None else self.initialOffset()).items() if not p.startswith(BEGAN)}
         for p in self.files():
             start = now.get(p)
             if start is None and not self.backfill:
                 # a file that appears later starts at its last whole line too
-                self.fresh[p] = now[p] = whole_lines(p, 0, 1 << 62)
+                now[BEGAN + p] = now[p] = whole_lines(p, 0, 1 << 62)
                 continue
             if start is None or start > os.path.getsize(p):
                 start = 0
@@ -83,7 +108,9 @@ class TailReader(DataSourceStreamReader):
         self.seen = dict(end)
         out = []
         for path, to in end.items():
-            at = start.get(path, self.fresh.get(path, 0 if self.backfill else to))
+            if path.startswith(BEGAN):
+                continue
+            at = start.get(path, end.get(BEGAN + path, 0 if self.backfill else to))
             if to < at:
                 at = 0
             if to > at:
@@ -91,6 +118,10 @@ class TailReader(DataSourceStreamReader):
         return out
 
     def read(self, partition: Stretch) -> Iterator[tuple]:
+        if partition.start:
+            header = header_line(partition.path)
+            if header is not None:
+                yield partition.path, -1, header
         with open(partition.path, "rb") as f:
             f.seek(partition.start)
             at = partition.start

@@ -32,23 +32,37 @@ def _text(content: Column) -> Column:
     return F.trim(strip_reminders(F.coalesce(raw, F.lit(""))), F.lit(" \t\r\n"))
 
 
+def own_headers(lines: DataFrame) -> DataFrame:
+    """(path, offset, value, known, session, cwd, side) of the lines (path, offset, value): whether a line is a header, and what it names. Blank lines and what isn't JSON go."""
+    rows = lines.where(F.trim("value") != "").withColumn("l", F.from_json("value", LINE)).where("l is not null")
+    payload = F.col("l.payload")
+    parent = F.coalesce("l.parentSession", "l.parentSessionId", "l.parent_session_id", F.lit(""))
+    source = F.lower(F.coalesce(payload["thread_source"], F.lit("")))
+    side = source.contains("subagent") | source.contains("sub_agent") | source.contains("parent_thread_id")
+    plain, inner = F.coalesce(F.col("l.type") == "session", F.lit(False)), F.coalesce((F.col("l.type") == "session_meta") & payload.isNotNull(), F.lit(False))
+    field = lambda a, b: F.when(plain, a).when(inner, b)
+    cwd = field(F.col("l.cwd"), payload["cwd"])
+    return rows.select("path", "offset", "value", (plain | inner).alias("known"), field(F.col("l.id"), payload["id"]).alias("session"), F.when(cwd != "", cwd).alias("cwd"), field(parent != "", side).alias("side"))
+
+
 def parse(lines: DataFrame) -> DataFrame:
     """(path, offset, host, role, text, session_id, cwd, host_event_id) of the turns in (path, offset, value).
 
     Lines that aren't JSON, tool traffic, injected and side conversations are dropped; a header line names the session and folder of
     the lines after it in its file.
     """
-    rows = lines.where(F.trim("value") != "").withColumn("l", F.from_json("value", LINE)).where("l is not null")
+    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    header = F.last(F.when(F.col("known"), F.struct("session", "cwd", "side")), ignorenulls=True).over(before)
+    rows = own_headers(lines).withColumn("header", header)
+    return turns(rows.select("path", "offset", "value", F.col("header").isNotNull().alias("known"), "header.session", "header.cwd", "header.side"))
+
+
+def turns(rows: DataFrame) -> DataFrame:
+    """``parse`` of lines that carry their file's header: (path, offset, value, known, session, cwd, side). Lines before the file's beginning (its header, read again) are no turns."""
+    rows = rows.where("offset >= 0").withColumn("l", F.from_json("value", LINE)).where("l is not null")
     kind, message, payload = F.col("l.type"), F.col("l.message"), F.col("l.payload")
-    parent = F.coalesce("l.parentSession", "l.parentSessionId", "l.parent_session_id", F.lit(""))
-    source = F.lower(F.coalesce(payload["thread_source"], F.lit("")))
-    side = source.contains("subagent") | source.contains("sub_agent") | source.contains("parent_thread_id")
     blank = lambda c: F.when(c != "", c)
-    header = F.when(kind == "session", F.struct(F.col("l.id").alias("session"), blank(F.col("l.cwd")).alias("cwd"), (parent != "").alias("side")))
-    header = header.when((kind == "session_meta") & payload.isNotNull(), F.struct(payload["id"].alias("session"), blank(payload["cwd"]).alias("cwd"), side.alias("side")))
-    before = Window.partitionBy("path").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("header", F.last(header, ignorenulls=True).over(before))
-    main = ~F.coalesce(F.col("header.side"), F.lit(False))
+    main = ~F.coalesce(F.col("side"), F.lit(False))
     own = kind.isin("user", "assistant") & ~F.coalesce(F.col("l.isSidechain"), F.lit(False)) & ~F.coalesce(F.col("l.isMeta"), F.lit(False)) & message.isNotNull() & (F.coalesce(message["role"], kind) == kind)
     inner = (kind == "message") & main & message["role"].isin("user", "assistant")
     event = (kind == "event_msg") & main & payload["type"].isin("user_message", "agent_message")
@@ -59,8 +73,8 @@ def parse(lines: DataFrame) -> DataFrame:
         field(F.lit("inline"), F.lit("message"), F.lit("event")).alias("host"),
         field(kind, message["role"], F.when(payload["type"] == "user_message", "user").otherwise("assistant")).alias("role"),
         field(_text(message["content"]), _text(message["content"]), F.trim(strip_reminders(F.coalesce(payload["message"], F.lit(""))), F.lit(" \t\r\n"))).alias("text"),
-        F.coalesce(field(F.col("l.sessionId"), F.col("header.session"), F.col("header.session")), F.lit("")).alias("session_id"),
-        field(blank(F.col("l.cwd")), F.col("header.cwd"), F.col("header.cwd")).alias("cwd"),
+        F.coalesce(field(F.col("l.sessionId"), F.col("session"), F.col("session")), F.lit("")).alias("session_id"),
+        field(blank(F.col("l.cwd")), F.col("cwd"), F.col("cwd")).alias("cwd"),
         field(F.col("l.uuid"), F.col("l.id"), F.coalesce("l.id", payload["id"])).alias("host_event_id"),
     )
     return found.where("host is not null and text != ''")

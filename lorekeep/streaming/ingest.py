@@ -9,21 +9,26 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lifecycle import new_deliveries
-from ..sources.transcripts import parse, to_memories
+from ..sources.transcripts import own_headers, parse, to_memories, turns
+from .state import carry_headers
 
 LINES = "path string, offset long, value string"
 
 
 def merge_batch(lines: DataFrame, memories: DataFrame, tombstones: DataFrame, as_of: Column) -> DataFrame:
-    """New memory rows of a batch of lines: replays, hidden and purged turns are left out."""
-    return new_deliveries(to_memories(parse(lines), as_of), memories, tombstones)
+    """New memory rows of a batch of lines, which may carry their files' headers: replays, hidden and purged turns are left out."""
+    said = turns(lines) if "known" in lines.columns else parse(lines)
+    return new_deliveries(to_memories(said, as_of), memories, tombstones)
 
 
-def ingest(lines: DataFrame, checkpoint: str, memories: Callable[[], DataFrame], tombstones: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], as_of: Callable[[], Column] = F.current_timestamp, once: bool = False, every: str = "5 seconds") -> StreamingQuery:
+def ingest(lines: DataFrame, checkpoint: str, memories: Callable[[], DataFrame], tombstones: Callable[[], DataFrame], append: Callable[[DataFrame, int], None], as_of: Callable[[], Column] = F.current_timestamp, once: bool = False, every: str = "5 seconds", headers: bool = False) -> StreamingQuery:
     """Start the stream: ``append`` gets the new rows and the number of each batch, and may get a batch again after a failure.
 
-    ``memories`` and ``tombstones`` read the tables as they are when a batch comes.
+    ``memories`` and ``tombstones`` read the tables as they are when a batch comes. With ``headers``, files' headers are
+    kept from batch to batch, for sources that deliver a file in parts.
     """
+    if headers:
+        lines = carry_headers(own_headers(lines))
 
     def batch(df: DataFrame, number: int) -> None:
         append(merge_batch(df, memories(), tombstones(), as_of()), number)
