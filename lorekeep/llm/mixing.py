@@ -38,6 +38,8 @@ TARGETS = (0.10, 0.88, 0.02)
 SAMPLE = 20_000
 #: Hashed places of the strings of five bytes; counts that each place has beforehand, shared out as all strings are.
 PLACES, BEFOREHAND = 1 << 16, 10.0
+#: Spaces that end a text.
+PAD = 4
 #: Passes at most; totals count as met within this share of all tokens.
 PASSES, CLOSE = 25, 1e-9
 #: With rates of one at least: budgets tried at most, each by so much greater; shares count as met within this.
@@ -53,8 +55,17 @@ def grams(raw: np.ndarray) -> np.ndarray:
 
 def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of texts on end, each followed by four spaces, and where each starts."""
-    raw = [t.encode() + b"    " for t in texts]
-    return np.frombuffer(b"".join(raw) + b"    ", np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    raw = [t.encode() + b" " * PAD for t in texts]
+    return np.frombuffer(b"".join(raw) + b" " * PAD, np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+
+
+def text_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings that start at each byte of the texts, on end, and each text's number of bytes. A text's last ones end in its own four spaces, so none reads what follows it."""
+    raw, starts = _joined(texts)
+    lengths = np.diff(starts) - PAD
+    own = np.ones(starts[-1], bool)
+    own[(starts[1:, None] - 1 - np.arange(PAD)).ravel()] = False
+    return grams(raw)[: starts[-1]][own], lengths
 
 
 def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
@@ -74,14 +85,17 @@ class Classifier:
         self.weights, self.bias = np.zeros((2 * len(DOMAINS), len(DOMAINS))), np.log(share)
 
     def means(self, texts: list[str]) -> np.ndarray:
-        """Mean and greatest weight by domain over the bytes of each text."""
-        if not texts:
-            return np.zeros((0, 2 * len(DOMAINS)))
-        raw, starts = _joined(texts)
-        at = grams(raw)[: starts[-1]]
-        each = [w[at] for w in self.logs]
-        lengths = np.diff(starts)
-        return np.stack([np.add.reduceat(e, starts[:-1]) / lengths for e in each] + [np.maximum.reduceat(e, starts[:-1]) for e in each], 1).astype(np.float64)
+        """Mean and greatest weight by domain over the bytes of each text; zeros for an empty one."""
+        out = np.zeros((len(texts), 2 * len(DOMAINS)))
+        if any(texts):
+            at, lengths = text_grams(texts)
+            full = np.flatnonzero(lengths)
+            first = np.concatenate([[0], np.cumsum(lengths[full])[:-1]])
+            for d, w in enumerate(self.logs):
+                each = w[at]
+                out[full, d] = np.add.reduceat(each, first, dtype=np.float64) / lengths[full]
+                out[full, len(DOMAINS) + d] = np.maximum.reduceat(each, first)
+        return out
 
     def fit(self, means: np.ndarray, labels: np.ndarray) -> None:
         """A softmax regression on standardised means, over a fixed number of steps."""
@@ -94,7 +108,8 @@ class Classifier:
             self.bias = self.bias - 0.5 * off.mean(0)
 
     def posteriors_of(self, x: np.ndarray) -> np.ndarray:
-        z = x @ self.weights + self.bias
+        # row by row, in one order of sums whatever stands beside a row
+        z = sum((x[:, i, None] * w for i, w in enumerate(self.weights)), self.bias)
         z = np.exp(z - z.max(1, keepdims=True))
         return z / z.sum(1, keepdims=True)
 
@@ -125,8 +140,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
             domains, texts = batch.column("d").to_numpy(), batch.column("text").to_pylist()
             seen += np.bincount(domains, minlength=len(DOMAINS))
             for d in np.unique(domains):
-                raw, _ = _joined([t for t, x in zip(texts, domains, strict=True) if x == d])
-                total[d] += np.bincount(grams(raw), minlength=PLACES)
+                own, _ = text_grams([t for t, x in zip(texts, domains, strict=True) if x == d])
+                total[d] += np.bincount(own, minlength=PLACES)
         flat = np.concatenate([total.ravel(), seen])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(flat[at], pa.int64())], ["at", "n"])
@@ -195,7 +210,8 @@ def fit(parts: DataFrame, targets: Sequence[float], budget: float, least: float)
         p = [F.col(f"p_{d}") for d in DOMAINS]
         free = F.when(F.col("rate") > least, F.col("tokens")).otherwise(0)
         sums = [F.sum(F.col("tokens") * F.col("rate") * x) for x in p] + [F.sum(free * p[i] * p[j]) for i in range(k) for j in range(i, k)]
-        row = [float(x) for x in rate.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
+        # tasks add up in any order: what their sums differ by is cut off, so that rates and copies don't depend on it
+        row = [float(f"{x:.10g}") for x in rate.agg(*(s.alias(f"s{i}") for i, s in enumerate(sums))).first()]
         off = np.array(row[:k]) - want
         if best is None or off @ off < best[0]:
             best = (float(off @ off), len(steps), (np.array(row[:k]) / sum(row[:k])).tolist())
@@ -210,20 +226,23 @@ def fit(parts: DataFrame, targets: Sequence[float], budget: float, least: float)
 
 
 def fit_budget(parts: DataFrame, targets: Sequence[float], budget: float) -> Column:
-    """A rate of one at least that meets the targets' shares, with ``budget`` times all tokens or as many more as that takes.
+    """A rate of one at least that comes near the targets' shares, with ``budget`` times all tokens or as many more as pay.
 
     No domain shrinks, so the budget is the greatest ratio of a domain's own tokens to its target at least; documents
-    belong to several domains, so it takes more, found by growing it. Targets that it doesn't reach are told by a warning.
+    belong to several domains, so targets may take more. The budget grows as long as what misses the targets falls by as
+    large a factor as the budget grows by: copies alone can't take a share from documents that all have a little of it.
+    Targets that aren't reached are told by a warning.
     """
     wanted = np.array(targets, float) / sum(targets)
-    own = [float(x or 0) for x in parts.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
+    own = [float(f"{x or 0:.10g}") for x in parts.agg(*(F.sum(F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS)).first()]
     budget = max([budget, *(n / sum(own) / w for n, w in zip(own, wanted, strict=True) if n and w)])
     best: tuple[float, Column, list[float]] | None = None
     for _ in range(GROWTHS):
         rate, shares = fit(parts, targets, budget, 1.0)
         miss = float(np.abs(np.array(shares) - wanted).max()) if shares else 0.0
-        if best is None or miss < best[0]:
-            best = (miss, rate, shares)
+        if best is not None and miss * GROWTH > best[0]:
+            break
+        best = (miss, rate, shares)
         if miss <= MET:
             break
         budget *= GROWTH

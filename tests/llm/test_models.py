@@ -11,7 +11,7 @@ from brute import joined
 from lorekeep.llm import embedding_dedup
 from lorekeep.llm.components import components
 from lorekeep.llm.embedding_dedup import near_embeddings
-from lorekeep.llm.mixing import DOMAINS, mix, mixture
+from lorekeep.llm.mixing import DOMAINS, PLACES, Classifier, grams, mix, mixture
 from lorekeep.llm.sentencepiece_nbest import Encoder, Pieces, encode_documents, encoding_report
 from lorekeep.llm.toxicity import CharacterModel, Reader, Scorer, numbers, toxicity_report, train
 from pyspark.sql import functions as F
@@ -245,6 +245,28 @@ def test_stage_meets_its_targets_from_a_skewed_table(spark):
         assert abs(n[d] - share) < 0.02
 
 
+def test_posteriors_are_of_a_text_alone(spark):
+    """Whatever stands beside a text in its batch, before or after it."""
+    texts = ["", "short text", "zebra", "abcd", "é", "yellow " * 300, "x", "short text", "", "plain words of no kind", "zebra" * 40]
+    r = np.random.default_rng(1)
+    held = Classifier(r.integers(0, 9, (len(DOMAINS), PLACES)).astype(float), np.array([3.0, 5.0, 1.0]))
+    held.fit(held.means(texts), np.array([i % 3 for i in range(len(texts))]))
+    alone = np.concatenate([held.posteriors([t]) for t in texts])
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1), [5, 0, 5, 3]):
+        order = list(order)
+        assert (held.posteriors([texts[i] for i in order]) == alone[order]).all()
+    # a plain reading: mean and greatest weight of the five-byte strings from each byte, spaces after the end
+    for t, row in zip(texts, held.means(texts), strict=True):
+        raw = t.encode() + b"    "
+        own = [held.logs[:, grams(np.frombuffer(raw[i : i + 5], np.uint8))[0]] for i in range(len(t.encode()))]
+        want = np.concatenate([np.mean(own, 0), np.max(own, 0)]) if own else np.zeros(6)
+        assert np.abs(row - want).max() < 1e-5
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    first, again = ({tuple(r) for r in mixture(x, y).collect()} for x, y in ((docs, labels), (docs.repartition(7), labels.repartition(3))))
+    assert first == again
+    assert sorted(map(tuple, mix(docs, labels).collect())) == sorted(map(tuple, mix(docs.repartition(7), labels).collect()))
+
+
 def test_mixing_odd_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "x", "c"), (4, "a b c", "d"), (4, "a b c", "d")], "doc_id long, text string, rate string")
