@@ -12,23 +12,39 @@ from .vector import cosine
 CUT = "…"
 
 
-def context_pack(results: DataFrame, budget: int = 2000, head: str = "Relevant memories:") -> DataFrame:
+def context_pack(results: DataFrame, budget: int = 2000, head: str = "Relevant memories:", hints: DataFrame | None = None) -> DataFrame:
     """(query_id, lines, text) from ranked results: a line each, in order, up to the first that exceeds the budget in code points.
 
-    A mark says that some were left out.
+    A mark says that some were left out. ``hints`` (query_id, hint) stand last; their room is kept before any line takes it,
+    where they fit at all.
     """
     line = F.concat(F.lit("- ["), escape_markup("project"), F.lit("] "), escape_markup(F.left(one_line(redact("document")), F.lit(600))))
     rows = results.withColumn("line", line)
+    if hints is None:
+        rows = rows.withColumn("hint", F.lit(None).cast("string"))
+    else:
+        fits = len(head) + 2 + F.char_length("hint") <= budget
+        rows = rows.join(hints.select("query_id", F.when(fits, escape_markup("hint")).alias("hint")), "query_id", "left")
     order = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     used = F.sum(F.char_length("line") + 1).over(order)
-    rows = rows.withColumn("over", (F.lit(len(head) + 1) + used) > budget)
+    held = F.coalesce(F.char_length("hint") + 1, F.lit(0))
+    rows = rows.withColumn("over", (F.lit(len(head) + 1) + held + used) > budget)
     rows = rows.withColumn("stopped", F.max("over").over(order))
     kept = F.filter(F.sort_array(F.collect_list(F.struct("rank", "line", "stopped"))), lambda r: ~r["stopped"])
-    packed = rows.groupBy("query_id").agg(F.transform(kept, lambda r: r["line"]).alias("kept"), F.max("stopped").alias("cut"))
-    body = F.array_join(F.concat(F.array(F.lit(head)), F.col("kept"), F.when(F.col("cut"), F.array(F.lit(CUT))).otherwise(F.array().cast("array<string>"))), "\n")
+    packed = rows.groupBy("query_id").agg(F.transform(kept, lambda r: r["line"]).alias("kept"), F.max("stopped").alias("cut"), F.max("hint").alias("hint"))
+    none = F.array().cast("array<string>")
+    mark = lambda c, x: F.when(c, F.array(x)).otherwise(none)
+    body = F.array_join(F.concat(F.array(F.lit(head)), F.col("kept"), mark(F.col("cut"), F.lit(CUT)), mark(F.col("hint").isNotNull(), F.col("hint"))), "\n")
     return packed.select("query_id", F.size("kept").cast("long").alias("lines"), body.alias("text"))
 
 
+def hint_lines(hints: DataFrame) -> DataFrame:
+    """(query_id, hint): the hint of each query as one line, from ``scope_hint``."""
+    named = F.concat("project", F.lit(" ("), F.col("hits").cast("string"), F.lit(")"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", named.alias("name")))), lambda x: x["name"])
+    return hints.groupBy("query_id").agg(F.concat(F.lit("Memories on this topic in other projects: "), F.array_join(listed, ", ")).alias("hint"))
+
+
 def scope_hint(inside: DataFrame, outside: DataFrame, queries: DataFrame, margin: float = 0.05, most: int = 3) -> DataFrame:
     """(query_id, place, project, hits): up to three projects outside the scope with results on topic that beat those inside.
 

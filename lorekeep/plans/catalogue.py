@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity, text
-from ..operators import access, bm25, cards, context, corpus, evaluate, lifecycle, materialised, rank, select, stats, vector
+from ..operators import access, bm25, cards, context, corpus, evaluate, lifecycle, materialised, page, rank, select, stats, vector
 from ..operators import search as searching
 from ..schema import Config, visible
 from ..sources import folders, jsonl, transcripts
@@ -352,6 +352,33 @@ def context_pack(s, d):
     return context.context_pack(results).select("query_id", "lines", F.sha2("text", 256).alias("text_sha"))
 
 
+@query
+def context_pack_hinted(s, d):
+    """The packs of a narrow budget with the hint at other projects, whose room is kept."""
+    config = Config(**{**WIDE.__dict__, "mmr_lambda": 1.0})
+    results = searching.search(v.queries(s, d), v.memories(s, d), searching.Options(durable_only=True, on_topic_only=True), config)
+    hints = v.queries(s, d).select("query_id", F.concat(F.lit("See also <src"), (F.col("query_id") % 20).cast("string"), F.lit(">"), F.repeat(F.lit("."), (F.col("query_id") % 9).cast("int") * 200)).alias("hint"))
+    return context.context_pack(results, 1200, hints=hints).select("query_id", "lines", F.sha2("text", 256).alias("text_sha"))
+
+
+@query
+def pages_with_neighbours(s, d):
+    """Every turn's page with up to five turns on each side and a budget that ends within one of them, as often as not."""
+    said = v.turns(s, d)
+    number = (F.split("id", "_")[1].cast("long") + 3) * (F.split("id", "_")[2].cast("long") + 7)
+    asked = said.select(F.col("id").alias("asked_id"), "id", (number % 50).cast("int").alias("offset"), (20 + number % 900).cast("int").alias("max_chars"), (number % 7).cast("int").alias("before"), (number % 6).cast("int").alias("after"))
+    found = page.pages(asked, said)
+    return found.select("asked_id", "part", F.col("place").cast("long").alias("place"), "id", F.sha2("document", 256).alias("document_sha"), "doc_len", "returned_chars", "has_more", F.coalesce("next_offset", F.lit(-1).cast("long")).alias("next_offset"), "truncated", "total_returned_chars", F.col("provenance.session_id").alias("session_id"))
+
+
+@query
+def approach_views(s, d):
+    """Summaries of approaches made of each memory's text."""
+    approach = F.struct(F.lit("worked").alias("status"), F.left("document", F.lit(300)).alias("applicability"), F.when(F.col("doc_id") % 3 == 0, F.lit("  ")).otherwise(F.left("document", F.lit(200))).alias("evidence"))
+    rows = v.memories(s, d).select("doc_id", page.approach_view(F.when(F.col("doc_id") % 5 != 0, approach), summary=True).alias("a"))
+    return rows.select("doc_id", F.col("a.status").alias("status"), F.sha2("a.applicability", 256).alias("applicability_sha"), F.col("a.evidence_status").alias("evidence_status"), F.coalesce("a.truncated", F.lit(False)).alias("truncated"))
+
+
 @query
 def same_subject(s, d):
     rows = v.memories(s, d)

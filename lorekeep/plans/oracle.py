@@ -266,6 +266,17 @@ ORACLES: dict[str, str] = {
     "context_pack": _with(*LISTS, _scored(DURABLE, wide=True), _admitted(True), _diversified("scored", "score DESC, id", "out_s")) + f""" , l AS (SELECT query_id, rank, '- [' || project || '] ' || replace(replace(replace(left({_one_line(_redact('document'))}, 600), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM out_s),
         u AS (SELECT *, 19 + sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank) > 2000 AS over FROM l)
         SELECT query_id, count_if(NOT over)::BIGINT AS lines, sha256('Relevant memories:' || coalesce(string_agg(CASE WHEN NOT over THEN chr(10) || line END, '' ORDER BY rank), '') || CASE WHEN bool_or(over) THEN chr(10) || '…' ELSE '' END) AS text_sha FROM u GROUP BY query_id""",
+    "context_pack_hinted": _with(*LISTS, _scored(DURABLE, wide=True), _admitted(True), _diversified("scored", "score DESC, id", "out_s")) + f""" , l AS (SELECT query_id, rank, '- [' || project || '] ' || replace(replace(replace(left({_one_line(_redact('document'))}, 600), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line, 'See also &lt;src' || (query_id % 20) || '&gt;' || repeat('.', (query_id % 9)::INT * 200) AS h FROM out_s),
+        k AS (SELECT *, CASE WHEN 20 + length(h) - 6 <= 1200 THEN h END AS hint FROM l),
+        u AS (SELECT *, 19 + coalesce(length(hint) + 1, 0) + sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank) > 1200 AS over FROM k)
+        SELECT query_id, count_if(NOT over)::BIGINT AS lines, sha256('Relevant memories:' || coalesce(string_agg(CASE WHEN NOT over THEN chr(10) || line END, '' ORDER BY rank), '') || CASE WHEN bool_or(over) THEN chr(10) || '…' ELSE '' END || coalesce(chr(10) || any_value(hint), '')) AS text_sha FROM u GROUP BY query_id""",
+    "pages_with_neighbours": T + f""" , m AS (SELECT n.*, {_redact('document')} AS masked FROM numbered n),
+        a AS (SELECT id AS asked_id, project, session_id, turn_no, crc % 50 AS f, 20 + crc % 900 AS budget, crc % 7 AS b, crc % 6 AS e FROM (SELECT *, {{crc}} AS crc FROM numbered) WHERE crc % 7 <= 5),
+        r AS (SELECT asked_id, m.turn_no - a.turn_no AS place, m.id, masked, length(masked) AS len, CASE WHEN m.turn_no = a.turn_no THEN f ELSE 0 END AS f, budget, m.session_id FROM a JOIN m ON a.project = m.project AND a.session_id = m.session_id AND m.turn_no - a.turn_no BETWEEN -b AND e),
+        s AS (SELECT *, greatest(len - f, 0) AS there, least(budget, coalesce(sum(greatest(len - f, 0)) OVER (PARTITION BY asked_id ORDER BY place <> 0, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS spent FROM r),
+        t AS (SELECT *, least(there, budget - spent)::BIGINT AS n FROM s)
+        SELECT asked_id, CASE WHEN place = 0 THEN 'page' WHEN place < 0 THEN 'before' ELSE 'after' END AS part, place, id, sha256(substr(masked, f::BIGINT + 1, n)) AS document_sha, len AS doc_len, n AS returned_chars, least(f, len) + n < len AS has_more, CASE WHEN least(f, len) + n < len THEN least(f, len) + n ELSE -1 END::BIGINT AS next_offset, f > 0 OR least(f, len) + n < len AS truncated, sum(n) OVER (PARTITION BY asked_id)::BIGINT AS total_returned_chars, session_id FROM t""".replace("{crc}", "((session_id::BIGINT + 3) * (split_part(id, '_', 3)::BIGINT + 7))"),
+    "approach_views": f"SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'worked' END AS status, CASE WHEN doc_id % 5 <> 0 THEN sha256(left({_redact('left(text, 300)')}, 256)) END AS applicability_sha, CASE WHEN doc_id % 5 <> 0 THEN CASE WHEN doc_id % 3 = 0 OR trim({_redact('left(text, 200)')}, ' ' || chr(9) || chr(10) || chr(13)) = '' THEN 'not_provided' ELSE 'provided_unverified' END END AS evidence_status, doc_id % 5 <> 0 AND length({_redact('left(text, 300)')}) > 256 AS truncated FROM documents",
     "same_subject": M + f""" , r AS (SELECT project, id, embedding, list_distinct({_topics('document')}) AS topics FROM visible WHERE {PLAIN} AND embedding IS NOT NULL AND NOT sensitive), s AS (SELECT project, id, embedding, list_distinct({_topics('document')}) AS topics FROM visible WHERE {PLAIN} AND embedding IS NOT NULL),
         p AS (SELECT s.id AS saved_id, r.id, abs(round(1 - list_cosine_similarity(s.embedding, r.embedding), 6)) AS distance, len(list_intersect(s.topics, r.topics))::DOUBLE / nullif(least(len(s.topics), len(r.topics)), 0) AS shared FROM s JOIN r ON s.project = r.project AND s.id <> r.id)
         SELECT saved_id, id, distance, place FROM (SELECT *, row_number() OVER (PARTITION BY saved_id ORDER BY distance, id) AS place FROM p WHERE distance <= 0.55 OR distance <= 0.7 AND coalesce(shared, 0) >= 0.2) WHERE place <= 3""",

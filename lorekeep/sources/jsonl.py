@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.identity import import_id
 from ..functions.text import redact
 from ..schema import METADATA, with_defaults
+from . import folders
 
 RECORD = "id string, project string, document string, text string, embedding array<float>, created_at string, metadata string"
 #: Formats of a time besides those of RFC 3339.
@@ -56,17 +57,59 @@ def append_audit(events: DataFrame, path: str) -> None:
     events.write.mode("append").json(path)
 
 
+#: A snapshot's list of its files, a folder that readers of the data pass over; rows of a file at most.
+MANIFEST, FILE_ROWS = "_manifest", 20_000
+
+
+def _replace(spark: SparkSession, staged: str, path: str) -> None:
+    """A written folder takes a path; what was there goes once the new one is in place, and comes back if that fails."""
+    old = f"{path}.old"
+    folders.remove(spark, old)
+    had = folders.exists(spark, path)
+    if had:
+        folders.rename(spark, path, old)
+    try:
+        folders.rename(spark, staged, path)
+    except Exception:
+        if had:
+            folders.rename(spark, old, path)
+        raise
+    folders.remove(spark, old)
+
+
+def _digests(spark: SparkSession, path: str) -> DataFrame:
+    """(name, length, sha256) of the files of a table, each read by a task."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 def snapshot(df: DataFrame, path: str) -> None:
-    """A whole copy: written beside its place first, then renamed into it, so that readers never see half of one."""
-    spark = df.sparkSession
-    staged = f"{path}.staged"
-    df.write.mode("overwrite").parquet(staged)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    at, old, new = (hadoop.Path(p) for p in (path, f"{path}.old", staged))
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if fs.exists(at):
-        fs.rename(at, old)
-    if not fs.rename(new, at):
-        raise OSError(f"{staged} can't take the place of {path}")
-    fs.delete(old, True)
+    """A whole copy with a list of its files: written beside its place first, then renamed into it.
+
+    Files have a bounded number of rows, since a digest is taken of a whole file in one task.
+    """
+    spark, staged = df.sparkSession, f"{path}.staged"
+    df.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).parquet(staged)
+    _digests(spark, staged).write.mode("overwrite").parquet(f"{staged}/{MANIFEST}")
+    _replace(spark, staged, path)
+
+
+def verify(spark: SparkSession, path: str) -> list[str]:
+    """What is wrong with a snapshot: files that are missing, not listed, or not as they were written; the first hundred."""
+    if not folders.exists(spark, f"{path}/{MANIFEST}"):
+        return [f"{path} has no {MANIFEST}"]
+    listed = spark.read.parquet(f"{path}/{MANIFEST}").select("name", F.struct("length", "sha256").alias("listed"))
+    found = _digests(spark, path).select("name", F.struct("length", "sha256").alias("found"))
+    what = F.when(F.col("found").isNull(), "is missing").when(F.col("listed").isNull(), "isn't listed").when(F.col("found") != F.col("listed"), "has changed")
+    wrong = listed.join(found, "name", "full").select(F.concat("name", F.lit(" "), what).alias("said")).where("said is not null")
+    return sorted(r.said for r in wrong.limit(100).collect())
+
+
+def restore(spark: SparkSession, path: str, table: str) -> None:
+    """A snapshot takes a table's place, after its files were checked; a bad one raises and leaves the table as it is."""
+    wrong = verify(spark, path)
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    staged = f"{table}.staged"
+    spark.read.parquet(path).write.mode("overwrite").parquet(staged)
+    _replace(spark, staged, table)
