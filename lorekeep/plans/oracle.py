@@ -186,7 +186,25 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
+def _chosen(rows: str, out: str) -> str:
+    """The greedy choice by relevance and difference: one row a query and step, with the numbers chosen so far."""
+    return f"""
+cand_m AS MATERIALIZED (SELECT query_id, id, project, n, document, score, embedding, row_number() OVER w AS i, CASE WHEN max(score) OVER q - min(score) OVER q <= 1.1920928955078125e-07 THEN 1 ELSE (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) END AS rel
+  FROM (SELECT s.*, m.embedding FROM {rows} s JOIN memories m USING (id)) WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, id), q AS (PARTITION BY query_id)),
+near_m AS MATERIALIZED (SELECT a.query_id, a.i, b.i AS j, CASE WHEN a.embedding IS NULL THEN 1 WHEN b.embedding IS NULL THEN 0 ELSE greatest(list_cosine_similarity(a.embedding, b.embedding), 0) END AS near FROM cand_m a JOIN cand_m b ON a.query_id = b.query_id AND a.i <> b.i),
+step_m AS (
+  SELECT query_id, 1 AS step, [1::BIGINT] AS chosen FROM cand_m WHERE i = 1
+  UNION ALL
+  SELECT query_id, any_value(step) + 1, list_append(any_value(chosen), arg_max(i, (value, -i))) FROM (
+    SELECT r.query_id, r.step, r.chosen, c.i, round(0.5 * any_value(c.rel) - 0.5 * max(d.near), 9) AS value
+    FROM step_m r JOIN cand_m c ON c.query_id = r.query_id AND r.step < c.n AND NOT list_contains(r.chosen, c.i) JOIN near_m d ON d.query_id = c.query_id AND d.i = c.i AND list_contains(r.chosen, d.j) GROUP BY ALL)
+  GROUP BY query_id),
+{out} AS (SELECT c.query_id, rank, c.id, c.project, c.score, c.document FROM (SELECT query_id, unnest(chosen) AS i, unnest(range(1, len(chosen) + 1)) AS rank FROM (SELECT query_id, arg_max(chosen, step) AS chosen FROM step_m GROUP BY query_id)) JOIN cand_m c USING (query_id, i))"""
+
+
 LISTS = (MEMORIES, ASKED, VECTORS, _bm25("visible"), FUSED)
+#: The same queries over all projects.
+ASKED_WIDE = ASKED[: ASKED.index("CASE")] + "CAST([] AS VARCHAR[])" + ASKED[ASKED.index(" AS scope") : ASKED.index(" CASE", ASKED.index(" AS scope"))] + " 40 AS candidates FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id\n)"
 M, T = _with(MEMORIES), _with(TURNS)
 PLAIN = "chunk_type = 'manual'"
 JOBS = "jobs AS (SELECT event_id % 500 AS job_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'succeeded' END AS state, ts AS updated_at, value AS ms FROM events)"
@@ -262,6 +280,21 @@ ORACLES: dict[str, str] = {
     "hybrid_search": _with(*LISTS, _scored(), _admitted(), _diversified("scored", "score DESC, id", "out_s")) + " SELECT query_id, rank, id, project, score FROM out_s",
     "recent_first": _with(*LISTS, _scored(), _admitted(), _diversified("scored", "updated_at DESC, id", "out_s")) + " SELECT query_id, rank, id, score FROM out_s",
     "durable_search": _with(*LISTS, _scored(DURABLE, reserved=True), _admitted(), _diversified("scored", "score DESC, id", "out_s")) + " SELECT query_id, rank, id, score FROM out_s",
+    "mmr_search": _with(*LISTS, _scored(), _admitted(), _chosen("scored", "out_m")).replace("WITH", "WITH RECURSIVE", 1) + " SELECT query_id, rank, id, score FROM out_m",
+    "earlier_rules": _with(*LISTS, _scored(DURABLE), _admitted(), _chosen("scored", "out_m")).replace("WITH", "WITH RECURSIVE", 1)
+    + """ , home AS (SELECT query_id, project FROM (SELECT query_id, project, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, project) AS place FROM out_m WHERE project <> 'playbook' GROUP BY query_id, project HAVING count(*) >= 3) WHERE place = 1),
+        ruled AS (SELECT h.query_id, m.id, 0 AS part, row_number() OVER (PARTITION BY h.query_id ORDER BY m.created_at DESC, m.id DESC) AS nth FROM visible m JOIN home h USING (project) WHERE m.chunk_type = 'manual' AND (m.importance = 'preference' OR m.memory_kind = 'rule')),
+        both_r AS (SELECT query_id, id, min((part, nth)) AS best FROM (SELECT * FROM ruled UNION ALL SELECT query_id, id, 1, rank FROM out_m) GROUP BY ALL)
+        SELECT query_id, place, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, id) AS place FROM both_r) WHERE place <= 10""",
+    "scope_hint": f"""WITH inside AS ({_with(*LISTS, _scored(DURABLE, wide=True), _admitted(), _diversified("scored", "score DESC, id", "out_s"))} SELECT query_id, rank, project, score, on_topic FROM out_s),
+        outside AS ({_with(MEMORIES, ASKED_WIDE, VECTORS, _bm25("visible"), FUSED, _scored(DURABLE, wide=True, reserved=True), _admitted(), _diversified("scored", "score DESC, id", "out_s"))} SELECT query_id, rank, project, score, on_topic FROM out_s),
+        {ASKED.strip()}, bar AS (SELECT query_id, max(score) + 0.05 AS bar FROM inside WHERE on_topic GROUP BY query_id),
+        c AS (SELECT o.query_id, o.project, count(*) AS hits, min(o.rank) AS best FROM outside o JOIN queries q USING (query_id) LEFT JOIN bar b USING (query_id) WHERE o.on_topic AND NOT list_contains(q.scope, o.project) AND (b.bar IS NULL OR o.score > b.bar) AND regexp_matches(o.project, '^[\\p{{L}}\\p{{N}}\\-_./]{{1,80}}$') AND o.project NOT IN ('task-cards', 'task-cards-done') GROUP BY ALL)
+        SELECT query_id, place, project, hits FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best, project) AS place FROM c) WHERE place <= 3""",
+    "stratified_sample": "WITH r AS (SELECT conv_id % 7 AS stratum, count(*) AS size FROM conversations WHERE role = 'user' GROUP BY 1), e AS (SELECT *, sum(size) OVER () AS total FROM r), f AS (SELECT *, least(100, total) AS n, least(100, total) * size / total AS exact FROM e), g AS (SELECT *, sum(floor(exact)) OVER () AS floors, row_number() OVER (ORDER BY exact - floor(exact) DESC, stratum) AS place FROM f) SELECT stratum, drawn FROM (SELECT stratum, least(size, floor(exact) + CASE WHEN place <= n - floors THEN 1 ELSE 0 END)::BIGINT AS drawn FROM g) WHERE drawn > 0",
+    "card_logs": f"""WITH e AS (SELECT title, "at", '- ' || strftime("at", '%Y-%m-%d %H:%M') || ' ' || left({_one_line('text')}, 1000) AS line FROM (SELECT 'Card ' || (conv_id % 20) AS title, TIMESTAMP '2024-01-01' + to_minutes((conv_id * 10 + turn)::INT) AS "at", text FROM conversations WHERE role = 'user')),
+        o AS (SELECT *, sum(length(line) + 1) OVER w <= 8000 OR row_number() OVER w = 1 AS fits FROM e WINDOW w AS (PARTITION BY title ORDER BY "at" DESC, line DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+        SELECT title, title || chr(10) || 'body' AS body, (count_if(fits) + max((NOT fits)::INT))::BIGINT AS lines, sha256(CASE WHEN bool_or(NOT fits) THEN '- (earlier lines dropped)' || chr(10) ELSE '' END || string_agg(line, chr(10) ORDER BY "at", line) FILTER (fits)) AS log_sha FROM o GROUP BY title""",
     "on_topic_gate": _with(*LISTS, _scored(wide=True), _admitted()) + " SELECT query_id, id, on_topic FROM scored",
     "context_pack": _with(*LISTS, _scored(DURABLE, wide=True), _admitted(True), _diversified("scored", "score DESC, id", "out_s")) + f""" , l AS (SELECT query_id, rank, '- [' || project || '] ' || replace(replace(replace(left({_one_line(_redact('document'))}, 600), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS line FROM out_s),
         u AS (SELECT *, 19 + sum(length(line) + 1) OVER (PARTITION BY query_id ORDER BY rank) > 2000 AS over FROM l)
