@@ -179,6 +179,30 @@ def worth_searching(prompt: str | Column, least: int = 12) -> Column:
     return (F.char_length(clean) >= least) & ~clean.startswith("/")
 
 
+def substantive(prompt: str | Column, least: int = 16, trivial: tuple[str, ...] = ()) -> Column:
+    """A client's stricter test; ``trivial`` names words that only keep a conversation going, for bounds that they'd pass."""
+    return worth_searching(prompt, least) & ~F.lower(F.trim(_col(prompt))).isin(*trivial)
+
+
+def is_digest(text: str | Column) -> Column:
+    """A SHA-256 digest in lower-case hexadecimal digits."""
+    return _col(text).rlike("^[0-9a-f]{64}$")
+
+
+def is_transcript_id(text: str | Column) -> Column:
+    return _col(text).rlike("^transcript_[0-9a-fA-F]{32}$")
+
+
+def is_safe_path(text: str | Column, most: int = 256) -> Column:
+    """A relative path within a work tree that any system can hold and that holds no secret.
+
+    No control sign, backslash or colon; no empty or dot part, none of version control's own, none that ends in a dot or space.
+    """
+    t = _col(text)
+    bad = lambda p: p.isin("", ".", "..") | (F.lower(p) == ".git") | p.endswith(".") | p.endswith(" ")
+    return (F.octet_length(t) <= most) & ~t.rlike(r"[\p{Cntrl}\x{80}-\x{9F}\\:]") & ~F.exists(F.split(t, "/"), bad) & (redact(t) == t)
+
+
 def hint_can_name(project: str | Column) -> Column:
     """A project name that may be shown: 1 to 80 letters and digits of any script, or -_./"""
     return _col(project).rlike(r"^[\p{L}\p{N}\-_./]{1,80}$")

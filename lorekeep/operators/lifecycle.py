@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import redact
 from ..schema import SUPERSEDED, TRASH, dedup_safe, is_transcript, visible
 
 #: Days that kinds of records live; others live on.
-AUTO_LOG_DAYS, FILTERED_DAYS, TRASH_DAYS = 30, 7, 30
+AUTO_LOG_DAYS, FILTERED_DAYS, TRASH_DAYS, JOB_DAYS = 30, 7, 30, 90
+#: Ids of a batch that is purged at most.
+BATCH_MAX = 100
+RFC3339 = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
 
 
 def remember(memories: DataFrame, incoming: DataFrame, tombstones: DataFrame) -> DataFrame:
@@ -40,6 +44,14 @@ def exact_duplicates(memories: DataFrame) -> DataFrame:
     return memories.where(visible() & dedup_safe()).withColumn("canonical_id", F.first("id").over(same)).where("id != canonical_id").select("id", "canonical_id")
 
 
+def count_repeats(memories: DataFrame, remembered: DataFrame, at: Column) -> DataFrame:
+    """The table with access_count raised, and the change dated, of notes that ``remembered`` (from ``remember``) met again under other ids."""
+    again = remembered.where((F.col("status") == "deduplicated") & (F.col("existing_id") != F.col("id"))).groupBy(F.col("existing_id").alias("id")).agg(F.count("*").alias("__again"))
+    rows = memories.join(again, "id", "left")
+    met = F.col("__again").isNotNull()
+    return rows.withColumns({"access_count": F.coalesce("access_count", F.lit(0)) + F.coalesce("__again", F.lit(0)), "updated_at": F.when(met, at).otherwise(F.col("updated_at"))}).drop("__again")
+
+
 def new_deliveries(events: DataFrame, memories: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Delivered rows that are new: neither stored in any bucket nor purged, each id once."""
     known = memories.select("id").union(tombstones.select("id"))
@@ -85,23 +97,67 @@ def purge(memories: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     return memories.join(gone.select("id"), "id", "left_anti"), gone.where(is_transcript()).select("id")
 
 
+def check_batch(ids: DataFrame, most: int = BATCH_MAX) -> None:
+    """Raise unless there are 1 to ``most`` ids."""
+    n = ids.select("id").distinct().limit(most + 1).count()
+    if not 1 <= n <= most:
+        raise ValueError(f"1 to {most} ids, not {n if n <= most else 'more'}")
+
+
+def purge_batch(memories: DataFrame, ids: DataFrame, aliases: DataFrame, most: int = BATCH_MAX) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``purge`` of a bounded batch, and the aliases (alias_id, canonical_id) without those of the purged rows, which mustn't come back under an old name."""
+    check_batch(ids, most)
+    table, tombstones = purge(memories, ids)
+    gone = memories.where(F.col("project") == TRASH).join(ids.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("canonical_id"))
+    return table, tombstones, aliases.join(gone, "canonical_id", "left_anti").select(*aliases.columns)
+
+
+def delete_permitted(memories: DataFrame, ids: DataFrame, writable: DataFrame) -> DataFrame:
+    """``delete_batch`` for one who may write the projects of ``writable`` (project): (id, status).
+
+    All permissions come before any change: if a row may not be written it is denied, and all others are refused with it.
+    Rows in a hidden bucket belong to the project they came from.
+    """
+    of = F.when(visible(), F.col("project")).otherwise(F.col("scope_project"))
+    asked = ids.select("id").distinct().join(memories.select("id", of.alias("scope"), F.lit(True).alias("known")), "id", "left")
+    rows = asked.join(writable.select(F.col("project").alias("scope"), F.lit(True).alias("may")).distinct(), "scope", "left")
+    rows = rows.withColumn("denied", F.col("known").isNotNull() & F.col("may").isNull())
+    any_denied = F.broadcast(rows.agg(F.coalesce(F.max("denied"), F.lit(False)).alias("any_denied")))  # one row
+    status = F.when(F.col("denied"), "denied").when(F.col("any_denied"), "refused").when(F.col("known").isNotNull(), "deleted").otherwise("not_found")
+    return rows.join(any_denied, F.lit(True)).select("id", status.alias("status"))
+
+
 def delete_batch(memories: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, status) for every id asked for: deleted or not_found."""
     known = memories.select("id", F.lit(True).alias("known"))
     return ids.select("id").distinct().join(known, "id", "left").select("id", F.when(F.col("known").isNotNull(), "deleted").otherwise("not_found").alias("status"))
 
 
-def prune_victims(memories: DataFrame, project: str, keep_latest: int | None = None, before: Column | None = None) -> DataFrame:
-    """Rows of a project beyond its newest ``keep_latest`` and, if given, older than ``before``; pinned ones never, none without either bound."""
-    rows = memories.where((F.col("project") == project) & ~F.col("pinned"))
+def prune_victims(memories: DataFrame, project: str, keep_latest: int | None = None, before: Column | None = None, chunk_type: str | None = None, importance: str | None = None, include_pinned: bool = False) -> DataFrame:
+    """Rows of a project beyond its newest ``keep_latest`` and, if given, older than ``before``; pinned ones only if asked for, none without either bound.
+
+    Only rows of the kind and importance asked for count, as kept ones too.
+    """
+    rows = memories.where(F.col("project") == project)
     if keep_latest is None and before is None:
         return rows.limit(0)
+    for name, wanted in (("chunk_type", chunk_type), ("importance", importance)):
+        rows = rows if wanted is None else rows.where(F.col(name) == wanted)
+    rows = rows if include_pinned else rows.where(~F.col("pinned"))
     if keep_latest is not None:
-        place = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("created_at"), F.desc("id")))
-        rows = rows.withColumn("place", place).where(F.col("place") > keep_latest).drop("place")
+        # the project is one, so the newest are found by a top list and the rest by what is older than those: no window over all its rows
+        newest = rows.orderBy(F.desc("created_at"), F.desc("id")).limit(keep_latest).select("id")
+        rows = rows.join(newest, "id", "left_anti")
     return rows if before is None else rows.where(F.col("created_at") < before)
 
 
+def prune_preview(victims: DataFrame, n: int = 20, head: int = 80) -> DataFrame:
+    """A dry run: (id, project, created_at, preview, matched) of the newest ``n`` rows that would go; matched counts them all."""
+    matched = F.broadcast(victims.agg(F.count("*").alias("matched")))  # one row
+    shown = victims.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
+    return shown.select("id", "project", "created_at", F.left("document", F.lit(head)).alias("preview")).join(matched, F.lit(True))
+
+
 def days_since(at: Column, as_of: Column) -> Column:
     """Whole days that have passed."""
     return F.floor(F.timestamp_diff("SECOND", at, as_of) / 86400)
@@ -149,10 +205,13 @@ def patch(memories: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def invalid_fields(rows: DataFrame) -> DataFrame:
-    """(id, problem) of rows that may not be saved."""
+    """(id, problem) of rows that may not be saved; a verified_at that is still a text has to be a time of RFC 3339."""
+    raw = "verified_at" in rows.columns and rows.schema["verified_at"].dataType == StringType()
+    not_a_time = F.col("verified_at").isNotNull() & ~(F.col("verified_at").rlike(RFC3339) & F.try_to_timestamp(F.replace(F.upper("verified_at"), F.lit("T"), F.lit(" "))).isNotNull()) if raw else F.lit(False)
     problem = (
         F.when((F.col("confidence") < 0) | (F.col("confidence") > 1) | F.isnan("confidence"), "confidence")
         .when(F.trim("supersedes") == "", "supersedes")
+        .when(not_a_time, "verified_at")
         .when(F.char_length("approach.applicability") > 2048, "approach.applicability")
         .when(F.char_length("approach.evidence") > 4096, "approach.evidence")
     )
@@ -160,21 +219,41 @@ def invalid_fields(rows: DataFrame) -> DataFrame:
 
 
 def newest_per_actor(events: DataFrame, actor: str, keep: int = 1000) -> DataFrame:
-    """Events without all but the newest ``keep`` of one actor."""
-    place = F.row_number().over(Window.partitionBy("actor").orderBy(F.desc("created_at"), F.desc("id")))
-    return events.withColumn("place", place).where((F.col("actor") != actor) | (F.col("place") <= keep)).drop("place")
+    """Events without all but the newest ``keep`` of one actor: the others' aren't sorted."""
+    order = [F.desc("created_at"), F.desc("id")]
+    kept = events.where(F.col("actor") == actor).orderBy(*order).limit(keep)
+    return events.where(~F.coalesce(F.col("actor") == actor, F.lit(False))).unionByName(kept)
 
 
 def latest_jobs(updates: DataFrame, restarted: bool = False) -> DataFrame:
-    """The last state of each job; after a restart, those under way have failed."""
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("updated_at"), F.desc("state")))
-    rows = updates.withColumn("place", place).where("place = 1").drop("place")
+    """The last state of each job, by aggregation; after a restart, those under way have failed."""
+    names = [c for c in updates.columns if c != "job_id"]
+    last = F.max_by(F.struct(*names), F.struct("updated_at", "state")).alias("r")
+    rows = updates.groupBy("job_id").agg(last).select("job_id", "r.*").select(*updates.columns)
     return rows.withColumn("state", F.when(F.col("state").isin("queued", "running"), "failed").otherwise(F.col("state"))) if restarted else rows
 
 
+def kept_jobs(jobs: DataFrame, as_of: Column, days: int = JOB_DAYS) -> DataFrame:
+    """Jobs that changed within so many days."""
+    return jobs.where(F.col("updated_at") >= F.timestamp_add("DAY", F.lit(-days), as_of))
+
+
 def compare_evidence(stored: DataFrame, current: DataFrame) -> DataFrame:
     """(id, path, status): fingerprints stored with a record against today's (path, sha256; null if unreadable)."""
     now = current.select("path", F.col("sha256").alias("now"), F.lit(True).alias("there"))
     rows = stored.join(now, "path", "left")
     status = F.when(F.col("there").isNull(), "missing").when(F.col("now").isNull(), "unavailable").when(F.col("now") == F.col("sha256"), "unchanged").otherwise("changed")
     return rows.select("id", "path", status.alias("status"))
+
+
+def evidence_status(compared: DataFrame, captured: DataFrame | None = None, workspace_id: str | None = None) -> DataFrame:
+    """(id, status) of each record's files together: unchanged if all are, unavailable if one is, else changed.
+
+    Files captured in another workspace (``captured``: id, workspace_id) aren't compared: different_workspace.
+    """
+    state = F.when(F.bool_and(F.col("status") == "unchanged"), "unchanged").when(F.bool_or(F.col("status") == "unavailable"), "unavailable").otherwise("changed")
+    found = compared.groupBy("id").agg(state.alias("status"))
+    if captured is None:
+        return found
+    elsewhere = captured.where(~F.col("workspace_id").eqNullSafe(F.lit(workspace_id))).select("id", F.lit("different_workspace").alias("elsewhere"))
+    return found.join(elsewhere, "id", "full").select("id", F.coalesce("elsewhere", "status").alias("status"))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import identity, text
+from ..functions import identity, metadata, text
 from ..operators import access, bm25, cards, context, corpus, evaluate, lifecycle, materialised, page, rank, select, stats, vector
 from ..operators import search as searching
 from ..schema import Config, visible
 from ..sources import folders, jsonl, transcripts
-from ..streaming import ingest
+from ..streaming import ingest, maintain
 from . import views as v
 
 #: The driver's vectors are random: distances that a language model's limits would never admit.
@@ -419,6 +419,92 @@ def trash_due(s, d):
     return lifecycle.trash_due(v.memories(s, d), v.as_of()).select("id", "trashed_at")
 
 
+@query
+def prune_previews(s, d):
+    """A dry run over the saved notes of one source: the newest twenty that would go, and how many."""
+    victims = lifecycle.prune_victims(v.memories(s, d), "src4", 2, chunk_type="manual", include_pinned=True)
+    return lifecycle.prune_preview(victims).select("id", "project", "created_at", F.sha2("preview", 256).alias("preview_sha"), "matched")
+
+
+@query
+def repeated_notes(s, d):
+    """Notes that were saved again under other ids, each as often as there are queries on its number."""
+    rows = v.memories(s, d)
+    again = rows.where(F.col("doc_id") % 3 == 0).select(F.concat(F.lit("again_"), "id").alias("id"), F.lit("deduplicated").alias("status"), F.col("id").alias("existing_id"))
+    same = rows.select("id", F.lit("deduplicated").alias("status"), F.col("id").alias("existing_id"))
+    more = again.where(F.col("existing_id").endswith("0")).withColumn("id", F.concat(F.lit("more_"), "id"))
+    found = lifecycle.count_repeats(rows, again.unionByName(same).unionByName(more), v.as_of())
+    return found.select("id", F.col("access_count").cast("long").alias("access_count"), "updated_at")
+
+
+@query
+def purged_aliases(s, d):
+    rows = v.memories(s, d)
+    aliases = rows.select(F.concat(F.lit("old_"), "id").alias("alias_id"), F.col("id").alias("canonical_id"))
+    batch = rows.where((F.col("project") == "_trash") | (F.col("doc_id") < 30)).orderBy("doc_id").limit(lifecycle.BATCH_MAX)
+    return lifecycle.purge_batch(rows, batch.select("id"), aliases)[2]
+
+
+@query
+def permitted_deletes(s, d):
+    """Batches that someone with grants on some sources asks for: one of their own, one that holds a row of others."""
+    rows = v.memories(s, d)
+    writable = v.principals(s, d).where("principal = 'FRANCE'").select(F.explode("read_projects").alias("project"))
+    own = rows.join(writable, "project", "left_semi").select("id").unionByName(rows.select(F.concat(F.lit("no_"), "id").alias("id")))
+    mine = lifecycle.delete_permitted(rows, own, writable).withColumn("batch", F.lit("own"))
+    return mine.unionByName(lifecycle.delete_permitted(rows, rows.select("id"), writable).withColumn("batch", F.lit("all")))
+
+
+@query
+def kept_jobs(s, d):
+    jobs = lifecycle.latest_jobs(v.jobs(s, d))
+    newest = jobs.agg(F.max("updated_at").alias("newest"))
+    return lifecycle.kept_jobs(jobs.join(F.broadcast(newest), F.lit(True)), F.col("newest"), 1).select("job_id", "state", "updated_at")
+
+
+@query
+def evidence_overall(s, d):
+    """The status of groups of pages' files together, one in five captured in another workspace."""
+    files = v.table(s, d, "pages").select((F.col("page_id") / 3).cast("long").cast("string").alias("id"), F.concat(F.lit("f"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("sha256"), "page_id")
+    n = F.col("page_id") % 10
+    now = files.where(n != 3).select("path", F.when(n == 4, F.lit(None)).when(n == 5, F.lit("other")).otherwise(F.col("sha256")).alias("sha256"))
+    captured = files.select("id").distinct().select("id", F.when(F.col("id").cast("long") % 5 == 0, "there").otherwise("here").alias("workspace_id"))
+    return lifecycle.evidence_status(lifecycle.compare_evidence(files, now), captured, "here")
+
+
+@query
+def upkeep_state(s, d):
+    """The memories after one pass of upkeep."""
+    policy = s.createDataFrame([("src1", 100), ("src2", 30)], "project string, days int")
+    jobs = v.jobs(s, d).select("job_id", "state", F.col("updated_at").cast("timestamp_ntz").alias("updated_at"))
+    return maintain.upkeep(v.memories(s, d), jobs, policy, v.as_of()).memories.select("id", "project", "trashed_at")
+
+
+@query
+def metadata_paths(s, d):
+    """Values at paths of open metadata, read before and after a change beside them."""
+    raw = F.to_json(F.struct(F.col("doc_id").alias("id"), F.struct("lang", F.col("n_chars").alias("n")).alias("unknown")))
+    rows = v.table(s, d, "documents").select("doc_id", "source", metadata.parsed(raw).alias("m"))
+    new = metadata.remove_path(metadata.set_path("m", ["unknown", "source"], F.col("source").cast("variant")), ["id"])
+    rows = rows.select("doc_id", "m", new.alias("new"))
+    return rows.select("doc_id", metadata.get_path("m", ["unknown", "lang"]).alias("lang"), metadata.get_path("new", ["unknown", "n"], "bigint").alias("n"), metadata.get_path("new", ["unknown", "source"]).alias("source"), metadata.get_path("new", ["id"]).isNull().alias("gone"))
+
+
+@query
+def id_shapes(s, d):
+    """What the ids, digests and paths of pages look like to the tests of their shapes."""
+    url = F.col("url")
+    return v.table(s, d, "pages").select(
+        "page_id",
+        text.is_digest(F.sha2("html", 256)).alias("digest"),
+        text.is_digest(F.upper(F.sha2("html", 256))).alias("upper_digest"),
+        text.is_transcript_id(F.concat(F.lit("transcript_"), F.md5("html"))).alias("transcript_id"),
+        text.is_safe_path(F.regexp_replace(url, "^https?://", "")).alias("url_path"),
+        text.is_safe_path(F.concat(F.lit("a/"), F.when(F.col("page_id") % 3 == 0, "..").when(F.col("page_id") % 3 == 1, ".Git").otherwise("b.c"), F.lit("/d"))).alias("dotted_path"),
+        text.substantive(url, 40).alias("substantive"),
+    )
+
+
 @query
 def exact_duplicates(s, d):
     plain = v.memories(s, d).withColumns({"chunk_type": F.lit("manual"), "importance": F.lit("knowledge"), "category": F.lit("general"), "memory_kind": F.lit("record"), "supersedes": F.lit(None).cast("string"), "confidence": F.lit(None).cast("float")})

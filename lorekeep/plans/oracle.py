@@ -320,6 +320,17 @@ ORACLES: dict[str, str] = {
     "ttl_expired": M + f""" , r AS (SELECT *, CASE project WHEN 'src1' THEN 100 WHEN 'src2' THEN 30 END AS days, CASE WHEN doc_id % 3 = 0 THEN 'log' ELSE importance END AS imp FROM visible)
         SELECT id, CASE WHEN days IS NOT NULL THEN 'policy' ELSE 'kind' END AS reason FROM r WHERE CASE WHEN days IS NOT NULL THEN created_at + to_days(days) <= {NOW} ELSE NOT pinned AND imp = 'log' AND (chunk_type = 'auto_log' AND datesub('second', created_at, {NOW}) // 86400 > 30 OR chunk_type = 'filtered' AND datesub('second', created_at, {NOW}) // 86400 > 7) END""",
     "trash_due": M + f" SELECT id, trashed_at FROM memories WHERE project = '_trash' AND trashed_at + INTERVAL 30 DAY < {NOW}",
+    "prune_previews": M + " , p AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, id DESC) AS nth FROM memories WHERE project = 'src4' AND chunk_type = 'manual') SELECT id, project, created_at, sha256(left(document, 80)) AS preview_sha, matched FROM (SELECT *, count(*) OVER () AS matched FROM p WHERE nth > 2) WHERE nth <= 22",
+    "repeated_notes": M + f" SELECT id, CASE WHEN doc_id % 3 <> 0 THEN 0 WHEN id LIKE '%0' THEN 2 ELSE 1 END::BIGINT AS access_count, CASE WHEN doc_id % 3 = 0 THEN {NOW} ELSE updated_at END AS updated_at FROM memories",
+    "purged_aliases": M + " SELECT 'old_' || id AS alias_id, id AS canonical_id FROM memories WHERE id NOT IN (SELECT id FROM (SELECT * FROM memories WHERE project = '_trash' OR doc_id < 30 ORDER BY doc_id LIMIT 100) WHERE project = '_trash')",
+    "permitted_deletes": _with(MEMORIES, PRINCIPALS) + f" , w AS (SELECT unnest(read_projects) AS project FROM principals WHERE principal = 'FRANCE'), m AS (SELECT id, project, CASE WHEN project IN {HIDDEN} THEN scope_project ELSE project END IN (SELECT project FROM w) AS may, project IN (SELECT project FROM w) AS own FROM memories) SELECT id, 'deleted' AS status, 'own' AS batch FROM m WHERE own UNION ALL SELECT 'no_' || id, 'not_found', 'own' FROM m UNION ALL SELECT id, CASE WHEN NOT may THEN 'denied' WHEN (SELECT bool_or(NOT may) FROM m) THEN 'refused' ELSE 'deleted' END, 'all' FROM m",
+    "kept_jobs": _with(JOBS) + " , j AS (SELECT job_id, max((updated_at, state)) AS r FROM jobs GROUP BY 1) SELECT job_id, r[2] AS state, r[1] AS updated_at FROM j WHERE r[1] >= (SELECT max(r[1]) FROM j) - INTERVAL 1 DAY",
+    "evidence_overall": "WITH f AS (SELECT page_id // 3 AS g, CASE page_id % 10 WHEN 3 THEN 'missing' WHEN 4 THEN 'unavailable' WHEN 5 THEN 'changed' ELSE 'unchanged' END AS status FROM pages) SELECT g::VARCHAR AS id, CASE WHEN g % 5 = 0 THEN 'different_workspace' WHEN bool_and(status = 'unchanged') THEN 'unchanged' WHEN bool_or(status = 'unavailable') THEN 'unavailable' ELSE 'changed' END AS status FROM f GROUP BY g",
+    "upkeep_state": M + f""" , r AS (SELECT *, CASE project WHEN 'src1' THEN 100 WHEN 'src2' THEN 30 END AS days FROM memories WHERE NOT coalesce(project = '_trash' AND trashed_at + INTERVAL 30 DAY < {NOW}, false)),
+        x AS (SELECT *, project NOT IN {HIDDEN} AND CASE WHEN days IS NOT NULL THEN created_at + to_days(days) <= {NOW} ELSE NOT pinned AND importance = 'log' AND (chunk_type = 'auto_log' AND datesub('second', created_at, {NOW}) // 86400 > 30 OR chunk_type = 'filtered' AND datesub('second', created_at, {NOW}) // 86400 > 7) END AS over FROM r)
+        SELECT id, CASE WHEN over THEN '_trash' ELSE project END AS project, CASE WHEN over THEN {NOW} ELSE trashed_at END AS trashed_at FROM x""",
+    "metadata_paths": "SELECT doc_id, lang, n_chars::BIGINT AS n, source, true AS gone FROM documents",
+    "id_shapes": f"SELECT page_id, true AS digest, false AS upper_digest, true AS transcript_id, strlen(p) <= 256 AND NOT regexp_matches(p, '[\x00-\x1F\x7F\\\\:]') AND len([x FOR x IN string_split(p, '/') IF x IN ('', '.', '..') OR lower(x) = '.git' OR ends_with(x, '.') OR ends_with(x, ' ')]) = 0 AND {_redact('p')} = p AS url_path, page_id % 3 = 2 AS dotted_path, length(trim(url)) >= 40 AND NOT starts_with(trim(url), '/') AS substantive FROM (SELECT *, regexp_replace(url, '^https?://', '') AS p FROM pages)",
     "exact_duplicates": M + f" SELECT id, canonical_id FROM (SELECT id, first(id) OVER (PARTITION BY trim(document, ' ') ORDER BY created_at, id) AS canonical_id FROM visible) WHERE id <> canonical_id",
     "remember_status": T + " SELECT id, CASE WHEN trim(document) = '' THEN 'failed' WHEN role = 'assistant' OR session_id::BIGINT % 3 = 0 OR k = 2 THEN 'deduplicated' ELSE 'succeeded' END AS status, count(*) AS n FROM turns, (VALUES (1), (2)) c(k) GROUP BY ALL",
     "replay_dedup": T + " SELECT id FROM turns WHERE role = 'user' AND session_id::BIGINT % 3 <> 0",

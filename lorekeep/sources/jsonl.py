@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import import_id
+from ..functions.metadata import parsed
 from ..functions.text import redact
 from ..schema import METADATA, with_defaults
 from . import folders
@@ -22,15 +23,17 @@ def parse_time(value: Column, fallback: Column) -> Column:
     return F.coalesce(utc, *(F.try_to_timestamp(value, F.lit(t)).cast("timestamp_ntz") for t in TIMES), fallback)
 
 
-def imported(lines: DataFrame, as_of: Column, dim: int) -> DataFrame:
+def imported(lines: DataFrame, as_of: Column, dim: int, open_metadata: bool = False) -> DataFrame:
     """Memory rows from a table of JSON lines (value); blank lines and records without text are skipped.
 
-    A vector of another length than ``dim`` is left out: it has to be computed anew.
+    A vector of another length than ``dim`` is left out: it has to be computed anew. With ``open_metadata``, all that a
+    record's metadata held stays in a column ``metadata`` (VARIANT, see ``functions.metadata``), known to the schema or not.
     """
     rows = lines.where(F.trim("value") != "").select(F.from_json("value", RECORD).alias("r")).select("r.*")
     rows = rows.withColumn("document", redact(F.coalesce("document", "text", F.lit("")))).where(F.trim("document") != "").drop("text")
     meta = F.from_json("metadata", METADATA)
-    rows = rows.withColumn("meta", meta).drop("metadata")
+    whole = parsed("metadata") if open_metadata else F.lit(None)
+    rows = rows.withColumn("meta", meta).withColumn("whole", whole).drop("metadata")
     made = parse_time(F.trim("created_at"), as_of)
     out = rows.select(
         F.coalesce("id", import_id("project", "document", "created_at")).alias("id"),
@@ -40,6 +43,7 @@ def imported(lines: DataFrame, as_of: Column, dim: int) -> DataFrame:
         made.alias("created_at"),
         made.alias("updated_at"),
         "meta.*",
+        *([F.col("whole").alias("metadata")] if open_metadata else []),
     )
     return with_defaults(out.withColumn("raw_chunk", F.lit(None).cast("string")))
 
