@@ -91,11 +91,16 @@ def is_ascii(text: str | Column) -> Column:
     return _col(text).rlike(r"^[\x00-\x7F]*$")
 
 
-def has_latin_term(text: str | Column, term: str | Column) -> Column:
-    """The term stands as a whole word; neighbours that aren't ASCII letters or digits (a particle, say) don't join it."""
+def has_latin_term(text: str | Column, term: str | Column, spread: bool = True) -> Column:
+    """The term stands as a whole word; neighbours that aren't ASCII letters or digits (a particle, say) don't join it.
+
+    Without ``spread`` the text isn't rewritten for terms of letters and digits: for terms that few texts hold.
+    """
     folded, clean = _fold(_col(text)), _fold(_col(term))
     spaced = F.concat(F.lit(" "), F.regexp_replace(folded, "[^0-9a-z]", " "), F.lit(" "))
     quoted = F.concat(F.lit(r"(?<![0-9a-z])\Q"), clean, F.lit(r"\E(?![0-9a-z])"))
+    if not spread:
+        return F.regexp_like(folded, quoted)
     # a term of letters and digits needs no pattern of its own
     return F.when(clean.rlike("^[0-9a-z]+$"), F.contains(spaced, F.concat(F.lit(" "), clean, F.lit(" ")))).otherwise(F.regexp_like(folded, quoted))
 

@@ -76,7 +76,7 @@ def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates
             score = F.col("score") if digits is None else F.round("score", digits)
             out = hits.withColumn("score", score).join(queries.select("query_id", limit), "query_id").select("query_id", "id", "score", "k")
     rows = plain.select("query_id", F.array_distinct(tokens("text")).alias("terms"), "scope", limit)
-    for part in passes(rows.where(F.size("terms") > 0), lambda r: sum(len(t) + 60 for t in r["terms"])):
+    for part in passes(rows.where(F.size("terms") > 0), F.char_length(F.array_join("terms", "")) + 60 * F.size("terms")):
         found = _scores(part, memories, config, digits)
         out = found if out is None else out.unionByName(found)
     if out is None:

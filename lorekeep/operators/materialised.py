@@ -266,7 +266,7 @@ def near_top(queries: DataFrame, path: str, k: int, probes: int | None = None, d
     out = None
     if centroids is not None:
         asked = queries.select("query_id", "embedding", "scope").where(F.size("embedding") == centroids.shape[1])
-        for part in passes(asked, lambda r: 8 * len(r["embedding"]) + 64):
+        for part in passes(asked, 8 * F.size("embedding") + 64):
             found = _probe(part, spark, path, commit, centroids, k, probes or commit.probes, digits)
             out = found if out is None else out.unionByName(found)
     if out is None:

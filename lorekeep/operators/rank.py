@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,23 +49,18 @@ def neighbour_bonus(fused: DataFrame, memories: DataFrame, config: Config | None
     return placed.withColumn("fused", boosted if digits is None else F.round(boosted, digits)).drop("turn_no", "session")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once a row, though a function within calls for it again and again."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def keyword_ratio(document: Column, words: Column) -> Column:
-    """The share of the keywords, repeats counted, that occur anywhere in the text."""
-    hits = _once(F.lower(document), lambda low: F.size(F.filter(words, lambda w: F.contains(low, F.lower(w)))))
+def keyword_ratio(low: Column, words: Column) -> Column:
+    """The share of the keywords, repeats counted, that occur anywhere in the lower-cased text: a column of its own, so that it is lower-cased once."""
+    hits = F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))
     return F.when(F.size(words) > 0, hits / F.size(words)).otherwise(0.0)
 
 
-def topic_hits(document: Column, words: Column) -> Column:
-    """Topic keywords (each once) that a text holds, those in ASCII as whole words."""
-    plain = F.filter(words, lambda w: w.rlike("^[0-9a-z]+$"))
-    others = F.filter(words, lambda w: ~w.rlike("^[0-9a-z]+$"))
-    whole = F.size(F.array_intersect(plain, F.split(F.lower(document), "[^0-9a-z]+")))
-    return whole + _once(F.lower(document), lambda low: F.size(F.filter(others, lambda w: F.when(is_ascii(w), has_latin_term(low, w)).otherwise(F.contains(low, w)))))
+def topic_hits(low: Column, words: Column) -> Column:
+    """Topic keywords (each once) that a lower-cased text holds, those in ASCII as whole words.
+
+    Most words aren't there at all, which needs no pattern.
+    """
+    return F.size(F.filter(words, lambda w: F.contains(low, w) & (~is_ascii(w) | has_latin_term(low, w, spread=False))))
 
 
 def on_topic(hits: Column, distance: Column, other_language: Column, topics: Column, config: Config | None = None) -> Column:

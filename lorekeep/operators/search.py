@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_korean
 from ..schema import Config, visible
+from ..sources import folders
 from .bm25 import text_top
 from .corpus import durable, exclude_reserved
 from .rank import admitted, final_score, fuse, keep_named, keyword_ratio, neighbour_bonus, on_topic, topic_hits, with_limits, with_words
@@ -42,6 +43,8 @@ def candidates(queries: DataFrame, memories: DataFrame, options: Options | None
 def scored(queries: DataFrame, memories: DataFrame, options: Options | None = None, config: Config | None = None, digits: int = 9) -> DataFrame:
     """Admitted candidates with score, on_topic and what the last step needs."""
     o, c = options or Options(), config or Config()
+    # what asks is read by every step: it is computed once
+    queries = folders.kept(queries)
     found = candidates(queries, memories, o, c).withColumnRenamed("distance", "listed_distance")
     asked = with_words(with_limits(queries)).withColumnsRenamed({"embedding": "query_embedding"})
     category = F.lower(F.trim("wanted")) if "category" in queries.columns else F.lit("")
@@ -55,12 +58,11 @@ def scored(queries: DataFrame, memories: DataFrame, options: Options | None = No
     rows = rows.where((F.coalesce(category, F.lit("")) == "") | (F.col("category") == category))
     if o.durable_only:
         rows = rows.where(durable())
-    rows = rows.withColumn("ratio", keyword_ratio(F.col("document"), F.col("words")))
-
-
+    rows = rows.withColumn("low", F.lower("document")).withColumn("ratio", keyword_ratio(F.col("low"), F.col("words")))
     both = F.col("embedding").isNotNull() & F.col("query_embedding").isNotNull()
     rows = rows.withColumn("distance", F.when(both, F.abs(F.round(1 - cosine("embedding", "query_embedding"), 6))))
-    rows = rows.withColumn("on_topic", on_topic(topic_hits(F.col("document"), F.col("topics")), F.col("distance"), F.col("korean") != is_korean("document"), F.size("topics"), c))
+    rows = rows.withColumn("on_topic", on_topic(topic_hits(F.col("low"), F.col("topics")), F.col("distance"), F.col("korean") != is_korean("document"), F.size("topics"), c))
+    rows = rows.drop("low")
     if o.on_topic_only:
         rows = rows.where("on_topic")
     rows = admitted(rows, c)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +57,19 @@ class Best:
             del self.held[q]
 
 
-def passes(rows: DataFrame, size: Callable) -> Iterator[list]:
-    """Rows in lists of ``QUERY_BYTES`` at most, by the size that each is said to have."""
-    held, total = [], 0
-    for r in rows.toLocalIterator():
-        held.append(r)
-        total += size(r)
-        if total >= QUERY_BYTES:
+def passes(rows: DataFrame, size: Column) -> Iterator[list]:
+    """Rows in lists of about ``QUERY_BYTES``, by the size that each is said to have; each list is one partition and one job."""
+    total = rows.agg(F.sum(size)).first()[0]
+    if not total:
+        return
+    n = -(-int(total) // QUERY_BYTES)
+    held: list = []
+    # a partition comes to the driver at a time
+    for r in rows.repartition(n).select("*", F.spark_partition_id().alias("__pass")).toLocalIterator():
+        if held and r["__pass"] != held[-1]["__pass"]:
             yield held
-            held, total = [], 0
+            held = []
+        held.append(r)
     if held:
         yield held
 
@@ -80,7 +84,7 @@ def nearest(queries: DataFrame, memories: DataFrame, k: str | int = "candidates"
     most = k if isinstance(k, int) else None
     asked = queries.select("query_id", "embedding", "scope", *([] if most else [F.col(k).alias("k")])).where("embedding is not null")
     out = None
-    for part in passes(asked, lambda r: 8 * len(r["embedding"]) + 64):
+    for part in passes(asked, 8 * F.size("embedding") + 64):
         found = _scan(part, memories, most, digits)
         out = found if out is None else out.unionByName(found)
     if out is None:
