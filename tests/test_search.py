@@ -136,6 +136,12 @@ def test_words_of_many_queries_in_small_blocks(spark, monkeypatch):
 # -- stores
 
 
+@pytest.fixture(autouse=True)
+def few_folders(monkeypatch):
+    """Small tables need no more."""
+    monkeypatch.setattr(materialised, "BUCKETS", 4)
+
+
 def rows_of(spark, *rows):
     return memories(spark, *({"id": i, "document": text, "embedding": v, "updated_at": DAY + dt.timedelta(days=day), "project": p} for i, text, v, day, p in rows))
 
