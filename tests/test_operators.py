@@ -295,3 +295,16 @@ def test_query_syntax(spark, query, found):
     rows = memories(spark, {"id": "a", "document": "A red fox."}, {"id": "b", "document": "red dog"}, {"id": "c", "document": "lazy fox, dog"})
     asked = spark.createDataFrame([(1, query, [])], "query_id int, text string, scope array<string>")
     assert {r.id for r in text_top(asked, rows, 10, syntax=True).collect()} == found
+
+
+def test_same_subject_without_topics(spark, monkeypatch):
+    """Notes without a keyword have no share of common ones; blocks of any size find the same."""
+    near = lambda x: [1.0, x]
+    rows = memories(spark, *({"id": f"n{i}", "document": d, "chunk_type": "manual", "embedding": near(x)} for i, (d, x) in enumerate([("", 0.0), ("so ok", 0.9), ("red fox", 1.0), ("red fox runs", 0.05), ("the", -0.1)])))
+    c = Config(same_subject=0.01, same_subject_shared=0.4, shared_keywords=0.5)
+    found = lambda **k: sorted(tuple(r)[:2] + (r.place,) for r in context.same_subject(rows, rows, c, **k).collect())
+    want = [("n0", "n3", 1), ("n0", "n4", 2), ("n1", "n2", 1), ("n2", "n1", 1), ("n2", "n3", 2), ("n3", "n0", 1), ("n3", "n2", 2), ("n4", "n0", 1)]
+    assert found() == want
+    if hasattr(context, "BLOCK"):
+        monkeypatch.setattr(context, "BLOCK", 2)
+    assert found(newest=None) == want
