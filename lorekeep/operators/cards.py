@@ -14,6 +14,8 @@ from .stats import home_project
 LOG = "## User's own words"
 TRIMMED = "- (earlier lines dropped)"
 LOG_MAX, BODY_MAX, MESSAGE_MAX = 8000, 12000, 1000
+#: Lines that a log has room for: the shortest is a mark, a time and their blanks, with a line break.
+NEWEST = LOG_MAX // len("- 2024-01-01 00:00 \n")
 #: A heading in a body that imitates the log's.
 FAKE_LOG = r"(?im)^[ \t]*#{0,6}[ \t]*user.{0,3}s[ \t]+own[ \t]+words"
 #: Unsaved prompts after which a reminder is due.
@@ -38,10 +40,11 @@ def own_body(body: Column) -> Column:
 def kept_log(lines: Column) -> Column:
     """The newest lines that fit, one at least, after a mark where older ones were dropped."""
     real = F.filter(lines, lambda x: x != TRIMMED)
-    # sums from the newest line back; reversed, the lines that fit are a prefix
     newest = F.reverse(real)
-    sums = F.transform(newest, lambda _, i: F.aggregate(F.slice(newest, F.lit(1), i + 1), F.lit(0), lambda s, x: s + F.char_length(x) + 1))
-    fit = F.greatest(F.size(F.filter(sums, lambda s: s <= LOG_MAX)), F.least(F.size(real), F.lit(1)))
+    # lines from the newest back until one doesn't fit: reversed, those that fit are a prefix
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"))
+    add = lambda s, x: F.struct((s["sum"] + F.char_length(x) + 1).alias("sum"), (s["n"] + (s["sum"] + F.char_length(x) + 1 <= LOG_MAX).cast("int")).alias("n"))
+    fit = F.greatest(F.aggregate(newest, start, add)["n"], F.least(F.size(real), F.lit(1)))
     kept = F.reverse(F.slice(newest, F.lit(1), F.greatest(fit, F.lit(1))))
     dropped = (fit < F.size(real)) | F.array_contains(lines, TRIMMED)
     return F.when(F.size(real) == 0, real).when(dropped, F.concat(F.array(F.lit(TRIMMED)), kept)).otherwise(kept)
@@ -53,9 +56,15 @@ def compose(body: Column, lines: Column) -> Column:
 
 
 def appended(cards: DataFrame, said: DataFrame) -> DataFrame:
-    """``cards`` (title, text) with what was said (title, at, message) added to their logs, in order."""
+    """``cards`` (title, text) with what was said (title, at, message) added to their logs, in order.
+
+    A log has room for ``NEWEST`` lines at most: of what was said under a title so many and one more are gathered, the newest.
+    """
     entry = F.concat(F.lit("- "), F.date_format("at", "yyyy-MM-dd HH:mm"), F.lit(" "), clip(one_line("message"), MESSAGE_MAX))
-    new = said.select(card_title("title").alias("title"), F.struct("at", entry.alias("entry")).alias("e")).groupBy("title").agg(F.transform(F.sort_array(F.collect_list("e")), lambda x: x["entry"]).alias("new"))
+    newest = Window.partitionBy("title").orderBy(F.desc("at"), F.desc("entry"))
+    lines_said = said.select(card_title("title").alias("title"), "at", entry.alias("entry")).where("entry is not null")
+    late = lines_said.withColumn("nth", F.row_number().over(newest)).where(F.col("nth") <= NEWEST + 1)
+    new = late.groupBy("title").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "entry"))), lambda x: x["entry"]).alias("new"))
     body, lines = split_card("text")
     joined = cards.join(new, "title", "left")
     return joined.withColumn("text", compose(body, F.concat(lines, F.coalesce("new", F.array().cast("array<string>"))))).drop("new")

@@ -308,3 +308,21 @@ def test_same_subject_without_topics(spark, monkeypatch):
     if hasattr(context, "BLOCK"):
         monkeypatch.setattr(context, "BLOCK", 2)
     assert found(newest=None) == want
+
+
+def test_card_log_of_many_messages(spark):
+    """Work grows with the messages, not with their square; the log is what a plain loop keeps."""
+    n = 30_000
+    said = spark.range(n).select((F.col("id") % 2).cast("string").alias("title"), F.timestamp_add("SECOND", F.col("id").cast("int"), F.lit(DAY)).alias("at"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), (F.col("id") % 50).cast("int"))).otherwise("").alias("message"))
+    cards_of = spark.createDataFrame([("0", "a"), ("1", "b"), ("2", "c")], "title string, text string")
+    got = {r.title: r.text for r in cards.appended(cards_of, said).collect()}
+    for title in (0, 1):
+        lines = [f"- {DAY + dt.timedelta(seconds=i):%Y-%m-%d %H:%M} " + "x" * (i % 50 if title == 0 else 0) for i in range(title, n, 2)]
+        kept, size = [], 0
+        for x in reversed(sorted(enumerate(lines), key=lambda p: p[0])):
+            size += len(x[1]) + 1
+            if size > cards.LOG_MAX:
+                break
+            kept.insert(0, x[1])
+        assert got[str(title)] == f"{'ab'[title]}\n\n{cards.LOG}\n" + "\n".join([cards.TRIMMED, *kept])
+    assert got["2"] == "c"
