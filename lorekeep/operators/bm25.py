@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..schema import Config, visible
 from . import boolean
-from .vector import Best, passes
+from .vector import Best, passes, small_batches
 
 #: Pairs of a posting and a query that are added up at once.
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 def postings(memories: DataFrame, terms: DataFrame) -> DataFrame:
@@ -66,6 +66,7 @@ def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates
     most = k if isinstance(k, int) else None
     limit = (F.lit(most) if most else F.col(k)).cast("int").alias("k")
     config, plain, out = config or Config(), queries, None
+    small_batches(queries.sparkSession)
     if syntax:
         nodes = boolean.trees(queries.select("query_id", "text"))
         odd = boolean.strict(nodes)

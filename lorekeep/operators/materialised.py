@@ -31,7 +31,7 @@ from ..functions.text import tokens
 from ..schema import Config, visible
 from ..sources import folders
 from .boolean import idf, occurrences
-from .vector import Best, nearest, passes
+from .vector import Best, nearest, passes, small_batches
 
 VERSION = 1
 UPSERT, DELETE = "upsert", "delete"
@@ -261,6 +261,7 @@ def near_top(queries: DataFrame, path: str, k: int, probes: int | None = None, d
     store was built for. Only the folders of probed lists are read, and each list meets the queries that probe it.
     """
     spark = queries.sparkSession
+    small_batches(spark)
     commit = current(spark, path)
     centroids = _centroids(spark, path)
     out = None

@@ -6,11 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of query vectors that a task may hold; more queries go in several passes.
 QUERY_BYTES = 64 << 20
+#: Rows and bytes of an Arrow batch at most: what a worker holds doesn't grow with its partition.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let no worker get more at once; the operators that scan a table in workers ask for it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def cosine(a: str | Column, b: str | Column) -> Column:
@@ -32,11 +40,18 @@ class Best:
         self.ks, self.sign = ks, -1.0 if largest else 1.0
         self.held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         self.sizes: dict[int, int] = {}
+        #: The worst value among as many as are wanted: what is worse can't be among the best.
+        self.bars: dict[int, float] = {}
 
     def add(self, q: int, values: np.ndarray, ids: np.ndarray) -> None:
+        if q in self.bars:
+            near = values * self.sign <= self.bars[q]
+            if not near.any():
+                return
+            values, ids = values[near], ids[near]
         self.held.setdefault(q, []).append((values, ids))
         self.sizes[q] = self.sizes.get(q, 0) + len(values)
-        if self.sizes[q] > 4 * self.ks[q] + 4096:
+        if self.sizes[q] > 2 * self.ks[q] + 1024:
             self.cut(q)
 
     def cut(self, q: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,6 +62,8 @@ class Best:
             near = np.flatnonzero(key <= np.partition(key, self.ks[q] - 1)[self.ks[q] - 1]) if self.ks[q] > 0 else np.empty(0, np.int64)
             near = near[np.lexsort((ids[near].astype(str), key[near]))][: self.ks[q]]
             values, ids = values[near], ids[near]
+            if len(values):
+                self.bars[q] = float((values * self.sign).max())
         self.held[q], self.sizes[q] = [(values, ids)], len(values)
         return values, ids
 
@@ -81,6 +98,7 @@ def nearest(queries: DataFrame, memories: DataFrame, k: str | int = "candidates"
     once: each task compares its rows with all queries as one matrix product, keeps the best of each query it has, and
     only those meet in the window that ranks them. Rows without a usable vector are skipped.
     """
+    small_batches(queries.sparkSession)
     most = k if isinstance(k, int) else None
     asked = queries.select("query_id", "embedding", "scope", *([] if most else [F.col(k).alias("k")])).where("embedding is not null")
     out = None

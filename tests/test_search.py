@@ -250,3 +250,22 @@ def test_empty_stores(spark, tmp_path):
     assert both(spark, path) == ([], [])
     materialised.refresh(rows_of(spark, ("a", "red", [1.0, 0.0], 3, "p")), log(spark, ("a", "upsert", 3)), path)
     assert [r[2] for r in both(spark, path)[0]] == ["a"]
+
+
+def test_best_holds_few_and_the_best(spark):
+    rng = np.random.default_rng(5)
+    best, values = vector.Best([10], largest=True), np.round(rng.random(20_000), 3)
+    ids = np.array([f"d{i:05}" for i in range(len(values))], object)
+    for at in range(0, len(values), 500):
+        best.add(0, values[at : at + 500], ids[at : at + 500])
+        assert sum(len(v) for v, _ in best.held[0]) <= 2 * 10 + 1024
+    got = best.cut(0)
+    assert sorted(zip(-got[0], got[1], strict=True)) == sorted(zip(-values, ids, strict=True))[:10]
+
+
+def test_scans_get_small_batches(spark):
+    asked = spark.createDataFrame([(1, "fox", [1.0, 0.0], [], 5)], "query_id long, text string, embedding array<double>, scope array<string>, candidates int")
+    for scan in (bm25.text_top, vector.nearest):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert scan(asked, rows_of(spark, ("a", "a fox", [1.0, 0.0], 1, "p"))).count() == 1
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
