@@ -16,6 +16,8 @@ FILLERS = (
     "so now then ok okay we you me my did can could would will that there here just again about if but not no yes please"
 ).split()
 
+#: Bytes of a token that the index holds.
+TOKEN_BYTES = 40
 SEPARATORS = r"""[\s\p{IsWhite_Space},;:!?'"()\[\]{}]+"""
 PARTICLE = "^(.+?)(?:" + "|".join(PARTICLES) + ")$"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
@@ -75,7 +77,7 @@ def all_tokens(text: str | Column) -> Column:
 
 def fits(token: str | Column) -> Column:
     """Whether the index holds a token: longer ones keep their place, but can't be found."""
-    return F.octet_length(_col(token)) <= 40
+    return F.octet_length(_col(token)) <= TOKEN_BYTES
 
 
 def tokens(text: str | Column) -> Column:

@@ -7,8 +7,8 @@ import re
 
 import numpy as np
 import pytest
-from lorekeep.functions import grammar
-from lorekeep.operators import bm25, materialised, vector
+from lorekeep.functions import grammar, text
+from lorekeep.operators import bm25, boolean, materialised, vector
 from lorekeep.plans import catalogue
 from lorekeep.sources import folders
 from pyspark.sql import functions as F
@@ -269,3 +269,14 @@ def test_scans_get_small_batches(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
         assert scan(asked, rows_of(spark, ("a", "a fox", [1.0, 0.0], 1, "p"))).count() == 1
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
+def test_places_of_tokens_meet_in_their_row(spark):
+    """Postings made within each document are those that grouping all tokens gives."""
+    texts = ["the fox, the FOX and " + "x" * 41 + " the end", "", None, "fox", "ü" * 21 + " ü fox ü", "?!"]
+    rows = rows_of(spark, *((f"d{i}", t, None, 1, "p") for i, t in enumerate(texts)))
+    want = boolean.occurrences(rows).groupBy("id", "project", "length", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    tokens = rows.select("id", "project", text.all_tokens("document").alias("tokens"))
+    got = tokens.mapInArrow(materialised._places, "id string, project string, length int, term string, at array<int>")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
