@@ -59,14 +59,22 @@ def strip_particle(token: Column) -> Column:
 
 def keywords(text: str | Column, least: int = 2) -> Column:
     """Words that may match a memory, in order, case and repeats kept."""
+    return _topical(text, F.split(_col(text), SEPARATORS), least)
+
+
+def _topical(text: str | Column, words: Column, least: int = 2) -> Column:
     long = lambda t: F.char_length(t) >= least
-    tokens = F.transform(F.filter(F.split(_col(text), SEPARATORS), long), strip_particle)
-    return F.filter(tokens, lambda t: long(t) & ~F.lower(t).isin(*STOPWORDS))
+    tokens = F.filter(words, long)
+    # particles are Hangul: without any, no word has one to lose
+    bare = F.when(is_korean(text), F.transform(tokens, strip_particle)).otherwise(tokens)
+    return F.filter(bare, lambda t: long(t) & ~F.lower(t).isin(*STOPWORDS))
 
 
 def topic_keywords(text: str | Column) -> Column:
     """Words that show a topic: lower-cased, each once, without fillers."""
-    bare = F.transform(keywords(text), lambda t: F.lower(F.regexp_replace(t, EDGES, "")))
+    # each word once before the patterns too: a document has many words again and again
+    once = _topical(text, F.array_distinct(F.split(_col(text), SEPARATORS)))
+    bare = F.transform(once, lambda t: F.lower(F.regexp_replace(t, EDGES, "")))
     return F.array_distinct(F.filter(bare, lambda t: (F.char_length(t) >= 2) & ~t.isin(*FILLERS)))
 
 

@@ -111,3 +111,13 @@ def test_turn_ids_repeat(spark):
     made = identity.transcript_id(F.lit("p"), F.lit("a"), F.lit("s"), F.lit("e"), F.lit(1))
     again = identity.transcript_id(F.lit("pa"), F.lit(""), F.lit("s"), F.lit("e"), F.lit(1))
     assert one(spark, made) == one(spark, made) != one(spark, again)
+
+
+def test_topic_keywords_of_repeated_words(spark):
+    """Repeats go before the patterns are tried, and nothing else changes."""
+    words = ["Fox", "fox", "(fox)", "—the", "the", "결제를", "결제", "so", "API-", "api"] * 50
+    for t, want in ((" ".join(words), ["fox", "the", "결제", "api"]), (" ".join(w for w in words if w.isascii()), ["fox", "api"]), ("", []), (None, None)):
+        df = spark.createDataFrame([(t,)], "t string").select(text.topic_keywords("t").alias("x"))
+        assert df.first().x == want
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert "array_distinct(split(" in plan
