@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..schema import Config, visible
+from ..sources import folders
 from . import boolean
 from .vector import Best, passes, small_batches
 
@@ -73,7 +74,7 @@ def text_top(queries: DataFrame, memories: DataFrame, k: str | int = "candidates
         deepest = odd.agg(F.max("depth")).first()[0]
         if deepest is not None:
             plain = queries.join(odd, "query_id", "left_anti")
-            hits = boolean.evaluate(queries, nodes.join(odd.select("query_id"), "query_id", "left_semi"), deepest, memories, corpus_statistics(memories), config)
+            hits = boolean.evaluate(queries, nodes.join(odd.select("query_id"), "query_id", "left_semi"), deepest, memories, folders.kept(corpus_statistics(memories)), config)
             score = F.col("score") if digits is None else F.round("score", digits)
             out = hits.withColumn("score", score).join(queries.select("query_id", limit), "query_id").select("query_id", "id", "score", "k")
     rows = plain.select("query_id", F.array_distinct(tokens("text")).alias("terms"), "scope", limit)

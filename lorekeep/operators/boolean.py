@@ -10,14 +10,22 @@ parts, one of the others has to. Its score is the sum of its parts' scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.grammar import DEFAULT, MUST, NOT, SHOULD, rows
-from ..functions.text import all_tokens, fits, tokens
+from ..functions.text import TOKEN_BYTES, all_tokens, fits, tokens
 from ..schema import Config, visible
 from ..sources import folders
+from .vector import small_batches
 
+#: Postings with places.
+POSTINGS = "id string, project string, length int, term string, at array<int>"
 _TREE = "array<struct<node:int,parent:int,depth:int,role:string,boost:double,field:string,leaf:string>>"
 
 
@@ -43,10 +51,38 @@ def occurrences(memories: DataFrame) -> DataFrame:
     return sized.select("id", "project", "length", F.posexplode("tokens").alias("pos", "term")).where(fits("term"))
 
 
+def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document and token that the index holds, with the token's places; length counts the document's."""
+    for batch in batches:
+        column = batch.column("tokens")
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten()
+        doc, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        hit = np.flatnonzero(pc.less_equal(pc.binary_length(flat), TOKEN_BYTES).to_numpy(zero_copy_only=False))
+        if not len(hit):
+            continue
+        coded = flat.take(pa.array(hit)).dictionary_encode()
+        # by term and document, so that equal terms lie together in the file
+        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sizes) + doc[hit]
+        order = np.argsort(key, kind="stable")  # places stay in order
+        key = key[order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        own = pa.array(key[first] % len(sizes))
+        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[hit[order]], pa.int32()))
+        lengths = pa.array(np.bincount(doc[hit], minlength=len(sizes)), pa.int32())
+        term = coded.dictionary.take(pa.array(key[first] // len(sizes)))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("project").take(own), lengths.take(own), term, at], ["id", "project", "length", "term", "at"])
+
+
 def positions(memories: DataFrame, terms: DataFrame) -> DataFrame:
-    """(id, project, length, term, at) of the visible documents, for the terms listed; at: the places of a term, from 0."""
-    found = occurrences(memories.where(visible())).join(terms.select("term").distinct(), "term", "left_semi")
-    return found.groupBy("id", "project", "length", "term").agg(F.collect_list("pos").alias("at"))
+    """(id, project, length, term, at) of the visible documents, for the terms listed; at: the places of a term, from 0.
+
+    A document's tokens meet in its own row: nothing is shuffled for it.
+    """
+    small_batches(memories.sparkSession)
+    docs = memories.where(visible()).select("id", "project", all_tokens("document").alias("tokens"))
+    found = docs.mapInArrow(places, POSTINGS)
+    return found.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").select("id", "project", "length", "term", "at")
 
 
 def idf(documents: Column, df: Column) -> Column:
@@ -57,7 +93,8 @@ def text_hits(leaves: DataFrame, memories: DataFrame, stats: DataFrame, config:
     """(query_id, node, id, project, score) of words and phrases."""
     words = leaves.where(F.col("field") == DEFAULT).select("query_id", "node", F.posexplode(all_tokens("leaf")).alias("offset", "term")).where(fits("term"))
     sizes = words.groupBy("query_id", "node").agg(F.count("*").alias("n"))
-    found = positions(memories, words)
+    # read for the frequencies and for the hits
+    found = folders.kept(positions(memories, words))
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     weighted = found.join(frequency, "term").join(F.broadcast(stats), F.lit(True)).withColumn("idf", idf(F.col("documents"), F.col("df")))
     met = words.join(sizes, ["query_id", "node"]).join(weighted, "term")

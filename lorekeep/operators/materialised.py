@@ -24,14 +24,13 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import TOKEN_BYTES, all_tokens, tokens
+from ..functions.text import all_tokens, tokens
 from ..schema import Config, visible
 from ..sources import folders
-from .boolean import idf
+from .boolean import POSTINGS, idf, places
 from .vector import Best, nearest, passes, small_batches
 
 VERSION = 1
@@ -40,7 +39,6 @@ UPSERT, DELETE = "upsert", "delete"
 BUCKETS = 32
 #: Files that a task may have open: with as many as there are folders, Spark needn't sort rows by their folder.
 WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
-POSTINGS = "id string, project string, length int, term string, at array<int>, bucket int"
 #: Vectors that centroids are fitted on at most, lists at most, rounds of the fit; stored vectors that the number of probed lists is measured with, and their neighbours that count.
 SAMPLE, MOST_LISTS, ROUNDS, ASKED, NEIGHBOURS = 20_000, 4096, 8, 200, 10
 #: The share of true neighbours that the probed lists have to hold.
@@ -98,7 +96,7 @@ def _write_text(rows: DataFrame, path: str, generation: int) -> None:
     spark = rows.sparkSession
     small_batches(spark)
     # a document's tokens meet in its own row, and each task writes a file of its own in each folder: nothing is shuffled or sorted
-    found = rows.select("id", "project", all_tokens("document").alias("tokens")).mapInArrow(_places, "id string, project string, length int, term string, at array<int>")
+    found = rows.select("id", "project", all_tokens("document").alias("tokens")).mapInArrow(places, POSTINGS)
     bucketed = found.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
     before = spark.conf.get(WRITERS)
     spark.conf.set(WRITERS, str(BUCKETS))
@@ -109,29 +107,6 @@ def _write_text(rows: DataFrame, path: str, generation: int) -> None:
     rows.select("id", F.size(tokens("document")).alias("length")).write.mode("overwrite").parquet(_path(path, "lengths", generation))
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document and token that the index holds, with the token's places; length counts the document's."""
-    for batch in batches:
-        column = batch.column("tokens")
-        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = column.flatten()
-        doc, pos = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        hit = np.flatnonzero(pc.less_equal(pc.binary_length(flat), TOKEN_BYTES).to_numpy(zero_copy_only=False))
-        if not len(hit):
-            continue
-        coded = flat.take(pa.array(hit)).dictionary_encode()
-        # by term and document, so that equal terms lie together in the file
-        key = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(sizes) + doc[hit]
-        order = np.argsort(key, kind="stable")  # places stay in order
-        key = key[order]
-        first = np.flatnonzero(np.diff(key, prepend=-1))
-        own = pa.array(key[first] % len(sizes))
-        at = pa.ListArray.from_arrays(pa.array(np.append(first, len(key)), pa.int32()), pa.array(pos[hit[order]], pa.int32()))
-        lengths = pa.array(np.bincount(doc[hit], minlength=len(sizes)), pa.int32())
-        term = coded.dictionary.take(pa.array(key[first] // len(sizes)))
-        yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("project").take(own), lengths.take(own), term, at], ["id", "project", "length", "term", "at"])
-
-
 def _listed(rows: DataFrame, centroids: np.ndarray) -> DataFrame:
     """(list, id, project, embedding) of the rows with a usable vector of the centroids' size."""
     shared = rows.sparkSession.sparkContext.broadcast(centroids)  # MOST_LISTS vectors at most
@@ -265,7 +240,7 @@ def _live(spark: SparkSession, path: str, kind: str, schema: str, upto: int, pic
 
 def postings(spark: SparkSession, path: str, commit: Commit) -> DataFrame:
     """(term, id, project, length, at, bucket)."""
-    return _live(spark, path, "postings", POSTINGS, commit.generation)
+    return _live(spark, path, "postings", f"{POSTINGS}, bucket int", commit.generation)
 
 
 def text_top(queries: DataFrame, path: str, k: int, config: Config | None = None, digits: int | None = 6) -> DataFrame:
@@ -280,7 +255,7 @@ def text_top(queries: DataFrame, path: str, k: int, config: Config | None = None
     # the words' postings alone meet the changed ids, dealt by document: a task has all of a document's that count
     words = asked.select("term").distinct()
     pick = lambda rows: rows.where(F.col("bucket").isin(buckets)).join(F.broadcast(words), "term", "left_semi").select("term", "id", "project", "length", F.size("at").alias("tf"), "generation").repartition("id")
-    found = _live(spark, path, "postings", POSTINGS, commit.generation, pick)
+    found = _live(spark, path, "postings", f"{POSTINGS}, bucket int", commit.generation, pick)
     frequency = found.groupBy("term").agg(F.count("*").alias("df"))
     stats = _live(spark, path, "lengths", "id string, length int", commit.generation).agg(F.count("*").alias("documents"), F.avg("length").alias("average"))
     tf, k1, b = F.col("tf"), config.bm25_k1, config.bm25_b

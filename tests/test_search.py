@@ -277,6 +277,6 @@ def test_places_of_tokens_meet_in_their_row(spark):
     rows = rows_of(spark, *((f"d{i}", t, None, 1, "p") for i, t in enumerate(texts)))
     want = boolean.occurrences(rows).groupBy("id", "project", "length", "term").agg(F.sort_array(F.collect_list("pos")).alias("at"))
     tokens = rows.select("id", "project", text.all_tokens("document").alias("tokens"))
-    got = tokens.mapInArrow(materialised._places, "id string, project string, length int, term string, at array<int>")
+    got = tokens.mapInArrow(boolean.places, boolean.POSTINGS)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
