@@ -96,7 +96,7 @@ def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, df, n, length = pa.array(listed.value, pa.string()), np.zeros(len(listed.value), np.int64), 0, 0
         for batch in batches:
-            doc, term, lengths = _terms(batch.column("tokens"), known)
+            doc, term, lengths = listed_terms(batch.column("tokens"), known)
             df += np.bincount(np.unique(doc * len(df) + term) % len(df), minlength=len(df))
             n += batch.num_rows
             length += int(lengths.sum())
@@ -120,14 +120,10 @@ def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, weights, average, asked, scopes, names, ks = held.value
         known, best = pa.array(terms, pa.string()), Best(ks, largest=True)
-        # the queries of each term, on end
-        of_term = np.concatenate(asked)
-        order = np.argsort(of_term, kind="stable")
-        askers = np.repeat(np.arange(len(asked)), [len(own) for own in asked])[order]
-        first = np.searchsorted(of_term[order], np.arange(len(terms) + 1))
+        askers, first = by_term(asked, len(terms))
         wide = np.array([not scope for scope in scopes])
         for batch in batches:
-            doc, term, lengths = _terms(batch.column("tokens"), known)
+            doc, term, lengths = listed_terms(batch.column("tokens"), known)
             cell, tf = np.unique(doc * len(terms) + term, return_counts=True)
             doc, term = cell // len(terms), cell % len(terms)
             weight = weights[term] * tf / (tf + config.bm25_k1 * (1 - config.bm25_b + config.bm25_b * lengths[doc] / average))
@@ -162,7 +158,14 @@ def _scores(rows: list, memories: DataFrame, config: Config, digits: int | None)
     return docs.mapInArrow(score, f"query_id {kind}, id string, score double, k int")
 
 
-def _terms(column: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def by_term(asked: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The queries of each of ``n`` terms, on end, and where each term's begin; asked: the terms of each query."""
+    of_term = np.concatenate(asked)
+    order = np.argsort(of_term, kind="stable")
+    return np.repeat(np.arange(len(asked)), [len(own) for own in asked])[order], np.searchsorted(of_term[order], np.arange(n + 1))
+
+
+def listed_terms(column: pa.ListArray, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each listed token of some documents its document and its place in the list; the documents' lengths."""
     flat = column.flatten()
     lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)

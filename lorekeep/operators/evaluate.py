@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources import folders
+from .bm25 import CELLS, by_term, listed_terms
+from .vector import Best, passes, small_batches
 
 
 def first_hit(ranked: str | Column, relevant: str | Column) -> Column:
@@ -55,13 +62,61 @@ def paired(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
 def token_overlap(queries: DataFrame, memories: DataFrame, n: int = 5) -> DataFrame:
     """(query_id, rank, id, shared): a lexical baseline by shared distinct tokens; nothing without any.
 
-    Documents meet queries on their tokens, so that texts without a common one never meet.
+    Each task counts what its documents share with all queries, and keeps the best of each query it has; only those meet
+    in the window that ranks them. Rows of one query_id, or of one id, count as one with the tokens of all.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    docs = memories.select("id", F.explode(F.array_distinct(tokens("document"))).alias("token"))
-    shared = asked.join(docs, "token").groupBy("query_id", "id").agg(F.count("*").alias("shared"))
+    spark, kind = memories.sparkSession, queries.schema["query_id"].dataType
+    small_batches(spark)
+    asked = queries.select("query_id", F.explode(tokens("text")).alias("term")).groupBy("query_id").agg(F.collect_set("term").alias("terms"))
+    docs = memories.select("id", F.array_distinct(tokens("document")).alias("tokens"))
+    repeated = folders.kept(memories.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("id").alias("again")))
+    again = F.col("id").eqNullSafe(F.col("again"))
+    whole = docs.join(repeated, again, "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("tokens"))
+    docs, out = docs.join(repeated, again, "left_anti").unionByName(whole), None
+    for part in passes(asked, F.char_length(F.array_join("terms", "")) + 60 * F.size("terms")):
+        found = _shared(part, docs, n)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], f"query_id {kind.simpleString()}, rank int, id string, shared long")
     order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "id")
-    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "rank", "id", "shared")
+    return out.select(F.col("query_id").cast(kind), F.row_number().over(order).alias("rank"), "id", F.col("shared").cast("long")).where(F.col("rank") <= n)
+
+
+def _shared(rows: list, docs: DataFrame, n: int) -> DataFrame:
+    """(query_id, id, shared, k): what each task's documents (id, distinct tokens) have that may be among the best of a query."""
+    terms = sorted({t for r in rows for t in r["terms"]})
+    place = {t: i for i, t in enumerate(terms)}
+    held = docs.sparkSession.sparkContext.broadcast((terms, [np.array([place[t] for t in r["terms"]]) for r in rows], [None if r["query_id"] is None else str(r["query_id"]) for r in rows]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, asked, names = held.value
+        known, ks = pa.array(terms, pa.string()), [n] * len(asked)
+        best, bars = Best(ks, largest=True), np.ones((len(asked), 1))
+        askers, first = by_term(asked, len(terms))
+        for batch in batches:
+            doc, term, _ = listed_terms(batch.column("tokens"), known)
+            ids = np.array(batch.column("id").to_pylist(), object)
+            met = np.diff(first)[term]
+            sums = np.concatenate([[0], np.cumsum(met)])
+            cuts = np.searchsorted(doc, np.arange(len(ids) + 1))  # of the postings, by document
+            start = 0
+            while start < len(ids):
+                # as many documents as meet ``CELLS`` queries at most, and have as many counts; one at least
+                end = int(np.searchsorted(sums[cuts], sums[cuts[start]] + CELLS, "right")) - 1
+                end = min(max(end, start + 1), start + max(1, CELLS // len(asked)), len(ids))
+                a, z = cuts[start], cuts[end]
+                q = askers[np.repeat(first[term[a:z]] - (sums[a:z] - sums[a]), met[a:z]) + np.arange(sums[z] - sums[a])]
+                counts = np.bincount(q * (end - start) + np.repeat(doc[a:z] - start, met[a:z]), minlength=len(asked) * (end - start)).reshape(len(asked), -1)
+                q, at = np.nonzero(counts >= bars)
+                edges = np.flatnonzero(np.diff(q, prepend=-1)).tolist()
+                for i, j in zip(edges, [*edges[1:], len(q)], strict=True) if edges else ():
+                    own = int(q[i])
+                    best.add(own, counts[own, at[i:j]].astype(float), ids[start + at[i:j]])
+                    bars[own] = -best.bars.get(own, -1.0)
+                start = end
+        yield from best.batches(names, ks, "shared", pa.string())
+
+    return docs.mapInArrow(count, "query_id string, id string, shared double, k int")
 
 
 def stratified_sample(questions: DataFrame, n: int, stratum: str, key: str, seed: int = 1111) -> DataFrame:
