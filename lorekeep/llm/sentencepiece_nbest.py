@@ -26,7 +26,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import count
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ PORTION = 2 << 20
 #: Words that a worker remembers; words searched at once.
 REMEMBERED, GROUP = 300_000, 100_000
 #: Cells of a table of words and piece lengths at once; letters of a word that is searched by itself.
-CELLS, LONG = 1 << 21, 64
+CELLS, LONG = 1 << 20, 64
 
 
 def unwound(path: tuple | None) -> Iterator[int]:
@@ -147,6 +147,12 @@ class Pieces:
     def __reduce__(self) -> tuple:
         return Pieces, (self.names, self.scores, self.byte_ids, self.special)
 
+    def encoder(self, most: int) -> Encoder:
+        """An encoder that a worker's tasks share, with the words that it remembers."""
+        if getattr(self, "shared", None) is None or self.shared.most != most:
+            self.shared = Encoder(self, most)
+        return self.shared
+
     def tabulate(self) -> None:
         """The trie as hash tables of (node, letter) for many lookups at once."""
         self.letter = np.zeros(0x110000, np.int64)
@@ -197,20 +203,24 @@ class Pieces:
     def best_of(self, words: list[str]) -> list[tuple[bytes, float, float]]:
         """For each word: its best ids, packed; their score; what its second best costs more (infinite without one).
 
-        Words of one length are searched at once, place by place; a very long one by itself.
+        Many words are searched at once, a very long one by itself.
         """
         if not hasattr(self, "tables"):
             self.tabulate()
         out: list = [None] * len(words)
-        by_length: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(i)
-        for length, own in by_length.items():
-            rows = max(1, CELLS // (length * min(length, self.longest)))
-            for at in range(0, len(own), rows):
-                some = own[at : at + rows]
-                for i, found in zip(some, self._alike([words[i] for i in some], length) if length <= LONG else [self._long(words[i]) for i in some], strict=True):
-                    out[i] = found
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        short = int(np.searchsorted(lengths[order], LONG, side="right"))
+        sums = np.concatenate([[0], np.cumsum(lengths[order[:short]] + 1)])
+        at = 0
+        while at < short:
+            end = max(at + 1, int(np.searchsorted(sums, sums[at] + CELLS // self.longest, side="right")) - 1)
+            own = order[at:end].tolist()
+            for i, found in zip(own, self._many([words[i] for i in own]), strict=True):
+                out[i] = found
+            at = end
+        for i in order[short:].tolist():
+            out[i] = self._long(words[i])
         return out
 
     def _long(self, word: str) -> tuple[bytes, float, float]:
@@ -231,68 +241,85 @@ class Pieces:
         second = max((ahead[i] + s + behind[j] for j, own in enumerate(ends) for i, _, s in own if (i, j) not in path), default=-np.inf)
         return np.array(ids, "<i4").tobytes(), ahead[-1], ahead[-1] - second
 
-    def _alike(self, words: list[str], length: int) -> list[tuple[bytes, float, float]]:
-        n, most = len(words), min(length, self.longest)
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
-        letters = self.letter[codes]
-        scores = np.full((most, n, length), -np.inf)
-        ids = np.zeros((most, n * length), np.int64)
-        alive, nodes = np.arange(n * length), np.zeros(n * length, np.int64)
-        for size in range(1, most + 1):
-            nodes = self.step(nodes, letters[alive + size - 1])
-            alive, nodes = alive[nodes >= 0], nodes[nodes >= 0]
-            piece = self.node_ids[nodes]
-            at = alive[piece >= 0]
-            scores[size - 1].reshape(-1)[at] = self.node_scores[nodes[piece >= 0]]
-            ids[size - 1][at] = piece[piece >= 0]
-            inside = alive % length + size < length
-            alive, nodes = alive[inside], nodes[inside]
+    def _many(self, words: list[str]) -> list[tuple[bytes, float, float]]:
+        """``best_of`` for words ordered by their lengths: their pieces are sought at once, the paths for all of one length.
+
+        A length's cells are its words' first letters, then their second ones, and so on, and one each for the words' ends.
+        """
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.flatnonzero(np.diff(lengths, prepend=-1))
+        ns, sizes = np.diff(np.append(first, len(words))), lengths[first]
+        bases = np.concatenate([[0], np.cumsum(ns * (sizes + 1))])
+        codes, inner = np.zeros(bases[-1], np.int64), np.ones(bases[-1], bool)
+        for a, n, length, base in zip(first, ns, sizes, bases, strict=False):
+            own = np.frombuffer("".join(words[a : a + n]).encode("utf-32-le"), np.uint32)
+            codes[base : base + n * length] = own.reshape(n, length).T.ravel()
+            inner[base + n * length : base + n * (length + 1)] = False
+        letters = np.where(inner, self.letter[codes], 0)  # no piece goes on at a word's end
+        # by length, and by the cell where a piece starts or the one where it ends
+        starting, ending = np.full((self.longest, len(codes)), -np.inf), np.full((self.longest, len(codes)), -np.inf)
+        ids, reach = np.empty((self.longest, len(codes)), np.int32), np.ones(len(codes), np.int8)
+        alive = np.flatnonzero(inner)
+        nodes, stride, spot = np.zeros(len(alive), np.int64), np.repeat(ns, ns * sizes), alive
+        for size in range(1, self.longest + 1):
+            nodes = self.step(nodes, letters[spot])
+            on = nodes >= 0
+            alive, nodes, stride = alive[on], nodes[on], stride[on]
             if not len(alive):
                 break
-        alone = scores[0].reshape(-1)
-        unknown = np.flatnonzero(alone == -np.inf)  # as byte pieces; the letter stands for their ids
-        alone[unknown] = self.unknown
-        ids[0][unknown] = -1 - codes[unknown]
-        ahead, taken = np.zeros((n, length + 1)), np.ones((n, length + 1), np.int64)
-        for j in range(1, length + 1):
-            best = ahead[:, j - 1] + scores[0][:, j - 1]
-            for size in range(2, min(j, most) + 1):
-                reached = ahead[:, j - size] + scores[size - 1][:, j - size]
-                taken[reached > best, j] = size
-                np.maximum(best, reached, out=best)
-            ahead[:, j] = best
-        behind = np.zeros((n, length + 1))
-        for i in range(length - 1, -1, -1):
-            best = behind[:, i + 1] + scores[0][:, i]
-            for size in range(2, min(length - i, most) + 1):
-                np.maximum(best, behind[:, i + size] + scores[size - 1][:, i], out=best)
-            behind[:, i] = best
-        rows, on, step = np.arange(n), np.full(n, length), 0
+            spot = spot[on] + stride
+            piece = self.node_ids[nodes]
+            hit = piece >= 0
+            at = alive[hit]
+            starting[size - 1, at] = ending[size - 1, spot[hit]] = self.node_scores[nodes[hit]]
+            ids[size - 1, at] = piece[hit]
+            reach[at] = size
+        unknown = np.flatnonzero(inner & (starting[0] == -np.inf))  # as byte pieces; the letter stands for their ids
+        starting[0, unknown] = ending[0, unknown + ns[np.searchsorted(bases, unknown, side="right") - 1]] = self.unknown
+        ids[0, unknown] = -1 - codes[unknown]
+        best, second = np.empty(len(words)), np.full(len(words), -np.inf)
         flat, owners, steps = [], [], []
-        while len(rows):
-            size = taken[rows, on]
-            on = on - size
-            flat.append(ids[size - 1, rows * length + on])
-            owners.append(rows)
-            steps.append(np.full(len(rows), step))
-            scores[size - 1, rows, on] = -np.inf  # what stays are the pieces off the best paths
-            step -= 1
-            rows, on = rows[on > 0], on[on > 0]
-        second = np.full(n, -np.inf)
-        for size in range(1, most + 1):
-            np.maximum(second, (ahead[:, : length - size + 1] + scores[size - 1][:, : length - size + 1] + behind[:, size:]).max(1), out=second)
-        best = ahead[:, length]
+        for a, n, length, base in zip(first.tolist(), ns.tolist(), sizes.tolist(), bases.tolist(), strict=False):
+            here = slice(base, base + n * (length + 1))
+            most = int(reach[here].max())
+            start, end = (x[:most, here].reshape(most, length + 1, n) for x in (starting, ending))
+            # with room before the first place and after the last one for the longest piece
+            ahead, behind = np.full((most + length + 1, n), -np.inf), np.full((length + 1 + most, n), -np.inf)
+            ahead[most] = behind[length] = 0.0
+            for j in range(1, length + 1):
+                (ahead[j : j + most][::-1] + end[:, j]).max(0, out=ahead[most + j])
+            for i in range(length - 1, -1, -1):
+                (behind[i + 1 : i + 1 + most] + start[:, i]).max(0, out=behind[i])
+            best[a : a + n] = ahead[most + length]
+            rows, on, step, by = np.arange(n), np.full(n, length), 0, np.arange(1, most + 1)
+            while len(rows):
+                # of equals, the shortest last piece
+                size = (ahead[(most + on)[:, None] - by, rows[:, None]] + end[by - 1, on[:, None], rows[:, None]]).argmax(1) + 1
+                on = on - size
+                cell = base + on * n + rows
+                flat.append(ids[size - 1, cell])
+                owners.append(rows + a)
+                steps.append(np.full(len(rows), step))
+                starting[size - 1, cell] = -np.inf  # what stays are the pieces off the best paths
+                step -= 1
+                rows, on = rows[on > 0], on[on > 0]
+            for size in range(1, most + 1):
+                through = ahead[most : most + length - size + 1] + start[size - 1, : length - size + 1] + behind[size : length + 1]
+                np.maximum(second[a : a + n], through.max(0), out=second[a : a + n])
         pieces, owner = np.concatenate(flat), np.concatenate(owners)
         by = np.lexsort((np.concatenate(steps), owner))
         pieces, owner = pieces[by], owner[by]
-        counts = np.bincount(owner, minlength=n)
-        if (pieces < 0).any():
-            spread = [[i] if i >= 0 else [self.byte_ids[b] for b in chr(-1 - i).encode()] for i in pieces.tolist()]
-            counts = np.bincount(owner, [len(x) for x in spread], n).astype(np.int64)
-            pieces = np.array([i for x in spread for i in x])
+        spread = {int(k): [self.byte_ids[b] for b in chr(-1 - int(pieces[k])).encode()] for k in np.flatnonzero(pieces < 0)}
+        if spread:
+            times = np.ones(len(pieces), np.int64)
+            times[list(spread)] = [len(x) for x in spread.values()]
+            places = np.cumsum(times) - times
+            pieces, owner = np.repeat(pieces, times), np.repeat(owner, times)
+            for k, own in spread.items():
+                pieces[places[k] : places[k] + len(own)] = own
         packed = pieces.astype("<i4").tobytes()
-        cuts = np.concatenate([[0], np.cumsum(counts) * 4]).tolist()
-        return [(packed[i:j], s, d) for i, j, s, d in zip(cuts[:-1], cuts[1:], best.tolist(), (best - second).tolist(), strict=True)]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words))) * 4]).tolist()
+        return [(packed[i:j], s, d) for i, j, s, d in zip(bounds[:-1], bounds[1:], best.tolist(), (best - second).tolist(), strict=True)]
 
 
 class Encoder:
@@ -300,40 +327,62 @@ class Encoder:
 
     def __init__(self, pieces: Pieces, most: int = BEST) -> None:
         self.pieces, self.most = pieces, most
-        self.known: dict[str, tuple[bytes, float, float]] = {}
         self.alternatives: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
-        self.words = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
+        self.words = re.compile("\n| +[^ \n]*|[^ \n]+")
+        self.forget([])
+
+    def forget(self, kept: list[str]) -> None:
+        """Remember some of the known words alone: their places, and by place their ids, scores, what their second best cost more, and how many groups had them."""
+        at = [self.known[w] for w in kept]
+        self.known: dict[str, int] = dict(zip(kept, range(len(kept)), strict=True))
+        self.blobs: list[bytes] = [self.blobs[i] for i in at]
+        self.numbers = self.numbers[at] if kept else np.empty((0, 2))
+        self.sizes = self.sizes[at] if kept else np.empty(0, np.int64)
+        self.groups = np.zeros(len(kept), np.int32)
 
     def learn(self, texts: list[list[str]]) -> None:
-        """Search the words of several texts that aren't remembered; a long word by itself."""
-        seen = set().union(*texts)
+        """Search the words of several texts that aren't remembered, and number those that the texts have.
+
+        Where too many are remembered, those stay that more than one group had.
+        """
+        seen = list(dict.fromkeys(chain.from_iterable(texts)))
         new = [w for w in seen if w not in self.known]
         if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list(seen)
-        new.sort(key=len)
+            often = [w for w, n in zip(self.known, self.groups.tolist(), strict=True) if n > 1]
+            self.forget(often if len(often) + len(new) <= REMEMBERED * 3 // 4 else [])
+            new = [w for w in seen if w not in self.known]
         for at in range(0, len(new), GROUP):
             group = new[at : at + GROUP]
-            self.known.update(zip(group, [self.literal() if w[0] == "\0" and w[1:] == MARK else x for w, x in zip(group, self.pieces.best_of(group), strict=True)], strict=True))
+            found = [self.literal() if w[0] == "\0" and w[1:] == MARK else x for w, x in zip(group, self.pieces.best_of([w.replace(" ", MARK) for w in group]), strict=True)]
+            self.known.update(zip(group, range(len(self.known), len(self.known) + len(group)), strict=True))
+            self.blobs += [x[0] for x in found]
+            self.numbers = np.concatenate([self.numbers, np.array([x[1:] for x in found])])
+            self.sizes = np.concatenate([self.sizes, np.fromiter((len(x[0]) for x in found), np.int64, len(found))])
+        self.groups = np.concatenate([self.groups, np.zeros(len(self.known) - len(self.groups), np.int32)])
+        at = np.fromiter(map(self.known.__getitem__, seen), np.int64, len(seen))
+        self.groups[at] += 1
+        # each word of a text is looked up among the group's, a table far smaller than that of all words
+        self.own = dict(zip(seen, range(len(seen)), strict=True))
+        self.own_blobs, self.own_numbers, self.own_sizes = [self.blobs[i] for i in at.tolist()], self.numbers[at], self.sizes[at]
 
     def ranked(self, word: str) -> list[tuple[float, tuple[int, ...]]]:
         found = self.alternatives.get(word)
         if found is None:
             if len(self.alternatives) >= REMEMBERED:
                 self.alternatives.clear()
-            found = self.alternatives[word] = self.pieces.ranked(word, self.most)
+            found = self.alternatives[word] = self.pieces.ranked(word.replace(" ", MARK), self.most)
         return found
 
     def split(self, text: str) -> list[str]:
-        """Words, and literal word marks as themselves alone under a leading NUL."""
+        """Words, with spaces for word marks, and literal word marks as themselves alone under a leading NUL."""
         if not text:
             return []
         if MARK not in text:
-            return self.words.findall(MARK + text.replace(" ", MARK))
+            return self.words.findall(" " + text)
         parts = (" " + text).split(MARK)
-        out = self.words.findall(parts[0].replace(" ", MARK))
+        out = self.words.findall(parts[0])
         for part in parts[1:]:
-            out += ["\0" + MARK, *self.words.findall(part.replace(" ", MARK))]
+            out += ["\0" + MARK, *self.words.findall(part)]
         return out
 
     def literal(self) -> tuple[bytes, float, float]:
@@ -354,38 +403,46 @@ class Encoder:
         return out + list(map(self.combine, group))
 
     def combine(self, words: list[str]) -> list[tuple[float, bytes]]:
-        """The best segmentations of a text from those of its words."""
+        """The best segmentations of a text from those of its words, which the last ``learn`` has seen."""
         if not words:
             return [(0.0, b"")]
-        blobs, scores, costs = zip(*[self.known[w] for w in words], strict=True)
-        total = sum(scores)
-        out = [(total, b"".join(blobs))]
+        places = list(map(self.own.__getitem__, words))
+        at = np.array(places)
+        scores, costs = self.own_numbers[at].T
+        total, best = sum(scores.tolist()), b"".join(map(self.own_blobs.__getitem__, places))
+        out = [(total, best)]
         if self.most == 1:
             return out
         # the places of the words whose second best costs least
-        costs = np.array(costs)
-        near = np.argsort(costs, kind="stable")[: self.most - 1]
-        ranked = {}
-        for at in near.tolist():
-            if costs[at] < np.inf:
-                others = [(scores[at] - score, packed) for score, ids in self.ranked(words[at]) if (packed := np.array(ids, "<i4").tobytes()) != blobs[at]]
-                ranked[at] = [(0.0, None), *others[: self.most - 1]]
+        near = np.arange(len(costs))
+        if len(near) >= self.most:
+            near = np.flatnonzero(costs <= np.partition(costs, self.most - 2)[self.most - 2])
+        near = near[np.argsort(costs[near], kind="stable")][: self.most - 1]
+        ends = np.cumsum(self.own_sizes[at])
+        ranked, spans = {}, {}
+        for k in near.tolist():
+            if costs[k] < np.inf:
+                spans[k] = int(ends[k] - self.own_sizes[at[k]]), int(ends[k])
+                blob, score = self.own_blobs[places[k]], float(scores[k])
+                others = [(score - other, packed) for other, ids in self.ranked(words[k]) if (packed := np.array(ids, "<i4").tobytes()) != blob]
+                ranked[k] = [(0.0, None), *others[: self.most - 1]]
         # combinations as (cost, choices): each place in turn with each of its segmentations
         combos: list[tuple[float, tuple]] = [(0.0, ())]
-        for at in sorted(ranked):
-            grown = [(cost + more, (*chosen, (at, ids)) if ids is not None else chosen) for cost, chosen in combos for more, ids in ranked[at]]
+        for k in sorted(ranked):
+            grown = [(cost + more, (*chosen, (k, ids)) if ids is not None else chosen) for cost, chosen in combos for more, ids in ranked[k]]
             combos = heapq.nsmallest(self.most, grown)
         for cost, chosen in combos[1:]:
-            parts = list(blobs)
-            for at, ids in chosen:
-                parts[at] = ids
-            out.append((total - cost, b"".join(parts)))
+            parts, done = [], 0
+            for k, ids in chosen:
+                parts += [best[done : spans[k][0]], ids]
+                done = spans[k][1]
+            out.append((total - cost, b"".join([*parts, best[done:]])))
         return out
 
     def decode(self, packed: bytes) -> str:
         """The text of packed ids."""
         known = self.pieces.bytes
-        return b"".join([known[i] for i in np.frombuffer(packed, "<i4").tolist()]).decode()[1:]
+        return b"".join(map(known.__getitem__, np.frombuffer(packed, "<i4").tolist())).decode()[1:]
 
 
 def portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -408,7 +465,7 @@ def encode_documents(docs: DataFrame, path: str = "doc_id", text: str = "text",
     most = best if alternatives else 1
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, most)
+        encoder = shared.value.encoder(most)
         sha = lambda x: hashlib.sha256(x).digest() if digest else x
         names = ["path", "n_tokens", "ids", "scores", "n_best", "decoded", "round_trip"]
         for batch in (part for whole in batches(rows) for part in portions(whole)):

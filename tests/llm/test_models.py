@@ -3,12 +3,13 @@
 import random
 import time
 import zlib
+from collections import Counter
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from brute import joined
-from lorekeep.llm import embedding_dedup
+from lorekeep.llm import embedding_dedup, sentencepiece_nbest
 from lorekeep.llm.components import components
 from lorekeep.llm.embedding_dedup import near_embeddings
 from lorekeep.llm.mixing import DOMAINS, PLACES, Classifier, grams, mix, mixture
@@ -351,3 +352,31 @@ def test_mixing_against_a_plain_fit(spark):
     assert own <= plain + 1e-3
     reached = found[[f"reached_{d}" for d in DOMAINS]].iloc[0].to_numpy(dtype=float)
     assert np.abs(reached - a @ found.rate.to_numpy() / (a @ found.rate.to_numpy()).sum()).max() < 1e-6
+
+
+def test_frequent_words_are_searched_once(monkeypatch):
+    """Words that many groups have stay remembered when rare ones fill the room; words of all lengths are searched together."""
+    monkeypatch.setattr(sentencepiece_nbest, "REMEMBERED", 120)
+    pieces, searched = Pieces.load(), Counter()
+    find = pieces.best_of
+    monkeypatch.setattr(pieces, "best_of", lambda words: searched.update(words) or find(words))
+    common = ["the", "and", "reading", "\ud55c\uae00", "a\u2581b", "x" * 70]
+    encoder = Encoder(pieces)
+    for n in range(12):
+        text = "  ".join(common) + " ".join(f"w{n}q{k}" for k in range(30)) + "\n"
+        again = encoder.encode([text, "", text])
+        assert again[0] == again[2] == Encoder(Pieces.load()).encode([text])[0]
+        assert encoder.decode(again[0][0][1]) == text
+    assert searched["\u2581\u2581and"] == searched["\u2581\u2581reading"] == 1
+
+
+def test_many_words_as_each_alone():
+    pieces, rng = Pieces.load(), random.Random(8)
+    words = ["".join(rng.choice("abcdeinrstäö\u4e2d\U0001f600\0▁0") for _ in range(rng.randint(1, 66))) for _ in range(400)]
+    words = ["▁" + w.replace("▁", "") for w in words] + ["\n", "▁▁▁", "▁"]
+    assert pieces.best_of(words) == [pieces._long(w) for w in words]
+    calls = []
+    step = pieces.step
+    pieces.step = lambda nodes, letters: calls.append(1) or step(nodes, letters)
+    pieces.best_of([w[:n] for n in range(1, 40) for w in words[:20]])
+    assert len(calls) <= pieces.longest
