@@ -74,7 +74,7 @@ def letter_table() -> np.ndarray:
     """A number below ``LETTERS`` for each code point: 0 for what isn't a letter, 1 to 26 for a to z, shared ones for the rest."""
     points = np.arange(0x110000)
     table = np.zeros(0x110000, np.uint8)
-    alpha = np.fromiter((chr(p).isalpha() for p in points), bool, len(points))
+    alpha = np.char.isalpha(points.astype("<u4").view("<U1"))
     table[alpha] = 27 + points[alpha] % (LETTERS - 27)
     table[97:123] = np.arange(1, 27)
     return table
@@ -324,13 +324,18 @@ def piece(token: str) -> str | None:
     return inner if len(inner.strip(EDGES)) <= PIECE and len(AGAIN.sub(r"\1", inner)) <= PIECE + 4 else None
 
 
-def features(words: Counter[str]) -> Counter[str]:
-    """Whole words, and their beginnings marked by a tilde."""
-    out = Counter(words)
+@lru_cache(KEPT_READINGS)
+def names(word: str) -> tuple[str, ...]:
+    """A whole word, and its beginnings marked by a tilde."""
+    return word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)
+
+
+def features(words: dict[str, int]) -> dict[str, int]:
+    """``names`` of all words with their counts."""
+    out: dict[str, int] = {}
     for word, n in words.items():
-        for k in BEGINNINGS:
-            if len(word) > k:
-                out[word[:k] + "~"] += n
+        for f in names(word):
+            out[f] = out.get(f, 0) + n
     return out
 
 
@@ -343,12 +348,27 @@ def folded(letters: str) -> str:
 NOWHERE = (False, NONE, NONE, False)
 
 
+class Dull(dict):
+    """Of three first letters: whether no feature has them, nor may a repetition in them make others of them."""
+
+    def __init__(self, heads: set[str]) -> None:
+        self.heads = heads
+
+    def __missing__(self, head: str) -> bool:
+        if len(self) >= KEPT_READINGS:
+            self.clear()
+        self[head] = found = head not in self.heads and head[0] != head[1] != head[2]
+        return found
+
+
 class Scorer:
     """A logistic model over damped counts and rates of chosen features."""
 
     def __init__(self, chosen: list[str], rows: list[tuple], prior: float) -> None:
         self.chosen = {f: i for i, f in enumerate(chosen)}
         self.heads = {f.rstrip("~")[:3] for f in chosen}
+        self.dull = Dull(self.heads)
+        self.begun = {h[:k] for h in self.heads for k in range(len(h) + 1)}
         #: Without repetitions, and for words in pieces folded, whole and up to each letter.
         self.single = {AGAIN.sub(r"\1", f.rstrip("~"))[:3] for f in chosen}
         short = [f for f in chosen if len(f.rstrip("~")) <= WORD_LETTERS]
@@ -391,8 +411,7 @@ class Scorer:
 
     def places(self, word: str) -> list[int]:
         """Chosen features that a word has."""
-        names = [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
-        return [self.chosen[f] for f in names if f in self.chosen]
+        return [self.chosen[f] for f in names(word) if f in self.chosen]
 
     def found(self, words: Counter[str]) -> list[tuple[int, int]]:
         held: Counter[int] = Counter()
@@ -405,8 +424,9 @@ class Scorer:
         """``found`` of ``reader.counts``, with the places of each token kept instead of its words."""
         tokens = text.lower().split()
         held: dict[int, int] = {}
-        opens, kept = set(), self.kept
-        for token, n in Counter(tokens).items():
+        opens, kept, dull = set(), self.kept, self.dull
+        # most words are told by their first letters, before any table of tokens is asked
+        for token, n in Counter([t for t in tokens if not (len(t) > PIECE and dull[t[:3]] and t.isalpha())]).items():
             own = kept.get(token)
             if own is None:
                 if self.vain(token):
@@ -428,14 +448,16 @@ class Scorer:
         # signs after six letters or more, and repetitions after the first three, leave these as they are
         plain = token if token.isalpha() else token.rstrip(EDGES).lstrip(MARKS)
         head = plain[:3]
-        return len(plain) > PIECE and head not in self.heads and head[0] != head[1] != head[2] and plain.isalpha()
+        return len(plain) > PIECE and self.dull[head] and plain.isalpha()
 
     def learn(self, reader: Reader, token: str) -> tuple[tuple[int, ...], bool]:
         """The places of a token's words, and whether a word with a feature may begin with it; kept."""
         plain = token if token.isalpha() else token.strip(EDGES)
-        plainly = plain is token or (plain.isalpha() and EDGE_SIGNS.isdisjoint(token))
+        plainly = plain.isalpha() and (len(plain) == len(token) or EDGE_SIGNS.isdisjoint(token))
         if plainly and plain[:3] not in self.heads and not (TWICE_ON_END.search(plain) and self.single_head(plain)):
             at = ()
+        elif not plainly and not self.reachable(token):
+            at = ()
         else:
             at = tuple(i for word in reader.words(token) for i in self.places(word))
         # more letters than a piece has are no piece
@@ -445,6 +467,21 @@ class Scorer:
         self.kept[token] = at, opening
         return at, opening
 
+    def reachable(self, token: str) -> bool:
+        """Whether any reading of a token, from any of its words on, may have the first letters of a feature."""
+        held, before = {""}, ""
+        for c in token:
+            letters = c if c.isalpha() else SIGNS.get(c, "")
+            if not letters and c.isalnum() and not c.isdecimal():
+                return True  # letters to some, not to others
+            grown = {p + x for p in held for x in letters if p + x in self.begun}
+            if not grown.isdisjoint(self.heads):
+                return True
+            # letters twice on end may be one, signs and marks nothing, or an end
+            held = grown | held if c == before else grown if c.isalpha() else grown | held | {""}
+            before = c
+        return False
+
     def single_head(self, plain: str) -> bool:
         """Whether a word may begin like a feature when its repetitions go."""
         head = AGAIN.sub(r"\1", plain)[:3]
@@ -530,7 +567,7 @@ class Scorer:
         # where a word with a feature may begin, and not end at once
         first = {t: self.foldings(t) for t in opens}
         step = self.step
-        places = [at for at, (token, following) in enumerate(pairwise(tokens)) if token in first for begun, some, more, _ in (step(first[token], following),) if begun or not (some <= NOTHING and more <= NOTHING)]
+        places = [at for at, (token, following) in enumerate(pairwise(tokens)) if token in first and not (len(following) > PIECE and following.isalpha()) for begun, some, more, _ in (step(first[token], following),) if begun or not (some <= NOTHING and more <= NOTHING)]
         end, vain = 0, set()
         for at in places:
             if at >= end and self.reaches(tokens, at, vain):
@@ -581,16 +618,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     seen = stash(docs.mapInArrow(read, "y int, n long, words array<string>, counts array<long>"))
 
     def tally(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: tuple[Counter, Counter] = Counter(), Counter()
+        by: tuple[dict[str, int], dict[str, int]] = {}, {}
         docs_with: Counter[str] = Counter()
         for batch in batches(rows):
             for y, words, counts in zip(*(batch.column(c).to_pylist() for c in ("y", "words", "counts")), strict=True):
-                own = features(Counter(dict(zip(words, counts, strict=True))))
-                by[y].update({f: min(c, 5) for f, c in own.items()})
+                own, total = features(dict(zip(words, counts, strict=True))), by[y]
+                for f, c in own.items():
+                    total[f] = total.get(f, 0) + (c if c < 5 else 5)
                 if y:
                     docs_with.update(own.keys())
-        names = list({*by[0], *by[1]})
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in (by[1], by[0], docs_with))], ["f", "c1", "c0", "d1"])
+        found = list({*by[0], *by[1]})
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), *(pa.array([c.get(f, 0) for f in found], pa.int64()) for c in (by[1], by[0], docs_with))], ["f", "c1", "c0", "d1"])
 
     sizes = {r["y"]: (r["n"], r["rows"]) for r in seen.groupBy("y").agg(F.sum("n").alias("n"), F.count("*").alias("rows")).collect()}
     (n0, rows0), (n1, rows1) = sizes.get(0, (0, 0)), sizes.get(1, (0, 0))
@@ -607,10 +645,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     longest = F.max_by("f", F.struct(F.length(F.rtrim("f", F.lit("~"))), ~F.col("f").endswith("~"), "f"))
     one = ratio.groupBy("c1", "c0", "d1", F.substring("f", 1, 3)).agg(longest.alias("f"), F.max("ratio").alias("ratio"))
     chosen = [r["f"] for r in one.orderBy(F.desc("ratio"), "f").limit(most).collect()]
-    names = spark.sparkContext.broadcast(chosen)
+    listed = spark.sparkContext.broadcast(chosen)
 
     def vectors(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Scorer(names.value, [], 0.0)
+        finder = Scorer(listed.value, [], 0.0)
         for batch in batches(rows):
             found = [finder.found(Counter(dict(zip(w, c, strict=True)))) for w, c in zip(batch.column("words").to_pylist(), batch.column("counts").to_pylist(), strict=True)]
             columns = [batch.column("y"), batch.column("n"), pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int32())), pa.array([[c for _, c in x] for x in found], pa.list_(pa.int64()))]

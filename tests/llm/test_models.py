@@ -380,3 +380,25 @@ def test_many_words_as_each_alone():
     pieces.step = lambda nodes, letters: calls.append(1) or step(nodes, letters)
     pieces.best_of([w[:n] for n in range(1, 40) for w in words[:20]])
     assert len(calls) <= pieces.longest
+
+
+def test_tokens_are_read_only_where_a_feature_can_begin():
+    """What can't begin like a feature is told by its letters, with the same result as reading it."""
+    rng = random.Random(4)
+    model = CharacterModel(np.bincount([(a * 64 + b) * 64 + c for a, b, c in zip(*(numbers("the idiot is a stupid clown scum loser " * 9).astype(int)[k:] for k in (0, 1, 2)), strict=False)], minlength=64**3))
+    scorer, read = Scorer(["idiot", "stup~", "scum", "loser", "clow~", "xy", "\u00e9t\u00e9~"], [], 0.0), []
+    restore, reader = model.restore, Reader(model)
+    model.restore = lambda token: read.append(token) or restore(token)
+    tokens = ["".join(rng.choice("idotsupclwnxyqz\u00e9\u00b20134$@!|.-%+") for _ in range(rng.randint(1, 9))) for _ in range(20_000)]
+    tokens += [a + w + b for w in ("1d10t", "iddiot", "5tupid", "st-upid", "abc-idiot", "$cum", "l0ser", "loserrr", "x7y", "\u00e9tt\u00e9e") for a in ("", "(", "$$$", "@") for b in ("", "!!", ".", "$")]
+    wanted = {t: tuple(i for word in reader.words(t) for i in scorer.places(word)) for t in tokens}
+    assert sum(map(bool, wanted.values())) > 100
+    read.clear()
+    reader = Reader(model)
+    for t in tokens:
+        own, n = Scorer.find(scorer, reader, t)
+        assert dict(own) == dict(Counter(wanted[t])) and n == 1, t
+    met = len(set(read))
+    read.clear()
+    assert scorer.find(reader, "q9q-zz%% zq0zz, nnnn.") == ([], 3) and not read
+    assert met < len({t for t in tokens if not t.isalpha()}) / 2
