@@ -26,6 +26,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache, lru_cache
 from itertools import groupby, pairwise
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,10 @@ NOTHING = frozenset([""])
 NONE: frozenset[str] = frozenset()
 #: Tokens that a worker remembers; of those that are read by letters, and of steps between them, each far larger.
 KEPT_TOKENS, KEPT_READINGS = 120_000, 30_000
+#: Characters of the texts that are taken apart at once (longer texts alone), signs stripped from a side of their tokens.
+PORTION, STRIPPED = 1 << 18, 6
+
+FIRST, COST = itemgetter(0), itemgetter(2)
 
 WORD = re.compile(r"[^\W\d_]+")
 TWICE_ON_END = re.compile(r"(.)\1")
@@ -96,6 +101,67 @@ def place(letter: str) -> int:
     return int(numbers(letter)[0])
 
 
+#: What a character is, in bits.
+SPACE, ALPHA, IN_EDGES, IN_MARKS = 1, 2, 4, 8
+
+
+def character_table() -> np.ndarray:
+    """The bits of each code point, as ``str.split`` and ``str.isalpha`` have it."""
+    points = np.arange(0x110000, dtype="<u4").view("<U1")
+    table = SPACE * np.char.isspace(points).astype(np.uint8) | ALPHA * np.char.isalpha(points).astype(np.uint8)
+    for bit, some in ((IN_EDGES, EDGES), (IN_MARKS, MARKS)):
+        table[[ord(c) for c in some]] |= bit
+    return table
+
+
+_characters: np.ndarray | None = None
+
+
+class Portion:
+    """Where the tokens of some lower-case texts are, found for all at once."""
+
+    def __init__(self, texts: list[str]) -> None:
+        global _characters
+        if _characters is None:
+            _characters = character_table()
+        self.texts, self.joined = texts, "\n".join(texts)
+        self.points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.bits = _characters[self.points]
+        solid = np.zeros(len(self.bits) + 2, bool)
+        solid[1:-1] = self.bits & SPACE == 0
+        bounds = np.flatnonzero(solid[1:] != solid[:-1])
+        self.starts, self.ends = bounds[::2], bounds[1::2]
+        #: Each text's first token, and after the last text's last.
+        self.first = np.searchsorted(self.starts, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+
+    def dull(self, heads: np.ndarray) -> np.ndarray:
+        """Which tokens are ``Scorer.vain`` at a glance; those with more than ``STRIPPED`` signs at a side never are."""
+        bits, points = self.bits, self.points
+        out = np.zeros(len(self.starts), bool)
+        at = np.flatnonzero(self.ends - self.starts > PIECE)
+        start, end = self.starts[at], self.ends[at]
+        others = np.zeros(len(bits) + 1, np.int32)
+        np.cumsum(bits & ALPHA == 0, out=others[1:])
+        odd = np.flatnonzero(others[start] != others[end])
+        a, b = start[odd], end[odd]
+        for _ in range(STRIPPED):
+            b -= bits[b - 1] & IN_EDGES > 0
+            b = np.maximum(b, a + 1)
+        for _ in range(STRIPPED):
+            a += bits[a] & IN_MARKS > 0
+            a = np.minimum(a, b - 1)
+        start[odd], end[odd] = a, b
+        fits = (end - start > PIECE) & (others[start] == others[end])
+        at, start = at[fits], start[fits]
+        x, y, z = (points[start + k].astype(np.int64) for k in range(3))
+        out[at] = (x != y) & (y != z) & ~np.isin(x << 42 | y << 21 | z, heads)
+        return out
+
+    def tokens(self, chosen: np.ndarray) -> list[str]:
+        joined = self.joined
+        return [joined[a:b] for a, b in zip(self.starts[chosen].tolist(), self.ends[chosen].tolist(), strict=True)]
+
+
 def unwound(word: tuple | None) -> str:
     """The letters of a word held as (its beginning, last letter)."""
     letters = []
@@ -163,22 +229,35 @@ class CharacterModel:
 
     def joined(self, tokens: list[str]) -> list[str]:
         """Words of more than one token in the likeliest reading of a run of short tokens."""
+        glued = "".join(tokens)
+        if glued.isalpha() and not TWICE_ON_END.search(glued):
+            return self.joined_letters(tokens)
         # by the last two letters (none after a word's end): cost, the open word as (its beginning, last letter), its tokens, (earlier words, last)
         best: dict[tuple[int, int], tuple] = {(0, 0): (0.0, None, 0, None)}
-        glued = "".join(tokens)
         repeated = [n for _, run in groupby(glued) for n in [len(list(run))] for _ in range(n)]
         at, before, last, logs = 0, "", 0, self.logs
         for token in tokens:
             start = best
             best = {}
-            letters = any(c.isalpha() for c in token)
+            letters = token.isalpha() or any(c.isalpha() for c in token)
             gap = JOIN_ONE if len(token) == 1 or last == 1 else JOIN
             last = len(token)
             for state, (cost, word, n, done) in start.items():
                 # as a token of the open word
                 best[state] = (cost + gap * (n > 0), word, n + 1, done)
             for k, c in enumerate(token):
+                following: dict[tuple[int, int], tuple] = {}
                 if c.isalpha():
+                    if c != before:
+                        # one reading for each state, as of most letters
+                        x = place(c)
+                        for (i, j), (cost, word, n, done) in best.items():
+                            cost -= logs[i][j][x]
+                            held = following.get((j, x))
+                            if held is None or cost < held[0]:
+                                following[j, x] = cost, (word, c), n, done
+                        best, before, at = following, c, at + 1
+                        continue
                     arcs = [(c, 0.0)]
                     again = TWICE if repeated[at] == 2 else OFTEN
                 elif c in SIGNS:
@@ -189,7 +268,6 @@ class CharacterModel:
                         arcs.append(("", EDGE if mark else AS_NOTHING))
                 else:
                     arcs, again = [("", MARK)], None
-                following: dict[tuple[int, int], tuple] = {}
                 for (i, j), (cost, word, n, done) in best.items():
                     for letter, price in (*arcs, ("", again)) if again is not None and c == before and word else arcs:
                         if letter:
@@ -221,6 +299,41 @@ class CharacterModel:
         return out[::-1]
 
 
+    def joined_letters(self, tokens: list[str]) -> list[str]:
+        """``joined`` of tokens of letters alone, none repeated, each of which has one reading: their words differ in their bounds alone."""
+        logs, ends = self.logs, self.logs[0][0]
+        # open words by their last two letters, two at most: cost, tokens, (earlier words, last); then those that ended
+        opened: list[tuple[int, int, float, int, tuple | None]] = []
+        ended, earlier, last = 0.0, None, 0
+        for at, token in enumerate(tokens):
+            x, *more = map(place, token)
+            gap = JOIN_ONE if len(token) == 1 or last == 1 else JOIN
+            last = len(token)
+            found = [(0, x, ended - ends[x], 1, earlier)]
+            if opened:
+                # by now the letters before the last two are the same, or none
+                _, j, cost, n, done = min([(i, j, cost + gap - logs[i][j][x], n, done) for i, j, cost, n, done in opened], key=COST)
+                found.insert(0, (j, x, cost, n + 1, done))
+            for y in more:
+                if len(found) > 1:
+                    found = [min([(j, k, cost - logs[j][k][y], n, done) for j, k, cost, n, done in found], key=COST)]
+                    j, k, cost, n, done = found[0]
+                else:
+                    j, k, cost, n, done = found[0]
+                    cost -= logs[j][k][y]
+                found = [(k, y, cost, n, done)]
+            opened = found
+            ended, n, earlier = min([(cost - logs[i][j][0], n, done) for i, j, cost, n, done in opened], key=FIRST)
+            if n > 1:
+                earlier = earlier, "".join(tokens[at + 1 - n : at + 1])
+        out = []
+        while earlier is not None:
+            earlier, spelled = earlier
+            if len(spelled) <= WORD_LETTERS:
+                out.append(spelled)
+        return out[::-1]
+
+
 def count_trigrams(docs: DataFrame) -> np.ndarray:
     """Trigram counts over all texts; Spark adds up the partitions' counts, of which the driver gets a bounded number."""
 
@@ -284,9 +397,11 @@ class Reader:
         """Words of a text with their counts, and the number of its tokens."""
         tokens = text.lower().split()
         out: Counter[str] = Counter()
+        get = out.get
         for token, n in Counter(tokens).items():
-            for word in self.words(token):
-                out[word] += n
+            # most tokens are words as they are
+            for word in (token,) if token.isalpha() and not TWICE_ON_END.search(token) else self.words(token):
+                out[word] = get(word, 0) + n
         out.update(self.spelled_apart(tokens))
         return out, len(tokens)
 
@@ -294,7 +409,10 @@ class Reader:
         """Restored words from runs of short tokens."""
         out, run = [], []
         for token in (*tokens, None):
-            part = None if token is None else piece(token)
+            if token is None or (len(token) > PIECE and token.isalpha()):
+                part = None
+            else:
+                part = token if token.isalpha() else piece(token)
             if part is not None:
                 run.append(part)
                 continue
@@ -332,11 +450,15 @@ def names(word: str) -> tuple[str, ...]:
 
 def features(words: dict[str, int]) -> dict[str, int]:
     """``names`` of all words with their counts."""
-    out: dict[str, int] = {}
+    begun: dict[str, int] = {}
+    get = begun.get
     for word, n in words.items():
-        for f in names(word):
-            out[f] = out.get(f, 0) + n
-    return out
+        size = len(word)
+        for k in BEGINNINGS:
+            if k >= size:
+                break
+            begun[word[:k]] = get(word[:k], 0) + n
+    return {**words, **{f + "~": n for f, n in begun.items()}}
 
 
 def folded(letters: str) -> str:
@@ -348,17 +470,48 @@ def folded(letters: str) -> str:
 NOWHERE = (False, NONE, NONE, False)
 
 
-class Dull(dict):
-    """Of three first letters: whether no feature has them, nor may a repetition in them make others of them."""
-
-    def __init__(self, heads: set[str]) -> None:
-        self.heads = heads
-
-    def __missing__(self, head: str) -> bool:
-        if len(self) >= KEPT_READINGS:
+class Codes(dict):
+    """A token's number: 8 times the place of its kind, 4 if it has features, 2 if it may be a piece of a word, 1 if a word with a feature may begin with it; 0 if it says nothing."""
+
+    def __init__(self, scorer: Scorer, reader: Reader) -> None:
+        self.scorer, self.reader = scorer, reader
+        #: Places of features, and foldings, by kind.
+        self.kinds: list[tuple[tuple[int, ...], frozenset[str]]] = [((), NONE)]
+        self.numbers = {self.kinds[0]: 0}
+        #: By two numbers of tokens, whether a word with a feature may begin with the first and not end there.
+        self.pairs: dict[int, bool] = {}
+
+    def __missing__(self, token: str) -> int:
+        at, opening = self.scorer.learn(self.reader, token)
+        letters = self.scorer.foldings(token)
+        kind = self.numbers.setdefault((at, letters), len(self.kinds))
+        if kind == len(self.kinds):
+            self.kinds.append((at, letters))
+        self[token] = code = 8 * kind + 4 * bool(at) + 2 * bool(letters) + opening
+        return code
+
+    def of(self, portion: Portion) -> np.ndarray:
+        """The numbers of the tokens; those of portions before may no longer hold."""
+        if len(self) >= KEPT_TOKENS or len(self.pairs) >= KEPT_TOKENS:
             self.clear()
-        self[head] = found = head not in self.heads and head[0] != head[1] != head[2]
-        return found
+            self.__init__(self.scorer, self.reader)
+        own = np.flatnonzero(~portion.dull(self.scorer.points))
+        out = np.zeros(len(portion.starts), np.int64)
+        out[own] = np.fromiter(map(self.__getitem__, portion.tokens(own)), np.int64, len(own))
+        return out
+
+    def places(self, codes: np.ndarray) -> list[int]:
+        """Where a word with a feature may begin, and not end at once."""
+        at = np.flatnonzero(codes[:-1] & codes[1:] >> 1 & 1)
+        pairs, out = self.pairs, []
+        for k, pair in zip(at.tolist(), (codes[at] << 32 | codes[at + 1]).tolist(), strict=True):
+            good = pairs.get(pair)
+            if good is None:
+                begun, some, more, _ = self.scorer.met(self.kinds[pair >> 35][1], self.kinds[(pair & 0xFFFFFFFF) >> 3][1])
+                good = pairs[pair] = begun or not (some <= NOTHING and more <= NOTHING)
+            if good:
+                out.append(k)
+        return out
 
 
 class Scorer:
@@ -367,16 +520,16 @@ class Scorer:
     def __init__(self, chosen: list[str], rows: list[tuple], prior: float) -> None:
         self.chosen = {f: i for i, f in enumerate(chosen)}
         self.heads = {f.rstrip("~")[:3] for f in chosen}
-        self.dull = Dull(self.heads)
-        self.begun = {h[:k] for h in self.heads for k in range(len(h) + 1)}
-        #: Without repetitions, and for words in pieces folded, whole and up to each letter.
-        self.single = {AGAIN.sub(r"\1", f.rstrip("~"))[:3] for f in chosen}
+        self.points = np.array(sorted(ord(h[0]) << 42 | ord(h[1]) << 21 | ord(h[2]) for h in self.heads if len(h) == 3), np.int64)
+        self.letters = {f.rstrip("~") for f in chosen}
+        self.begun = {x[:k] for x in self.letters for k in range(len(x) + 1)}
+        #: For words in pieces: folded, without repetitions, whole and up to each letter.
         short = [f for f in chosen if len(f.rstrip("~")) <= WORD_LETTERS]
         self.words = {folded(f) for f in short if not f.endswith("~")}
         self.wholes = {folded(f.rstrip("~")) for f in short}
         self.upto = {w[:k] for w in self.wholes for k in range(1, len(w))}
         self.pieces: dict[str, frozenset[str]] = {}
-        self.kept: dict[str, tuple[tuple[int, ...], bool]] = {}
+        self.codes: Codes | None = None
         #: Steps of the searches for words in pieces: by what tokens may be so far (none: nothing), and what the next token may be.
         self.steps: dict[tuple[frozenset[str], frozenset[str]], tuple[bool, frozenset[str], frozenset[str], bool]] = {}
         self.weights: np.ndarray | None = None
@@ -415,87 +568,108 @@ class Scorer:
 
     def found(self, words: Counter[str]) -> list[tuple[int, int]]:
         held: Counter[int] = Counter()
+        heads = self.heads
         for word, n in words.items():
-            for i in self.places(word):
-                held[i] += n
+            if word[:3] in heads:
+                for i in self.places(word):
+                    held[i] += n
         return list(held.items())
 
     def find(self, reader: Reader, text: str) -> tuple[list[tuple[int, int]], int]:
-        """``found`` of ``reader.counts``, with the places of each token kept instead of its words."""
-        tokens = text.lower().split()
-        held: dict[int, int] = {}
-        opens, kept, dull = set(), self.kept, self.dull
-        # most words are told by their first letters, before any table of tokens is asked
-        for token, n in Counter([t for t in tokens if not (len(t) > PIECE and dull[t[:3]] and t.isalpha())]).items():
-            own = kept.get(token)
-            if own is None:
-                if self.vain(token):
-                    continue
-                own = self.learn(reader, token)
-            at, opening = own
-            if opening:
-                opens.add(token)
-            for i in at:
-                held[i] = held.get(i, 0) + n
-        if opens:
-            for word, n in self.in_pieces(reader, tokens, opens).items():
-                for i in self.places(word):
+        """``found`` of ``reader.counts``."""
+        return next(self.find_all(reader, [text]))
+
+    def find_all(self, reader: Reader, texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """``find`` for each text, by the numbers of the tokens instead of their words."""
+        some: list[str] = []
+        held = 0
+        for text in texts:
+            if some and held + len(text) > PORTION:
+                yield from self.portion(reader, some)
+                some, held = [], 0
+            some.append(text.lower())
+            held += len(text)
+        if some:
+            yield from self.portion(reader, some)
+
+    def portion(self, reader: Reader, lower: list[str]) -> Iterator[tuple[list[tuple[int, int]], int]]:
+        """``find`` for each of some lower-case texts, whose tokens are found at once."""
+        portion, codes = self.coded(reader, lower)
+        kinds = self.codes.kinds
+        # most tokens say nothing, or may be a piece and no more
+        speaking = np.flatnonzero(codes & 4)
+        own = np.searchsorted(speaking, portion.first).tolist()
+        spoken = (codes[speaking] >> 3).tolist()
+        places = self.codes.places(codes)
+        begun = np.searchsorted(places, portion.first).tolist()
+        for k, text in enumerate(lower):
+            held: dict[int, int] = {}
+            for kind, n in Counter(spoken[own[k] : own[k + 1]]).items():
+                for i in kinds[kind][0]:
                     held[i] = held.get(i, 0) + n
-        return list(held.items()), len(tokens)
+            first, last = portion.first[k], portion.first[k + 1]
+            # a last token begins nothing: what follows is another text's
+            at = [x - first for x in places[begun[k] : begun[k + 1]] if x + 1 < last]
+            if at:
+                for word, n in self.read_pieces(reader, text.split(), at).items():
+                    for i in self.places(word):
+                        held[i] = held.get(i, 0) + n
+            yield list(held.items()), last - first
+
+    def coded(self, reader: Reader, lower: list[str]) -> tuple[Portion, np.ndarray]:
+        """Texts' tokens with their numbers, which are kept from portion to portion."""
+        if self.codes is None or self.codes.reader is not reader:
+            self.codes = Codes(self, reader)
+        portion = Portion(lower)
+        return portion, self.codes.of(portion)
 
     def vain(self, token: str) -> bool:
-        """Whether a token is no piece, and all its readings have three first letters that no feature has; not kept, so that rare long words drive out no others."""
+        """Whether a token is no piece, and all its readings have three first letters that no feature has."""
         # signs after six letters or more, and repetitions after the first three, leave these as they are
         plain = token if token.isalpha() else token.rstrip(EDGES).lstrip(MARKS)
         head = plain[:3]
-        return len(plain) > PIECE and self.dull[head] and plain.isalpha()
+        return len(plain) > PIECE and head not in self.heads and head[0] != head[1] != head[2] and plain.isalpha()
 
     def learn(self, reader: Reader, token: str) -> tuple[tuple[int, ...], bool]:
-        """The places of a token's words, and whether a word with a feature may begin with it; kept."""
+        """The places of a token's words, and whether a word with a feature may begin with it."""
         plain = token if token.isalpha() else token.strip(EDGES)
         plainly = plain.isalpha() and (len(plain) == len(token) or EDGE_SIGNS.isdisjoint(token))
-        if plainly and plain[:3] not in self.heads and not (TWICE_ON_END.search(plain) and self.single_head(plain)):
-            at = ()
-        elif not plainly and not self.reachable(token):
+        if plainly and not TWICE_ON_END.search(plain):
+            at = tuple(self.places(plain)) if plain[:3] in self.heads else ()
+        elif not self.reachable(plain if plainly else token):
             at = ()
         else:
             at = tuple(i for word in reader.words(token) for i in self.places(word))
         # more letters than a piece has are no piece
         opening = len(plain) <= PIECE and any(f in self.upto or any(f[:n] in self.wholes for n in range(1, len(f) + 1)) for f in self.foldings(token))
-        if len(self.kept) >= KEPT_TOKENS:
-            self.kept.clear()
-        self.kept[token] = at, opening
         return at, opening
 
     def reachable(self, token: str) -> bool:
-        """Whether any reading of a token, from any of its words on, may have the first letters of a feature."""
+        """Whether any reading of a token, from any of its words on, may begin with the letters of a feature."""
         held, before = {""}, ""
         for c in token:
             letters = c if c.isalpha() else SIGNS.get(c, "")
             if not letters and c.isalnum() and not c.isdecimal():
                 return True  # letters to some, not to others
             grown = {p + x for p in held for x in letters if p + x in self.begun}
-            if not grown.isdisjoint(self.heads):
+            if not grown.isdisjoint(self.letters):
                 return True
             # letters twice on end may be one, signs and marks nothing, or an end
             held = grown | held if c == before else grown if c.isalpha() else grown | held | {""}
             before = c
         return False
 
-    def single_head(self, plain: str) -> bool:
-        """Whether a word may begin like a feature when its repetitions go."""
-        head = AGAIN.sub(r"\1", plain)[:3]
-        return any(head[:k] in self.single for k in (1, 2, 3))
-
     def foldings(self, token: str) -> frozenset[str]:
         """What a token may be in a feature, folded; empty if it is too long for a piece."""
         if len(token) > PIECE and len(token.strip(EDGES)) > PIECE:
             return NONE
         found = self.pieces.get(token)
         if found is None:
-            part = piece(token)
+            part = token if token.isalpha() and len(token) <= PIECE else piece(token)
             if part is None:
                 found = NONE
+            elif part.isalpha():
+                found = frozenset((folded(part),))
             else:
                 readings = {part, part.lstrip(EDGES), part.rstrip(EDGES), part.strip(EDGES)}
                 if WORD.search(part) and WORD.sub("", part):
@@ -509,8 +683,10 @@ class Scorer:
     def step(self, now: frozenset[str], token: str) -> tuple[bool, frozenset[str], frozenset[str], bool]:
         """What tokens on end may be with one more: whether a feature is begun, the beginnings of features, those and whole words, whether any is a whole word."""
         more_letters = self.foldings(token)
-        if not more_letters:
-            return NOWHERE
+        return self.met(now, more_letters) if more_letters else NOWHERE
+
+    def met(self, now: frozenset[str], more_letters: frozenset[str]) -> tuple[bool, frozenset[str], frozenset[str], bool]:
+        """``step`` by what the next token may be."""
         found = self.steps.get((now, more_letters))
         if found is None:
             both = {AGAIN.sub(r"\1", a + b) for a in now for b in more_letters}
@@ -559,15 +735,14 @@ class Scorer:
                 end = best[1] + 1
                 yield best[0]
 
-    def in_pieces(self, reader: Reader, tokens: list[str], opens: set[str] | None = None) -> Counter[str]:
-        """``spans``, and ``reader.spelled_apart`` of the runs that may hold a word with a feature; opens: tokens that may begin one, if known."""
-        if opens is None:
-            opens = {t for t in set(tokens) if self.learn(reader, t)[1]}
+    def in_pieces(self, reader: Reader, tokens: list[str]) -> Counter[str]:
+        """``read_pieces`` from wherever a word may begin."""
+        _, codes = self.coded(reader, [" ".join(tokens)])
+        return self.read_pieces(reader, tokens, self.codes.places(codes))
+
+    def read_pieces(self, reader: Reader, tokens: list[str], places: list[int]) -> Counter[str]:
+        """``spans``, and ``reader.spelled_apart`` of the runs that may hold a word with a feature; places: where one may begin, and not end at once."""
         out: Counter[str] = Counter()
-        # where a word with a feature may begin, and not end at once
-        first = {t: self.foldings(t) for t in opens}
-        step = self.step
-        places = [at for at, (token, following) in enumerate(pairwise(tokens)) if token in first and not (len(following) > PIECE and following.isalpha()) for begun, some, more, _ in (step(first[token], following),) if begun or not (some <= NOTHING and more <= NOTHING)]
         end, vain = 0, set()
         for at in places:
             if at >= end and self.reaches(tokens, at, vain):
@@ -601,10 +776,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     usable = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     rows = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
     truth = spark.sparkContext.broadcast({r["doc_id"]: r["y"] for r in rows})
-    shared = spark.sparkContext.broadcast(model)
+    # what a worker remembers of tokens stays from task to task
+    shared = spark.sparkContext.broadcast(Reader(model))
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(shared.value)
+        reader = shared.value
         for batch in batches(rows):
             ids = batch.column("id").to_pylist()
             own = [i for i, x in enumerate(ids) if x in truth.value]
@@ -663,13 +839,13 @@ def toxicity(documents: DataFrame, labels: DataFrame, path: str = "doc_id", text
     """The documents' columns with score and predicted, which replace columns of the same names."""
     docs = documents.select(F.col(path).alias("id"), body(text).alias("text"))
     model, scorer = train(docs, labels)
-    shared = documents.sparkSession.sparkContext.broadcast((model, scorer))
+    # what a worker remembers of tokens stays from task to task
+    shared = documents.sparkSession.sparkContext.broadcast((Reader(model), scorer))
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, scorer = shared.value
-        reader = Reader(model)
+        reader, scorer = shared.value
         for batch in batches(rows):
-            scores = [scorer.score(*scorer.find(reader, t)) for t in batch.column("body").to_pylist()]
+            scores = [scorer.score(*x) for x in scorer.find_all(reader, batch.column("body").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64())], ["row", "score"])
 
     # the row goes as one value, so that its columns can have any names

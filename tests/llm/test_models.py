@@ -1,20 +1,23 @@
 """Corpus operators with models, vectors or pieces."""
 
 import random
+import re
+import sys
 import time
 import zlib
 from collections import Counter
+from itertools import pairwise
 
 import corpus_pipeline
 import numpy as np
 import pytest
 from brute import joined
-from lorekeep.llm import embedding_dedup, sentencepiece_nbest
+from lorekeep.llm import embedding_dedup, sentencepiece_nbest, toxicity
 from lorekeep.llm.components import components
 from lorekeep.llm.embedding_dedup import near_embeddings
 from lorekeep.llm.mixing import DOMAINS, PLACES, Classifier, grams, mix, mixture
 from lorekeep.llm.sentencepiece_nbest import Encoder, Pieces, encode_documents, encoding_report
-from lorekeep.llm.toxicity import CharacterModel, Reader, Scorer, numbers, toxicity_report, train
+from lorekeep.llm.toxicity import CharacterModel, Portion, Reader, Scorer, numbers, toxicity_report, train
 from pyspark.sql import functions as F
 
 DATA = "/root/testdata/sf0.01"
@@ -190,6 +193,69 @@ def test_spaced_edged_and_doubled_words_are_restored(spark):
         assert scorer.find(reader, f"an {token}%%%")[0] == scorer.find(reader, f"an {token}")[0]
 
 
+def _calls(run):
+    """How many functions a run calls, and its result."""
+    n = [0]
+
+    def seen(frame, event, arg):
+        n[0] += event in ("call", "c_call")
+
+    sys.setprofile(seen)
+    try:
+        result = run()
+    finally:
+        sys.setprofile(None)
+    return n[0], result
+
+
+def _trigrams(texts):
+    counts = np.zeros(64**3, np.int64)
+    for t in texts:
+        n = np.concatenate([[0, 0], numbers(t), [0]]).astype(int)
+        first = np.where(n[1:-1] == 0, 0, n[:-2])
+        np.add.at(counts, (first * 64 + n[1:-1]) * 64 + n[2:], 1)
+    return counts
+
+
+def test_toxicity_calls_few_functions_a_token(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("lang = 'en'").limit(400).collect()
+    texts = [r.text or "" for r in rows]
+    tokens = sum(len(t.split()) for t in texts)
+    reader, scorer = Reader(CharacterModel(_trigrams(texts))), Scorer(["idiot", "moron", "stupid", "loser", "wor~"], [], 0.0)
+    first = [scorer.find(reader, t) for t in texts]
+    calls, again = _calls(lambda: [scorer.find(reader, t) for t in texts])
+    assert again == first and calls < tokens
+
+
+def test_tokens_of_a_portion_are_those_of_split(spark):
+    odd = "a\x00b \x1cc\x85d\u2003e \u200bf ﬁé ñ1 ²³x ¡hola! $$$moneys$$$ ...... abcdef, «abcdefg» aabcdef abbcdef abcdeff (((((((abcdefg ))))))) aaaaaa- x" * 3
+    texts = ["", " ", odd, "\n\n", "İstanbul ΣΑΣ".lower(), odd + " ", "idiots idiots, $$idiots"] + [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(80).collect()]
+    texts = [t.lower() for t in texts]
+    portion, scorer = Portion(texts), Scorer(["idiot", "abc~", "xy", "moneys"], [], 0.0)
+    dull = portion.dull(scorer.points)
+    for k, t in enumerate(texts):
+        own = np.arange(portion.first[k], portion.first[k + 1])
+        found = portion.tokens(own)
+        assert found == t.split()
+        assert not any(d and not scorer.vain(x) for d, x in zip(dull[own], found, strict=True))
+        assert all(d or not scorer.vain(x) or len(x) > 12 for d, x in zip(dull[own], found, strict=True))
+    # texts read together, or in portions, or alone
+    reader = Reader(CharacterModel(_trigrams(texts)))
+    together = list(scorer.find_all(reader, texts))
+    assert together == [Scorer(list(scorer.chosen), [], 0.0).find(reader, t) for t in texts]
+    assert together[6][0] == []  # "idiots" is neither the word nor a beginning that counts
+
+
+def test_letters_are_joined_as_by_the_whole_search(monkeypatch):
+    r = random.Random(3)
+    model = CharacterModel(_trigrams(["the an in or id iot mor on stu pid é ñu a b c " * 50]))
+    runs = [["".join(r.choices("thaniordmspué", k=r.randint(1, 5))) for _ in range(r.randint(2, 9))] for _ in range(400)] + [["stu", "pid"], ["i", "d", "i", "o", "t"], ["mo", "r", "on"]]
+    runs = [x for x in runs if not any(a == b for a, b in pairwise("".join(x)))]
+    quick = [model.joined(x) for x in runs]
+    monkeypatch.setattr(toxicity, "TWICE_ON_END", re.compile(""))
+    assert len(runs) > 50 and quick == [model.joined(x) for x in runs] and any(quick)
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     found = toxicity_report(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
